@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import exact_dedup as _exact
+from tilewright.llm import minhash as _minhash
+from tilewright.llm import quality_rules as _rules
 from tilewright.llm import sharding as _sharding
 
 
@@ -14,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op3_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +33,28 @@ def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS sh
+  FROM d WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, min(r.b) = d.doc_id AS kept
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -38,10 +71,12 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_circulant_minhash": op2_circulant_minhash,
+        "op3_ngram_ratio_rules": op3_ngram_ratio_rules,
         "op5_best_fit_shards": op5_best_fit_shards,
         "op9_block_naming_dedup": op9_block_naming_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_block_naming_dedup": OP9_SQL}
+    return {"op2_circulant_minhash": OP2_SQL, "op9_block_naming_dedup": OP9_SQL}
