@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup as _exact
 from tilewright.llm import minhash as _minhash
+from tilewright.llm import mixing as _mixing
+from tilewright.llm import packing as _packing
 from tilewright.llm import quality_rules as _rules
 from tilewright.llm import sharding as _sharding
 
@@ -29,6 +32,21 @@ def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -74,6 +92,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_circulant_minhash": op2_circulant_minhash,
         "op3_ngram_ratio_rules": op3_ngram_ratio_rules,
         "op5_best_fit_shards": op5_best_fit_shards,
+        "op7_bounded_space_packing": op7_bounded_space_packing,
+        "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
     }
 
