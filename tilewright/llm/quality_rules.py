@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import SPACE_CLASS, text_or_empty
 
-N_BUCKETS = 1 << 15
+N_BUCKETS = 1 << 16
 #: At most about so many trusted rows (chosen by a hash of doc_id) define the target; it bounds the broadcast of their ids.
 MAX_TRUSTED = 50_000
-THRESHOLD = -0.04
+THRESHOLD = -0.1
+SMOOTHING = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -62,8 +63,12 @@ def _bucket(n_buckets: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(n_buckets)).cast("int")
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0) -> list[float]:
-    """log(p_target / p_raw) of each bucket; raw counts cover every document, the target the trusted doc_ids."""
+def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
+    """log(p_target / p_raw) of each bucket; raw counts cover every document, the target the trusted doc_ids.
+
+    The pseudo-counts of the target are those of the raw corpus times the target's share of all
+    n-grams: a bucket seen a few times says little, whichever side it was seen on.
+    """
     ids = trusted.filter("doc_id is not null").select("doc_id").distinct()
     n = ids.count()
     share = min(1.0, max_trusted / max(n, 1))
@@ -77,8 +82,8 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * n_buckets
-    t, c = sum(target) + smoothing * n_buckets, sum(raw) + smoothing * n_buckets
-    return [math.log((a + smoothing) / t) - math.log((b + smoothing) / c) for a, b in zip(target, raw, strict=True)]
+    portion = sum(target) / sum(raw)
+    return [math.log((a / portion + smoothing) / (b + smoothing)) for a, b in zip(target, raw, strict=True)]
 
 
 def score_column(weights: list[float]) -> Column:
