@@ -10,6 +10,7 @@ aggregate of `n_buckets` rows, and the weights return to the plan as an array li
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,36 +28,35 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = text_or_empty(text_col)
-    out = docs.withColumn("_words", words_of(text))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_lines", lines)
-    windows = F.when(
-        F.size("_words") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))),
-    )
-    out = out.withColumn("_windows", windows)
-    by_hash = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def repeated(order: Column) -> Column:
-        """Start positions of the windows that stand beside an equal one in sorted order."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _repeat_words(windows: Column) -> Column:
+    """Words covered by a window hash that stands beside an equal one in sorted order."""
+
+    def covered(order: Column) -> Column:
         same = lambda j, k: F.get(order, j)["h"].eqNullSafe(F.get(order, k)["h"])
         starts = F.transform(order, lambda s, j: F.when((j > 0) & same(j, j - 1) | same(j, j + 1), s["i"]))
         return F.size(F.array_distinct(F.flatten(F.transform(F.array_compact(starts), lambda p: F.array(p, p + 1, p + 2)))))
 
-    covered = F.element_at(F.transform(F.array(by_hash), repeated), 1)
-    any_twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    out = (
-        out.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.when(any_twice, covered).otherwise(0).cast("long"))
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_windows")
+    by_hash = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(by_hash, covered)).otherwise(0)
+
+
+def _rules(text: Column, words: Column) -> list[Column]:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    windows = F.when(
+        F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    ).otherwise(F.array().cast("array<bigint>"))
+    return [
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(windows, _repeat_words).cast("long").alias("n_repeat_words"),
+    ]
 
 
 def _bucket(n_buckets: int, *parts: Column) -> Column:
@@ -86,13 +86,13 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
     return [math.log((a / portion + smoothing) / (b + smoothing)) for a, b in zip(target, raw, strict=True)]
 
 
-def score_column(weights: list[float]) -> Column:
-    """Mean log ratio over the words and word pairs in _words; 0 without words."""
+def _score(words: Column, weights: list[float]) -> Column:
+    """Mean log ratio over the words and word pairs; 0 without words."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    n = F.size("_words")
+    n = F.size(words)
 
     def add(total: Column, i: Column) -> Column:
-        a, b = F.get("_words", i), F.get("_words", i + 1)
+        a, b = F.get(words, i), F.get(words, i + 1)
         pair = F.when(i < n - 1, F.get(table, _bucket(len(weights), a, b))).otherwise(0.0)
         return total + F.get(table, _bucket(len(weights), a)) + pair
 
@@ -107,8 +107,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS
     kept). Repeated rows are judged alike and counted each; an empty table gives an empty result.
     Columns of docs with the names made here are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_words", "_lines", "_windows", "_t"]
-    docs = docs.drop(*made)
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_t", "_made")
     weights = ngram_weights(docs, labels.filter("quality = 1"), n_buckets, max_trusted)
-    out = base_rules(docs).withColumn("score", score_column(weights))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold))).drop("_words")
+    text = text_or_empty()
+    made = let(words_of(text), lambda w: F.struct(*_rules(text, w), _score(w, weights).alias("score")))
+    n, repeats = F.col("_made.n_words"), F.col("_made.n_repeat_words")
+    failed = (n < 50) | (100 * repeats > 50 * n)
+    kept = ~failed & (F.col("_made.score") >= F.lit(threshold))
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return docs.withColumn("_made", made).select(*docs.columns, *[f"_made.{c}" for c in fields], failed.alias("base_failed"), "_made.score", kept.alias("kept"))
