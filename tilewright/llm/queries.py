@@ -11,14 +11,71 @@ from tilewright.llm import exact_dedup as _exact
 from tilewright.llm import minhash as _minhash
 from tilewright.llm import mixing as _mixing
 from tilewright.llm import packing as _packing
+from tilewright.llm import quality_classifier as _classifier
 from tilewright.llm import quality_rules as _rules
 from tilewright.llm import sharding as _sharding
+from tilewright.llm import url_filter as _urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Hosts that the list names from the first day on.
+KNOWN_BAD = ("spam-farm.example.org", "cheap-pills.example.com")
+#: A capture's fetch time and a list's dates are derived, as the tables have none: from page_id and from md5 digits of the host.
+_FETCHED = "timestamp_seconds(1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400)"
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """Dated entries: the known bad hosts from the start; a quarter of the other hosts added on one day and, of those, half removed later."""
+    hosts = pages.select(_urls.host_of(F.col("url")).alias("h")).filter("h <> ''").distinct().withColumn("m", F.md5(F.col("h").cast("binary")))
+    digit = lambda k: F.expr(f"instr('0123456789abcdef', substr(m, {k}, 1)) - 1")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    listed = hosts.filter(digit(1) < 4).withColumn("d", digit(2) * 16 + digit(3)).withColumn("list", F.when(digit(5) < 8, "adult").otherwise("malware"))
+    added = listed.select("list", F.lit("host").alias("kind"), F.col("h").alias("pattern"), F.lit("add").alias("action"), day(F.col("d")).alias("at"))
+    removed = listed.filter(digit(4) < 8).select("list", F.lit("host").alias("kind"), F.col("h").alias("pattern"), F.lit("remove").alias("action"), day(F.col("d") + 60).alias("at"))
+    known = pages.sparkSession.createDataFrame([("spam", "domain", h, "add", 1704067200) for h in KNOWN_BAD], "list string, kind string, pattern string, action string, at long")
+    return known.withColumn("at", F.timestamp_seconds("at")).unionByName(added).unionByName(removed)
+
+
+def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = _urls.filter_urls(pages.withColumn("fetched_at", F.expr(_FETCHED)), url_list(pages))
+    return judged.select("page_id", "url", F.unix_timestamp("fetched_at").alias("fetched_s"), "host", "blocked", "n_active", "lists")
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400 AS t,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)', 2)) AS host
+  FROM pages
+), h AS (
+  SELECT DISTINCT host, md5(host) AS m FROM c WHERE host <> ''
+), x AS (
+  SELECT host, CASE WHEN instr('0123456789abcdef', substr(m, 5, 1)) - 1 < 8 THEN 'adult' ELSE 'malware' END AS list,
+         (instr('0123456789abcdef', substr(m, 2, 1)) - 1) * 16 + instr('0123456789abcdef', substr(m, 3, 1)) - 1 AS d,
+         instr('0123456789abcdef', substr(m, 4, 1)) - 1 < 8 AS ends
+  FROM h WHERE instr('0123456789abcdef', substr(m, 1, 1)) - 1 < 4
+), e AS (
+  SELECT list, 'host' AS kind, host AS pattern, 'add' AS action, 1704067200 + d * 86400 AS at FROM x
+  UNION ALL SELECT list, 'host', host, 'remove', 1704067200 + (d + 60) * 86400 FROM x WHERE ends
+  UNION ALL SELECT 'spam', 'domain', unnest(['spam-farm.example.org', 'cheap-pills.example.com']), 'add', 1704067200
+), k AS (
+  SELECT page_id, t, 'host' AS kind, host AS pattern FROM c
+  UNION ALL
+  SELECT page_id, t, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c)
+), a AS (
+  SELECT k.page_id, e.list, e.action FROM k ASOF JOIN e ON k.kind = e.kind AND k.pattern = e.pattern AND k.t >= e.at
+), f AS (
+  SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM a WHERE action = 'add' GROUP BY page_id
+)
+SELECT c.page_id, c.url, CAST(c.t AS BIGINT) AS fetched_s, c.host, f.n IS NOT NULL AS blocked, CAST(coalesce(f.n, 0) AS BIGINT) AS n_active, coalesce(f.lists, '') AS lists
+FROM c LEFT JOIN f ON f.page_id = c.page_id
+"""
+
+
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -28,6 +85,10 @@ def op3_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op4_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -89,8 +150,10 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_temporal_url_filter": op1_temporal_url_filter,
         "op2_circulant_minhash": op2_circulant_minhash,
         "op3_ngram_ratio_rules": op3_ngram_ratio_rules,
+        "op4_boosted_tree_quality": op4_boosted_tree_quality,
         "op5_best_fit_shards": op5_best_fit_shards,
         "op7_bounded_space_packing": op7_bounded_space_packing,
         "op8_soft_membership_mixing": op8_soft_membership_mixing,
@@ -99,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_circulant_minhash": OP2_SQL, "op9_block_naming_dedup": OP9_SQL}
+    return {"op1_temporal_url_filter": OP1_SQL, "op2_circulant_minhash": OP2_SQL, "op9_block_naming_dedup": OP9_SQL}
