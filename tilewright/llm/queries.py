@@ -14,6 +14,7 @@ from tilewright.llm import packing as _packing
 from tilewright.llm import quality_classifier as _classifier
 from tilewright.llm import quality_rules as _rules
 from tilewright.llm import sharding as _sharding
+from tilewright.llm import suffix_dedup as _suffix
 from tilewright.llm import url_filter as _urls
 
 
@@ -134,6 +135,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS com
 FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+def op10_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -158,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bounded_space_packing": op7_bounded_space_packing,
         "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
+        "op10_two_stage_suffix_dedup": op10_two_stage_suffix_dedup,
     }
 
 
