@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup as _exact
+from tilewright.llm import lm as _lm
 from tilewright.llm import minhash as _minhash
 from tilewright.llm import mixing as _mixing
 from tilewright.llm import packing as _packing
@@ -94,6 +95,10 @@ def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -160,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_ratio_rules": op3_ngram_ratio_rules,
         "op4_boosted_tree_quality": op4_boosted_tree_quality,
         "op5_best_fit_shards": op5_best_fit_shards,
+        "op6_elias_fano_lm": op6_elias_fano_lm,
         "op7_bounded_space_packing": op7_bounded_space_packing,
         "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
