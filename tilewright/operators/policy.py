@@ -85,7 +85,8 @@ def normalise_settings(raw: Column) -> Column:
     """A settings record from JSON text: every field falls back on its own (fixed values: choices and defaults)."""
     at = lambda path: F.get_json_object(raw, path)
     pick = lambda path, allowed, default: F.when(at(path).isin(*allowed), at(path)).otherwise(default)
-    number = lambda path, lo, hi, default: F.coalesce(F.least(F.lit(hi), F.greatest(F.lit(lo), F.floor(at(path).try_cast("double") + 0.5).cast("int"))), F.lit(default))
+    value = lambda path: at(path).try_cast("double")
+    number = lambda path, lo, hi, default: F.when(value(path).isNull(), default).otherwise(F.least(F.lit(hi), F.greatest(F.lit(lo), F.floor(value(path) + 0.5).cast("int"))))
     looks = ("original", "natural", "vivid", "warm", "cool", "mono", "cinematic", "soft", "portrait", "sharp", "product")
     return F.struct(
         pick("$.general.theme", ("system", "light", "dark"), "light").alias("theme"),
