@@ -130,3 +130,19 @@ def test_safe_names_and_upserts(spark):
     pool = spark.createDataFrame([("KEY1.a",)], "key string")
     lines = spark.createDataFrame([("x KEY1.a y",), ("KEY1.b",), ("KEY1.b",), ("none",)], "line string")
     assert [r["key"] for r in ledger.import_keys(pool, lines, r"KEY1\.").collect()] == ["KEY1.b"]
+
+
+def test_signatures(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from tilewright.functions import signatures as Z
+
+    sign = lambda k, m: hmac.new(k, m.encode(), hashlib.sha256).digest()
+    secret = base64.b64encode(b"key").decode()
+    rows = [("a", "100", "body", "t=100,v1=" + sign(b"key", "100.body").hex(), "v1,x v1," + base64.b64encode(sign(b"key", "a.100.body")).decode(), sign(b"key", "body").hex()), ("a", "100", "forged", "t=100,v1=00", "v1,x", "00"), ("a", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, at string, body string, h1 string, h2 string, h3 string")
+    ok = lambda now: [tuple(r) for r in df.select(Z.timed_hex("key", F.col("h1"), F.col("body"), F.lit(now)), Z.listed_base64(secret, F.col("id"), F.col("at"), F.col("h2"), F.col("body"), F.lit(now)), Z.plain_hex("key", F.col("h3"), F.col("body"))).collect()]
+    assert ok(400)[:2] == [(True, True, True), (False, False, False)] and not any(ok(400)[2])
+    assert ok(401)[0] == (False, False, True)
