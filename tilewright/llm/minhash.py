@@ -4,9 +4,12 @@ Two fixed permutations of [0, UNIVERSE) give all coordinates: the first scatters
 second, shifted circularly by k, orders them for coordinate k. A shingle's K values are thus K
 neighbouring entries of the second permutation, and a signature is the column-wise minimum of those
 windows. Texts with equal word sequences are one class, so copies cost one signature row each and no
-pairs. In a bucket every class is compared with the bucket's first class; buckets whose classes then
-still lie in several components go through further rounds with more leaders, until every pair that
-could join two components has been compared on the full shingle sets.
+pairs. In a bucket every class is compared with its leader, the class that meets most others over all
+bands. Buckets whose classes then still lie in several components are settled exactly: small ones
+compare all pairs between components; classes of large ones meet only where they share one of their
+rarest shingles, as two sets of the wanted similarity must (a prefix join), and again only between
+components. Every pair that could join two components is thus compared on the full shingle sets or
+ruled out by its sizes and prefixes.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialize, text_or_empty
@@ -26,7 +29,7 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 24, 4
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Buckets of up to so many classes compare all of them at once; larger ones go by leaders.
+#: Buckets of up to so many classes compare all pairs of different components; larger ones go by prefixes.
 SMALL_BUCKET = 6
 #: Members that are verified against one copy of a leader's text.
 PER_LEADER_COPY = 32
@@ -150,6 +153,41 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialize(rows.mapInArrow(_verify(width, percent), "u long, v long"), "links")
 
 
+def _ids(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = WordHashes()
+        for batch in batches:
+            found = [shingle_ids(words_of.of(t.lower().split()), width).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "ids"])
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """nodes (node, n, comp, nmin: least size of a possible partner): pairs (a, b) of different components that share a
+    shingle of their prefixes.
+
+    Sets of similarity percent / 100 overlap in at least `percent (n + m) / (100 + percent)` shingles, so with the
+    shingles in one order for all, rarest first, the first n + 1 - overlap of either must meet. A
+    shingle's most frequent component is not paired with itself, so copies around one text stay linear.
+    """
+    ids = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_ids(width), "node long, ids array<long>")
+    ids = materialize(ids.select("node", F.explode("ids").alias("id")), "ids")
+    known = ids.join(ids.groupBy("id").agg(F.count(F.lit(1)).alias("df")), "id")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "id"))
+    overlap = f"({percent} * (n + greatest(nmin, ({percent} * n + 99) div 100)) + {99 + percent}) div {100 + percent}"
+    prefix = known.withColumn("rank", rank).join(nodes, "node").filter(f"df > 1 and rank <= n + 1 - {overlap}")
+    prefix = materialize(prefix.select("id", "node", "n", "comp", "rank"), "prefix")
+    by_comp = prefix.groupBy("id", "comp").agg(F.count(F.lit(1)).alias("c"))
+    major = by_comp.groupBy("id").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    others = prefix.join(major, "id").filter("comp <> m.comp").select("id", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
+    both = f"({percent} * (n + na) + {99 + percent}) div {100 + percent}"  # the overlap that this pair needs
+    met = prefix.join(others, "id").filter(f"comp <> ca and rank <= n + 1 - {both} and ra <= na + 1 - {both}")
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -166,38 +204,31 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     classes = materialize(signed.filter("n_shingles > 0").groupBy("seq").agg(F.min("rid").alias("node")), "classes")
     nodes = signed.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "doc_id", "tkey", "n_shingles", "bands")
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = materialize(spread.join(full, "key"), "members")
+    meets = members.groupBy("node").agg(F.sum("m").alias("meets"))
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "tkey"), "node")
     held = source.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.tkey") == F.col("w.tkey")))
     texts = materialize(held.select("node", "text"), "texts")
 
-    heads = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(heads, "key").filter("node <> a").select("a", F.col("node").alias("b"), "n")
-    sizes = members.select(F.col("node").alias("a"), F.col("n").alias("na")).distinct()
-    fits = F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)")
-    tried = materialize(pairs.distinct().join(sizes, "a").filter(fits).select("a", "b"), "tried")
+    members = materialize(members.join(meets, "node").drop("m"), "members")
+    heads = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("first"), "n")).alias("lead"))
+    led = materialize(members.join(heads.select("key", (-F.col("lead.first")).alias("a"), F.col("lead.n").alias("na")), "key").filter("node <> a"), "led")
+    tried = led.filter(f"100 * least(n, na) >= {percent} * greatest(n, na)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    tried = materialize(tried.distinct(), "tried")
     links = _linked(tried, texts, width, percent)
     comps = materialize(connected_components(links), "comps")
-    step = 0
-    left = members.join(heads, "key").filter("node <> a").select("key", "node", "n")  # leaders have met all others
-    while True:
-        placed = left.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("node").alias("first")).filter("c1 <> c2")
-        left = materialize(placed.join(mixed.select("key", "m", "first"), "key"), "left")
-        if left.isEmpty():
-            break
-        leads = F.expr(f"m <= {SMALL_BUCKET} or node = first or pmod(xxhash64(node, key), m) < {1 << min(step, 20)}")
-        lead = left.filter(leads).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        met = left.join(lead, "key").filter("comp <> ca and node <> a").filter(fits)
-        met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        fresh = materialize(met.join(tried, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            links = links.union(_linked(fresh, texts, width, percent))
-            comps = materialize(connected_components(links), "comps")
-            tried = tried.union(fresh)
-        left = left.filter(~leads).select("key", "node", "n")
-        step += 1
+    placed = led.select("key", "node", "n").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("nmin")).filter("c1 <> c2").select("key", "m", "nmin")
+    left = materialize(placed.join(mixed, "key"), "left")
+    if not left.isEmpty():
+        small = left.filter(F.col("m") <= SMALL_BUCKET)
+        lead = small.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        met = small.join(lead, "key").filter(f"comp <> ca and a < node and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("node").alias("b"))
+        large = materialize(left.filter(F.col("m") > SMALL_BUCKET).groupBy("node", "n", "comp").agg(F.min("nmin").alias("nmin")), "large")
+        fresh = met.union(_prefix_pairs(large, texts, width, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+        links = links.union(_linked(materialize(fresh, "fresh"), texts, width, percent))
+        comps = materialize(connected_components(links), "comps")
 
     owner = signed.join(classes, "seq").select("rid", "doc_id", "n_shingles", "node")
     owner = owner.join(comps, "node", "left").select("rid", "doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
