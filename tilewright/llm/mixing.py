@@ -100,52 +100,65 @@ def posteriors(docs: DataFrame, model: np.ndarray, evidence: float = EVIDENCE_WO
 
 
 def _rate(steps: list[list[float]], top: float | None) -> Column:
-    """The projected steps from rate 1, as a fold over the residuals of the iterations so far."""
-    one = F.lit(1.0)
-    if not steps:
-        return one
-    history = F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";")
-    width = len(steps[0])
-
-    def step(rate: Column, line: Column) -> Column:
-        g = F.split(line, ",").cast("array<double>")
-        move = sum((F.get("p", F.lit(k)) * F.get(g, F.lit(k)) for k in range(1, width)), F.get("p", F.lit(0)) * F.get(g, F.lit(0)))
-        new = F.greatest(F.lit(0.0), rate - move)
-        return new if top is None else F.least(F.lit(float(top)), new)
-
-    return F.aggregate(history, one, step)
+    """The projected steps from rate 1: one nested expression over the residuals of the iterations so far."""
+    rate = F.lit(1.0)
+    for g in steps:
+        move = sum((F.get("p", F.lit(k)) * x for k, x in enumerate(g[1:], 1)), F.get("p", F.lit(0)) * g[0])
+        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = rate if top is None else F.least(F.lit(float(top)), rate)
+    return rate
 
 
 def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, max_rate: float | None = 1.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
     """members (doc_id, tokens, p) with a column rate, and a report of totals.
 
-    Either targets (tokens by domain) or weights (shares) are given; with weights the total is the
-    largest at which every domain's target is at most what it has, so that with max_rate 1 targets
-    can be reached by dropping alone. Residuals are whitened by the Gram matrix sum tokens p p' (one
-    small aggregate) and a document's metric is its tokens; the step 1 / L is then 1 exactly.
+    Either targets (tokens by domain) or weights (shares) are given. With weights, the domain of the
+    largest weight keeps its tokens and the others are held to their weight beside it; with max_rate 1
+    no domain is asked for more than it has, so a scarce one stays whole and drags nothing down.
+    A document's metric is its tokens, and residuals are whitened by
+    the Gram matrix sum tokens p p', for which the step 1 / L is 1 exactly. While it lowers the misfit,
+    the matrix is that of the documents at neither bound, which takes longer steps.
     """
     n = len(weights if targets is None else targets)
-    sums = members.agg(
-        *[F.coalesce(F.sum(F.col("tokens") * F.get("p", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(n)],
-        *[F.coalesce(F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1)],
-    ).first()
-    start = np.array([sums[f"s{k}"] for k in range(n)])
-    gram = np.array([[sums[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)])
+
+    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals by domain, and the Gram matrix of the documents whose rate can still move."""
+        rated = members.withColumn("rate", _rate(steps, max_rate))
+        free = F.col("tokens") * (F.lit(1.0) if not steps else ((F.col("rate") > 0) & (F.lit(True) if max_rate is None else F.col("rate") < max_rate)).cast("double"))
+        p = [F.get("p", F.lit(k)) for k in range(n)]
+        row = rated.agg(
+            *[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * p[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n)],
+            *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1)],
+        ).first()
+        return np.array([row[f"s{k}"] for k in range(n)]), np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)])
+
+    invert = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    start, gram = measure([])
     total = float(start.sum())
     if targets is None:
         share = np.array(weights, float) / sum(weights)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = float(np.min(np.where(share > 0, start / share, np.inf))) if total else 0.0
-        goal = share * whole
+        most = int(share.argmax())
+        goal = share * (start[most] / share[most])
+        goal = goal if max_rate is None or max_rate > 1 else np.minimum(goal, start)
     else:
         goal = np.array(targets, float)
+    safe = invert(gram)
+    miss = lambda x: float((x - goal) @ safe @ (x - goal))
     steps: list[list[float]] = []
-    now, whiten = start, np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    while total and len(steps) < max_steps and np.abs(now - goal).max() > tolerance * max(goal.max(), 1.0):
-        steps.append([float(x) for x in whiten @ (now - goal)])
-        rated = members.withColumn("rate", _rate(steps, max_rate))
-        row = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
-        now = np.array([row[f"s{k}"] for k in range(n)])
+    now, metric, near = start, safe, tolerance * max(goal.max(), 1.0)
+    while total and len(steps) < max_steps and np.abs(now - goal).max() > near:
+        step = [float(x) for x in metric @ (now - goal)]
+        new, free = measure([*steps, step])
+        if miss(new) >= miss(now):
+            if metric is safe:
+                break  # no step helps: the targets are out of reach
+            metric = safe
+            continue
+        moved = np.abs(new - now).max()
+        steps.append(step)
+        now, metric = new, invert(free) if np.linalg.matrix_rank(free, hermitian=True) == n else safe
+        if moved < near / 10:
+            break
     return members.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": len(steps)}
 
 
@@ -154,13 +167,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 
     copies is rate's whole part, and one more for the share of doc_ids (by hash) that its fraction
     gives. Null and empty texts have one token (the end) and the prior as posteriors. Rows repeated
-    under one doc_id have equal values. Without labels all posteriors are equal. An empty table gives
+    under one doc_id have equal values. Without labels all posteriors are equal and every rate is 1. An empty table gives
     an empty result; other columns of docs are ignored.
     """
     domains = tuple(weights)
-    model = fit_classifier(docs, labels.select("doc_id", domain_of().alias("domain")), domains)
+    labelled = labels.select("doc_id", domain_of().alias("domain")).dropna()
+    model = fit_classifier(docs, labelled, domains)
     members = materialize(posteriors(docs, model), "members")
-    rated, _ = fit_rates(members, weights=[weights[d] for d in domains], max_rate=max_rate)
+    if labelled.isEmpty():  # nothing tells the domains apart
+        rated = members.withColumn("rate", F.lit(1.0))
+    else:
+        rated, _ = fit_rates(members, weights=[weights[d] for d in domains], max_rate=max_rate)
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
     return rated.select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies.cast("long").alias("copies"))

@@ -9,6 +9,7 @@ afterwards: open windows are items of the same packing, dealt to fewer and fewer
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -26,16 +27,18 @@ OPEN_WINDOWS = 64
 END_ID = 0
 #: Open windows that one merging task takes.
 MERGE_ITEMS = 8192
-_CACHE_UNITS = 400_000
+_CACHE_UNITS = 800_000
 #: White space as the tokenizer's pattern sees it.
-_WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class UnitTokenizer:
     """Token ids of texts as little-endian uint32 bytes, by a tokenizers file.
 
     Texts are cut where a byte-level BPE with this pattern never merges: before the single space that
-    leads a word, and around longer runs of white space. Units repeat, so their ids are remembered.
+    leads a word, around longer runs of white space, and between letters and the full stops or commas
+    that end a word. Units repeat, so their ids are remembered, within a bound.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,7 +47,8 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+        words = f" ?[{_LETTERS}]+(?![^{_WS}.,])|[.,]+(?![^{_WS}])"
+        self.units = re.compile(f"{words}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -53,7 +57,7 @@ class UnitTokenizer:
         for units in cut:
             new.update(units)
         if len(self.known) + len(new) > _CACHE_UNITS:
-            self.known.clear()
+            self.known = {u: self.known[u] for u in new if u in self.known}
         fresh = list(new.difference(self.known))
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
@@ -63,6 +67,12 @@ class UnitTokenizer:
         return [b"".join(map(ids, units)) for units in cut]
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer_for(path: str) -> UnitTokenizer:
+    """One tokenizer a Python worker: what it remembers serves the worker's later tasks too."""
+    return UnitTokenizer(path)
+
+
 class OpenWindows:
     """At most `space` open windows; names come from `new_name`. place() says where an item goes."""
 
@@ -109,7 +119,7 @@ def _batch(rows: list[tuple], still_open: bool) -> pa.RecordBatch:
 
 def _pack_texts(path: str, window: int, space: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, new_name = UnitTokenizer(path), _namer()
+        tokenizer, new_name = tokenizer_for(path), _namer()
         open_windows = OpenWindows(window, space, new_name)
         waiting: dict[int, list[tuple]] = {}  # pieces in open windows: a few windows of ids at most
         end = np.array([end_id], "<u4").tobytes()
