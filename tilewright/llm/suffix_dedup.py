@@ -30,7 +30,10 @@ ANCHOR = 32
 HOT_GROUP = 4_000
 #: Bytes of segments in one suffix array (a group of segments is never cut).
 BATCH_BYTES = 1 << 18
-_SLICE = 1 << 23
+#: Windows of a text that are hashed at once: a dozen arrays of eight bytes a window.
+_SLICE = 1 << 20
+#: Symbols of nine bits in the number that suffixes are first sorted by.
+_HEAD = 7
 _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -68,6 +71,23 @@ def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _sort_direct(t: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """starts in the order of raw[start:stop], ties in place: by their first symbols as one number, then run by run of equal ones."""
+    head = np.zeros(len(starts), np.int64)
+    for k in range(_HEAD):
+        at = starts + k
+        head = head << 9 | np.where(at < stops, t[np.minimum(at, len(t) - 1)], 0)
+    order = np.argsort(head, kind="stable")
+    head, starts, stops = head[order], starts[order], stops[order]
+    tied = np.flatnonzero(np.diff(head, prepend=-1, append=-1) != 0)
+    more = np.diff(tied) > 1
+    for i, j in zip(tied[:-1][more].tolist(), tied[1:][more].tolist(), strict=True):
+        if head[i] & 511:  # not ended yet
+            keys = [raw[a:b] for a, b in zip((starts[i:j] + _HEAD).tolist(), stops[i:j].tolist(), strict=True)]
+            starts[i:j] = starts[i:j][sorted(range(j - i), key=keys.__getitem__)]
+    return starts
+
+
 def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two-stage suffix sorting of texts, in the order of their first `depth` bytes.
 
@@ -88,9 +108,7 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     separator = t == 0
     direct = np.flatnonzero(smaller & ~separator)
     ends = np.repeat(begins + sizes - 1, sizes)
-    raw = b"\x00".join(texts) + b"\x00"
-    keys = [raw[i:j] for i, j in zip(direct.tolist(), np.minimum(direct + depth, ends[direct]).tolist(), strict=True)]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)] if len(keys) else direct
+    direct = _sort_direct(t, b"\x00".join(texts), direct, np.minimum(direct + depth, ends[direct]))
     by_symbol = np.split(direct, np.searchsorted(t[direct], np.arange(1, 257))) if len(direct) else [direct] * 257
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
     larger = ~smaller & ~separator
