@@ -28,6 +28,8 @@ MAX_LABELLED = 50_000
 #: Word evidence saturates at so many words: posteriors stay soft for long documents.
 EVIDENCE_WORDS = 40.0
 MAX_STEPS, TOLERANCE = 40, 1e-3
+#: A step that lowers the misfit by less than this part ends the fit: targets that no rates reach are approached ever more slowly.
+LEAST_GAIN = 1e-3
 
 
 def domain_of() -> Column:
@@ -109,7 +111,7 @@ def _rate(steps: list[list[float]], top: float | None) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, max_rate: float | None = 1.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
+def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, max_rate: float | None = 1.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, dict]:
     """members (doc_id, tokens, p) with a column rate, and a report of totals.
 
     Either targets (tokens by domain) or weights (shares) are given. With weights, the domain of the
@@ -117,7 +119,8 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
     no domain is asked for more than it has, so a scarce one stays whole and drags nothing down.
     A document's metric is its tokens, and residuals are whitened by
     the Gram matrix sum tokens p p', for which the step 1 / L is 1 exactly. While it lowers the misfit,
-    the matrix is that of the documents at neither bound, which takes longer steps.
+    the matrix is that of the documents at neither bound, which takes longer steps. The fit ends at
+    the targets, or where a step of the full matrix lowers the misfit by less than least_gain of it.
     """
     n = len(weights if targets is None else targets)
 
@@ -154,11 +157,12 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
                 break  # no step helps: the targets are out of reach
             metric = safe
             continue
-        moved = np.abs(new - now).max()
+        moved, slow = np.abs(new - now).max(), miss(now) - miss(new) < least_gain * miss(now)
         steps.append(step)
-        now, metric = new, invert(free) if np.linalg.matrix_rank(free, hermitian=True) == n else safe
-        if moved < near / 10:
+        if moved < near / 10 or slow and metric is safe:
+            now = new
             break
+        now, metric = new, safe if slow or np.linalg.matrix_rank(free, hermitian=True) < n else invert(free)
     return members.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": len(steps)}
 
 
