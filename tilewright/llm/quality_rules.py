@@ -22,6 +22,8 @@ N_BUCKETS = 1 << 16
 MAX_TRUSTED = 50_000
 THRESHOLD = -0.1
 SMOOTHING = 10.0
+#: Weights are part of the plan, and plans are printed and kept by the driver: digits beyond these say nothing.
+WEIGHT_DIGITS = 4
 
 
 def words_of(text: Column) -> Column:
@@ -64,7 +66,7 @@ def _bucket(n_buckets: int, *parts: Column) -> Column:
 
 
 def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
-    """log(p_target / p_raw) of each bucket; raw counts cover every document, the target the trusted doc_ids.
+    """log(p_target / p_raw) of each bucket, rounded to WEIGHT_DIGITS; raw counts cover every document, the target the trusted doc_ids.
 
     The pseudo-counts of the target are those of the raw corpus times the target's share of all
     n-grams: a bucket seen a few times says little, whichever side it was seen on.
@@ -83,7 +85,7 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
     if not sum(target):
         return [0.0] * n_buckets
     portion = sum(target) / sum(raw)
-    return [math.log((a / portion + smoothing) / (b + smoothing)) for a, b in zip(target, raw, strict=True)]
+    return [round(math.log((a / portion + smoothing) / (b + smoothing)), WEIGHT_DIGITS) for a, b in zip(target, raw, strict=True)]
 
 
 def _score(words: Column, weights: list[float]) -> Column:
