@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains above their target weight are thinned out; the others stay."""
-    return drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents are drawn so that the domains' tokens meet their target weights: as a whole, fewer; single ones may come twice."""
+    return drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rate=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilewright.llm import lm, mixing, packing, quality_classifier, quality_rules
+from tilewright.llm import lm, mixing, packing, quality_classifier, quality_rules, queries
 from tilewright.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, n_words string, tokens string, p string, rate string, held_out string"
@@ -216,6 +216,30 @@ def test_rates_meet_targets(spark):
     assert np.allclose(totals, report["reached"])
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_mixing_query_meets_goals(spark):
+    """The totals of the query's own rates: the good tokens stay, the others have their weights beside them."""
+    got = queries.op8_soft_membership_mixing(spark, DATA).collect()
+    mass = np.array([[r["tokens"] * r[f"p_{d}"] for d in mixing.WEIGHTS] for r in got])
+    weights = np.array(list(mixing.WEIGHTS.values()))
+    goal = weights * mass[:, 0].sum() / weights[0]
+    assert np.abs(np.array([r["rate"] for r in got]) @ mass - goal).max() <= mixing.TOLERANCE * goal.max()
+    assert all(r["copies"] in (math.floor(r["rate"]), math.floor(r["rate"]) + 1) for r in got)
+
+
+def test_rates_written_between_steps(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.integers(1, 400)), x.tolist()) for k, x in enumerate(rng.dirichlet([0.3] * 3, 300))]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    fit = lambda: mixing.fit_rates(members, targets=[1000.0, 20000.0, 200.0], max_rate=None)
+    plain, report = fit()
+    monkeypatch.setattr(mixing, "STEPS_A_PLAN", 1)
+    written, again = fit()
+    assert report["steps"] == again["steps"] > 1 and np.allclose(report["reached"], again["reached"])
+    of = lambda d: [r["rate"] for r in d.orderBy("doc_id").collect()]
+    assert np.allclose(of(plain), of(written))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline(spark):
     source = spark.read.parquet(f"{DATA}/documents.parquet")

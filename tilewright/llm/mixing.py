@@ -28,8 +28,8 @@ MAX_LABELLED = 50_000
 #: Word evidence saturates at so many words: posteriors stay soft for long documents.
 EVIDENCE_WORDS = 40.0
 MAX_STEPS, TOLERANCE = 40, 1e-3
-#: A step that lowers the misfit by less than this part ends the fit: targets that no rates reach are approached ever more slowly.
-LEAST_GAIN = 1e-3
+#: After so many steps the rates are written, so that plans stay short.
+STEPS_A_PLAN = 8
 
 
 def domain_of() -> Column:
@@ -102,8 +102,8 @@ def posteriors(docs: DataFrame, model: np.ndarray, evidence: float = EVIDENCE_WO
 
 
 def _rate(steps: list[list[float]], top: float | None) -> Column:
-    """The projected steps from rate 1: one nested expression over the residuals of the iterations so far."""
-    rate = F.lit(1.0)
+    """The projected steps from the rate written last: one nested expression over the residuals of the iterations since."""
+    rate = F.col("rate")
     for g in steps:
         move = sum((F.get("p", F.lit(k)) * x for k, x in enumerate(g[1:], 1)), F.get("p", F.lit(0)) * g[0])
         rate = F.greatest(F.lit(0.0), rate - move)
@@ -111,7 +111,7 @@ def _rate(steps: list[list[float]], top: float | None) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, max_rate: float | None = 1.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, dict]:
+def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: list[float] | None = None, max_rate: float | None = 1.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
     """members (doc_id, tokens, p) with a column rate, and a report of totals.
 
     Either targets (tokens by domain) or weights (shares) are given. With weights, the domain of the
@@ -120,14 +120,16 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
     A document's metric is its tokens, and residuals are whitened by
     the Gram matrix sum tokens p p', for which the step 1 / L is 1 exactly. While it lowers the misfit,
     the matrix is that of the documents at neither bound, which takes longer steps. The fit ends at
-    the targets, or where a step of the full matrix lowers the misfit by less than least_gain of it.
+    the targets, or where no step helps or moves the totals. With max_rate, targets may be out of
+    reach; the report gives the goal beside the totals reached.
     """
     n = len(weights if targets is None else targets)
+    base = members.withColumn("rate", F.lit(1.0))
 
     def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Totals by domain, and the Gram matrix of the documents whose rate can still move."""
-        rated = members.withColumn("rate", _rate(steps, max_rate))
-        free = F.col("tokens") * (F.lit(1.0) if not steps else ((F.col("rate") > 0) & (F.lit(True) if max_rate is None else F.col("rate") < max_rate)).cast("double"))
+        rated = base.withColumn("rate", _rate(steps, max_rate))
+        free = F.col("tokens") * (F.lit(1.0) if not taken + len(steps) else ((F.col("rate") > 0) & (F.lit(True) if max_rate is None else F.col("rate") < max_rate)).cast("double"))
         p = [F.get("p", F.lit(k)) for k in range(n)]
         row = rated.agg(
             *[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * p[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n)],
@@ -135,6 +137,7 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
         ).first()
         return np.array([row[f"s{k}"] for k in range(n)]), np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)])
 
+    taken = 0  # steps in the rates of base
     invert = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
     start, gram = measure([])
     total = float(start.sum())
@@ -149,7 +152,7 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
     miss = lambda x: float((x - goal) @ safe @ (x - goal))
     steps: list[list[float]] = []
     now, metric, near = start, safe, tolerance * max(goal.max(), 1.0)
-    while total and len(steps) < max_steps and np.abs(now - goal).max() > near:
+    while total and taken + len(steps) < max_steps and np.abs(now - goal).max() > near:
         step = [float(x) for x in metric @ (now - goal)]
         new, free = measure([*steps, step])
         if miss(new) >= miss(now):
@@ -157,13 +160,14 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
                 break  # no step helps: the targets are out of reach
             metric = safe
             continue
-        moved, slow = np.abs(new - now).max(), miss(now) - miss(new) < least_gain * miss(now)
+        moved = np.abs(new - now).max()
         steps.append(step)
-        if moved < near / 10 or slow and metric is safe:
-            now = new
+        now, metric = new, invert(free) if np.linalg.matrix_rank(free, hermitian=True) == n else safe
+        if moved < near / 10:
             break
-        now, metric = new, safe if slow or np.linalg.matrix_rank(free, hermitian=True) < n else invert(free)
-    return members.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": len(steps)}
+        if len(steps) == STEPS_A_PLAN:
+            base, taken, steps = materialize(base.withColumn("rate", _rate(steps, max_rate)), "rates"), taken + len(steps), []
+    return base.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": taken + len(steps)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:

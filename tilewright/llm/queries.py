@@ -111,7 +111,7 @@ def op7_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return _mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_rate=None)
 
 
 def op9_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
