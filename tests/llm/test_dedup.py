@@ -102,6 +102,19 @@ def test_near_empty(spark):
     assert minhash.drop_near_copies(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
+def test_near_copies_without_ids_of_their_own(spark):
+    """One row of each component stays, whether doc_ids are missing, shared by different texts, or repeated."""
+    rng = random.Random(8)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (5, e), (6, d + " x"), (7, f), (8, f), (8, a + " y"), (9, ""), (9, " "), (9, f + " z"), (None, None), (None, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_copies(frame(spark, rows)).collect())
+    (nine,) = [k for k in got if k[0] == 9]
+    assert not (nine[1] or "").strip()
+    del got[nine]
+    # a's component keeps the row with an id; of those of f and d the smallest id stays
+    assert got == Counter([(None, b), (None, c), (5, d), (5, e), (7, f), (8, a + " y"), (None, None), (None, "")])
+
+
 def test_circulant_signatures_estimate_similarity():
     made = minhash.Circulant(256)
     rng = np.random.default_rng(0)

@@ -188,15 +188,8 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, width: int, percent: int)
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
-
-    Words are lower-cased in A-Z only. Null and empty texts, and texts of white space, have no
-    shingles, link with nothing and are their own component. Rows repeated under one doc_id are one
-    document if their words are equal. A null doc_id never names a component unless all its ids are
-    null; such rows are not kept unless alone. An empty table gives an empty result; other columns
-    of docs are ignored.
-    """
+def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with shingles (doc_id, tkey, n_shingles, comp) and rows without (doc_id, tkey, n_shingles); tkey is the text's hash."""
     source = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.xxhash64("text"))
     schema = "doc_id long, tkey long, n_shingles long, seq binary, bands array<long>"
     signed = source.mapInArrow(_signatures(bands, rows, width), schema)
@@ -230,20 +223,50 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         links = links.union(_linked(materialize(fresh, "fresh"), texts, width, percent))
         comps = materialize(connected_components(links), "comps")
 
-    owner = signed.join(classes, "seq").select("rid", "doc_id", "n_shingles", "node")
-    owner = owner.join(comps, "node", "left").select("rid", "doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    owner = materialize(owner, "owner")
+    owner = signed.join(classes, "seq").select("doc_id", "tkey", "n_shingles", "node")
+    owner = owner.join(comps, "node", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    return materialize(owner, "owner"), signed.filter("n_shingles = 0").select("doc_id", "tkey", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+
+    Words are lower-cased in A-Z only. Null and empty texts, and texts of white space, have no
+    shingles, link with nothing and are their own component. Rows repeated under one doc_id are one
+    document if their words are equal. A null doc_id never names a component unless all its ids are
+    null; such rows are not kept unless alone. An empty table gives an empty result; other columns
+    of docs are ignored.
+    """
+    owner, bare = _components(docs, width, percent, bands, rows)
     smallest = owner.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     full = owner.join(smallest, "comp").select("doc_id", "n_shingles", "component_id")
-    bare = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = bare.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay (one document of each group), with the columns of docs."""
-    verdict = materialize(near_duplicates(docs, width, percent).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    out = docs.alias("d").join(verdict.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    if not verdict.filter("times > 1").isEmpty():
-        row = F.struct(*docs.columns)
-        return out.groupBy("doc_id").agg(F.max_by(row, F.length(text_or_empty())).alias("row")).select("row.*")
-    return out
+    """The rows of docs that stay, with the columns of docs: one of each component, whatever its doc_id.
+
+    A component keeps a row of its smallest doc_id (null last), of these the one with most shingles. Texts under one doc_id that
+    are not near copies stay each, and so do all different texts without an id. Of rows without shingles one stays
+    for each doc_id, and all that have none.
+    """
+    owner, bare = _components(docs, width, percent, BANDS, ROWS)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("n_shingles")).alias("less"), "tkey")).alias("b")
+    kept = owner.groupBy("comp").agg(best).select("b.doc_id", "b.tkey")
+    named = bare.filter("doc_id is not null").groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
+    unnamed = bare.filter("doc_id is null").select("doc_id", "tkey").distinct().withColumn("times", F.lit(1).cast("long"))
+    times = owner.select("doc_id", "tkey").union(bare.filter("doc_id is not null").select("doc_id", "tkey")).groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("times"))
+    chosen = kept.union(named).alias("c").join(times.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.tkey") == F.col("t.tkey"))).select("c.doc_id", "c.tkey", "times")
+    verdict = materialize(chosen.union(unnamed), "kept")
+
+    def rows_of(chosen: DataFrame, how: str) -> DataFrame:
+        return docs.withColumn("_tkey", F.xxhash64(text_or_empty())).alias("d").join(chosen.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._tkey") == F.col("k.tkey")), how)
+
+    repeated = verdict.filter("times > 1")
+    if repeated.isEmpty():
+        return rows_of(verdict, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    once = rows_of(verdict.filter("times = 1"), "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    first = rows_of(repeated, "left_semi").groupBy("d.doc_id", "d._tkey").agg(F.first(row).alias("_row")).select("_row.*")
+    return once.unionByName(first)
