@@ -181,6 +181,16 @@ def test_shards(spark, rows):
     assert sharding.shard(frame(spark, []), 5).count() == 0
 
 
+def test_groups_below_a_shard_stay_whole(spark):
+    """Copies of a third of a shard, and of nearly one, have one home; a group of two shards is split into pieces of a shard."""
+    rows = [*[(k, "a" * 92) for k in range(17)], *[(k, "b" * 92) for k in range(30)], *[(k, "c" * 92) for k in range(60)], *((k, f"{k:092d}") for k in range(43))]
+    got = sharding.shard(frame(spark, rows), n_shards=5, rows_per_salt=10).collect()  # 150 rows of 100 bytes: 30 a shard
+    homes = {c: Counter(r["shard"] for r in got if r["text_crc32"] == zlib.crc32(c.encode() * 92)) for c in "abc"}
+    assert {c: sorted(h.values()) for c, h in homes.items()} == {"a": [17], "b": [30], "c": [30, 30]}
+    slots = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(5)}
+    assert all(v == list(range(30)) for v in slots.values())
+
+
 def test_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(30):

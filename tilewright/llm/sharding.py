@@ -18,6 +18,8 @@ from tilewright.llm.common import materialize, salted_rank, text_or_empty
 N_SHARDS = 24
 #: Sizes up to this are classes of their own; larger ones are rounded up by less than 1/256, which bounds the histogram.
 EXACT_BELOW = 1 << 16
+#: A group of more than this part of all rows is placed by a broadcast, so that it needs no task of its own.
+LARGE_GROUPS = 256
 
 
 class CapacityTree:
@@ -123,8 +125,8 @@ def _class_of(size: str) -> str:
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, rows_per_salt: int = 100_000) -> DataFrame:
     """Every row with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law `bytes`: shard sizes are near equal and equal texts share a shard. A group of copies that
-    exceeds a quarter of a shard is split into pieces of that size (a third of all rows fits no
+    Law `bytes`: shard sizes are near equal and equal texts share a shard. Only a group of copies
+    that exceeds a shard's mean size is split, into pieces of that size (a third of all rows fits no
     shard); rows repeated under one doc_id are rows of their own. Null text counts as empty (size 8,
     checksum 0). An empty table gives an empty result. Slots number the rows of a shard from 0.
     """
@@ -140,24 +142,27 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rows_per_salt: int = 100_00
     )
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_salts = max(16, n_rows // rows_per_salt)
-    piece = max(1, total // (4 * n_shards))
+    piece = max(1, total // n_shards)
     copies = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("size").alias("_each"))
-    large = materialize(copies.filter(F.col("_n") * F.col("_each") > piece).select("_key", F.greatest(F.lit(1), F.lit(piece).cast("long") / F.col("_each")).cast("long").alias("_per")), "large")
+    # groups beyond a shard, and those of very many rows, which stay whole but are dealt by other keys than their own
+    large = materialize(copies.filter((F.col("_n") * F.col("_each") > piece) | (F.col("_n") > max(n_rows // LARGE_GROUPS, 1))).select("_key", F.greatest(F.lit(1), F.lit(piece).cast("long") / F.col("_each")).cast("long").alias("_per")), "large")
     if large.isEmpty():
-        pieces = rows.withColumn("_piece", F.lit(0).cast("long"))
+        pieces = rows.withColumn("_piece", F.lit(0).cast("long")).withColumn("_large", F.lit(False))
     else:
-        tagged = rows.join(large, "_key", "left")
+        tagged = rows.join(F.broadcast(large), "_key", "left")  # at most LARGE_GROUPS + n_shards rows
         ranked = salted_rank(tagged.filter("_per is not null"), ["_key"], ["_rid"], n_salts, "_rank")
-        pieces = tagged.filter("_per is null").withColumn("_piece", F.lit(0).cast("long")).drop("_per").unionByName(ranked.withColumn("_piece", F.expr("_rank div _per")).drop("_per", "_rank"))
+        pieces = tagged.filter("_per is null").withColumn("_piece", F.lit(0).cast("long")).withColumn("_large", F.lit(False)).drop("_per").unionByName(ranked.withColumn("_piece", F.expr("_rank div _per")).withColumn("_large", F.lit(True)).drop("_per", "_rank"))
         pieces = materialize(pieces, "pieces")
-    groups = pieces.groupBy("_key", "_piece").agg(F.sum("size").alias("_bytes")).withColumn("_class", F.expr(_class_of("_bytes")))
+    groups = pieces.groupBy("_key", "_piece", "_large").agg(F.sum("size").alias("_bytes")).withColumn("_class", F.expr(_class_of("_bytes")))
     groups = materialize(groups, "groups")
     classes = [(r[0], r[1]) for r in groups.groupBy("_class").count().collect()]  # bounded: EXACT_BELOW + 256 a doubling
     runs = pack_into(classes, n_shards)
     spark = docs.sparkSession
     plan = spark.createDataFrame(runs, "_class long, _first long, _last long, shard int") if runs else spark.createDataFrame([], "_class long, _first long, _last long, shard int")
     ranked = salted_rank(groups, ["_class"], ["_key", "_piece"], n_salts, "_rank")
-    placed = ranked.join(F.broadcast(plan), (ranked["_class"] == plan["_class"]) & F.col("_rank").between(F.col("_first"), F.col("_last"))).select("_key", "_piece", "shard")
-    out = materialize(pieces.join(placed, ["_key", "_piece"]).select("doc_id", "size", "text_crc32", "shard", "_rid"), "placed")
+    placed = ranked.join(F.broadcast(plan), (ranked["_class"] == plan["_class"]) & F.col("_rank").between(F.col("_first"), F.col("_last"))).select("_key", "_piece", "_large", "shard")
+    cols = ["doc_id", "size", "text_crc32", "shard", "_rid"]
+    few = pieces.filter("_large").join(F.broadcast(placed.filter("_large")), ["_key", "_piece"]).select(*cols)  # a few rows for each large group
+    out = materialize(pieces.filter("not _large").join(placed.filter("not _large"), ["_key", "_piece"]).select(*cols).union(few), "placed")
     out = salted_rank(out, ["shard"], ["_rid"], n_salts, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
