@@ -97,6 +97,30 @@ def test_near_copies_that_only_chain(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == _links(rows, 4, 80)
 
 
+def test_repeated_row_links_a_large_bucket(spark, monkeypatch):
+    """One bucket holds all; its leader links 2 to 5; document 6, a repeated row, is near 5 alone, also repeated."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    rng = random.Random(3)
+    base = ["first", *words(rng, 140).split()]
+    swap = lambda w, at: " ".join(f"new{k}" if k in at else x for k, x in enumerate(w))
+    five = swap(base, {20, 60}).split()
+    six = swap(five, {100, 110, 120})
+    rows = [(1, " ".join(base)), *((k, swap(base, {120 + k})) for k in (2, 3, 4)), *[(5, " ".join(five))] * 3, *[(6, six)] * 30]
+    real = minhash._signatures
+
+    def one_bucket(bands, rows, width):
+        def run(batches):
+            for batch in real(bands, rows, width)(batches):
+                out = batch.column("bands").to_pylist()
+                yield minhash.pa.RecordBatch.from_arrays([*batch.columns[:4], minhash.pa.array([[1]] * len(out), minhash.pa.list_(minhash.pa.int64()))], names=batch.schema.names)
+
+        return run
+
+    monkeypatch.setattr(minhash, "_signatures", one_bucket)
+    got = minhash.near_duplicates(frame(spark, rows), width=4).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == _links(rows, 4, 80)
+
+
 def test_near_empty(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert minhash.drop_near_copies(frame(spark, [(1, None), (2, "")])).count() == 2

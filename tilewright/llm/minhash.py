@@ -203,6 +203,8 @@ def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "tkey"), "node")
     held = source.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.tkey") == F.col("w.tkey")))
     texts = materialize(held.select("node", "text"), "texts")
+    if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows repeated under one doc_id
+        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     members = materialize(members.join(meets, "node").drop("m"), "members")
     heads = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("first"), "n")).alias("lead"))
