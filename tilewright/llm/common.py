@@ -14,9 +14,11 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of its own only where none is set (local tests)."""
+    """The shared folder of the session. Where none is set, a local session gets a folder of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,6 +41,16 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def own_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that no column of ours has, and those names by the old ones; `with_names` turns back."""
+    own = {c: f"_own_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
+
+
+def with_names(df: DataFrame, own: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(o).alias(c) for c, o in own.items()])
+
+
 def row_ids(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A row number of its own for every row; only stable once materialized."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -1,24 +1,27 @@
 """Exact dedup by deterministic block naming.
 
 Every text, its ASCII white space deleted, is cut into fixed-size byte blocks. The distinct blocks
-are sorted and numbered, so equal blocks (and only equal blocks) share an integer name. Adjacent
-names are then paired, the distinct pairs sorted and numbered again, and so on until each document
-is a single name. Documents of one level and one name have identical normalised texts.
+are sorted and numbered from 0 without gaps, so equal blocks (and only equal blocks) share an integer
+name. Adjacent names are then paired, the distinct pairs sorted and numbered again, and so on until
+each document is a single name. Documents of one level and one name have identical normalised texts.
 
 Block contents cross the network once, already combined per task: they travel with a 128-bit
 fingerprint, and a fingerprint that meets two different contents is found there; the run then
 starts again with another seed. References to blocks carry fingerprints only, which by then are
-known to separate all contents, so the names are free of collisions.
+known to separate all contents, so the names are free of collisions. Blocks are sorted by those
+verified fingerprints, not by their bytes: any total order of the distinct blocks names them alike
+for all documents, and this one cannot pile up in one range where a third of the blocks begin with
+the same passage. Names depend on the blocks alone, not on the number of partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SPACE_CLASS, materialize, row_ids, text_or_empty
+from tilewright.llm.common import SPACE_CLASS, materialize, own_columns, row_ids, text_or_empty, with_names
 
 BLOCK_BYTES = 4096
 
@@ -38,9 +41,14 @@ def _blocks(size: int) -> Column:
 
 
 def _sorted_names(distinct: DataFrame, cols: list[str], tag: str) -> DataFrame:
-    """Sort the distinct keys over the whole cluster and number them in that order."""
+    """Sort the distinct keys over the whole cluster and number them in that order, from 0 without gaps."""
     ordered = distinct.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), tag)
+    placed = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), tag)
+    part, rank = F.expr("shiftright(place, 33)"), F.expr(f"place & {(1 << 33) - 1}")
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))  # a row for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select(*cols, (F.col("first") + rank).alias("name"))
 
 
 def block_names(
@@ -112,15 +120,19 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Ca
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs; of rows repeated under one doc_id, one."""
+    """The rows of docs that stay, with all columns of docs, whatever their names: one of each group of equal texts.
+
+    Null counts as empty, and one of all empty texts stays. Of rows repeated under one doc_id (or
+    without one) with equal texts, one of the longest originals stays. An empty table gives an empty result.
+    """
     verdict = materialize(
         exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("kept").select("doc_id", "text_sha256", "times"),
         "kept",
-    ).alias("k")
-    rows = docs.withColumn("_sha", F.sha2(normalise(), 256)).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._sha") == F.col("k.text_sha256"))
-    out = rows.join(verdict, same, "left_semi")
+    )
+    rows, own = own_columns(docs)
+    rows = rows.withColumn("_sha", F.sha2(normalise(own["text"]), 256))
+    out = rows.join(verdict, rows[own["doc_id"]].eqNullSafe(verdict["doc_id"]) & (rows["_sha"] == verdict["text_sha256"]), "left_semi")
     if not verdict.filter("times > 1").isEmpty():
-        longest = out.withColumn("_n", F.length(text_or_empty())).groupBy("doc_id", "_sha").agg(F.max_by(F.struct(*docs.columns), "_n").alias("row"))
-        return longest.select("row.*")
-    return out.select(*docs.columns)
+        longest = F.max_by(F.struct(*own.values()), F.length(text_or_empty(own["text"])))
+        out = out.groupBy(own["doc_id"], "_sha").agg(longest.alias("_row")).select("_row.*")
+    return with_names(out, own)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize, text_or_empty
+from tilewright.llm.common import materialize, own_columns, text_or_empty, with_names
 from tilewright.llm.components import connected_components
 
 UNIVERSE = 1 << 20
@@ -262,13 +262,15 @@ def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     chosen = kept.union(named).alias("c").join(times.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.tkey") == F.col("t.tkey"))).select("c.doc_id", "c.tkey", "times")
     verdict = materialize(chosen.union(unnamed), "kept")
 
-    def rows_of(chosen: DataFrame, how: str) -> DataFrame:
-        return docs.withColumn("_tkey", F.xxhash64(text_or_empty())).alias("d").join(chosen.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._tkey") == F.col("k.tkey")), how)
+    rows, own = own_columns(docs)
+    rows = rows.withColumn("_tkey", F.xxhash64(text_or_empty(own["text"])))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, rows[own["doc_id"]].eqNullSafe(chosen["doc_id"]) & (rows["_tkey"] == chosen["tkey"]), "left_semi")
 
     repeated = verdict.filter("times > 1")
     if repeated.isEmpty():
-        return rows_of(verdict, "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    once = rows_of(verdict.filter("times = 1"), "left_semi").select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
-    first = rows_of(repeated, "left_semi").groupBy("d.doc_id", "d._tkey").agg(F.first(row).alias("_row")).select("_row.*")
-    return once.unionByName(first)
+        return with_names(rows_of(verdict), own)
+    once = rows_of(verdict.filter("times = 1")).select(*own.values())
+    first = rows_of(repeated).groupBy(own["doc_id"], "_tkey").agg(F.first(F.struct(*own.values())).alias("_row")).select("_row.*")
+    return with_names(once.unionByName(first), own)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize, text_or_empty
+from tilewright.llm.common import materialize, own_columns, text_or_empty, with_names
 from tilewright.llm.minhash import WordHashes
 
 DOMAINS = ("good", "toxic", "poor")
@@ -59,9 +59,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     """Naive Bayes over hashed words: array (domain, n_buckets + 1) of log likelihoods, the last column log priors.
 
     labelled: (doc_id, domain). A hash of doc_id picks about max_labelled rows at most, which bounds
-    the broadcast; null labels and ids are left out.
+    the broadcast; null labels and ids are left out, and of several domains of one id the least counts.
     """
-    ids = labelled.filter("doc_id is not null").filter(F.col("domain").isin(*domains)).dropDuplicates(["doc_id"])
+    ids = labelled.filter("doc_id is not null").filter(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = min(1.0, max_labelled / max(ids.count(), 1))
     ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     k = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int") - 1
@@ -179,7 +179,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     an empty result; other columns of docs are ignored.
     """
     domains = tuple(weights)
-    labelled = labels.select("doc_id", domain_of().alias("domain")).dropna()
+    whole = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # the worst of several labels
+    labelled = whole.select("doc_id", domain_of().alias("domain")).dropna()
     model = fit_classifier(docs, labelled, domains)
     members = materialize(posteriors(docs, model), "members")
     if labelled.isEmpty():  # nothing tells the domains apart
@@ -192,9 +193,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 
 
 def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
-    """docs with every row as often as its rate says, with the columns of docs."""
+    """docs with every row as often as its rate says, with all columns of docs, whatever their names.
+
+    Null and empty texts count as one token. Rows of one doc_id (or without one) take the largest
+    number of copies that one of them has. Without labels every row stays once; an empty table gives
+    an empty result.
+    """
     chosen = mix(docs, labels, weights, max_rate).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    joined = docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    rows, own = own_columns(docs)
+    joined = rows.join(chosen, rows[own["doc_id"]].eqNullSafe(chosen["doc_id"]))
     if max_rate is None or max_rate > 1:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("c.copies"))))
-    return joined.select("d.*")
+        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return with_names(joined, own)

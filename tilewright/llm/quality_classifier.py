@@ -153,7 +153,7 @@ def held_out(part: int = 2, parts: int = 4):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
     """Learn labels.quality from rows that are not held out."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))  # the least of several labels
     share = min(1.0, max_train / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").select("quality", "text")
