@@ -46,13 +46,19 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         words = f" ?[{_LETTERS}]+(?![^{_WS}.,])|[.,]+(?![^{_WS}])"
         self.units = re.compile(f"{words}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+        self.named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # each one id wherever a text has it
+        self.named_at = re.compile("(" + "|".join(map(re.escape, self.named)) + ")")
         self.known: dict[str, bytes] = {}
 
+    def _units(self, text: str) -> list[str]:
+        if not any(t in text for t in self.named):
+            return self.units.findall(text)
+        return [u for k, part in enumerate(self.named_at.split(text)) for u in ([part] if k % 2 else self.units.findall(part))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units.findall(t) for t in texts]
+        cut = [self._units(t) for t in texts]
         new: set[str] = set()
         for units in cut:
             new.update(units)
