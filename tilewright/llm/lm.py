@@ -1,20 +1,24 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Three levels (words, pairs, triples) are counted on the cluster and written to the shared folder in
-parts. A part holds a range of first words: its pairs are a monotone sequence (head, word) with
-monotone pointers from heads to their first pairs, and its triples refer to a pair's place and to the
-place of the last word among the followers of the middle one, so that a triple's last number is small
-and is found by a successor search in a range that its context gives. All sequences are Elias-Fano
-coded, probabilities and back-off weights are quantised to a byte, and tasks map the files into
-memory. Queries of a chunk of text are sorted, so each part is decoded once a chunk.
+parts. All that is monotone is Elias-Fano coded: the hashes of the words and their running counts,
+the heads of a part's pairs, the pointers from a head to its pairs and from a pair to its triples,
+and the pairs and triples themselves, whose numbers start with the place of their context. A triple
+names its last word by that word's rank among the followers of the middle one, so the number stays
+small. Probabilities and back-off weights are quantised to a byte. Tasks map the files and query them
+in coded form: pointers give the range of the context, selects over the high bits narrow it to the
+entries with the same high part, and a search over the low bits ends it. Nothing is decoded whole.
+
+A part holds a range of first words; a word that is too frequent for one part is cut by the second
+word over as many parts as its share asks for.
 
 Probabilities are interpolated with absolute discounting: p(w|uv) = a(uvw) + g(uv) p(w|v), and so on
-down to words, where the discount goes to the unknown word. Pairs and triples seen once are part of
-the back-off mass. Words are known by 64-bit hashes.
+down to words, where the discount goes to the unknown word. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -24,26 +28,35 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import scratch_path, text_or_empty
+from tilewright.llm.common import materialize, scratch_path, text_or_empty
 from tilewright.llm.minhash import WordHashes
 from tilewright.llm.quality_classifier import held_out
 
 CHUNK_TOKENS = 1_000_000
 #: Documents for each part of the model: parts keep their size as the corpus grows.
-DOCS_A_PART = 4096
+DOCS_A_PART = 8192
 MIN_PARTS = 64
-MIN_COUNT = 2
+#: Taken from every count, at each level.
+DISCOUNT = 0.75
+#: Different n-grams that a task holds before it sends them on.
+TALLY_KEYS = 4_000_000
 END = WordHashes()[b"\n"]  # white space: no word has this hash but by a collision
 
 
 # --- files -----------------------------------------------------------------------------------------
 
 
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """path as Spark's own file system resolves it, so that Python tasks write where Spark would."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -66,8 +79,9 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(part, path)
 
 
+@functools.lru_cache(maxsize=4096)
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory; a remote file is first copied into the executor's working folder."""
+    """The arrays of a file, mapped into memory and kept mapped; a remote file is first copied into the executor's working folder."""
     fs, path = _open(uri)
     if not isinstance(fs, pyarrow.fs.LocalFileSystem):
         own = os.path.join(SparkFiles.getRootDirectory(), path.strip("/").replace("/", "_"))
@@ -76,7 +90,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
             pyarrow.fs.copy_files(path, part, source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
             os.replace(part, own)
         path = own
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))
     n = int(data[:8].view("<u8")[0])
     head = json.loads(bytes(data[8 : 8 + n]))
     return {name: data[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for name, (kind, size, at) in head.items()}
@@ -84,25 +98,79 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 
 # --- Elias-Fano and quantisation -------------------------------------------------------------------
 
+#: Place of the k-th set bit of a byte.
+_PLACES = np.array([[*(k for k in range(8) if b >> k & 1), *[0] * 8][:8] for b in range(256)], np.uint64)
+_U = np.arange(256, dtype=np.uint64)
+_FIVES, _THREES, _FIFTEENS, _EACH, _TOPS = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+_MAX_LOW = 56  # a low part and its shift fit one 64-bit read
+
 
 def ef_encode(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """A non-decreasing sequence below universe: whole low bytes as planes, high parts in unary."""
+    """A non-decreasing sequence below universe: low bits packed, high parts in unary, and the ones before each 64 bits of those."""
     v, n = values.astype(np.uint64), len(values)
-    low = max(0, -(-((universe // max(n, 1)).bit_length() - 2) // 8))
-    planes = v.view(np.uint8).reshape(n, 8)[:, :low].T.ravel() if low else np.empty(0, np.uint8)
-    high = (v >> np.uint64(8 * low)).astype(np.int64) if low < 8 else np.zeros(n, np.int64)
-    bits = np.zeros(int(high[-1]) + n if n else 0, np.uint8)
-    bits[high + np.arange(n)] = 1
-    return {f"{name}.meta": np.array([n, low], np.int64), f"{name}.low": planes, f"{name}.high": np.packbits(bits)}
-
-
-def ef_decode(arrays: dict[str, np.ndarray], name: str) -> np.ndarray:
-    n, low = (int(x) for x in arrays[f"{name}.meta"])
-    high = np.flatnonzero(np.unpackbits(arrays[f"{name}.high"]))[:n] - np.arange(n)
-    out = high.astype(np.uint64) << np.uint64(8 * low) if low < 8 else np.zeros(n, np.uint64)
-    for k in range(low):
-        out |= arrays[f"{name}.low"][k * n : (k + 1) * n].astype(np.uint64) << np.uint64(8 * k)
-    return out.astype(np.int64) if low < 8 else out
+    low = min(_MAX_LOW, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
+    bits = np.unpackbits(v.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low]
+    packed = np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8))
+    high = (v >> np.uint64(low)).astype(np.int64)
+    unary = np.zeros(-(-(n + (max(universe - 1, 0) >> low) + 1) // 64) * 64, np.uint8)
+    unary[high + np.arange(n)] = 1
+    words = np.packbits(unary, bitorder="little").view("<u8")
+    before = np.cumsum(np.bitwise_count(words).astype(np.uint64))
+    return {f"{name}.meta": np.array([n, low], np.int64), f"{name}.low": packed, f"{name}.high": words, f"{name}.ones": np.append(np.uint64(0), before[:-1]).astype(np.uint32 if n < 1 << 32 else np.uint64)}
+
+
+class Coded:
+    """A coded sequence, queried in place."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], name: str) -> None:
+        self.n, self.low = (int(x) for x in arrays[f"{name}.meta"])
+        self.high, self.ones = arrays[f"{name}.high"], arrays[f"{name}.ones"]
+        packed = arrays[f"{name}.low"]
+        self.reads = np.ndarray(len(packed) - 7, "<u8", packed, strides=(1,))  # 64 bits from any byte on
+        self.mask = np.uint64((1 << self.low) - 1)
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the k-th one (or zero) of the high bits: its word by the directory, its byte by sums of all bytes at once."""
+        before = self.ones.astype(np.int64) if ones else 64 * np.arange(len(self.ones)) - self.ones.astype(np.int64)
+        word = np.searchsorted(before, k, side="right") - 1
+        rest, bits = (k - before[word]).astype(np.uint64), self.high[word]
+        bits = bits if ones else ~bits
+        sums = bits - (bits >> _U[1] & _FIVES)
+        sums = (sums & _THREES) + (sums >> _U[2] & _THREES)
+        sums = (sums + (sums >> _U[4]) & _FIFTEENS) * _EACH  # byte i: set bits of bytes 0 to i
+        shift = (((rest * _EACH | _TOPS) - sums & _TOPS) >> _U[7]) * _EACH >> _U[56] << _U[3]  # eight times the bytes before
+        rest -= sums << _U[8] >> shift & _U[255]
+        return 64 * word + (shift + _PLACES[bits >> shift & _U[255], rest]).astype(np.int64)
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        bit = at * self.low
+        return self.reads[bit >> 3] >> (bit & 7).astype(np.uint64) & self.mask
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.empty(0, np.int64)
+        return ((self._select(at, True) - at).astype(np.uint64) << np.uint64(self.low) | self._low(at)).astype(np.int64)
+
+    def find(self, values: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
+        """Place of each value between lo and hi, -1 where it is missing: the successor search of the context's range."""
+        if not self.n or not len(values):
+            return np.full(len(values), -1, np.int64)
+        v = values.astype(np.uint64)
+        high, low = (v >> np.uint64(self.low)).astype(np.int64), v & self.mask
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
+        a, b = np.maximum(begin, lo), np.minimum(self._select(high, False) - high, self.n if hi is None else hi)
+        end, live = b.copy(), np.flatnonzero(a < b)
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            less = self._low(mid) < low[live]
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
+        there = np.flatnonzero(a < end)
+        there = there[self._low(a[there]) == low[there]]
+        out = np.full(len(v), -1, np.int64)
+        out[there] = a[there]
+        return out
 
 
 def quantise(name: str, p: np.ndarray) -> dict[str, np.ndarray]:
@@ -119,140 +187,155 @@ def dequantise(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.n
     return arrays[f"{name}.book"][arrays[f"{name}.code"][at]]
 
 
-def find(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted value, -1 where it is missing."""
-    if not len(sorted_values):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == wanted, at, -1)
+# --- the model as tasks see it ---------------------------------------------------------------------
 
 
-# --- the model as tasks see it ---------------------------------------------------------------------
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places of its queries."""
+    part = part.astype(np.int16) if len(part) and part.max() < 1 << 15 else part  # short numbers sort by radix
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            yield int(part[rows[0]]), rows
 
 
 class Trie:
-    """Levels of a model folder, looked up for sorted queries part by part."""
+    """Levels of a model folder, queried in their coded form."""
 
     def __init__(self, info: dict) -> None:
         self.info, self.n_parts, self.shift = info, info["parts"], 64 - (info["parts"].bit_length() - 1)
         self.firsts, self.totals = np.array(info["firsts"]), np.array(info["totals"])
+        self.cut, self.cut_g = np.array(info.get("cut", []), np.int64), np.array(info.get("cut_g", []))
 
     def path(self, level: str, part: int) -> str:
         return f"{self.info['root']}/{level}-{part:05d}"
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted different hashes: id (-1 if unknown), count, part of the pairs they begin."""
-        ids, counts, parts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
-        of = (hashes >> np.uint64(self.shift)).astype(np.int64)
-        for k in np.unique(of).tolist():
-            lo, hi = np.searchsorted(of, [k, k + 1])
-            if self.firsts[k] == self.firsts[k + 1]:
-                continue
-            a = map_arrays(self.path("words", k))
-            at = find(ef_decode(a, "hash").astype(np.uint64), hashes[lo:hi] & np.uint64((1 << self.shift) - 1))
-            c = a["count"].astype(np.int64)
-            before = np.cumsum(c) - c + self.totals[k]
-            known = at >= 0
-            ids[lo:hi][known] = at[known] + self.firsts[k]
-            counts[lo:hi][known] = c[at[known]]
-            parts[lo:hi][known] = before[at[known]] * self.n_parts // self.info["n"]
-        return ids, counts, parts
-
-    def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of sorted ids."""
-        out = np.zeros(len(ids), np.int64)
-        of = np.searchsorted(self.firsts, ids, side="right") - 1
-        for k in np.unique(of).tolist():
-            lo, hi = np.searchsorted(of, [k, k + 1])
-            out[lo:hi] = map_arrays(self.path("words", k))["count"][ids[lo:hi] - self.firsts[k]]
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of different hashes, -1 if unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        for k, rows in _by_part((hashes >> np.uint64(self.shift)).astype(np.int64)):
+            if self.firsts[k] < self.firsts[k + 1]:
+                at = Coded(map_arrays(self.path("words", k)), "hash").find(hashes[rows] & np.uint64((1 << self.shift) - 1))
+                out[rows] = np.where(at >= 0, at + self.firsts[k], -1)
         return out
 
-    def pairs(self, part: np.ndarray, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        """Queries sorted by (part, u, v), known words: place in its part (-1), place among the followers of u, a, g(u), g(uv)."""
-        n = len(u)
-        out = {"at": np.full(n, -1, np.int64), "rank": np.full(n, -1, np.int64), "a": np.zeros(n), "g1": np.ones(n), "g2": np.ones(n)}
-        for k in np.unique(part).tolist():
-            lo, hi = np.searchsorted(part, [k, k + 1])
+    def figures(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids (-1: unknown): count, first part of the pairs they begin, number of parts those are cut over."""
+        counts, part, width = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.ones(len(ids), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        for k, rows in _by_part(np.searchsorted(self.firsts, ids[known], side="right") - 1):
+            at, ends = ids[known[rows]] - self.firsts[k], Coded(map_arrays(self.path("words", k)), "before")
+            before, after = ends.get(at) + self.totals[k], ends.get(at + 1) + self.totals[k]
+            counts[known[rows]] = after - before
+            part[known[rows]] = before * self.n_parts // self.info["n"]
+            wide = (after - before) * self.n_parts > self.info["n"]  # more than a part's share
+            width[known[rows]] = np.where(wide, (after - 1) * self.n_parts // self.info["n"] - part[known[rows]] + 1, 1)
+        return counts, part, width
+
+    def pairs(self, part: np.ndarray, width: np.ndarray, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        """Different queries (u, v) of known words (v may be -1) with the parts of u: part, place in it (-1), rank
+        among the followers of u, a, g(u), g(uv)."""
+        n, size = len(u), self.info["v"]
+        which = np.maximum(v, 0) % width
+        out = {"part": part + which, "at": np.full(n, -1, np.int64), "rank": np.full(n, -1, np.int64), "a": np.zeros(n), "g1": np.ones(n), "g2": np.ones(n)}
+        for k, rows in _by_part(out["part"]):
             a = map_arrays(self.path("pairs", k))
-            head = find(ef_decode(a, "head"), u[lo:hi])
-            has = np.flatnonzero(head >= 0)
-            if not len(has):
+            head = Coded(a, "head").find(u[rows])
+            rows, head = rows[head >= 0], head[head >= 0]
+            if not len(rows):
                 continue
-            head = head[has]
-            at = find(ef_decode(a, "pair"), head * self.info["v"] + v[lo:hi][has])
-            out["g1"][lo + has] = dequantise(a, "g", head)
-            hit = at >= 0
-            rows, at, head = lo + has[hit], at[hit], head[hit]
-            out["at"][rows], out["rank"][rows] = at, at - ef_decode(a, "start")[head]
-            out["a"][rows] = dequantise(a, "a", at)
-            if self.info.get("triples"):
-                out["g2"][rows] = dequantise(map_arrays(self.path("triples", k)), "g", at)
+            start = Coded(a, "start")
+            lo, hi = start.get(head), start.get(head + 1)
+            out["g1"][rows] = dequantise(a, "g", head)
+            lo, hi, head, seen = (x[v[rows] >= 0] for x in (lo, hi, head, rows))
+            at = Coded(a, "pair").find(head * size + v[seen], lo, hi)
+            hit = np.flatnonzero(at >= 0)
+            there, at = seen[hit], at[hit]
+            out["at"][there], out["rank"][there] = at, (at - lo[hit]) * width[there] + which[there]
+            out["a"][there] = dequantise(a, "a", at)
+            if self.info["triples"]:
+                out["g2"][there] = dequantise(map_arrays(self.path("triples", k)), "g", at)
+        if len(self.cut):  # a head cut over parts has one weight for all
+            at = np.minimum(np.searchsorted(self.cut, u), len(self.cut) - 1)
+            out["g1"] = np.where(self.cut[at] == u, self.cut_g[at], out["g1"])
         return out
 
-    def triples(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """a of triples, queries sorted by (part, key)."""
-        out = np.zeros(len(key))
-        for k in np.unique(part).tolist():
-            lo, hi = np.searchsorted(part, [k, k + 1])
+    def triples(self, part: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """a of different triples, named by the part and place of their pair and the last word's rank."""
+        out = np.zeros(len(pair))
+        for k, rows in _by_part(part):
             a = map_arrays(self.path("triples", k))
-            at = find(ef_decode(a, "triple"), key[lo:hi])
-            out[lo:hi][at >= 0] = dequantise(a, "a", at[at >= 0])
+            start = Coded(a, "start")
+            lo, hi = start.get(pair[rows]), start.get(pair[rows] + 1)
+            at = Coded(a, "triple").find(pair[rows] * self.info["fan"] + rank[rows], lo, hi)
+            out[rows[at >= 0]] = dequantise(a, "a", at[at >= 0])
         return out
 
 
 # --- text in chunks --------------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Documents in chunks of about CHUNK_TOKENS tokens: their ids, their numbers of tokens, all hashes in order."""
-    words_of, ids, sizes, hashes, n = WordHashes(), [], [], [], 0
+def _chunks(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Rows (.., array of tokens) in chunks of about CHUNK_TOKENS tokens: the rows' other fields, numbers of tokens, all tokens in order."""
+    kept, tokens, n = [], [], 0
+    for *fields, own in rows:
+        kept.append(tuple(fields))
+        tokens.append(own)
+        n += len(own)
+        if n >= CHUNK_TOKENS:
+            yield kept, np.array([len(x) for x in tokens]), np.concatenate(tokens)
+            kept, tokens, n = [], [], 0
+    if kept:
+        yield kept, np.array([len(x) for x in tokens]), np.concatenate(tokens)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, learn, hashes of the words and the end)."""
+    words_of = WordHashes()
+    for batch in batches:
+        for doc_id, learn, text in zip(batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            yield doc_id, learn, np.append(words_of.of(text.lower().split()), np.uint64(END))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, learn, ids)."""
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            h = np.append(words_of.of(text.lower().split()), np.uint64(END))
-            ids.append(doc_id)
-            sizes.append(len(h))
-            hashes.append(h)
-            n += len(h)
-            if n >= CHUNK_TOKENS:
-                yield ids, np.array(sizes), np.concatenate(hashes)
-                ids, sizes, hashes, n = [], [], [], 0
-    if ids:
-        yield ids, np.array(sizes), np.concatenate(hashes)
-
-
-def _grams(trie: Trie, sizes: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
-    """Per token: id, count, the word before (the end stands before a text), and the pair's figures."""
-    unique, back = np.unique(hashes, return_inverse=True)
-    ids, counts, parts = trie.words(unique)
-    w, c, part = ids[back], counts[back], parts[back]
-    starts = np.cumsum(sizes) - sizes
-    end_at = int(np.searchsorted(unique, np.uint64(END)))
-    u, up = np.roll(w, 1), np.roll(part, 1)
-    u[starts], up[starts] = ids[end_at], parts[end_at]
-    return {"w": w, "c": c, "u": u, "up": up, "starts": starts}
+        for doc_id, learn, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "ids")), strict=True):
+            yield doc_id, learn, np.frombuffer(ids, "<i4")
+
+
+def _grams(trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """Per token: id, count, the word before (the end stands before a text) with its parts."""
+    ids = ids.astype(np.int64)
+    unique, back = np.unique(np.append(ids, trie.info["end"]), return_inverse=True)
+    counts, part, width = trie.figures(unique)
+    starts, end = np.cumsum(sizes) - sizes, back[-1]
+    before = np.roll(back[:-1], 1)
+    before[starts] = end
+    return {"w": ids, "c": counts[back[:-1]], "u": unique[before], "up": part[before], "uw": width[before], "starts": starts}
 
 
 def _with_pairs(trie: Trie, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     n, v = len(g["w"]), trie.info["v"]
-    known = np.flatnonzero((g["u"] >= 0) & (g["w"] >= 0))
-    key, back = np.unique(g["u"][known] * v + g["w"][known], return_inverse=True)
-    first = np.zeros(len(key), np.int64)
-    first[back] = known
-    found = trie.pairs(g["up"][first], key // v, key % v)
-    out = {k: np.full(n, -1, np.int64) if k in ("at", "rank") else np.ones(n) if k in ("g1", "g2") else np.zeros(n) for k in found}
+    known = np.flatnonzero(g["u"] >= 0)
+    # an unknown word after a known one takes its share of that word's back-off mass: it is asked for as -1
+    key, first, back = np.unique(g["u"][known] * (v + 1) + g["w"][known] + 1, return_index=True, return_inverse=True)
+    found = trie.pairs(g["up"][known[first]], g["uw"][known[first]], key // (v + 1), key % (v + 1) - 1)
+    blank = {"part": -1, "at": -1, "rank": -1, "a": 0.0, "g1": 1.0, "g2": 1.0}
+    out = {k: np.full(n, x) for k, x in blank.items()}
     for k, x in found.items():
         out[k][known] = x[back]
     return g | out
 
 
-def _triple_keys(trie: Trie, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens whose two pairs are both in the trie: where, part, key (place of the first pair, rank in the second)."""
-    before, rank = np.roll(g["at"], 1), g["rank"]
-    part = np.roll(g["up"], 1)
+def _triples(trie: Trie, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens whose two pairs are both in the trie: where, part of the first pair, number (place of the first pair, rank in the second)."""
+    before, part = np.roll(g["at"], 1), np.roll(g["part"], 1)
     first = np.zeros(len(before), bool)
     first[g["starts"]] = True
-    where = np.flatnonzero(~first & (before >= 0) & (rank >= 0))
-    return where, part[where], before[where] * trie.info["fan"] + rank[where]
+    where = np.flatnonzero(~first & (before >= 0) & (g["rank"] >= 0))
+    return where, part[where], before[where] * trie.info["fan"] + g["rank"][where]
 
 
 # --- counting --------------------------------------------------------------------------------------
@@ -282,47 +365,75 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 class _Tally:
-    """Counts of (part, key) of a task, compacted as they come."""
+    """Counts of (part, key) of a task, compacted as they come; sent on when there are many."""
 
     def __init__(self) -> None:
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
 
     def add(self, part: np.ndarray, key: np.ndarray) -> None:
-        order = np.lexsort((key, part))
-        part, key = part[order], key[order]
-        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(key)))
-        part, key = part[first], key[first]
-        for k in np.unique(part).tolist():
-            lo, hi = np.searchsorted(part, [k, k + 1])
+        for k, rows in _by_part(part):
             own = self.parts.setdefault(k, [])
-            own.append((key[lo:hi].astype(np.uint64), times[lo:hi]))
+            own.append(np.unique(key[rows].astype(np.uint64), return_counts=True))
+            self.held += len(own[-1][0])
             if len(own) >= 8:
+                self.held -= sum(len(x[0]) for x in own)
                 self.parts[k] = [_add_up(own)]
+                self.held += len(self.parts[k][0][0])
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def full(self) -> bool:
+        return self.held >= TALLY_KEYS
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
         for k, own in sorted(self.parts.items()):
-            keys, counts = _squeeze(*_add_up(own))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([keys]), pa.array([counts])], names=["part", "keys", "counts"])
+            yield (k, *_squeeze(*_add_up(own)))
+        self.parts, self.held = {}, 0
+
+
+def _counts_batch(rows: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k, keys, counts in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([keys]), pa.array([counts])], names=["part", "keys", "counts"])
 
 
 def _count_words(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, shift = _Tally(), np.uint64(64 - (n_parts.bit_length() - 1))
-        for _, _, hashes in _chunks(batches):
-            tally.add((hashes >> shift).astype(np.int64), hashes)
-        yield from tally.rows()
+        for rows, sizes, hashes in _chunks(_hashed(batches)):
+            learn = np.repeat([r[1] for r in rows], sizes)
+            tally.add((hashes[learn] >> shift).astype(np.int64), hashes[learn])
+            if tally.full():
+                yield from _counts_batch(tally.rows())
+        yield from _counts_batch(tally.rows())
 
     return run
 
 
-def _count_pairs(info: dict):
+_NUMBERED = f"{_COUNTED}, doc_id long, learn boolean, ids binary"
+_NUMBERED_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
+
+
+def _number_words(info: dict):
+    """Texts become ids, and pairs are counted on the way: rows of counts (with a part) and rows of documents."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _NUMBERED_KINDS, strict=True)], names=[c.split()[0] for c in _NUMBERED.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, trie = _Tally(), Trie(info)
-        for _, sizes, hashes in _chunks(batches):
-            g = _grams(trie, sizes, hashes)
-            tally.add(g["up"], g["u"] * info["v"] + g["w"])
-        yield from tally.rows()
+        for rows, sizes, hashes in _chunks(_hashed(batches)):
+            unique, back = np.unique(hashes, return_inverse=True)
+            ids = trie.ids(unique)[back]
+            ends = np.cumsum(sizes)
+            raw = ids.astype("<i4").tobytes()
+            yield batch([(None, None, None, doc_id, learn, raw[4 * (e - n) : 4 * e]) for (doc_id, learn), n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True)])
+            g = _grams(trie, sizes, ids)
+            own = np.flatnonzero(np.repeat([r[1] for r in rows], sizes))
+            tally.add(g["up"][own] + g["w"][own] % g["uw"][own], g["u"][own] * info["v"] + g["w"][own])
+            if tally.full():
+                yield batch([(*x, None, None, None) for x in tally.rows()])
+        for x in tally.rows():
+            yield batch([(*x, None, None, None)])
 
     return run
 
@@ -330,10 +441,12 @@ def _count_pairs(info: dict):
 def _count_triples(info: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, trie = _Tally(), Trie(info)
-        for _, sizes, hashes in _chunks(batches):
-            _, part, key = _triple_keys(trie, _with_pairs(trie, _grams(trie, sizes, hashes)))
+        for _, sizes, ids in _chunks(_numbered(batches)):
+            _, part, key = _triples(trie, _with_pairs(trie, _grams(trie, sizes, ids)))
             tally.add(part, key)
-        yield from tally.rows()
+            if tally.full():
+                yield from _counts_batch(tally.rows())
+        yield from _counts_batch(tally.rows())
 
     return run
 
@@ -354,60 +467,69 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield (at, *_add_up(own))
 
 
-_REPORT = "part int, n long, total long, ones long, fan long"
+_REPORT = "part int, n long, total long, fan long, heads array<long>, sums array<double>"
 
 
-def _report(part: int, n: int, total: int = 0, ones: int = 0, fan: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in (n, total, ones, fan))], names=["part", "n", "total", "ones", "fan"])
+def _report(part: int, n: int, total: int = 0, fan: int = 0, heads: list[int] = (), sums: list[float] = ()) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in (n, total, fan)), pa.array([list(heads)], pa.list_(pa.int64())), pa.array([list(sums)], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "n", "total", "fan", "heads", "sums"])
 
 
-def _discount(counts: np.ndarray) -> float:
-    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+def _words_file(shift: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    return ef_encode("hash", keys & np.uint64((1 << shift) - 1), 1 << shift) | ef_encode("before", np.append(0, np.cumsum(counts)), int(counts.sum()) + 1)
 
 
 def _write_words(root: str, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = 64 - (n_parts.bit_length() - 1)
         for part, keys, counts in _merged(batches):
-            write_arrays(f"{root}/words-{part:05d}", ef_encode("hash", keys & np.uint64((1 << shift) - 1), 1 << shift) | {"count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
-            yield _report(part, len(keys), counts.sum(), (counts == 1).sum())
+            write_arrays(f"{root}/words-{part:05d}", _words_file(shift, keys, counts))
+            yield _report(part, len(keys), counts.sum())
 
     return run
 
 
-def _write_pairs(info: dict, min_count: int):
+def _pairs_files(trie: Trie, keys: np.ndarray, counts: np.ndarray) -> tuple[dict, dict, np.ndarray, np.ndarray, np.ndarray]:
+    """The arrays of a part's pairs and of their counts; its heads, their followers and the sums of a."""
+    v, keys = trie.info["v"], keys.astype(np.int64)
+    heads, start = np.unique(keys // v, return_index=True)
+    fan = np.diff(np.append(start, len(keys)))
+    place = np.repeat(np.arange(len(heads)), fan)
+    a = (counts - DISCOUNT) / np.repeat(trie.figures(heads)[0], fan)
+    sums = np.bincount(place, a, len(heads))
+    coded = ef_encode("head", heads, max(v, 1)) | ef_encode("start", np.append(start, len(keys)), len(keys) + 1) | ef_encode("pair", place * v + keys % v, max(1, len(heads) * v))
+    return coded | quantise("a", a) | quantise("g", 1 - sums), {"count": counts.astype(np.uint32)}, heads, fan, sums
+
+
+def _write_pairs(info: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, v = Trie(info), info["v"]
+        trie = Trie(info)
         for part, keys, counts in _merged(batches):
-            d = _discount(counts)
-            keys, counts = keys[counts >= min_count].astype(np.int64), counts[counts >= min_count]
-            u = keys // v
-            heads, start = np.unique(u, return_index=True)
-            fan = np.diff(np.append(start, len(keys)))
-            a = (counts - d) / np.repeat(trie.counts_of(heads), fan)
-            place = np.repeat(np.arange(len(heads)), fan)
-            g = 1 - np.bincount(place, a, len(heads))
-            arrays = ef_encode("head", heads, v) | ef_encode("start", np.append(start, len(keys)), len(keys) + 1) | ef_encode("pair", place * v + keys % v, max(1, len(heads) * v))
-            write_arrays(trie.path("pairs", part), arrays | quantise("a", a) | quantise("g", g))
-            write_arrays(trie.path("pair_counts", part), {"count": counts.astype(np.uint32)})
-            yield _report(part, len(keys), counts.sum(), 0, fan.max() if len(fan) else 0)
+            arrays, own, heads, fan, sums = _pairs_files(trie, keys, counts)
+            write_arrays(trie.path("pairs", part), arrays)
+            write_arrays(trie.path("pair_counts", part), own)
+            width = trie.figures(heads)[2]
+            cut = width > 1  # at most a few heads a part
+            yield _report(part, len(keys), counts.sum(), (fan * width).max(), heads[cut].tolist(), sums[cut].tolist())
 
     return run
 
 
-def _write_triples(info: dict, min_count: int):
+def _triples_file(fan: int, pair_counts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    keys, n = keys.astype(np.int64), len(pair_counts)
+    pair = keys // fan
+    a = (counts - DISCOUNT) / pair_counts[pair]
+    start = np.append(0, np.cumsum(np.bincount(pair, minlength=n)))
+    coded = ef_encode("start", start, len(keys) + 1) | ef_encode("triple", keys, max(1, n * fan))
+    return coded | quantise("a", a) | quantise("g", 1 - np.bincount(pair, a, n))
+
+
+def _write_triples(info: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(info)
         for part, keys, counts in _merged(batches):
             pair_counts = map_arrays(trie.path("pair_counts", part))["count"].astype(np.int64)
-            d = _discount(counts)
-            keep = counts >= min_count
-            keys, counts = keys[keep].astype(np.int64), counts[keep]
-            pair = keys // info["fan"]
-            a = (counts - d) / pair_counts[pair]
-            g = 1 - np.bincount(pair, a, len(pair_counts))
-            write_arrays(trie.path("triples", part), ef_encode("triple", keys, max(1, len(pair_counts) * info["fan"])) | quantise("a", a) | quantise("g", g))
+            write_arrays(trie.path("triples", part), _triples_file(info["fan"], pair_counts, keys, counts))
             yield _report(part, len(keys), counts.sum())
 
     return run
@@ -418,51 +540,53 @@ def _gather(rows: DataFrame, n_parts: int, write) -> list:
     return rows.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(write, _REPORT).collect()
 
 
-def train(docs: DataFrame, root: str, n_docs: int, min_count: int = MIN_COUNT) -> dict:
-    """Build the trie of docs (doc_id, text) under root; returns what Trie needs."""
+def train(docs: DataFrame, root: str, n_docs: int) -> tuple[dict, DataFrame]:
+    """Build the trie of docs (doc_id, text, learn) under root, from the rows that learn says: what Trie needs, and
+    every row as (doc_id, learn, ids)."""
+    root = shared_uri(docs.sparkSession, root)
     n_parts = 1 << (max(MIN_PARTS, n_docs // DOCS_A_PART) - 1).bit_length()
+    none, no_counts = np.empty(0, np.int64), np.empty(0, np.int64)
     found = {r["part"]: r for r in _gather(docs.mapInArrow(_count_words(n_parts), _COUNTED), n_parts, _write_words(root, n_parts))}
     sizes, totals = ([found[k][c] if k in found else 0 for k in range(n_parts)] for c in ("n", "total"))
-    info = {"root": root, "parts": n_parts, "v": sum(sizes), "n": sum(totals), "ones": sum(r["ones"] for r in found.values())}
-    info |= {"firsts": np.append(0, np.cumsum(sizes)).tolist(), "totals": np.append(0, np.cumsum(totals)).tolist(), "fan": 1, "triples": False}
+    info = {"root": root, "parts": n_parts, "v": sum(sizes), "n": sum(totals), "fan": 1, "triples": False, "end": -1}
+    info |= {"firsts": np.append(0, np.cumsum(sizes)).tolist(), "totals": np.append(0, np.cumsum(totals)).tolist()}
+    if info["v"]:
+        info["end"] = int(Trie(info).ids(np.array([END], np.uint64))[0])
+    numbered = materialize(docs.mapInArrow(_number_words(info), _NUMBERED), "numbered")
+    ids = numbered.filter("part is null").select("doc_id", "learn", "ids")
     if not info["v"]:
-        return info
-    pairs = _gather(docs.mapInArrow(_count_pairs(info), _COUNTED), n_parts, _write_pairs(info, min_count))
-    have = {r["part"] for r in pairs}
-    for k in set(range(n_parts)) - have:  # parts without a word
-        none = np.empty(0, np.int64)
-        write_arrays(f"{root}/pairs-{k:05d}", ef_encode("head", none, 1) | ef_encode("start", np.zeros(1, np.int64), 1) | ef_encode("pair", none, 1) | quantise("a", np.empty(0)) | quantise("g", np.empty(0)))
-        write_arrays(f"{root}/pair_counts-{k:05d}", {"count": np.empty(0, np.uint32)})
-    info["fan"] = max(1, *(r["fan"] for r in pairs))
-    triples = {r["part"] for r in _gather(docs.mapInArrow(_count_triples(info), _COUNTED), n_parts, _write_triples(info, min_count))}
-    for k in set(range(n_parts)) - triples:  # parts without a triple: every weight is 1
-        n = len(map_arrays(f"{root}/pair_counts-{k:05d}")["count"])
-        write_arrays(f"{root}/triples-{k:05d}", ef_encode("triple", np.empty(0, np.int64), 1) | quantise("a", np.empty(0)) | quantise("g", np.ones(n)))
-    return info | {"triples": True}
-
-
-def token_probabilities(trie: Trie, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return info, ids
+    pairs = _gather(numbered.filter("part is not null").select("part", "keys", "counts"), n_parts, _write_pairs(info))
+    trie = Trie(info)
+    for k in set(range(n_parts)) - {r["part"] for r in pairs}:  # parts without a word
+        arrays, own, *_ = _pairs_files(trie, none, no_counts)
+        write_arrays(trie.path("pairs", k), arrays)
+        write_arrays(trie.path("pair_counts", k), own)
+    spread: dict[int, float] = {}
+    for r in pairs:
+        for u, x in zip(r["heads"], r["sums"], strict=True):
+            spread[u] = spread.get(u, 0.0) + x
+    info |= {"fan": max(r["fan"] for r in pairs), "cut": sorted(spread), "cut_g": [1 - spread[u] for u in sorted(spread)]}
+    triples = _gather(ids.filter("learn").mapInArrow(_count_triples(info), _COUNTED), n_parts, _write_triples(info))
+    for k in set(range(n_parts)) - {r["part"] for r in triples}:  # parts without a triple: every weight is 1
+        n = len(map_arrays(trie.path("pair_counts", k))["count"])
+        write_arrays(trie.path("triples", k), _triples_file(info["fan"], np.ones(n, np.int64), none, no_counts))
+    return info | {"triples": True}, ids
+
+
+def token_probabilities(trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of every token: its count in training, its probability."""
     info = trie.info
     if not info["v"]:
-        return np.zeros(len(hashes), np.int64), np.ones(len(hashes))
-    g = _with_pairs(trie, _grams(trie, sizes, hashes))
-    d = min(0.9, info["ones"] / info["v"])
-    d = d or 0.5
-    p1 = np.where(g["c"] > 0, g["c"] - d, d * info["v"]) / info["n"]
+        return np.zeros(len(ids), np.int64), np.ones(len(ids))
+    g = _with_pairs(trie, _grams(trie, sizes, ids))
+    p1 = np.where(g["c"] > 0, g["c"] - DISCOUNT, DISCOUNT * info["v"]) / info["n"]
     p2 = g["a"] + g["g1"] * p1
-    # an unknown word after a known one takes its share of that word's back-off mass
-    lone = np.flatnonzero((g["u"] >= 0) & (g["w"] < 0))
-    if len(lone):
-        u, back = np.unique(g["u"][lone], return_inverse=True)
-        part = np.zeros(len(u), np.int64)
-        part[back] = g["up"][lone]
-        p2[lone] = p1[lone] * trie.pairs(part, u, np.full(len(u), -1, np.int64))["g1"][back]
-    where, part, key = _triple_keys(trie, g)
+    where, part, key = _triples(trie, g)
     a3 = np.zeros(len(p2))
-    if len(where):
-        order = np.lexsort((key, part))
-        a3[where[order]] = trie.triples(part[order], key[order])
+    for k, rows in _by_part(part):
+        unique, back = np.unique(key[rows], return_inverse=True)
+        a3[where[rows]] = trie.triples(np.full(len(unique), k), unique // info["fan"], unique % info["fan"])[back]
     back_off = np.roll(g["g2"], 1)
     back_off[g["starts"]] = 1.0
     return g["c"], a3 + back_off * p2
@@ -472,30 +596,28 @@ def _score(info: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(info)
         scale = np.log10(info["n"] + 0.1 * (info["v"] + 1))
-        for ids, sizes, hashes in _chunks(batches):
-            c, p = token_probabilities(trie, sizes, hashes)
+        for rows, sizes, ids in _chunks(_numbered(batches)):
+            c, p = token_probabilities(trie, sizes, ids)
             starts = np.cumsum(sizes) - sizes
             base = np.add.reduceat(np.log10(c + 0.1) - scale, starts)
             known = np.add.reduceat((c > 0).astype(np.int64), starts)
             score = np.add.reduceat(np.log10(p), starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), info["n"], np.int64)), pa.array(base), pa.array(score)],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(rows), info["n"], np.int64)), pa.array(base), pa.array(score)],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     return run
 
 
-def score_texts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def score_texts(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from rows that are not held out (a null doc_id is never held out). Null and empty texts
     are the end token alone. Repeated rows count each in training. Without training rows every known
     count is 0 and every score 0. An empty table gives an empty result; other columns are ignored.
     """
-    source = docs.select("doc_id", text_or_empty().alias("text"), held_out(0, 10).alias("held_out"))
-    learn = source.filter(~F.col("held_out")).select("doc_id", "text")
-    root = scratch_path(docs.sparkSession, "lm")
-    info = train(learn, root, learn.count(), min_count)
-    scored = source.select("doc_id", "text").mapInArrow(_score(info), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    source = docs.select("doc_id", text_or_empty().alias("text"), (~held_out(0, 10)).alias("learn"))
+    info, ids = train(source, scratch_path(docs.sparkSession, "lm"), source.filter("learn").count())
+    scored = ids.mapInArrow(_score(info), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", held_out(0, 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
