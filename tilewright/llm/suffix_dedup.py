@@ -6,8 +6,13 @@ depends on the window's bytes alone. Windows that share an anchor in a document
 Segments whose anchor occurs once cannot repeat. The others are sorted, anchor by anchor, with a
 suffix array built in two stages: suffixes smaller than their successors are sorted directly, the
 rest are induced by scanning the buckets, and adjacent common prefixes then show what repeats. Equal
-segments count as one text with a multiplicity. Anchors with very many different segments go another
-exact way: their windows are counted by 128-bit digests.
+segments count as one text with a multiplicity.
+
+A passage that very many different texts share makes a group too large for one task. Its windows are
+dealt anew by where the anchor lies in them: all windows with the anchor in a narrow range of places
+contain one core around it, so equal windows meet under (anchor, range, core), and texts that differ
+near the passage part. Groups that stay too large get narrower ranges; at a range of one place the
+core is the window itself and a group is one text. Every group ends in a suffix array.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from tilewright.llm.minhash import mix
 
 LENGTH = 400
 ANCHOR = 32
-#: Different segments of one anchor that a task sorts together; beyond, windows are counted by digest.
+#: Different segments that a task sorts together; larger groups are dealt anew by cores.
 HOT_GROUP = 4_000
+#: A content that more than this part of all segments share is looked up by a broadcast: that many contents at most.
+HEAVY_CONTENTS = 256
 #: Bytes of segments in one suffix array (a group of segments is never cut).
 BATCH_BYTES = 1 << 18
 #: Windows of a text that are hashed at once: a dozen arrays of eight bytes a window.
@@ -49,8 +56,8 @@ def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text's windows: hash, first and last start of the windows that have it, in order."""
+def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Anchors of a text's windows: hash, first and last start of the windows that have it, its place, in order."""
     parts = []
     for at in range(0, max(1, len(text) - length + 1), _SLICE):
         t = np.frombuffer(text, np.uint8)[at : at + _SLICE + length - 1].astype(np.uint64)
@@ -64,10 +71,10 @@ def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
         least = _slide_min(h & ~_PLACE | np.arange(n, dtype=np.uint64), length - anchor + 1) & _PLACE
         first = np.flatnonzero(np.diff(least, prepend=np.uint64(_PLACE)))
         last = np.append(first[1:], len(least)) - 1
-        parts.append((h[least[first].astype(np.int64)].view(np.int64), first + at, last + at))
+        place = least[first].astype(np.int64)
+        parts.append((h[place].view(np.int64), first + at, last + at, place + at))
     if not parts:
-        none = np.empty(0, np.int64)
-        return none, none, none
+        return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -196,7 +203,7 @@ def _segments(length: int):
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
                 for did, copies, wanted, text in zip(*(part.column(c).to_pylist() for c in ("did", "copies", "hs")), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    h, first, last = anchors(text, length)
+                    h, first, last, _ = anchors(text, length)
                     keep = np.isin(h, np.array(wanted, np.int64))
                     for a, lo, hi in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                         content = text[lo : hi + length]
@@ -252,19 +259,62 @@ def _sort_groups(length: int):
     return run
 
 
-def _digests(length: int):
+_PIECE = "p1 long, p2 long, at long, n long, h long, c1 long, c2 long, content binary"
+
+
+def _recut(length: int, reach: int):
+    """Contents cut into pieces whose windows have their anchor in one range of `reach` places, dealt by the core they all contain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c1, c2, content in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "content")), strict=True):
-                n = len(content) - length + 1
-                raw = b"".join(xxhash.xxh3_128_digest(content[i : i + length]) for i in range(n))
-                d = np.frombuffer(raw, "<i8").reshape(n, 2)
-                full = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([full(h), full(c1), full(c2), pa.array(np.arange(n)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["h", "c1", "c2", "at", "d1", "d2"])
+            rows = []
+            for h, p1, p2, content in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "content")), strict=True):
+                place = int(anchors(content, length)[3][0])
+                last = len(content) - length
+                for k in range((place - last) // reach, place // reach + 1):
+                    lo, hi = max(0, place - (k + 1) * reach + 1), min(last, place - k * reach)
+                    core = content[place - k * reach : place - (k + 1) * reach + 1 + length]
+                    dealt = xxhash.xxh3_64_intdigest(core, seed=(h ^ k) & (1 << 64) - 1)
+                    piece = content[lo : hi + length]
+                    digest = xxhash.xxh3_128_digest(piece)
+                    c1, c2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+                    rows.append((p1, p2, lo, hi - lo + 1, dealt - (1 << 64) if dealt >> 63 else dealt, c1, c2, piece))
+            columns = [*zip(*rows, strict=True)] if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], names=[c.split()[0] for c in _PIECE.split(", ")])
 
     return run
 
 
+def _on_content(rows: DataFrame, right: DataFrame) -> DataFrame:
+    """rows joined with right on (c1, c2). Contents that very many rows have are few, and go by a broadcast."""
+    keys = ["c1", "c2"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    heavy = F.broadcast(materialize(sizes.filter(F.col("m") > max(rows.count() // HEAVY_CONTENTS, 1000)).select(*keys), "heavy"))
+    light = rows.join(heavy, keys, "left_anti").join(right.join(heavy, keys, "left_anti"), keys)
+    return light.unionByName(rows.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys))
+
+
+def _repeats_within(contents: DataFrame, length: int, hot_group: int, reach: int) -> DataFrame:
+    """contents (h, c1, c2, content): runs (c1, c2, lo, hi) of starts of strings that other contents of the group, or the same, have too."""
+    sizes = contents.select("h", "c1", "c2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    hot = materialize(sizes.filter(F.col("m") > hot_group).select("h"), "hot") if reach > 1 else None
+    cold = contents if hot is None or hot.isEmpty() else contents.join(hot, "h", "left_anti")
+    runs = cold.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_sort_groups(length), _RUNS)
+    runs = runs.select("c1", "c2", F.inline(F.arrays_zip("lo", "hi")))
+    if cold is contents:
+        return materialize(runs, "runs")
+    reach = -(-reach // 4)
+    pieces = contents.join(hot, "h", "left_semi").dropDuplicates(["c1", "c2"]).mapInArrow(_recut(length, reach), _PIECE)
+    pieces = materialize(pieces, "pieces")
+    refs = pieces.drop("h", "content")
+    shared = pieces.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c1", "c2")
+    whole = _on_content(refs, shared).select("p1", "p2", F.col("at").alias("lo"), F.expr("at + n - 1").alias("hi"))
+    inner = _repeats_within(pieces.select("h", "c1", "c2", "content").dropDuplicates(["c1", "c2"]), length, hot_group, reach)
+    parts = _on_content(refs, inner).select("p1", "p2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    found = whole.union(parts).select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "lo", "hi")
+    return materialize(runs.unionByName(found), "runs")
+
+
 def _cut(length: int):
     """Texts with the runs of starts to remove: what is left of them."""
 
@@ -313,19 +363,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
     segments = materialize(one.mapInArrow(_segments(length), _SEGMENT), "segments")
     times = segments.groupBy("c1", "c2").agg(F.sum("copies").alias("times"))
     sent = segments.filter("content is not null").select("h", "c1", "c2", "content")
-    hot = materialize(sent.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_group).select("h"), "hot")
-    cold = sent.join(hot, "h", "left_anti") if not hot.isEmpty() else sent
-    runs = cold.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_sort_groups(length), _RUNS)
-    if not hot.isEmpty():
-        windows = sent.join(hot, "h", "left_semi").dropDuplicates(["c1", "c2"]).mapInArrow(_digests(length), "h long, c1 long, c2 long, at long, d1 long, d2 long")
-        windows = materialize(windows, "windows")
-        twice = windows.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-        starts = windows.join(twice, ["h", "d1", "d2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_list("at")).alias("lo"))
-        runs = runs.unionByName(starts.select("c1", "c2", "lo", F.col("lo").alias("hi")))
-    runs = materialize(runs, "runs")
+    runs = _repeats_within(sent, length, hot_group, length - ANCHOR + 1)
     refs = segments.select("did", "start", "n", "c1", "c2")
-    whole = refs.join(times.filter("times > 1").select("c1", "c2"), ["c1", "c2"]).select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
-    parts = refs.join(runs, ["c1", "c2"]).select("did", "start", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("did", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
+    whole = _on_content(refs, times.filter("times > 1").select("c1", "c2")).select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
+    parts = _on_content(refs, runs).select("did", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     spans = whole.union(parts).groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edited = one.select("did", "text").join(spans, "did").mapInArrow(_cut(length), "did long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     if not with_text:
