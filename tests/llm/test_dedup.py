@@ -53,6 +53,7 @@ def test_exact_dedup(spark, rows):
         assert sum(r["kept"] for r in got) == len(groups)
     kept = exact_dedup.drop_exact_copies(frame(spark, rows)).collect()
     assert Counter(bare(r["text"]) for r in kept) == Counter(groups.keys())
+    assert all((r["kept"], r["size"], r["tkey"]) == ("x", "y", "z") for r in kept)
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
@@ -160,7 +161,7 @@ def test_components(spark):
     assert got == {k: find(k) for k in {n for e in edges if e[0] != e[1] for n in e}}
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
+@pytest.mark.parametrize("hot", [4000, 2])
 def test_suffix_dedup(spark, rows, hot):
     texts = [(i, (t or "").encode()) for i, t in rows]
     n = 60
@@ -178,6 +179,38 @@ def test_suffix_dedup(spark, rows, hot):
     assert suffix_dedup.remove_repeats(frame(spark, []), length=n).count() == 0
 
 
+@pytest.mark.parametrize("words_in_passage", [60, 75, 95])
+def test_suffix_dedup_of_a_passage_in_all_texts(spark, words_in_passage):
+    """A passage below, near and above the length, in texts that differ around it: groups are dealt anew until they are small."""
+    rng = random.Random(2)
+    passage, n = words(rng, words_in_passage), 300
+    other = passage[: n * 2 // 3] + words(rng, 30)
+    rows = [(k, words(rng, rng.randint(20, 120)) + " " + (passage if k % 5 else other) + " " + (words(rng, rng.randint(20, 120)) if k % 7 else "one end of all these " * 12)) for k in range(60)]
+    times = Counter(t[k : k + n] for _, t in rows for k in range(len(t) - n + 1))
+    gone = {i: sum(any(times[t[k : k + n]] > 1 for k in range(max(0, at - n + 1), min(at, len(t) - n) + 1)) for at in range(len(t))) for i, t in rows}
+    for hot in (4000, 10, 2):
+        got = suffix_dedup.remove_repeats(frame(spark, rows), length=n, hot_group=hot).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == gone, hot
+
+
+def test_long_text_goes_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 500)
+    rng = random.Random(6)
+    base = words(rng, 200)
+    rows = [(1, base + " " + words(rng, 900) + " " + base), (2, words(rng, 2000))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got[1][0] >= 2 * len(base) and got[1][1] == 2 and got[2] == (0, 0)
+
+
+def test_block_names_do_not_depend_on_partitions(spark, rows):
+    named = [sorted((r["name"], r["level"], r["text_sha256"]) for r in exact_dedup.block_names(frame(spark, rows).repartition(k), block_bytes=64).collect()) for k in (1, 9)]
+    assert named[0] == named[1]
+    top = {}
+    for name, level, sha in named[0]:
+        top.setdefault(level, {}).setdefault(name, set()).add(sha)
+    assert all(len(x) == 1 for level in top.values() for x in level.values())
+
+
 def test_two_stage_order():
     rng = random.Random(4)
     for trial in range(40):

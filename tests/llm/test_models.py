@@ -116,42 +116,81 @@ def test_flat_trees_equal_walking():
         assert s == pytest.approx(1 / (1 + math.exp(-total)))
 
 
+def cut(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+
+
 def test_language_model(spark, rows):
+    """Against counts in plain dictionaries; probabilities differ by what a byte's rounding moves them."""
     got = lm.score_texts(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    cut = lambda t: [*(w.lower() for w in tokens(t)), "\n"]  # noqa: E731  (ASCII texts but one)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    c = Counter(w for i, t in rows if not held(i) for w in cut(t))
-    n, v = sum(c.values()), len(c)
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for w in (cut(t) for i, t in rows if not held(i)):
+        c1.update(w)
+        c2.update(zip([b"\n", *w], w, strict=False))
+        c3.update(zip([b"\n", *w], w, w[1:], strict=False))
+    n, v, d = sum(c1.values()), len(c1), lm.DISCOUNT
+    after1, after2 = Counter(u for u, _ in c2), Counter(k[:2] for k in c3)
+
+    def p1(w):
+        return (c1[w] - d if w in c1 else d * v) / n
+
+    def p2(u, w):
+        return (max(c2[u, w] - d, 0) + d * after1[u] * p1(w)) / c1[u] if u in c1 else p1(w)
+
+    def p3(t, u, w):
+        m = c2[t, u]
+        went_on = sum(k for x, k in c3.items() if x[:2] == (t, u)) if u == b"\n" else m
+        return (max(c3[t, u, w] - d, 0) + (m - went_on + d * after2[t, u]) * p2(u, w)) / m if m else p2(u, w)
+
     for r in got:
         w = cut(dict(rows)[r["doc_id"]])
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(x in c for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert r["score"] <= 1e-9
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(x in c1 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        score = math.log10(p2(b"\n", w[0])) + sum(math.log10(p3(*x)) for x in zip([b"\n", *w], w, w[1:], strict=False))
+        assert abs(r["score"] - score) <= 0.02 * len(w)
     assert lm.score_texts(frame(spark, [])).count() == 0
     assert lm.score_texts(frame(spark, rows).filter("doc_id = -1")).count() == 0
 
 
 def test_probabilities_add_up(spark, rows, tmp_path):
-    """Over all known words and the unknown one, after any two words, up to the rounding of the codes."""
-    docs = frame(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    info = lm.train(docs, str(tmp_path / "model"), docs.count())
+    """Over all known words and the unknown one, after any two words, up to the rounding of the codes; frequent first words are cut over parts."""
+    docs = frame(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("learn"))
+    info, _ = lm.train(docs, str(tmp_path / "model"), docs.count())
     trie = lm.Trie(info)
-    vocabulary = sorted({w.lower() for _, t in rows for w in (t or "").encode().lower().split()} | {b"\n"})
+    assert len(info["cut"]) > 5 and len({tuple(x) for x in (trie.figures(np.array(info["cut"]))[2],)}) == 1
+    vocabulary = sorted({w for _, t in rows for w in cut(t)})
     hash_of = lm.WordHashes()
+
+    def ids(words):
+        return np.array([trie.ids(np.array([hash_of[w]], np.uint64))[0] for w in words])
+
     for context in ([b"the", b"of"], [b"x", b"y"], [b"never", b"seen"], [b"the", b"never"]):
-        total = 0.0
+        before, total = ids(context), 0.0
         for w in [*vocabulary, b"unseen-word"]:
-            _, p = lm.token_probabilities(trie, np.array([3]), hash_of.of([*context, w]))
+            _, p = lm.token_probabilities(trie, np.array([3]), np.append(before, ids([w])))
             total += p[2]
         assert total == pytest.approx(1, abs=0.03)
 
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, u in ((0, 5), (1, 1), (1000, 10), (1000, 1 << 40), (777, 1 << 58)):
+    for n, u in ((0, 5), (1, 1), (1, 1 << 58), (1000, 10), (1000, 1 << 40), (777, 1 << 58), (5000, 6000)):
         v = np.sort(rng.integers(0, u, n))
-        assert (lm.ef_decode(lm.ef_encode("x", v, u), "x") == v).all()
+        coded = lm.Coded(lm.ef_encode("x", v, u), "x")
+        assert (coded.get(np.arange(n)) == v).all()
+        wanted = np.concatenate([v, rng.integers(0, u, 500)])
+        at = coded.find(wanted)
+        assert ((at >= 0) == np.isin(wanted, v)).all() and (v[at[at >= 0]] == wanted[at >= 0]).all()
+        lo, hi = np.sort(rng.integers(0, n + 1, (2, len(wanted))), axis=0)
+        inside = coded.find(wanted, lo, hi)
+        assert (inside == [next((k for k in range(a, b) if v[k] == w), -1) for w, a, b in zip(wanted, lo, hi, strict=True)]).all() if n <= 1000 else True
+        size = sum(x.nbytes for x in lm.ef_encode("x", v, u).values())
+        assert size <= n * (max(0, math.log2(u / max(n, 1))) + 1.5 * 3) / 8 + 100  # low bits, at most 3 high bits an entry, half as much for the directory
     p = rng.normal(size=5000)
     q = lm.quantise("p", p)
     assert np.abs(lm.dequantise(q, "p", np.arange(5000)) - p).mean() < 0.02
@@ -162,7 +201,6 @@ def test_packing(spark, rows, window, space, merge):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = packing.pack(frame(spark, rows).repartition(5), tokenizer_path(), window, space, merge_items=merge).collect()
     per_doc, per_sequence = {}, {}
     for r in got:
@@ -189,8 +227,7 @@ def test_units_equal_whole_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    texts = ["a  b", "\n\n x", "a \n b'sx 12's  ", "  ", "<|endoftext|> hi", "x y   z", "a\x1cb \x1c c", "é́ \t\tq'll!!'re", "", "\r\n \r\nA", "end.\nNo, no.'s a.,b.", "x  y ½x ²"]
+    texts = ["a  b", "\n\n x", "a \n b'sx 12's  ", "  ", "<|endoftext|> hi", "a <|endoftext|> b", "x  <|endoftext|>y.", "q\n\n<|endoftext|><|endoftext|>\n c", "x y   z", "a\x1cb \x1c c", "é́ \t\tq'll!!'re", "", "\r\n \r\nA", "end.\nNo, no.'s a.,b.", "x  y ½x ²"]
     assert packing.UnitTokenizer(tokenizer_path()).encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
@@ -240,14 +277,122 @@ def test_rates_written_between_steps(spark, monkeypatch):
     assert np.allclose(of(plain), of(written))
 
 
+def test_statistics_by_hand():
+    text = b"Ab ab, ab!\nx9 #\n\nAb ab, ab!\nx9 #\n"
+    found = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics([text])[0], strict=True))
+    w, n = text.decode().split(), len(text)
+    pairs, triples, lines = list(zip(w, w[1:], strict=False)), list(zip(w, w[1:], w[2:], strict=False)), [x for x in text.decode().split("\n") if x]
+    share = lambda chars: sum(text.decode().count(c) for c in chars) / n
+    sizes = [len(x) for x in w]
+    mean = sum(sizes) / len(w)
+    expected = {
+        "log_words": math.log(10), "log_bytes": math.log(n), "mean_word": mean, "std_word": math.sqrt(sum((x - mean) ** 2 for x in sizes) / 10), "max_word": 3, "unique_words": len(set(w)) / 10,
+        "repeat_pairs": 1 - len(set(pairs)) / 9, "repeat_triples": 1 - len(set(triples)) / 8, "upper": share("A"), "lower": share("abx"), "digit": share("9"), "space": share(" "), "newline": share("\n"),
+        "symbol": share("#"), "exclaim": share("!"), "comma": share(","), "stop": 0, "other_ascii": 0, "high": 0, "entropy": -sum(text.count(bytes([c])) / n * math.log(text.count(bytes([c])) / n) for c in set(text)),
+        "log_lines": math.log(4), "repeat_lines": 0.5, "mean_line": n / 4, "short_words": 1.0, "lines_end": 0.5, "top_word": 2 / 10,
+    }
+    assert found == pytest.approx(expected)
+    assert not quality_classifier.statistics([b"", b" \n"]).any()
+
+
+def test_posteriors_by_hand(spark, rows, labels):
+    """Naive Bayes in plain dictionaries; an id with several labels has the worst of them."""
+    extra = labels.union(spark.createDataFrame([(2, 0, 0), (3, 1, 1), (41, 1, 0)], labels.schema))
+    worst = {}
+    for i, q, t in extra.collect():
+        if i is not None and q is not None:
+            a = worst.get(i, (1, 0))
+            worst[i] = (min(a[0], q), max(a[1], t))
+    of = {i: 1 if t else 0 if q else 2 for i, (q, t) in worst.items()}
+    n_buckets = mixing.N_BUCKETS
+    bag = lambda t: [xxhash.xxh3_64_intdigest(w) % n_buckets for w in (t or "").encode().lower().split()]
+    counts, seen = [Counter(), Counter(), Counter()], [1, 1, 1]
+    for i, t in rows:
+        if i in of:
+            counts[of[i]].update(bag(t))
+            seen[of[i]] += 1
+    for r in mixing.mix(frame(spark, rows), extra).collect():
+        b = bag(dict(rows)[r["doc_id"]])
+        log = [math.log(seen[k] / sum(seen)) + (sum(math.log((counts[k][x] + 1) / (sum(counts[k].values()) + n_buckets)) for x in b) * min(1, mixing.EVIDENCE_WORDS / len(b)) if b else 0) for k in range(3)]
+        p = np.exp(np.array(log) - max(log))
+        assert np.allclose([r["p_good"], r["p_toxic"], r["p_poor"]], p / p.sum()) and r["tokens"] == len(b) + 1
+    assert of[2] == 2 and of[3] == 1 and of[41] == 2
+
+
+def test_conflicting_labels_do_not_depend_on_order(spark, rows, labels):
+    both = labels.union(labels.filter("doc_id < 20").withColumn("quality", 1 - F.col("quality")))
+    one, two = (quality_classifier.classify(frame(spark, rows), x).orderBy("doc_id").collect() for x in (both, both.repartition(7).orderBy(F.desc("doc_id"), "quality")))
+    assert one == two
+
+
+def test_stages_keep_clashing_columns(spark, rows, labels, tmp_path):
+    """Columns named like those the operators make come through every stage as they are; empty tables stay empty."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["_t", "_made", "score", "_sha", "_tkey", "tkey", "kept", "copies", "n_words", "d", "_copy", "text_sha256", "times", "_own_0"]
+    docs = frame(spark, rows).select("doc_id", "text", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in kept for c in names), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
+
+
+def _scores(rows, trusted, buckets):
+    """The rules' verdicts in plain Python."""
+    grams = [[spark_hash(*x) % buckets for x in [*((a,) for a in w), *zip(w, w[1:], strict=False)]] for w in (tokens(t) for _, t in rows)]
+    raw, target = Counter(), Counter()
+    for (i, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        target.update(g if i in trusted else [])
+    share = sum(target.values()) / sum(raw.values())
+    for (_, t), g in zip(rows, grams, strict=True):
+        w = tokens(t)
+        windows = list(zip(w, w[1:], w[2:], strict=False))
+        often = {x for x, n in Counter(windows).items() if n > 1}
+        covered = {k + d for k, x in enumerate(windows) if x in often for d in range(3)}
+        score = sum(math.log((target[k] / share + 10) / (raw[k] + 10)) for k in g) / len(g) if g else 0
+        yield len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and score >= quality_rules.THRESHOLD
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline(spark):
+    """Every stage's decisions against plain Python on its own input; all but the last keep the columns."""
     source = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
     docs, cols = source, source.columns
+    out = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, stage(spark, docs, DATA).cache()
-        assert docs.columns == cols and 0 < docs.count() <= before.count(), name
+        assert docs.columns == cols
+        out[name] = [[(r["doc_id"], r["text"]) for r in x.collect()] for x in (before, docs)]
         assert docs.join(before, cols, "left_anti").count() == 0
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
-    assert corpus_pipeline.run(spark, DATA).count() == pieces.count()
+    rows, kept = out["quality_rules"]
+    trusted = {r["doc_id"] for r in labels if r["quality"] == 1} - {r["doc_id"] for r in labels if r["quality"] == 0}
+    assert Counter(kept) == Counter(r for r, k in zip(rows, _scores(rows, trusted, quality_rules.N_BUCKETS), strict=True) if k)
+    rows, kept = out["exact_dedup"]
+    best = {}
+    for i, t in rows:
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+    assert sorted(i for i, _ in kept) == sorted(min(v)[1] for v in best.values())
+    rows, kept = out["near_dedup"]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.encode().lower().split()) for i, t in rows)}
+    top = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top[a], top[b]))
+                top = {i: x if c == y else c for i, c in top.items()}
+    assert sorted(i for i, _ in kept) == sorted(set(top.values()))
+    rows, kept = out["mixing"]
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{DATA}/labels.parquet"), max_rate=None).collect()}
+    assert Counter(i for i, _ in kept) == Counter({i: n for i, n in copies.items() if n})
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in kept}
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in pieces)
+    assert sum(r["length"] for r in pieces) == sum(len(ids[i]) for i, _ in kept)
+    assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
