@@ -10,14 +10,13 @@ from tilewright.llm.exact_dedup import drop_exact_copies
 from tilewright.llm.minhash import drop_near_copies
 from tilewright.llm.mixing import drawn
 from tilewright.llm.packing import pack
-from tilewright.llm.quality_rules import quality_rules as judge
+from tilewright.llm.quality_rules import drop_rejected
 from tilewright.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, labels).filter("kept").select(*docs.columns)
+    return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
