@@ -33,7 +33,7 @@ LENGTH = 400
 ANCHOR = 32
 #: Different segments that a task sorts together; larger groups are dealt anew by cores.
 HOT_GROUP = 4_000
-#: A content that more than this part of all segments share is looked up by a broadcast: that many contents at most.
+#: A content that more than this part of all segments share is told by a broadcast: that many contents at most.
 HEAVY_CONTENTS = 256
 #: Bytes of segments in one suffix array (a group of segments is never cut).
 BATCH_BYTES = 1 << 18
@@ -285,13 +285,18 @@ def _recut(length: int, reach: int):
     return run
 
 
-def _on_content(rows: DataFrame, right: DataFrame) -> DataFrame:
-    """rows joined with right on (c1, c2). Contents that very many rows have are few, and go by a broadcast."""
+def _by_content(rows: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose content (c1, c2) comes more than once, and rows whose content is not one of the very frequent ones.
+
+    times: (c1, c2, m rows, times). Contents that a large part of the rows have are few, so they are
+    told by a broadcast and their rows meet nowhere.
+    """
     keys = ["c1", "c2"]
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-    heavy = F.broadcast(materialize(sizes.filter(F.col("m") > max(rows.count() // HEAVY_CONTENTS, 1000)).select(*keys), "heavy"))
-    light = rows.join(heavy, keys, "left_anti").join(right.join(heavy, keys, "left_anti"), keys)
-    return light.unionByName(rows.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys))
+    total = times.agg(F.sum("m")).first()[0] or 0
+    heavy = materialize(times.filter(F.col("m") > max(total // HEAVY_CONTENTS, 1000)).select(*keys, F.lit(True).alias("heavy")), "heavy")
+    marked = rows.join(F.broadcast(heavy), keys, "left")
+    light = marked.filter("heavy is null").drop("heavy")
+    return light.join(times.filter("times > 1").select(*keys), keys, "left_semi").unionByName(marked.filter("heavy").drop("heavy")), light
 
 
 def _repeats_within(contents: DataFrame, length: int, hot_group: int, reach: int) -> DataFrame:
@@ -306,11 +311,12 @@ def _repeats_within(contents: DataFrame, length: int, hot_group: int, reach: int
     reach = -(-reach // 4)
     pieces = contents.join(hot, "h", "left_semi").dropDuplicates(["c1", "c2"]).mapInArrow(_recut(length, reach), _PIECE)
     pieces = materialize(pieces, "pieces")
-    refs = pieces.drop("h", "content")
-    shared = pieces.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c1", "c2")
-    whole = _on_content(refs, shared).select("p1", "p2", F.col("at").alias("lo"), F.expr("at + n - 1").alias("hi"))
+    times = materialize(pieces.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).withColumn("times", F.col("m")), "times")
+    shared, light = _by_content(pieces.drop("h", "content"), times)
+    whole = shared.select("p1", "p2", F.col("at").alias("lo"), F.expr("at + n - 1").alias("hi"))
     inner = _repeats_within(pieces.select("h", "c1", "c2", "content").dropDuplicates(["c1", "c2"]), length, hot_group, reach)
-    parts = _on_content(refs, inner).select("p1", "p2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    once = inner.join(times.filter("times = 1").select("c1", "c2"), ["c1", "c2"])  # the others are found as a whole
+    parts = light.join(once, ["c1", "c2"]).select("p1", "p2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
     found = whole.union(parts).select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "lo", "hi")
     return materialize(runs.unionByName(found), "runs")
 
@@ -361,12 +367,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
     texts = materialize(texts, "texts")  # a document repeated as a row is here as often; segments below take one
     one = texts.groupBy("did").agg(F.first("copies").alias("copies"), F.first("hs").alias("hs"), F.first("text").alias("text")) if not texts.filter("copies > 1").isEmpty() else texts
     segments = materialize(one.mapInArrow(_segments(length), _SEGMENT), "segments")
-    times = segments.groupBy("c1", "c2").agg(F.sum("copies").alias("times"))
+    times = materialize(segments.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("times")), "times")
     sent = segments.filter("content is not null").select("h", "c1", "c2", "content")
     runs = _repeats_within(sent, length, hot_group, length - ANCHOR + 1)
-    refs = segments.select("did", "start", "n", "c1", "c2")
-    whole = _on_content(refs, times.filter("times > 1").select("c1", "c2")).select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
-    parts = _on_content(refs, runs).select("did", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    shared, light = _by_content(segments.select("did", "start", "n", "c1", "c2"), times)
+    whole = shared.select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
+    once = runs.join(times.filter("times = 1").select("c1", "c2"), ["c1", "c2"])  # the others are found as a whole
+    parts = light.join(once, ["c1", "c2"]).select("did", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     spans = whole.union(parts).groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edited = one.select("did", "text").join(spans, "did").mapInArrow(_cut(length), "did long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     if not with_text:
