@@ -57,10 +57,12 @@ def dimensions_label(status: Column, w: Column, h: Column, out_w: Column, out_h:
 
 
 def meter_line(counted: Column, remaining: Column, limit: Column, period: Column) -> Column:
+    """The month as one line (fixed values: the three texts)."""
+    whole, month = limit.cast("string"), period_label(period)
     return (
-        F.when(~counted, F.concat(F.lit("not counted yet; the free plan allows "), limit.cast("string"), F.lit(" a month")))
-        .when(remaining <= 0, F.concat(F.lit("all "), limit.cast("string"), F.lit(" used in "), period_label(period)))
-        .otherwise(F.concat(remaining.cast("string"), F.lit(" of "), limit.cast("string"), F.lit(" left in "), period_label(period)))
+        F.when(~counted, F.concat(F.lit("The free plan allows "), whole, F.lit(" enhancements a month — one internet connection sets this month’s count up")))
+        .when(remaining <= 0, F.concat(F.lit("All "), whole, F.lit(" free enhancements used in "), month))
+        .otherwise(F.concat(remaining.cast("string"), F.lit(" of "), whole, F.lit(" free enhancements left in "), month))
     )
 
 
@@ -73,6 +75,13 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def stem(path: Column, default: str = "image") -> Column:
+    """The file's name without its last extension; a leading dot begins no extension."""
+    name = F.element_at(F.split(path, r"[/\\]"), -1)
+    bare = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+    return F.when(bare == "", default).otherwise(bare)
+
+
 def format_of(ext: Column) -> Column:
     """The format a known extension names, else null."""
     table = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])

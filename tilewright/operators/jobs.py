@@ -85,16 +85,53 @@ def monotone_progress(events: DataFrame) -> DataFrame:
 
 
 def fold_single_job(events: DataFrame) -> DataFrame:
-    """events (job, seq, phase) of single jobs: the phase each ends in. Failed and cancelled stay; failed gives way to cancelled only."""
-    sticky = lambda s, e: (
-        F.when(e["phase"] == "cancelled", e["phase"])
-        .when(s == "cancelled", s)
-        .when(e["phase"] == "failed", e["phase"])
-        .when((s == "failed") | ~e["phase"].isin("processing", "completing", "completed"), s)
-        .otherwise(e["phase"])
-    )
-    own = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("seq", "phase"))).alias("own"))
-    return own.select("job", F.aggregate("own", F.lit("preparing"), sticky).alias("phase"))
+    """events (job, seq, phase) of single jobs: the phase each ends in. Failed and cancelled stay; failed gives way to cancelled
+    only. Plain aggregates, so a job with very many events combines before it is shuffled."""
+    phase = F.col("phase")
+    moving = F.max_by(F.when(phase.isin("processing", "completing", "completed"), phase), F.when(phase.isin("processing", "completing", "completed"), F.col("seq")))
+    had = lambda p: F.bool_or(phase == p)
+    return events.groupBy("job").agg(F.when(had("cancelled"), "cancelled").when(had("failed"), "failed").otherwise(F.coalesce(moving, F.lit("preparing"))).alias("phase"))
+
+
+def next_waiting(queues: DataFrame) -> DataFrame:
+    """queues (queue, ordinal, item, state, cancelling): the item each queue runs next; those cancelled while they waited never run."""
+    ready = queues.filter((F.col("state") == "waiting") & ~F.col("cancelling"))
+    return ready.groupBy("queue").agg(F.min_by("item", "ordinal").alias("item"), F.min("ordinal").alias("ordinal"))
+
+
+def cancel(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """items (item, state, cancelling) after the wish to cancel asked (item): accepted tells whether it was still open. A waiting
+    item is flagged and ends when it is picked; a running one stops at the next tile."""
+    wished = items.join(asked.select("item").distinct().withColumn("_asked", F.lit(True)), "item", "left")
+    accepted = F.coalesce(F.col("_asked"), F.lit(False)) & F.col("state").isin("waiting", "processing")
+    return wished.select("item", "state", (F.col("cancelling") | accepted).alias("cancelling"), accepted.alias("accepted"))
+
+
+def pick_up(items: DataFrame) -> DataFrame:
+    """Waiting items that are flagged are cancelled."""
+    flagged = F.col("cancelling") & (F.col("state") == "waiting")
+    return items.withColumn("state", F.when(flagged, "cancelled").otherwise(F.col("state")))
+
+
+def retry_check(items: DataFrame, remaining: Column) -> DataFrame:
+    """One row: how many items a retry would put back, and whether the meter covers them."""
+    n = F.count_if(F.col("state").isin("failed", "cancelled"))
+    return items.agg(n.alias("n_retried"), ((n > 0) & (n <= remaining)).alias("allowed"))
+
+
+#: Fixed value: items of one batch.
+MAX_ITEMS = 500
+
+
+def accept_batch(requests: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+    """requests (batch, item): a batch without items or with too many is refused as a whole."""
+    return requests.groupBy("batch").agg(F.count("item").alias("n_items"), ((F.count("item") == 0) | (F.count("item") > max_items)).alias("refused"))
+
+
+def tile_progress(tiles: DataFrame) -> DataFrame:
+    """tiles (image, band, col): done and total after each, row by row. done follows from the place, so no window is needed."""
+    size = tiles.groupBy("image").agg((F.max("col") + 1).alias("cols"), F.count(F.lit(1)).alias("total"))
+    return tiles.join(size, "image").select("image", "band", "col", (F.col("band") * F.col("cols") + F.col("col") + 1).cast("long").alias("done"), "total")
 
 
 def attempt_ladder(outcomes: Column, ceiling: Column, max_attempts: int = 3) -> Column:

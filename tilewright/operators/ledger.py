@@ -55,6 +55,69 @@ def settle(cache_period: Column, used: Column, pending: Column, reply_period: Co
     return {"pending": left, "used": now, "remaining": remaining_of(limit, now, left)}
 
 
+def owed(events: DataFrame) -> DataFrame:
+    """events (meter, seq, month, kind, n): what each meter still owes after add (n more), ack (n were posted) and read (of a month).
+
+    A read of another month than the last one forgives what was owed before it; adds while a post is
+    under way stay owed; what is owed is at least 0 and at most the limit.
+    """
+    at = Window.partitionBy("meter").orderBy("seq")
+    month = F.last(F.when(F.col("kind").isin("read", "ack"), F.col("month")), ignorenulls=True)
+    known = events.withColumn("_was", month.over(at.rowsBetween(Window.unboundedPreceding, -1)))
+    closes = (F.col("kind") == "read") & F.col("_was").isNotNull() & (F.col("month") != F.col("_was"))
+    since = known.withColumn("_era", F.sum(closes.cast("int")).over(at))
+    last = since.withColumn("_last", F.max("_era").over(Window.partitionBy("meter"))).filter("_era = _last")
+    move = F.when(F.col("kind") == "add", F.col("n")).when(F.col("kind") == "ack", -F.col("n")).otherwise(0).cast("long")
+    moved = last.withColumn("_sum", F.sum(move).over(at))
+    # never below 0: the sum less its own least value so far
+    open_ = moved.withColumn("_owed", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(at)))
+    end = open_.groupBy("meter").agg(F.max_by("_owed", "seq").alias("owed"))
+    return end.select("meter", F.least("owed", meter_limit(F.col("meter")).cast("long")).alias("owed"))
+
+
+def read_reply(status: Column, body: Column) -> dict[str, Column]:
+    """A meter's reply as columns: anything but a good 200 is meter_unreachable, never a verdict. used is at most the limit,
+    allowed defaults to what remains, and a reply without a clock still counts as synced at 1."""
+    at = lambda k, t: F.get_json_object(body, f"$.{k}").try_cast(t)
+    period, lim, used, left = F.get_json_object(body, "$.period"), at("limit", "long"), at("used", "long"), at("remaining", "long")
+    ok = F.coalesce((status == 200) & client_period(period) & lim.isNotNull() & used.isNotNull() & left.isNotNull(), F.lit(False))
+    keep = lambda c: F.when(ok, c)
+    return {
+        "error": F.when(~ok, "meter_unreachable"), "period": keep(period), "limit": keep(lim), "used": keep(F.least(used, lim)), "allowed": keep(F.coalesce(at("allowed", "boolean"), left > 0)),
+        "synced_at": keep(F.greatest(F.lit(1), F.coalesce(at("server_time", "long"), F.lit(0)))),
+    }
+
+
+def relay_charge(items: DataFrame) -> DataFrame:
+    """items (meter, state): one credit for each completed one."""
+    return items.groupBy("meter").agg(F.count_if(F.col("state") == "completed").alias("credits"))
+
+
+def meter_id(raw: Column) -> Column:
+    """A meter's id as it is stored, or null (fixed value: its pattern)."""
+    clean = F.lower(F.trim(raw))
+    return F.when(clean.rlike("^[a-z0-9]{8,64}$"), clean)
+
+
+def server_period(period: Column) -> Column:
+    return F.coalesce(period.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])$"), F.lit(False))
+
+
+def client_period(period: Column) -> Column:
+    """The looser rule of a client: digits and a dash in their places."""
+    return F.coalesce(period.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.lit(False))
+
+
+def spend_request_error(body: Column) -> Column:
+    """The first fault of a spend request, or null: 1 to 2048 characters of JSON with a meter id and a whole count of 1 to 1000."""
+    record = F.from_json(body, "install_id string, count double")
+    count = record["count"]
+    return (
+        F.when(body.isNull() | (F.length(body) == 0) | (F.length(body) > 2048), "invalid body").when(record.isNull() | ~F.coalesce(F.trim(body).startswith("{"), F.lit(False)), "invalid json")
+        .when(meter_id(record["install_id"]).isNull(), "unknown install id").when(count.isNull() | (F.floor(count) < 1) | (F.floor(count) > MAX_SPEND), "count must be an integer from 1 to 1000")
+    )
+
+
 def check_decision(synced: Column, allowed: Column, remaining: Column, limit: Column, reply_ok: Column, reply_allowed: Column, reply_remaining: Column, n: Column) -> Column:
     """ok, quota_exceeded or meter_unreachable for a request of n, from the cache and, if that does not do, one reply."""
     covered = synced & allowed & (n <= remaining)
@@ -65,11 +128,26 @@ def check_decision(synced: Column, allowed: Column, remaining: Column, limit: Co
 # --- orders and pools ------------------------------------------------------------------------------
 
 
-def claim_keys(orders: DataFrame, pool: DataFrame) -> DataFrame:
+def rank_in_order(df: DataFrame, group: str, order: list[str], bucket: Column, out: str) -> DataFrame:
+    """1-based rank in `order` inside a group, without a window over a whole group.
+
+    bucket is a coarse value that never falls as `order` rises (a day of a time): rows are ranked
+    inside a bucket, and the counts of the buckets before, a small table, are added.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    shift = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
+    return ranked.join(shift, [group, "_bucket"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before")
+
+
+def claim_keys(orders: DataFrame, pool: DataFrame, order_bucket: Column | None = None, key_bucket: Column | None = None) -> DataFrame:
     """orders (order_id, edition, paid_at) and pool (key, edition, issued_at): the oldest free key of the edition to the oldest
-    order, one each; orders beyond the pool get null. Ranks are per edition and bucketed sort, so no lock is needed."""
-    o = orders.withColumn("_rank", F.row_number().over(Window.partitionBy("edition").orderBy("paid_at", "order_id")))
-    p = pool.withColumn("_rank", F.row_number().over(Window.partitionBy("edition").orderBy("issued_at", "key")))
+    order, one each; orders beyond the pool get null. Both sides are ranked by days, so no edition meets in one task and no lock is needed."""
+    day = lambda c: F.date_trunc("day", c)
+    o = rank_in_order(orders, "edition", ["paid_at", "order_id"], day("paid_at") if order_bucket is None else order_bucket, "_rank")
+    p = rank_in_order(pool, "edition", ["issued_at", "key"], day("issued_at") if key_bucket is None else key_bucket, "_rank")
     return o.join(p.select("edition", "_rank", "key"), ["edition", "_rank"], "left").select("order_id", "edition", "paid_at", "key")
 
 
@@ -141,10 +219,11 @@ def add_first(known: DataFrame, arriving: DataFrame, key: str, ordinal: str) ->
     return known.unionByName(first.join(known.select(key), key, "left_anti").select(*known.columns))
 
 
-def safe_names(files: DataFrame, taken: DataFrame) -> DataFrame:
+def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None) -> DataFrame:
     """files (dir, stem, ext, ordinal), taken (dir, name): stem.ext, or the next free stem-2, stem-3 ... in order of ordinal.
 
-    Names already there push the numbers on: a file of rank r gets the r-th number that is free.
+    Names already there push the numbers on: a file of rank r gets the r-th number that is free. Beyond
+    999 a name ends in `stamp`, the time in milliseconds (a literal, the ordinal if none is given).
     """
     held = taken.join(files.select("dir", "stem", "ext").distinct(), "dir")
     tail = F.expr("substring(name, length(stem) + 1, length(name) - length(stem) - length(ext) - 1)")
@@ -154,5 +233,6 @@ def safe_names(files: DataFrame, taken: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("dir", "stem", "ext").orderBy("ordinal"))
     ranked = files.withColumn("_r", rank).join(used, ["dir", "stem", "ext"], "left")
     k = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("_r"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    name = F.concat("stem", F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext")
+    late = (F.col("ordinal") if stamp is None else stamp).cast("string")
+    name = F.concat("stem", F.when(k >= 1000, F.concat(F.lit("-"), late)).when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext")
     return ranked.select("dir", "ordinal", name.alias("name"))

@@ -118,9 +118,9 @@ def meter_check_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_custkey") % 2 == 0, "pro").otherwise("studio").alias("edition"), F.col("o_orderdate").alias("paid_at"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_custkey") % 2 == 0, "pro").otherwise("studio").alias("edition"), F.col("o_orderdate").alias("paid_at"))
     p = _t(spark, sf_dir, "part").select(F.concat(F.lit("KEY-"), F.col("p_partkey").cast("string")).alias("key"), F.when(F.col("p_size") % 3 == 0, "studio").otherwise("pro").alias("edition"), (F.col("p_partkey") * 7919 % 10007).alias("issued_at"))
-    return L.claim_keys(o, p).select("order_id", "edition", "key")
+    return L.claim_keys(o, p, key_bucket=F.expr("issued_at div 64")).select("order_id", "edition", "key")
 
 
 def order_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ def lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("source"), F.lit("/"), F.substring("text", 1, 12)).alias("id"), "doc_id", "n_chars")
+    d = _t(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("source"), F.lit("/"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("id"), "doc_id", "n_chars")
     return L.add_first(d.filter("doc_id % 10 = 0").dropDuplicates(["id"]).select("id", F.lit(-1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_chars")), d.filter("doc_id % 10 <> 0"), "id", "doc_id")
 
 
@@ -264,7 +264,7 @@ def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, now = F.col("c_custkey"), F.lit(1_760_000_000)
     state = Y.license_state(
-        k % 17 != 0, k % 13 != 0, F.when(k % 11 == 0, 2).otherwise(1), k % 19 != 0, F.when(k % 3 == 0, F.concat(F.lit("m"), (k % 5).cast("string"))), F.lit("m0"), now - 86400 * (k % 30) + F.when(k % 7 == 0, 3_000_000).otherwise(0),
+        k % 17 != 0, k % 13 != 0, F.when(k % 11 == 0, 2).otherwise(1), k % 19 != 0, F.when(k % 3 == 0, F.concat(F.lit("m"), (k % 5).cast("string"))), F.when(k % 29 != 0, "m0"), now - 86400 * (k % 30) + F.when(k % 7 == 0, 3_000_000).otherwise(0),
         F.when(k % 4 == 0, now + 86400 * (k % 9 - 4)), k % 23 == 0, F.when(k % 5 == 0, now + 1800 * (k % 6)), now,
     )
     c = _t(spark, sf_dir, "customer").select("c_custkey", state.alias("state"))
@@ -347,7 +347,7 @@ def oracle_sql() -> dict[str, str]:
         "meter_check_decision": f"""WITH a AS (SELECT c_custkey, c_custkey AS k, 1 + c_custkey % 13 AS n FROM customer), b AS (SELECT *, k % 2 = 0 AND k % 3 <> 0 AND n <= k % 11 AS cov FROM a)
             SELECT c_custkey, CASE WHEN cov THEN 'ok' WHEN k % 2 = 0 AND n > 10 THEN 'quota_exceeded' WHEN k % 5 = 0 AND k % 2 <> 0 THEN 'meter_unreachable' WHEN k % 5 <> 0 AND k % 7 <> 0 AND n <= k % 9 THEN 'ok' ELSE 'quota_exceeded' END AS decision,
               CASE WHEN k % 2 = 0 THEN k % 4 ELSE 0 END AS settled_pending, least(k % 6, 10) AS settled_used, greatest(0, 10 - (k % 6 + CASE WHEN k % 2 = 0 THEN k % 4 ELSE 0 END)) AS settled_remaining FROM b""",
-        "pool_claim": f"""WITH o AS (SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 2 = 0 THEN 'pro' ELSE 'studio' END AS edition, o_orderdate FROM orders WHERE o_orderkey % 6 = 0),
+        "pool_claim": f"""WITH o AS (SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 2 = 0 THEN 'pro' ELSE 'studio' END AS edition, o_orderdate FROM orders),
             p AS (SELECT 'KEY-' || p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN 'studio' ELSE 'pro' END AS edition, p_partkey * 7919 % 10007 AS issued FROM part),
             a AS (SELECT *, {rank("edition ORDER BY o_orderdate, order_id")} AS n FROM o), b AS (SELECT *, {rank("edition ORDER BY issued, key")} AS n FROM p)
             SELECT a.order_id, a.edition, b.key FROM a LEFT JOIN b ON a.edition = b.edition AND a.n = b.n""",
@@ -376,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "recents_mru": "SELECT '/img/' || user_id AS path, max(event_id) AS seq FROM events GROUP BY user_id ORDER BY 2 DESC LIMIT 12",
         "journal_cap": "SELECT o_orderkey AS seq, o_custkey, o_orderstatus FROM orders ORDER BY 1 DESC LIMIT 200",
         "lru_cache": "SELECT user_id AS id, max(event_id) AS seq FROM events GROUP BY user_id ORDER BY 2 DESC LIMIT 24",
-        "dedup_first": """WITH d AS (SELECT lang || '/' || source || '/' || substr(text, 1, 12) AS id, doc_id, n_chars FROM documents), k AS (SELECT DISTINCT id FROM d WHERE doc_id % 10 = 0)
+        "dedup_first": """WITH d AS (SELECT lang || '/' || source || '/' || sha256(coalesce(text, '')) AS id, doc_id, n_chars FROM documents), k AS (SELECT DISTINCT id FROM d WHERE doc_id % 10 = 0)
             SELECT id, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS n_chars FROM k UNION ALL SELECT id, min(doc_id), arg_min(n_chars, doc_id) FROM d WHERE doc_id % 10 <> 0 AND id NOT IN (SELECT id FROM k) GROUP BY id""",
         "import_ladder": """SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'file_missing' WHEN lang = 'es' THEN 'unsupported_format' WHEN doc_id % 11 = 0 THEN 'file_missing' WHEN doc_id % 19 = 0 THEN 'unsupported_format' WHEN n_chars * 50000 > 209715200 THEN 'file_too_large'
             WHEN doc_id % 13 = 0 THEN 'invalid_image' WHEN doc_id % 17 = 0 THEN 'unsupported_format' WHEN doc_id % 23 = 0 OR n_chars = 0 THEN 'invalid_image' WHEN n_chars * 10 * 2000 > 64000000 THEN 'file_too_large' END AS error_code FROM documents""",
@@ -387,7 +387,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT c_custkey, {edition} AS e FROM customer)""",
         "recipe_gate": f"WITH {recipes}, x AS (SELECT *, edition IS NULL AND (scale > 2 OR mode <> 'standard' OR filter = 'portrait') AS l FROM rc) SELECT batch, count(*) AS n_items, count(*) FILTER (l) AS n_locked, bool_or(l) AS refused FROM x GROUP BY batch",
         "preset_match": f"WITH {recipes}, p(o, preset, scale, mode, filter, intensity) AS (VALUES {presets}) SELECT rc.recipe, p.preset FROM rc LEFT JOIN p USING (scale, mode, filter, intensity)",
-        "license_state": f"""WITH a AS (SELECT c_custkey, c_custkey AS k, 1760000000 AS now, {edition} AS e FROM customer), s AS (SELECT c_custkey, e, CASE WHEN k % 17 = 0 THEN 'not_activated' WHEN k % 13 = 0 OR k % 11 = 0 OR k % 19 = 0 THEN 'tampered' WHEN k % 3 = 0 AND k % 5 <> 0 THEN 'wrong_machine'
+        "license_state": f"""WITH a AS (SELECT c_custkey, c_custkey AS k, 1760000000 AS now, {edition} AS e FROM customer), s AS (SELECT c_custkey, e, CASE WHEN k % 17 = 0 THEN 'not_activated' WHEN k % 13 = 0 OR k % 11 = 0 OR k % 19 = 0 THEN 'tampered' WHEN k % 3 = 0 AND (k % 5 <> 0 OR k % 29 = 0) THEN 'wrong_machine'
             WHEN now - 86400 * (k % 30) + CASE WHEN k % 7 = 0 THEN 3000000 ELSE 0 END > now + 300 THEN 'clock_suspect' WHEN k % 4 = 0 AND k % 9 - 4 <= 0 THEN 'expired' WHEN k % 5 = 0 AND 3600 < 1800 * (k % 6) THEN 'clock_suspect' WHEN k % 23 = 0 THEN 'revoked' ELSE 'active' END AS state FROM a)
             SELECT c_custkey, state, CASE WHEN state = 'active' THEN e END AS edition FROM s""",
         "text_format": f"""WITH {_SRC_SQL}, a AS (SELECT *, p_partkey AS k, CAST(floor(pow(3.7::DOUBLE, p_partkey % 19) * (1 + p_partkey % 7)) AS BIGINT) AS n, (p_partkey % 50 + 1) / 256.0::DOUBLE * 100 AS pct, '199' || p_partkey % 10 AS yr, p_partkey % 15 AS mo FROM s),
@@ -397,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN pct >= 10 THEN CAST(CAST(floor(pct + 0.5) AS BIGINT) AS VARCHAR) WHEN floor(pct * 10 + 0.5) / 10 = floor(floor(pct * 10 + 0.5) / 10) THEN CAST(CAST(floor(pct * 10 + 0.5) / 10 AS BIGINT) AS VARCHAR) ELSE format('{{:.1f}}', floor(pct * 10 + 0.5) / 10) END || '%' AS zoom,
               CASE WHEN mo BETWEEN 1 AND 12 THEN {months}[mo] || ' ' || yr ELSE yr || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') END AS period, scale || '× · Detail' AS preset,
               CASE WHEN k % 5 = 0 THEN 'no output' WHEN iw = 0 OR ow = 0 THEN CASE WHEN ow > 0 THEN '→ ' || {dims("ow", "h * 2")} ELSE '—' END ELSE {dims("iw", "h")} || ' → ' || {dims("ow", "h * 2")} END AS label,
-              CASE WHEN k % 2 <> 0 THEN 'not counted yet; the free plan allows 10 a month' WHEN k % 4 = 0 THEN 'all 10 used in February 1998' ELSE k % 4 || ' of 10 left in February 1998' END AS meter FROM b""",
+              CASE WHEN k % 2 <> 0 THEN 'The free plan allows 10 enhancements a month — one internet connection sets this month’s count up' WHEN k % 4 = 0 THEN 'All 10 free enhancements used in February 1998' ELSE k % 4 || ' of 10 free enhancements left in February 1998' END AS meter FROM b""",
         "text_paths": r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^([^:]*)://', 1) AS sc, regexp_extract(url, '^[^:]*://([^/]*)', 1) AS host, regexp_extract(url, '^[^:]*://[^/]*(.*)$', 1) AS path FROM pages)
             SELECT page_id, CASE WHEN list_extract(string_split(url, '/'), -1) = '' THEN url ELSE list_extract(string_split(url, '/'), -1) END AS name, host, CASE WHEN sc = 'https' THEN 443 ELSE 80 END AS port, CASE WHEN path = '' THEN '/' ELSE path END AS path, CASE WHEN sc = 'http' THEN 'plain http' END AS error FROM a""",
         "hash_ids": "SELECT page_id, substr(sha256(url), 1, 32) AS machine, CASE WHEN page_id % 5 <> 0 THEN 'iph' || substr(sha256('salt|' || url), 1, 40) END AS network, 'data:text/plain;base64,' || base64(encode(url)) AS data FROM pages",

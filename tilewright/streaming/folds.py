@@ -47,7 +47,8 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Itera
 def stream_items(events: DataFrame) -> DataFrame:
     """A stream of (item, seq, kind, done, total, device) as updates of each item's state.
 
-    A batch is applied in order of seq; events up to the last one applied are repeats and change
+    An item's events must come in order of seq from batch to batch, as a queue of one worker sends
+    them; within a batch any order does. Events up to the last one applied are repeats and change
     nothing, so a source that sends again does no harm.
     """
     known = events.filter(F.col("kind").isin("started", "device", "progress", "saving", *TERMINAL))
@@ -59,13 +60,16 @@ def latest_items(updates: DataFrame) -> DataFrame:
     return updates.groupBy("item").agg(F.max_by(F.struct("state", "done", "total", "device", "n_events"), "n_events").alias("s")).select("item", "s.*")
 
 
-def stream_meter(spends: DataFrame, lateness: str = "40 days") -> DataFrame:
+def stream_meter(spends: DataFrame, lateness: str = "0 days") -> DataFrame:
     """A stream of (meter, ts, n) as used and remaining by meter and calendar month.
 
-    A month's state is kept until the watermark has passed its end by the lateness; later spends of a
-    closed month are forgiven.
+    The event time is the end of a spend's month, and it is a key, so the watermark reaches the state:
+    once a later month has been seen (and `lateness` has passed beyond the old one's end), the old
+    month's state goes and its spends are forgiven, neither counted nor charged to another month.
     """
-    timed = spends.filter(F.col("n").between(1, MAX_SPEND)).withWatermark("ts", lateness)
-    used = timed.groupBy("meter", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("n").alias("used"), F.max("ts").alias("last"))
+    end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp")
+    timed = spends.filter(F.col("n").between(1, MAX_SPEND)).withColumn("month_end", end).withWatermark("month_end", lateness)
+    used = timed.groupBy("meter", "month_end").agg(F.sum("n").alias("used"))
     lim = meter_limit(F.col("meter"))
-    return used.select("meter", "month", "used", F.greatest(lim - F.col("used"), F.lit(0)).cast("long").alias("remaining"))
+    month = F.date_format(F.add_months("month_end", -1), "yyyy-MM")
+    return used.select("meter", month.alias("month"), "used", F.greatest(lim - F.col("used"), F.lit(0)).cast("long").alias("remaining"))
