@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialize, scratch_path, text_or_empty
-from tilewright.llm.minhash import WordHashes
+from tilewright.llm.minhash import mix
 from tilewright.llm.quality_classifier import held_out
 
 CHUNK_TOKENS = 1_000_000
@@ -43,7 +43,14 @@ MIN_PARTS = 64
 DISCOUNT = 0.75
 #: Different n-grams that a task holds before it sends them on.
 TALLY_KEYS = 4_000_000
-END = WordHashes()[b"\n"]  # white space: no word has this hash but by a collision
+#: Documents of a batch that are hashed at once, and bytes of them.
+DOCS_AT_ONCE, _SLICE = 500, 1 << 20
+END = np.uint64(0x9E3779B97F4A7C15)  # no word has this hash but by a collision
+_BASE = np.uint64(0xD1B54A32D192ED03)
+#: Values of the bytes, A-Z as a-z, and which are white space.
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_VALUES[65:91] = _VALUES[97:123]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 # --- files -----------------------------------------------------------------------------------------
@@ -200,6 +207,12 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[rows[0]]), rows
 
 
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and the run of each place."""
+    new = np.append(True, x[1:] != x[:-1])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class Trie:
     """Levels of a model folder, queried in their coded form."""
 
@@ -233,109 +246,165 @@ class Trie:
             width[known[rows]] = np.where(wide, (after - 1) * self.n_parts // self.info["n"] - part[known[rows]] + 1, 1)
         return counts, part, width
 
-    def pairs(self, part: np.ndarray, width: np.ndarray, u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        """Different queries (u, v) of known words (v may be -1) with the parts of u: part, place in it (-1), rank
-        among the followers of u, a, g(u), g(uv)."""
+    def pairs(self, part: np.ndarray, width: np.ndarray, u: np.ndarray, v: np.ndarray, weights: bool) -> dict[str, np.ndarray]:
+        """Different queries (u, v), sorted, of known words (v may be -1), with the parts of u: part, place in it (-1), rank
+        among the followers of u; with weights also a, g(u), g(uv)."""
         n, size = len(u), self.info["v"]
         which = np.maximum(v, 0) % width
-        out = {"part": part + which, "at": np.full(n, -1, np.int64), "rank": np.full(n, -1, np.int64), "a": np.zeros(n), "g1": np.ones(n), "g2": np.ones(n)}
+        out = {"part": part + which, "at": np.full(n, -1, np.int64), "rank": np.full(n, -1, np.int64)}
+        if weights:
+            out |= {"a": np.zeros(n), "g1": np.ones(n), "g2": np.ones(n)}
         for k, rows in _by_part(out["part"]):
             a = map_arrays(self.path("pairs", k))
-            head = Coded(a, "head").find(u[rows])
-            rows, head = rows[head >= 0], head[head >= 0]
-            if not len(rows):
+            heads, start = Coded(a, "head"), Coded(a, "start")
+            if not heads.n:
                 continue
-            start = Coded(a, "start")
-            lo, hi = start.get(head), start.get(head + 1)
-            out["g1"][rows] = dequantise(a, "g", head)
-            lo, hi, head, seen = (x[v[rows] >= 0] for x in (lo, hi, head, rows))
-            at = Coded(a, "pair").find(head * size + v[seen], lo, hi)
+            first, back = _runs_of(u[rows])  # each head is looked up once
+            head = heads.find(u[rows[first]])
+            known = np.maximum(head, 0)
+            lo, hi = (np.where(head >= 0, start.get(known + d), 0)[back] for d in (0, 1))
+            if weights:
+                out["g1"][rows] = np.where(head >= 0, dequantise(a, "g", known), 1.0)[back]
+            seen = np.flatnonzero((hi > lo) & (v[rows] >= 0))
+            at = Coded(a, "pair").find(head[back[seen]] * size + v[rows[seen]], lo[seen], hi[seen])
             hit = np.flatnonzero(at >= 0)
-            there, at = seen[hit], at[hit]
-            out["at"][there], out["rank"][there] = at, (at - lo[hit]) * width[there] + which[there]
-            out["a"][there] = dequantise(a, "a", at)
-            if self.info["triples"]:
-                out["g2"][there] = dequantise(map_arrays(self.path("triples", k)), "g", at)
-        if len(self.cut):  # a head cut over parts has one weight for all
+            there, rank = rows[seen[hit]], at[hit] - lo[seen[hit]]
+            out["at"][there], out["rank"][there] = at[hit], rank * width[there] + which[there]
+            if weights:
+                out["a"][there] = dequantise(a, "a", at[hit])
+                if self.info["triples"]:
+                    out["g2"][there] = dequantise(map_arrays(self.path("triples", k)), "g", at[hit])
+        if weights and len(self.cut):  # a head cut over parts has one weight for all
             at = np.minimum(np.searchsorted(self.cut, u), len(self.cut) - 1)
             out["g1"] = np.where(self.cut[at] == u, self.cut_g[at], out["g1"])
         return out
 
-    def triples(self, part: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """a of different triples, named by the part and place of their pair and the last word's rank."""
-        out = np.zeros(len(pair))
-        for k, rows in _by_part(part):
-            a = map_arrays(self.path("triples", k))
-            start = Coded(a, "start")
-            lo, hi = start.get(pair[rows]), start.get(pair[rows] + 1)
-            at = Coded(a, "triple").find(pair[rows] * self.info["fan"] + rank[rows], lo, hi)
-            out[rows[at >= 0]] = dequantise(a, "a", at[at >= 0])
-        return out
+    def triples(self, k: int, key: np.ndarray) -> np.ndarray:
+        """a of the different triples of a part, sorted, named by place of the pair * fan + rank of the last word."""
+        a, pair = map_arrays(self.path("triples", k)), key // self.info["fan"]
+        first, back = _runs_of(pair)
+        lo, hi = (Coded(a, "start").get(pair[first] + d)[back] for d in (0, 1))
+        at = Coded(a, "triple").find(key, lo, hi)
+        return np.where(at >= 0, dequantise(a, "a", np.maximum(at, 0)), 0.0) if Coded(a, "triple").n else np.zeros(len(key))
 
 
 # --- text in chunks --------------------------------------------------------------------------------
 
 
-def _chunks(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
-    """Rows (.., array of tokens) in chunks of about CHUNK_TOKENS tokens: the rows' other fields, numbers of tokens, all tokens in order."""
-    kept, tokens, n = [], [], 0
-    for *fields, own in rows:
-        kept.append(tuple(fields))
-        tokens.append(own)
-        n += len(own)
-        if n >= CHUNK_TOKENS:
-            yield kept, np.array([len(x) for x in tokens]), np.concatenate(tokens)
-            kept, tokens, n = [], [], 0
-    if kept:
-        yield kept, np.array([len(x) for x in tokens]), np.concatenate(tokens)
+def _word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data (bytes) begin, and their hashes; no word crosses a break.
+
+    A word is a polynomial in an odd number over a table of random values of its lower-cased bytes.
+    Running sums give all words at once; data goes in slices that end at a word's end.
+    """
+    gap = _SPACE[data]
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1]
+    last[:-1] &= gap[1:]
+    inner = breaks[(breaks > 0) & (breaks < len(data))]
+    first[inner] = ~gap[inner]
+    last[inner - 1] = ~gap[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + _SLICE, side="right")))
+        up, down = _powers(int(ends[j - 1] - at))
+        sums = np.append(np.uint64(0), np.cumsum(_VALUES[data[at : ends[j - 1]]] * up))
+        out[i:j] = mix((sums[ends[i:j] - at] - sums[starts[i:j] - at]) * down[starts[i:j] - at] + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return starts, out
+
+
+@functools.lru_cache(maxsize=4)
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, modulo 2^64."""
+    up, down = _powers_to(_SLICE if n <= _SLICE else 1 << n.bit_length())
+    return up[:n], down[:n]
+
+
+def _raw(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column without nulls: its data as numbers of a kind, and where the rows begin and end in them."""
+    _, offsets, data = column.buffers()
+    wide = "<i8" if pa.types.is_large_binary(column.type) else "<i4"
+    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data if data is not None else b"", np.uint8)[ends[0] : ends[-1]].view(kind), (ends - ends[0]) // size
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc_id, learn, hashes of the words and the end)."""
-    words_of = WordHashes()
+    """Some documents at once: (doc_id, learn) of each, numbers of tokens, hashes of the words and an end for each."""
     for batch in batches:
-        for doc_id, learn, text in zip(batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            yield doc_id, learn, np.append(words_of.of(text.lower().split()), np.uint64(END))
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(at, DOCS_AT_ONCE)
+            data, ends = _raw(part.column("text").cast(pa.binary()), "u1")
+            starts, found = _word_hashes(data, ends)
+            sizes = np.diff(np.searchsorted(starts, ends))
+            tokens = np.full(len(found) + len(sizes), END, np.uint64)
+            tokens[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
+            yield list(zip(part.column("doc_id").to_pylist(), part.column("learn").to_pylist(), strict=True)), sizes + 1, tokens
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc_id, learn, ids)."""
+    """The same with ids for hashes."""
     for batch in batches:
-        for doc_id, learn, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "ids")), strict=True):
-            yield doc_id, learn, np.frombuffer(ids, "<i4")
+        for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+            part = batch.slice(at, DOCS_AT_ONCE)
+            ids, ends = _raw(part.column("ids").cast(pa.binary()), "<i4")
+            yield list(zip(part.column("doc_id").to_pylist(), part.column("learn").to_pylist(), strict=True)), np.diff(ends), ids
+
+
+def _chunks(pieces: Iterator[tuple]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Documents in chunks of about CHUNK_TOKENS tokens."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[2])
+        if n >= CHUNK_TOKENS:
+            yield [x for p in held for x in p[0]], np.concatenate([p[1] for p in held]), np.concatenate([p[2] for p in held])
+            held, n = [], 0
+    if n:
+        yield [x for p in held for x in p[0]], np.concatenate([p[1] for p in held]), np.concatenate([p[2] for p in held])
 
 
 def _grams(trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
-    """Per token: id, count, the word before (the end stands before a text) with its parts."""
-    ids = ids.astype(np.int64)
-    unique, back = np.unique(np.append(ids, trie.info["end"]), return_inverse=True)
-    counts, part, width = trie.figures(unique)
-    starts, end = np.cumsum(sizes) - sizes, back[-1]
-    before = np.roll(back[:-1], 1)
-    before[starts] = end
-    return {"w": ids, "c": counts[back[:-1]], "u": unique[before], "up": part[before], "uw": width[before], "starts": starts}
-
-
-def _with_pairs(trie: Trie, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    n, v = len(g["w"]), trie.info["v"]
-    known = np.flatnonzero(g["u"] >= 0)
-    # an unknown word after a known one takes its share of that word's back-off mass: it is asked for as -1
-    key, first, back = np.unique(g["u"][known] * (v + 1) + g["w"][known] + 1, return_index=True, return_inverse=True)
-    found = trie.pairs(g["up"][known[first]], g["uw"][known[first]], key // (v + 1), key % (v + 1) - 1)
+    """The different words with their figures, and of each token: the place of its word and of the one before (the end stands before a text) there."""
+    words, back = np.unique(np.append(ids.astype(np.int64), trie.info["end"]), return_inverse=True)
+    counts, part, width = trie.figures(words)
+    starts, w = np.cumsum(sizes) - sizes, back[:-1]
+    u = np.roll(w, 1)
+    u[starts] = back[-1]
+    return {"words": words, "counts": counts, "part": part, "width": width, "w": w, "u": u, "starts": starts}
+
+
+def _with_pairs(trie: Trie, g: dict[str, np.ndarray], weights: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Figures of the different pairs, and of each token the place of its pair there. An unknown first word has no pair (at -1),
+    an unknown second one takes its share of the first one's back-off mass."""
+    n = len(g["words"])
+    key, back = np.unique(g["u"] * n + g["w"], return_inverse=True)
+    u, w = key // n, key % n
+    known = g["words"][u] >= 0
+    found = trie.pairs(g["part"][u[known]], g["width"][u[known]], g["words"][u[known]], g["words"][w[known]], weights)
     blank = {"part": -1, "at": -1, "rank": -1, "a": 0.0, "g1": 1.0, "g2": 1.0}
-    out = {k: np.full(n, x) for k, x in blank.items()}
+    out = {"u": u, "w": w}
     for k, x in found.items():
-        out[k][known] = x[back]
-    return g | out
+        out[k] = np.full(len(key), blank[k])
+        out[k][known] = x
+    return out, back
 
 
-def _triples(trie: Trie, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _triples(trie: Trie, g: dict[str, np.ndarray], p: dict[str, np.ndarray], back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens whose two pairs are both in the trie: where, part of the first pair, number (place of the first pair, rank in the second)."""
-    before, part = np.roll(g["at"], 1), np.roll(g["part"], 1)
-    first = np.zeros(len(before), bool)
-    first[g["starts"]] = True
-    where = np.flatnonzero(~first & (before >= 0) & (g["rank"] >= 0))
-    return where, part[where], before[where] * trie.info["fan"] + g["rank"][where]
+    before = np.roll(back, 1)
+    good = (p["at"][before] >= 0) & (p["rank"][back] >= 0)
+    good[g["starts"]] = False
+    where = np.flatnonzero(good)
+    before = before[where]
+    return where, p["part"][before], p["at"][before] * trie.info["fan"] + p["rank"][back[where]]
 
 
 # --- counting --------------------------------------------------------------------------------------
@@ -371,10 +440,11 @@ class _Tally:
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.held = 0
 
-    def add(self, part: np.ndarray, key: np.ndarray) -> None:
+    def add(self, part: np.ndarray, key: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Tokens, or different keys with times, sorted within a part."""
         for k, rows in _by_part(part):
             own = self.parts.setdefault(k, [])
-            own.append(np.unique(key[rows].astype(np.uint64), return_counts=True))
+            own.append(np.unique(key[rows].astype(np.uint64), return_counts=True) if times is None else (key[rows].astype(np.uint64), times[rows]))
             self.held += len(own[-1][0])
             if len(own) >= 8:
                 self.held -= sum(len(x[0]) for x in own)
@@ -409,31 +479,36 @@ def _count_words(n_parts: int):
 
 
 _NUMBERED = f"{_COUNTED}, doc_id long, learn boolean, ids binary"
+_NUMBERED_NAMES = [c.split()[0] for c in _NUMBERED.split(", ")]
 _NUMBERED_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
 
 
 def _number_words(info: dict):
     """Texts become ids, and pairs are counted on the way: rows of counts (with a part) and rows of documents."""
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
+    def counts(rows: list[tuple]) -> pa.RecordBatch:
         columns = [*zip(*rows, strict=True)] if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _NUMBERED_KINDS, strict=True)], names=[c.split()[0] for c in _NUMBERED.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _NUMBERED_KINDS, strict=True)], names=_NUMBERED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, trie = _Tally(), Trie(info)
         for rows, sizes, hashes in _chunks(_hashed(batches)):
             unique, back = np.unique(hashes, return_inverse=True)
             ids = trie.ids(unique)[back]
-            ends = np.cumsum(sizes)
-            raw = ids.astype("<i4").tobytes()
-            yield batch([(None, None, None, doc_id, learn, raw[4 * (e - n) : 4 * e]) for (doc_id, learn), n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True)])
+            offsets = pa.py_buffer(np.append(0, 4 * np.cumsum(sizes)).astype("<i4"))
+            coded = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(ids.astype("<i4"))])
+            blank = [pa.nulls(len(rows), k) for k in _NUMBERED_KINDS[:3]]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), coded], names=_NUMBERED_NAMES)
             g = _grams(trie, sizes, ids)
             own = np.flatnonzero(np.repeat([r[1] for r in rows], sizes))
-            tally.add(g["up"][own] + g["w"][own] % g["uw"][own], g["u"][own] * info["v"] + g["w"][own])
+            key, times = np.unique(g["u"][own] * len(g["words"]) + g["w"][own], return_counts=True)
+            u, w = np.divmod(key, len(g["words"]))
+            v = g["words"][w]
+            tally.add(g["part"][u] + v % g["width"][u], g["words"][u] * info["v"] + v, times)
             if tally.full():
-                yield batch([(*x, None, None, None) for x in tally.rows()])
+                yield counts([(*x, None, None, None) for x in tally.rows()])
         for x in tally.rows():
-            yield batch([(*x, None, None, None)])
+            yield counts([(*x, None, None, None)])
 
     return run
 
@@ -442,7 +517,8 @@ def _count_triples(info: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, trie = _Tally(), Trie(info)
         for _, sizes, ids in _chunks(_numbered(batches)):
-            _, part, key = _triples(trie, _with_pairs(trie, _grams(trie, sizes, ids)))
+            g = _grams(trie, sizes, ids)
+            _, part, key = _triples(trie, g, *_with_pairs(trie, g, False))
             tally.add(part, key)
             if tally.full():
                 yield from _counts_batch(tally.rows())
@@ -552,7 +628,7 @@ def train(docs: DataFrame, root: str, n_docs: int) -> tuple[dict, DataFrame]:
     info |= {"firsts": np.append(0, np.cumsum(sizes)).tolist(), "totals": np.append(0, np.cumsum(totals)).tolist()}
     if info["v"]:
         info["end"] = int(Trie(info).ids(np.array([END], np.uint64))[0])
-    numbered = materialize(docs.mapInArrow(_number_words(info), _NUMBERED), "numbered")
+    numbered = materialize(docs.mapInArrow(_number_words(info), _NUMBERED), "numbered", "zstd")
     ids = numbered.filter("part is null").select("doc_id", "learn", "ids")
     if not info["v"]:
         return info, ids
@@ -579,17 +655,19 @@ def token_probabilities(trie: Trie, sizes: np.ndarray, ids: np.ndarray) -> tuple
     info = trie.info
     if not info["v"]:
         return np.zeros(len(ids), np.int64), np.ones(len(ids))
-    g = _with_pairs(trie, _grams(trie, sizes, ids))
-    p1 = np.where(g["c"] > 0, g["c"] - DISCOUNT, DISCOUNT * info["v"]) / info["n"]
-    p2 = g["a"] + g["g1"] * p1
-    where, part, key = _triples(trie, g)
-    a3 = np.zeros(len(p2))
-    for k, rows in _by_part(part):
-        unique, back = np.unique(key[rows], return_inverse=True)
-        a3[where[rows]] = trie.triples(np.full(len(unique), k), unique // info["fan"], unique % info["fan"])[back]
-    back_off = np.roll(g["g2"], 1)
+    g = _grams(trie, sizes, ids)
+    p, back = _with_pairs(trie, g, True)
+    c = g["counts"]
+    p1 = np.where(c > 0, c - DISCOUNT, DISCOUNT * info["v"]) / info["n"]
+    p2 = p["a"] + p["g1"] * p1[p["w"]]
+    back_off = np.roll(p["g2"][back], 1)
     back_off[g["starts"]] = 1.0
-    return g["c"], a3 + back_off * p2
+    out = back_off * p2[back]
+    where, part, key = _triples(trie, g, p, back)
+    for k, rows in _by_part(part):
+        unique, own = np.unique(key[rows], return_inverse=True)
+        out[where[rows]] += trie.triples(k, unique)[own]
+    return c[g["w"]], out
 
 
 def _score(info: dict):

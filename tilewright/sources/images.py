@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,58 @@ def png_size(content: Column) -> tuple[Column, Column]:
     return F.when(ok, number(17)), F.when(ok, number(21))
 
 
+def _number(content: Column, at: Column | int, n: int, little: bool = False) -> Column:
+    """n bytes from place `at` (0-based) as a number; null where they are cut off."""
+    at = F.lit(at) if isinstance(at, int) else at
+    digits = F.hex(F.substring(content, at + 1, F.lit(n)))
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * k - 1, 2) for k in range(n, 0, -1)])
+    return F.when(F.length(content) >= at + n, F.conv(digits, 16, 10).cast("long"))
+
+
+#: Segments of a JPEG that are walked to its frame header: more than 200 MB of full ones hold.
+MAX_SEGMENTS = 4096
+_WALK = "struct<at:int,w:bigint,h:bigint>"
+
+
+def jpeg_size(content: Column) -> tuple[Column, Column]:
+    """Width and height from the first frame header (fixed values: the markers); null without one. Segments before it are skipped by their lengths."""
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        mark = F.hex(F.substring(content, at + 1, F.lit(2)))
+        code = F.substring(mark, 3, 2)
+        frame = (mark >= "FFC0") & (mark <= "FFCF") & ~code.isin("C4", "C8", "CC")
+        bare = (code == "01") | ((code >= "D0") & (code <= "D8"))
+        move = F.when(code == "FF", at + 1).when(bare, at + 2).otherwise((at + 2 + _number(content, at + 2, 2)).cast("int"))
+        end = F.struct(F.lit(-1).alias("at"), F.when(frame, _number(content, at + 7, 2)).alias("w"), F.when(frame, _number(content, at + 5, 2)).alias("h")).cast(_WALK)
+        gone = frame | ~F.coalesce(mark.startswith("FF"), F.lit(False)) | code.isin("D9", "DA") | move.isNull()
+        return F.when(at < 0, s).when(gone, end).otherwise(F.struct(move.alias("at"), s["w"].alias("w"), s["h"].alias("h")).cast(_WALK))
+
+    start = F.struct(F.lit(2).alias("at"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("h")).cast(_WALK)
+    steps = F.sequence(F.lit(1), F.least(F.lit(MAX_SEGMENTS), F.greatest(F.lit(1), (F.length(content) / 2).cast("int"))))
+    found = F.aggregate(steps, start, step)
+    return found["w"], found["h"]
+
+
+def webp_size(content: Column) -> tuple[Column, Column]:
+    """Width and height from the first chunk: extended, lossless or lossy (fixed values: the layouts)."""
+    chunk = F.hex(F.substring(content, 13, 4))
+    bits = F.when(_number(content, 20, 1) == 0x2F, _number(content, 21, 4, True))
+    key = F.hex(F.substring(content, 24, 3)) == "9D012A"
+    pick = lambda wide, packed, lossy: F.when(chunk == "56503858", wide).when(chunk == "5650384C", packed).when((chunk == "56503820") & key, lossy)
+    return (
+        pick(_number(content, 24, 3, True) + 1, bits.bitwiseAND(0x3FFF) + 1, _number(content, 26, 2, True).bitwiseAND(0x3FFF)),
+        pick(_number(content, 27, 3, True) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1, _number(content, 28, 2, True).bitwiseAND(0x3FFF)),
+    )
+
+
+def header_size(content: Column, kind: Column) -> tuple[Column, Column]:
+    """Width and height of an image by its kind, before anything is decoded; null where the header is cut off or not one of the three."""
+    sides = zip(png_size(content), jpeg_size(content), webp_size(content), strict=True)
+    return tuple(F.when(kind == "png", p).when(kind == "jpeg", j).when(kind == "webp", w) for p, j, w in sides)
+
+
 def import_error(name: Column, ext: Column, exists: Column, is_dir: Column, size: Column, kind: Column, width: Column, height: Column, max_pixels: int = MAX_SOURCE_PIXELS, max_bytes: int = MAX_SOURCE_BYTES) -> Column:
     """The first failure of the ladder, or null; the order of the branches is the rule."""
     wanted = T.format_of(ext)
@@ -37,22 +92,37 @@ def import_error(name: Column, ext: Column, exists: Column, is_dir: Column, size
     )
 
 
+def _look_up(spark: SparkSession, path: str) -> tuple[str | None, bool, int]:
+    """(whole path or null, is a folder, bytes) as Spark's file system has it."""
+    if not path or "\0" in path:
+        return None, False, 0
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    except Py4JJavaError:
+        return None, False, 0
+    return found.getPath().toString(), found.isDirectory(), found.getLen()
+
+
 def import_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One outcome a path, in the order given: ordinal, path, name, format, width, height, size, error_code.
+    """One outcome a path, in the order given: ordinal, path, id, name, format, width, height, size, error_code.
 
-    Lengths are judged before contents are read; one bad file never fails the others. More than 200
-    paths are refused as a whole.
+    The files asked for are looked up one by one (200 at most, more are refused as a whole), so one
+    that is missing, a folder or damaged never fails the others. Contents are read only of files that
+    pass the rules on names and sizes. id is the whole path, or the path as given where there is none.
     """
     if len(paths) > MAX_PATHS:
         raise ValueError(f"at most {MAX_PATHS} paths")
-    asked = spark.createDataFrame(list(enumerate(paths)), "ordinal int, path string")
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths if "/" in p})
-    there = spark.createDataFrame([], "_path string, length long, content binary")
-    if folders:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folders)
-        there = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_path"), "length", F.when(F.col("length") <= MAX_SOURCE_BYTES, F.substring("content", 1, 64)).alias("content"))
-    rows = asked.join(there, asked["path"] == there["_path"], "left")
-    w, h = png_size(F.col("content"))
+    found = [(k, p, *_look_up(spark, p)) for k, p in enumerate(paths)]
+    asked = spark.createDataFrame(found, "ordinal int, path string, _whole string, is_dir boolean, size long")
+    wanted = sorted({whole for _, path, whole, folder, size in found if whole and not folder and size <= MAX_SOURCE_BYTES and path.rsplit(".", 1)[-1].lower() in T.FORMATS})
+    files = spark.createDataFrame([], "_whole string, content binary")
+    if wanted:
+        plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in wanted]  # names, not patterns
+        files = spark.read.format("binaryFile").load(plain).select(F.col("path").alias("_whole"), "content")
     kind = sniff(F.col("content"))
-    error = import_error(F.col("path"), T.extension(F.col("path")), F.col("_path").isNotNull(), F.lit(False), F.col("length"), kind, F.when(kind == "png", w).otherwise(1), F.when(kind == "png", h).otherwise(1))
-    return rows.select("ordinal", "path", T.display_name(F.col("path")).alias("name"), kind.alias("format"), w.alias("width"), h.alias("height"), F.col("length").alias("size"), error.alias("error_code")).orderBy("ordinal")
+    sized = asked.join(files, "_whole", "left").withColumn("format", kind)
+    w, h = header_size(F.col("content"), F.col("format"))
+    sized = sized.withColumn("width", w).withColumn("height", h)
+    error = import_error(F.col("path"), T.extension(F.col("path")), F.col("_whole").isNotNull(), F.col("is_dir"), F.col("size"), F.col("format"), F.col("width"), F.col("height"))
+    return sized.select("ordinal", "path", F.coalesce("_whole", "path").alias("id"), T.display_name(F.col("path")).alias("name"), "format", "width", "height", "size", error.alias("error_code")).orderBy("ordinal")
