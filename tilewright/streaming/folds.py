@@ -60,12 +60,13 @@ def latest_items(updates: DataFrame) -> DataFrame:
     return updates.groupBy("item").agg(F.max_by(F.struct("state", "done", "total", "device", "n_events"), "n_events").alias("s")).select("item", "s.*")
 
 
-def stream_meter(spends: DataFrame, lateness: str = "0 days") -> DataFrame:
+def stream_meter(spends: DataFrame, lateness: str = "1 day") -> DataFrame:
     """A stream of (meter, ts, n) as used and remaining by meter and calendar month.
 
     The event time is the end of a spend's month, and it is a key, so the watermark reaches the state:
-    once a later month has been seen (and `lateness` has passed beyond the old one's end), the old
-    month's state goes and its spends are forgiven, neither counted nor charged to another month.
+    once a later month has been seen, whose end lies more than `lateness` (a day at least) beyond the
+    old one's, the old month's state goes and its spends are forgiven, neither counted nor charged to
+    another month.
     """
     end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp")
     timed = spends.filter(F.col("n").between(1, MAX_SPEND)).withColumn("month_end", end).withWatermark("month_end", lateness)
