@@ -83,7 +83,7 @@ def test_import_of_hostile_files(spark, tmp_path):
 
 def test_closed_months_are_forgiven(spark, tmp_path):
     """Spends come in several batches: a month that a later one has closed is neither counted nor kept."""
-    batches = [[("dev1", "2024-02-03", 4), ("dev2", "2024-02-20", 2)], [("dev1", "2024-03-01", 1)], [("dev1", "2024-02-28", 5), ("dev2", "2020-01-01", 3), ("dev2", "2024-03-02", 2)], [("dev1", "2024-03-05", 2)]]
+    batches = [[("dev1", "2024-02-03", 4), ("dev2", "2024-02-20", 2)], [("dev1", "2024-03-01", 1)], [("dev3", "2024-03-01", 1)], [("dev1", "2024-02-28", 5), ("dev2", "2020-01-01", 3), ("dev2", "2024-03-02", 2)], [("dev1", "2024-03-05", 2)]]
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, "meter string, d string, n long").selectExpr("meter", "to_timestamp(d) as ts", "n").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
         for f in (tmp_path / "in" / f"b{k}").glob("*.parquet"):
@@ -100,8 +100,8 @@ def test_closed_months_are_forgiven(spark, tmp_path):
     last = {}
     for _, meter, month, used, left in sorted(seen):
         last[meter, month] = (used, left)
-    assert last == {("dev1", "2024-02"): (4, 6), ("dev2", "2024-02"): (2, 8), ("dev1", "2024-03"): (3, 7), ("dev2", "2024-03"): (2, 8)}
-    assert state[-1] == 2  # February's rows are gone
+    assert last == {("dev1", "2024-02"): (4, 6), ("dev2", "2024-02"): (2, 8), ("dev1", "2024-03"): (3, 7), ("dev2", "2024-03"): (2, 8), ("dev3", "2024-03"): (1, 9)}
+    assert state[-1] == 3  # February's rows are gone
 
 
 def test_names_past_999_end_in_the_time(spark):

@@ -66,7 +66,8 @@ def stream_meter(spends: DataFrame, lateness: str = "1 day") -> DataFrame:
     The event time is the end of a spend's month, and it is a key, so the watermark reaches the state:
     once a later month has been seen, whose end lies more than `lateness` (a day at least) beyond the
     old one's, the old month's state goes and its spends are forgiven, neither counted nor charged to
-    another month.
+    another month. The watermark moves between batches, so a spend in the batch right after the one
+    that opened the later month may still count.
     """
     end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp")
     timed = spends.filter(F.col("n").between(1, MAX_SPEND)).withColumn("month_end", end).withWatermark("month_end", lateness)
