@@ -244,6 +244,12 @@ def test_units_equal_whole_texts():
     tokenizer = Tokenizer.from_file(tokenizer_path())
     texts = ["a  b", "\n\n x", "a \n b'sx 12's  ", "  ", "<|endoftext|> hi", "a <|endoftext|> b", "x  <|endoftext|>y.", "q\n\n<|endoftext|><|endoftext|>\n c", "x y   z", "a\x1cb \x1c c", "é́ \t\tq'll!!'re", "", "\r\n \r\nA", "end.\nNo, no.'s a.,b.", "x  y ½x ²"]
     assert packing.UnitTokenizer(tokenizer_path()).encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rng = np.random.default_rng(5)
+    letters = list("etaonxyZQ" + "àÿßÉ" + "ªµ×÷ő") + [" "] * 6 + [".", ",", "$", "7"]
+    texts = ["".join(rng.choice(letters, 60)) for _ in range(300)]
+    whole = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    small = packing.UnitTokenizer(tokenizer_path(), remembered=50)
+    assert small.encode(texts) == whole and small.encode(texts) == whole and len(small) <= 50 and len(small.older) <= 50
 
 
 def test_mixing(spark, rows, labels):

@@ -12,6 +12,7 @@ import bisect
 import functools
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,50 +28,69 @@ OPEN_WINDOWS = 64
 END_ID = 0
 #: Open windows that one merging task takes.
 MERGE_ITEMS = 8192
-_CACHE_UNITS = 800_000
+#: Units whose ids a worker remembers, and as many of the generation before.
+REMEMBERED = 400_000
 #: White space as the tokenizer's pattern sees it.
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
-class UnitTokenizer:
-    """Token ids of texts as little-endian uint32 bytes, by a tokenizers file.
+class UnitTokenizer(dict):
+    """Token ids of texts as little-endian uint32 bytes, by a tokenizers file; maps units to their ids.
 
     Texts are cut where a byte-level BPE with this pattern never merges: before the single space that
     leads a word, around longer runs of white space, and between letters and the full stops or commas
-    that end a word. Units repeat, so their ids are remembered, within a bound.
+    that end a word. Units repeat, so their ids are remembered, the late ones and the generation before
+    them. A unit of letters, or of full stops and commas, is one piece of the pattern: the file's merges
+    take it as it is. Other units go through the whole tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         words = f" ?[{_LETTERS}]+(?![^{_WS}.,])|[.,]+(?![^{_WS}])"
         self.units = re.compile(f"{words}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+        split = self.tokenizer.pre_tokenizer
+        self.one_piece = re.compile(f" ?[{_LETTERS}]+|[.,]+").fullmatch
+        as_bytes = [ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(256)]
+        self.as_bytes = dict(enumerate(as_bytes))  # how the file writes the UTF-8 bytes of a character of such units
+        self.space = as_bytes[32]
         self.named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # each one id wherever a text has it
+        self.plain = self.tokenizer.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.plain = self.plain and not any(map(self.one_piece, self.named))
         self.named_at = re.compile("(" + "|".join(map(re.escape, self.named)) + ")")
-        self.known: dict[str, bytes] = {}
+        self.remembered, self.older = remembered, {}
 
     def _units(self, text: str) -> list[str]:
         if not any(t in text for t in self.named):
             return self.units.findall(text)
         return [u for k, part in enumerate(self.named_at.split(text)) for u in ([part] if k % 2 else self.units.findall(part))]
 
+    def __missing__(self, unit: str) -> bytes:
+        made = self.older.get(unit)
+        if made is None:
+            lead, rest = (self.space, unit[1:]) if unit[0] == " " else ("", unit)
+            if self.plain and rest.isascii() and rest.isalpha():  # ASCII letters stand for themselves in the file
+                ids = [t.id for t in self.model.tokenize(lead + rest)]
+            elif self.plain and self.one_piece(unit):
+                ids = [t.id for t in self.model.tokenize(unit.translate(self.as_bytes))]
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = made
+        return made
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._units(t) for t in texts]
-        new: set[str] = set()
-        for units in cut:
-            new.update(units)
-        if len(self.known) + len(new) > _CACHE_UNITS:
-            self.known = {u: self.known[u] for u in new if u in self.known}
-        fresh = list(new.difference(self.known))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[unit] = np.array(e.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, units)) for units in cut]
+        ids = self.__getitem__
+        return [b"".join(map(ids, self._units(t))) for t in texts]
 
 
 @functools.lru_cache(maxsize=1)
