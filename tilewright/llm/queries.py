@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm import divergence as _divergence
 from tilewright.llm import exact_dedup as _exact
 from tilewright.llm import lm as _lm
 from tilewright.llm import minhash as _minhash
@@ -158,6 +159,47 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op13_wide_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(c.c), 0) AS HUGEINT) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // (n.n + 5 * v.v) AS p
+  FROM n JOIN k ON k.lang = n.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term
+), q AS (
+  SELECT c.lang, c.term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c.c) + 5)) // (any_value(l.n) + 5 * any_value(v.v)) AS q
+  FROM c JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) l ON l.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY c.lang, c.term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.f, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS i, y.source AS j, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+    ON s.lang = a.lang AND s.i = a.source AND s.j = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_temporal_url_filter": op1_temporal_url_filter,
@@ -170,8 +212,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
         "op10_two_stage_suffix_dedup": op10_two_stage_suffix_dedup,
+        "op13_wide_term_vectors": op13_wide_term_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_temporal_url_filter": OP1_SQL, "op2_circulant_minhash": OP2_SQL, "op9_block_naming_dedup": OP9_SQL}
+    return {"op1_temporal_url_filter": OP1_SQL, "op2_circulant_minhash": OP2_SQL, "op9_block_naming_dedup": OP9_SQL, "op13_wide_term_vectors": OP13_SQL}
