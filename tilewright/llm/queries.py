@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm import conversation_repair as _conversations
 from tilewright.llm import divergence as _divergence
 from tilewright.llm import exact_dedup as _exact
 from tilewright.llm import lm as _lm
@@ -159,6 +160,11 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op11_weighted_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return _conversations.audit_conversations(conversations, _conversations.damaged(conversations))
+
+
 def op13_wide_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
@@ -212,6 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_soft_membership_mixing": op8_soft_membership_mixing,
         "op9_block_naming_dedup": op9_block_naming_dedup,
         "op10_two_stage_suffix_dedup": op10_two_stage_suffix_dedup,
+        "op11_weighted_composition": op11_weighted_composition,
         "op13_wide_term_vectors": op13_wide_term_vectors,
     }
 
