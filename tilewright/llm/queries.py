@@ -16,6 +16,7 @@ from tilewright.llm import mixing as _mixing
 from tilewright.llm import packing as _packing
 from tilewright.llm import quality_classifier as _classifier
 from tilewright.llm import quality_rules as _rules
+from tilewright.llm import secret_scan as _secrets
 from tilewright.llm import sharding as _sharding
 from tilewright.llm import suffix_dedup as _suffix
 from tilewright.llm import url_filter as _urls
@@ -165,6 +166,10 @@ def op11_weighted_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations.audit_conversations(conversations, _conversations.damaged(conversations))
 
 
+def op12_chain_field_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_wide_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
@@ -219,6 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_block_naming_dedup": op9_block_naming_dedup,
         "op10_two_stage_suffix_dedup": op10_two_stage_suffix_dedup,
         "op11_weighted_composition": op11_weighted_composition,
+        "op12_chain_field_secrets": op12_chain_field_secrets,
         "op13_wide_term_vectors": op13_wide_term_vectors,
     }
 
