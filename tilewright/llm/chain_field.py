@@ -55,8 +55,8 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np
 def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, n_features: int, hideable: slice, rounds: int = 60, rate: float = 0.1, ridge: float = 1e-3) -> Field:
     """Adam on the mean log likelihood. features (w, t, f): rows of the table; tags (w, t).
 
-    Of every third window, another third each round, the `hideable` features are hidden, so that the
-    others must carry the decision alone too. The result depends on nothing but the arguments.
+    Of every other window, now these, now those, the `hideable` features are hidden, so that the others
+    must carry the decision alone too. The result depends on nothing but the arguments.
     """
     w, t, _ = features.shape
     live = np.arange(t)[None, :] < lengths[:, None]
@@ -73,7 +73,7 @@ def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, n_features:
     squares = [np.zeros_like(p) for p in params]
     for r in range(1, rounds + 1):
         used = features.copy()
-        used[r % 3 :: 3, :, hideable] = n_features
+        used[r % 2 :: 2, :, hideable] = n_features
         weights, start, step = params
         emit = weights[used].sum(2)
         probable, steps, _ = marginals(emit, lengths, start + barred_start, step + barred)

@@ -4,7 +4,7 @@ The field tags every token of every text as a secret's begin, its inside, or out
 from texts in which the patterns found something (their values are the secrets) and from texts in which
 they found nothing, a bounded sample by hash. Its features are a token's shape (length, kinds of
 characters, how often they change, hexadecimal or not), the words around it and figures of the whole
-text; the words around it are hidden in a third of the windows, so that a secret is known by its shape
+text; the words around it are hidden in half of the windows, so that a secret is known by its shape
 under other names too. Rows are independent: no text leaves its task but the sample's feature numbers.
 """
 
@@ -47,9 +47,11 @@ _POWERS = np.cumprod(np.full(64, 2654435761, np.uint32), dtype=np.uint32)
 _HASHED = 1 << 12
 _LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64])
 _COARSE = np.array([4, 8, 16, 32])
+#: What is no shorter is long: some features tell long tokens apart by nothing but this, so that other lengths than those learned are known too.
+LONG = 16
 _TENTHS = np.array([0.0, 0.1, 0.2, 0.35, 0.5, 0.75, 0.999])
 #: Templates and the number of their values; the words around come last.
-TEMPLATES = {"bias": 1, "length": 16, "kinds": 64 * 8, "digits": 8 * 8, "changes": 8 * 8, "hexadecimal": 16, "sign": 256, "file": 64, "word": _HASHED, "before": _HASHED, "second": _HASHED, "third": _HASHED, "after": _HASHED}
+TEMPLATES = {"bias": 1, "length": 16, "kinds": 64 * 8, "digits": 8 * 8, "changes": 8 * 8, "hexadecimal": 16, "long kinds": 128, "long digits": 16, "long changes": 16, "long hexadecimal": 4, "sign": 256, "file": 64, "word": _HASHED, "before": _HASHED, "second": _HASHED, "third": _HASHED, "after": _HASHED}
 _OFFSETS = dict(zip(TEMPLATES, np.cumsum([0, *TEMPLATES.values()]).tolist(), strict=False))
 N_FEATURES = sum(TEMPLATES.values())
 AROUND = slice(list(TEMPLATES).index("before"), None)
@@ -143,6 +145,7 @@ def features(t: Tokens, n_docs: int) -> Iterator[np.ndarray]:
     n = len(t.doc)
     coarse = np.searchsorted(_COARSE, t.length)
     exact = np.searchsorted(_LENGTHS, t.length)
+    long = (t.length >= LONG).astype(np.int32)
     tenth = lambda part: np.searchsorted(_TENTHS, part / np.maximum(t.length, 1))
     per_doc = np.maximum(np.bincount(t.doc, minlength=n_docs), 1)
     signs = np.searchsorted([0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5], np.bincount(t.doc, t.sign > 0, n_docs) / per_doc)
@@ -158,15 +161,16 @@ def features(t: Tokens, n_docs: int) -> Iterator[np.ndarray]:
 
     found = {
         "bias": np.zeros(n, np.int32), "length": exact, "kinds": t.kinds.astype(np.int32) * 8 + coarse, "digits": tenth(t.digits) * 8 + coarse, "changes": tenth(t.changes) * 8 + coarse,
-        "hexadecimal": np.where(t.hexes == t.length, exact, 15), "sign": t.sign.astype(np.int32), "file": (signs * 8 + size)[t.doc] if n else t.doc,
+        "hexadecimal": np.where(t.hexes == t.length, exact, 15), "long kinds": t.kinds * np.int32(2) + long, "long digits": tenth(t.digits) * 2 + long, "long changes": tenth(t.changes) * 2 + long,
+        "long hexadecimal": (t.hexes == t.length) * 2 + long, "sign": t.sign.astype(np.int32), "file": (signs * 8 + size)[t.doc] if n else t.doc,
         "word": np.where(t.digits == 0, t.word, 0), "before": beside(-1), "second": beside(-2), "third": beside(-3), "after": beside(1),
     }
     for name in TEMPLATES:
         yield _OFFSETS[name] + found[name]
 
 
-def _window(text: str, pick: int) -> tuple[bool, list[list[int]], list[int]] | None:
-    """A window of a text's tokens: their features and tags; around one of the patterns' values if there is one."""
+def _window(text: str, pick: int) -> tuple[bytes, bytes] | None:
+    """A window of a text's tokens: their features and tags; around one of the patterns' values if there is one, else around any token or the longest."""
     spans = base_spans(text)
     t = tokens_of([text])
     n = len(t.doc)
@@ -178,18 +182,18 @@ def _window(text: str, pick: int) -> tuple[bool, list[list[int]], list[int]] | N
         tags[at] = chain.INSIDE
         tags[at[:1]] = chain.BEGIN
     begins = np.flatnonzero(tags == chain.BEGIN)
-    middle = int(begins[pick % len(begins)]) if len(begins) else pick % n
+    middle = int(begins[pick % len(begins)]) if len(begins) else int(t.length.argmax()) if pick % 2 else pick % n  # long words are learned as none
     low = max(0, middle - MARGIN)
     while low and tags[low] == chain.INSIDE:
         low -= 1
     part = slice(low, low + WINDOW)
-    return bool(len(begins)), np.stack([f[part] for f in features(t, 1)], 1).tolist(), tags[part].tolist()
+    return np.stack([f[part] for f in features(t, 1)], 1).astype(np.int32).tobytes(), tags[part].astype(np.uint8).tobytes()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [w for text, pick in zip(batch.column("text").to_pylist(), batch.column("pick").to_pylist(), strict=True) if (w := _window(text, pick))]
-        yield pa.record_batch({"features": pa.array([sum(f, []) for _, f, _ in found], pa.list_(pa.int32())), "tags": pa.array([t for _, _, t in found], pa.list_(pa.int32()))})
+        yield pa.record_batch({"features": pa.array([f for f, _ in found], pa.binary()), "tags": pa.array([t for _, t in found], pa.binary())})
 
 
 def fit_field(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> chain.Field | None:
@@ -198,16 +202,15 @@ def fit_field(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> chai
     share = min(1.0, sample_documents / max(n, 1))
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     chosen = docs.select(text_or_empty().alias("text"), pick.alias("pick")).filter(F.col("pick") < int(share * (1 << 30)))
-    rows = chosen.mapInArrow(_windows, "features array<int>, tags array<int>").collect()
-    if not any(chain.BEGIN in r["tags"] for r in rows):
+    rows = sorted((bytes(r["features"]), bytes(r["tags"])) for r in chosen.mapInArrow(_windows, "features binary, tags binary").collect())
+    if not any(chain.BEGIN in t for _, t in rows):
         return None
-    rows.sort(key=lambda r: (r["features"], r["tags"]))
-    lengths = np.array([len(r["tags"]) for r in rows])
+    lengths = np.array([len(t) for _, t in rows])
     ids = np.full((len(rows), WINDOW, len(TEMPLATES)), N_FEATURES, np.int32)
     tags = np.zeros((len(rows), WINDOW), np.int64)
-    for k, r in enumerate(rows):
-        ids[k, : lengths[k]] = np.reshape(r["features"], (-1, len(TEMPLATES)))
-        tags[k, : lengths[k]] = r["tags"]
+    for k, (f, t) in enumerate(rows):
+        ids[k, : lengths[k]] = np.frombuffer(f, np.int32).reshape(-1, len(TEMPLATES))
+        tags[k, : lengths[k]] = np.frombuffer(t, np.uint8)
     return chain.fit(ids, tags, lengths, N_FEATURES, AROUND)
 
 
