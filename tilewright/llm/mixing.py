@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize, own_columns, text_or_empty, with_names
+from tilewright.llm.common import materialize, own_columns, row_ids, text_or_empty, with_names
 from tilewright.llm.minhash import WordHashes
 
 DOMAINS = ("good", "toxic", "poor")
@@ -76,7 +76,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...
     return np.column_stack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(priors / priors.sum())])
 
 
-def _posteriors(model: np.ndarray, evidence: float):
+def _posteriors(model: np.ndarray, evidence: float, keys: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, n_buckets = WordHashes(), model.shape[1] - 1
         table = np.ascontiguousarray(model[:, :-1].T)
@@ -90,15 +90,15 @@ def _posteriors(model: np.ndarray, evidence: float):
                 out[i] = p / p.sum()
                 tokens.append(len(words) + 1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(model), dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), flat], names=["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(tokens, pa.int64()), flat], names=[*keys, "tokens", "p"])
 
     return run
 
 
-def posteriors(docs: DataFrame, model: np.ndarray, evidence: float = EVIDENCE_WORDS) -> DataFrame:
-    """doc_id, tokens (words and one end), p (array of posteriors in the model's order), one row per input row."""
-    source = docs.select("doc_id", text_or_empty().alias("text"))
-    return source.mapInArrow(_posteriors(model, evidence), "doc_id long, tokens long, p array<double>")
+def posteriors(docs: DataFrame, model: np.ndarray, evidence: float = EVIDENCE_WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys (whole numbers), tokens (words and one end), p (array of posteriors in the model's order), one row per input row."""
+    source = docs.select(*keys, text_or_empty().alias("text"))
+    return source.mapInArrow(_posteriors(model, evidence, keys), "".join(f"{k} long, " for k in keys) + "tokens long, p array<double>")
 
 
 def _rate(steps: list[list[float]], top: float | None) -> Column:
@@ -119,9 +119,10 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
     no domain is asked for more than it has, so a scarce one stays whole and drags nothing down.
     A document's metric is its tokens, and residuals are whitened by
     the Gram matrix sum tokens p p', for which the step 1 / L is 1 exactly. While it lowers the misfit,
-    the matrix is that of the documents at neither bound, which takes longer steps. The fit ends at
-    the targets, or where no step helps or moves the totals. With max_rate, targets may be out of
-    reach; the report gives the goal beside the totals reached.
+    the matrix is that of the documents at neither bound, which takes longer steps. The fit ends when
+    every domain is within `tolerance` of its own goal, or where no step helps or moves the totals, or
+    after max_steps; the report's `ended` says which (goal, stuck, steps), beside the goal and the totals
+    reached. With max_rate, targets may be out of reach.
     """
     n = len(weights if targets is None else targets)
     base = members.withColumn("rate", F.lit(1.0))
@@ -151,57 +152,91 @@ def fit_rates(members: DataFrame, targets: list[float] | None = None, weights: l
     safe = invert(gram)
     miss = lambda x: float((x - goal) @ safe @ (x - goal))
     steps: list[list[float]] = []
-    now, metric, near = start, safe, tolerance * max(goal.max(), 1.0)
-    while total and taken + len(steps) < max_steps and np.abs(now - goal).max() > near:
+    now, metric, near = start, safe, tolerance * np.maximum(goal, 1.0)
+    met = lambda x: bool((np.abs(x - goal) <= near).all())
+    stuck = not total
+    while not stuck and taken + len(steps) < max_steps and not met(now):
         step = [float(x) for x in metric @ (now - goal)]
         new, free = measure([*steps, step])
         if miss(new) >= miss(now):
-            if metric is safe:
-                break  # no step helps: the targets are out of reach
+            stuck = metric is safe  # no step helps: the targets are out of reach
             metric = safe
             continue
-        moved = np.abs(new - now).max()
+        moved = np.abs(new - now)
         steps.append(step)
         now, metric = new, invert(free) if np.linalg.matrix_rank(free, hermitian=True) == n else safe
-        if moved < near / 10:
-            break
+        stuck = bool((moved < near / 10).all()) and not met(now)
         if len(steps) == STEPS_A_PLAN:
             base, taken, steps = materialize(base.withColumn("rate", _rate(steps, max_rate)), "rates"), taken + len(steps), []
-    return base.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": taken + len(steps)}
+    return base.withColumn("rate", _rate(steps, max_rate)), {"start": start.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": taken + len(steps), "ended": "goal" if met(now) else "stuck" if stuck else "steps"}
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
-    """One row per input row: doc_id, tokens, p_<domain>, rate, copies.
+#: Rates are counted in this part of one.
+_UNIT = 1 << 20
+
 
-    copies is rate's whole part, and one more for the share of doc_ids (by hash) that its fraction
-    gives. Null and empty texts have one token (the end) and the prior as posteriors. Rows repeated
-    under one doc_id have equal values. Without labels all posteriors are equal and every rate is 1. An empty table gives
-    an empty result; other columns of docs are ignored.
+def whole_copies(rated: DataFrame, key: str, tie: str) -> DataFrame:
+    """rated (key, tie, tokens, p, rate; key unique) with copies, whole numbers whose totals meet those of the rates.
+
+    Rows are put in order of their likeliest domain, then their tokens, then tie, and the rates are
+    cumulated: a row has as many copies as whole numbers lie between the sums before and after it.
+    Neighbours have nearly equal tokens, so in a domain the copies' tokens differ from the rates' by
+    little more than its longest document. The order is dealt by ranges; a row for each range is all
+    that is summed in one place.
     """
+    domain = F.array_position("p", F.array_max("p"))
+    order = ["_domain", "tokens", tie, key]
+    ranged = rated.withColumn("_domain", domain).repartitionByRange(*order)
+    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_units", F.floor(F.col("rate") * _UNIT).cast("long"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    placed = materialize(placed.withColumn("_sum", F.sum("_units").over(inside)), "placed")
+    sums = placed.groupBy("_part").agg(F.sum("_units").alias("_of"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_of").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + _UNIT // 2).drop("_of")
+    counted = placed.join(F.broadcast(before), "_part")  # a row for each range
+    whole = lambda c: F.floor(c / F.lit(_UNIT)).cast("long")
+    after = F.col("_before") + F.col("_sum")
+    return counted.withColumn("copies", whole(after) - whole(after - F.col("_units"))).drop("_domain", "_part", "_units", "_sum", "_before")
+
+
+def _mixed(rows: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None) -> DataFrame:
+    """rows (_row, doc_id, text): _row, tokens, p, rate, copies."""
     domains = tuple(weights)
     whole = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # the worst of several labels
     labelled = whole.select("doc_id", domain_of().alias("domain")).dropna()
-    model = fit_classifier(docs, labelled, domains)
-    members = materialize(posteriors(docs, model), "members")
+    model = fit_classifier(rows, labelled, domains)
+    hashed = rows.withColumn("_tie", F.xxhash64("doc_id", "text"))
+    members = materialize(posteriors(hashed, model, keys=("_row", "_tie")), "members")
     if labelled.isEmpty():  # nothing tells the domains apart
         rated = members.withColumn("rate", F.lit(1.0))
     else:
         rated, _ = fit_rates(members, weights=[weights[d] for d in domains], max_rate=max_rate)
-    unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies.cast("long").alias("copies"))
+    return whole_copies(rated, "_row", "_tie")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
+    """One row per input row: doc_id, tokens, p_<domain>, rate, copies.
+
+    copies are whole numbers whose token totals meet those of the rates in every domain to within its
+    longest document (`whole_copies`). Null and empty texts have one token (the end) and the prior as
+    posteriors. Repeated rows have equal rates and are drawn each by itself, as are rows without a
+    doc_id. Without labels all posteriors are equal and every rate is 1. An empty table gives an empty
+    result; other columns of docs are ignored.
+    """
+    keyed = materialize(row_ids(docs.select("doc_id", text_or_empty().alias("text")), "_row"), "rows")
+    found = _mixed(keyed, labels, weights, max_rate)
+    return keyed.select("_row", "doc_id").join(found, "_row").select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(weights)], "rate", "copies")
 
 
 def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
-    """docs with every row as often as its rate says, with all columns of docs, whatever their names.
+    """docs with every row as often as `copies` says, with all columns of docs, whatever their names.
 
-    Null and empty texts count as one token. Rows of one doc_id (or without one) take the largest
-    number of copies that one of them has. Without labels every row stays once; an empty table gives
-    an empty result.
+    Null and empty texts count as one token; rows of one doc_id, or without one, are drawn each by
+    itself. Without labels every row stays once; an empty table gives an empty result.
     """
-    chosen = mix(docs, labels, weights, max_rate).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     rows, own = own_columns(docs)
-    joined = rows.join(chosen, rows[own["doc_id"]].eqNullSafe(chosen["doc_id"]))
+    rows = materialize(row_ids(rows, "_row"), "rows")
+    found = _mixed(rows.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text")), labels, weights, max_rate)
+    joined = rows.join(found.filter("copies > 0").select("_row", "copies"), "_row")
     if max_rate is None or max_rate > 1:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return with_names(joined, own)
