@@ -282,3 +282,40 @@ def test_url_filter(spark):
         assert got == {k: (k in on, int(k in on), "" if k not in on else "adult" if k == 6 else "spam") for k in range(len(caps))}
     assert url_filter.filter_urls(c.limit(0), e).count() == 0
     assert not any(r["blocked"] for r in url_filter.filter_urls(c, e.limit(0)).collect())
+
+
+def test_urls_of_odd_hosts_and_columns(spark):
+    """Final dots, addresses in brackets, users, parent domains of numbers, single labels, and columns named like ours."""
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    entries = [("l", "domain", "evil.com", "add", 2), ("l", "host", "[2001:db8::1]", "add", 2), ("m", "domain", "com", "add", 6), ("n", "domain", "3.4", "add", 1), ("o", "url", "http://evil.com./x", "add", 4), ("o", "domain", "local", "add", 1)]
+    cases = {
+        "http://evil.com./x": (3, "evil.com", "l"), "http://EVIL.com.:8080/": (7, "evil.com", "l,m"), "http://[2001:db8::1]/x": (3, "[2001:db8::1]", "l"), "http://u:p@w@[2001:DB8::1]:80": (3, "[2001:db8::1]", "l"),
+        "http://1.2.3.4/": (9, "1.2.3.4", ""), "http://a.b.com": (7, "a.b.com", "m"), "http://evil.com./x#": (5, "evil.com", "l"), "http://local/": (2, "local", "o"), "http:///x": (3, "", ""), "http://evil.com..": (3, "evil.com.", ""),
+    }
+    cols = ["_rid", "_t", "_k", "_lists", "_own_0", "changes", "kind", "pattern", "n_active"]
+    for tops in (True, False):
+        chosen = [e for e in entries if tops or e[2] not in ("com", "local")]
+        e = spark.createDataFrame([(*x[:4], at(x[4])) for x in chosen], "list string, kind string, pattern string, action string, at string").withColumn("at", F.to_timestamp("at"))
+        c = spark.createDataFrame([(u, at(d), *range(len(cols))) for u, (d, _, _) in cases.items()], "url string, d string, " + ", ".join(f"{x} int" for x in cols)).withColumn("fetched_at", F.to_timestamp("d"))
+        for limit in (50_000, 0):
+            got = {r["url"]: r for r in url_filter.filter_urls(c, e, limit).collect()}
+            lists = lambda x: ",".join(y for y in x.split(",") if tops or y not in ("m", "o"))
+            assert {u: (r["host"], r["lists"]) for u, r in got.items()} == {u: (h, lists(x)) for u, (_, h, x) in cases.items()}
+            assert all(r[x] == k for r in got.values() for k, x in enumerate(cols) if x != "n_active")
+
+
+def test_timelines_equal_a_walk(spark):
+    """Random dated entries against a plain walk through each pattern's history."""
+    rng = random.Random(8)
+    entries = [(rng.choice("abc"), "host", rng.choice(("x.org", "y.org")), rng.choice(("add", "remove")), rng.randrange(20)) for _ in range(120)]
+    e = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, at long").withColumn("at", F.timestamp_seconds("at"))
+    c = spark.createDataFrame([(f"http://{h}/{t}", t) for h in ("x.org", "y.org") for t in range(-1, 22)], "url string, t long").withColumn("fetched_at", F.timestamp_seconds("t"))
+    for r in url_filter.filter_urls(c, e).collect():
+        live = set()
+        for name in "abc":
+            state = False
+            for t in range(r["t"] + 1):
+                acts = {a for x, _, h, a, w in entries if x == name and h == r["host"] and w == t}
+                state = state if not acts else "remove" not in acts
+            live |= {name} if state else set()
+        assert (r["lists"], r["n_active"]) == (",".join(sorted(live)), len(live))

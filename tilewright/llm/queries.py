@@ -41,7 +41,13 @@ def url_list(pages: DataFrame) -> DataFrame:
     added = listed.select("list", F.lit("host").alias("kind"), F.col("h").alias("pattern"), F.lit("add").alias("action"), day(F.col("d")).alias("at"))
     removed = listed.filter(digit(4) < 8).select("list", F.lit("host").alias("kind"), F.col("h").alias("pattern"), F.lit("remove").alias("action"), day(F.col("d") + 60).alias("at"))
     known = pages.sparkSession.createDataFrame([("spam", "domain", h, "add", 1704067200) for h in KNOWN_BAD], "list string, kind string, pattern string, action string, at long")
-    return known.withColumn("at", F.timestamp_seconds("at")).unionByName(added).unionByName(removed)
+    # by the url's own digits: an eighth of the urls as such, and of another eighth the first part of the path
+    urls = pages.select("url").distinct().withColumn("h", _urls.host_of(F.col("url"))).filter("h <> ''").withColumn("m", F.md5(F.col("url").cast("binary")))
+    whole = urls.filter(digit(1) < 2).select(F.lit("pages").alias("list"), F.lit("url").alias("kind"), F.col("url").alias("pattern"), F.lit("add").alias("action"), day(digit(2) * 16).alias("at"))
+    first = F.try_element_at(F.array_remove(F.split(_urls.path_of(F.col("url")), "/"), ""), F.lit(1))
+    parts = urls.filter((digit(1) >= 2) & (digit(1) < 4) & first.isNotNull()).select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), F.concat("h", F.lit("/"), first).alias("pattern"), F.lit("add").alias("action"), day(digit(3) * 20).alias("at"))
+    gone = parts.filter("substr(md5(cast(pattern as binary)), 1, 1) < '8'").withColumn("action", F.lit("remove")).withColumn("at", F.timestamp_seconds(F.unix_timestamp("at") + 90 * 86400))
+    return known.withColumn("at", F.timestamp_seconds("at")).unionByName(added).unionByName(removed).unionByName(whole).unionByName(parts).unionByName(gone)
 
 
 def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +57,15 @@ def op1_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH c AS (
+WITH a AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919 % 366) * 86400 + page_id % 86400 AS t,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)', 2)) AS host
+         list_extract(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '@'), -1) AS authority,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts
   FROM pages
+), b AS (
+  SELECT *, lower(CASE WHEN authority LIKE '[%' THEN split_part(authority, ']', 1) || ']' ELSE split_part(authority, ':', 1) END) AS dotted FROM a
+), c AS (
+  SELECT page_id, url, t, parts, CASE WHEN dotted LIKE '%.' THEN left(dotted, -1) ELSE dotted END AS host FROM b
 ), h AS (
   SELECT DISTINCT host, md5(host) AS m FROM c WHERE host <> ''
 ), x AS (
@@ -62,19 +73,34 @@ WITH c AS (
          (instr('0123456789abcdef', substr(m, 2, 1)) - 1) * 16 + instr('0123456789abcdef', substr(m, 3, 1)) - 1 AS d,
          instr('0123456789abcdef', substr(m, 4, 1)) - 1 < 8 AS ends
   FROM h WHERE instr('0123456789abcdef', substr(m, 1, 1)) - 1 < 4
+), y AS (
+  SELECT DISTINCT url, host, parts, instr('0123456789abcdef', substr(md5(url), 1, 1)) - 1 AS d1, instr('0123456789abcdef', substr(md5(url), 2, 1)) - 1 AS d2, instr('0123456789abcdef', substr(md5(url), 3, 1)) - 1 AS d3
+  FROM c WHERE host <> ''
+), p AS (
+  SELECT host || '/' || parts[1] AS pattern, 1704067200 + d3 * 20 * 86400 AS since FROM y WHERE d1 IN (2, 3) AND len(parts) > 0
 ), e AS (
-  SELECT list, 'host' AS kind, host AS pattern, 'add' AS action, 1704067200 + d * 86400 AS at FROM x
+  SELECT list, 'host' AS kind, host AS pattern, 'add' AS action, 1704067200 + d * 86400 AS since FROM x
   UNION ALL SELECT list, 'host', host, 'remove', 1704067200 + (d + 60) * 86400 FROM x WHERE ends
   UNION ALL SELECT 'spam', 'domain', unnest(['spam-farm.example.org', 'cheap-pills.example.com']), 'add', 1704067200
+  UNION ALL SELECT 'pages', 'url', url, 'add', 1704067200 + d2 * 16 * 86400 FROM y WHERE d1 < 2
+  UNION ALL SELECT 'paths', 'prefix', pattern, 'add', since FROM p
+  UNION ALL SELECT 'paths', 'prefix', pattern, 'remove', since + 90 * 86400 FROM p WHERE substr(md5(pattern), 1, 1) < '8'
+), s AS (
+  SELECT list, kind, pattern, since, min(CASE action WHEN 'add' THEN 1 ELSE 0 END) AS live FROM e GROUP BY ALL
 ), k AS (
-  SELECT page_id, t, 'host' AS kind, host AS pattern FROM c
+  SELECT page_id, t, 'host' AS kind, host AS pattern FROM c WHERE host <> ''
+  UNION ALL SELECT page_id, t, 'url', url FROM c WHERE host <> ''
+  UNION ALL SELECT page_id, t, 'prefix', host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c WHERE host <> '')
   UNION ALL
   SELECT page_id, t, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
-  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c)
-), a AS (
-  SELECT k.page_id, e.list, e.action FROM k ASOF JOIN e ON k.kind = e.kind AND k.pattern = e.pattern AND k.t >= e.at
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c WHERE host <> '')
+), l AS (
+  SELECT DISTINCT list FROM e
+), v AS (
+  SELECT k.page_id, k.kind, k.pattern, l.list, arg_max(s.live, s.since) AS live
+  FROM k CROSS JOIN l JOIN s ON s.kind = k.kind AND s.pattern = k.pattern AND s.list = l.list AND s.since <= k.t GROUP BY ALL
 ), f AS (
-  SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM a WHERE action = 'add' GROUP BY page_id
+  SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM v WHERE live = 1 GROUP BY page_id
 )
 SELECT c.page_id, c.url, CAST(c.t AS BIGINT) AS fetched_s, c.host, f.n IS NOT NULL AS blocked, CAST(coalesce(f.n, 0) AS BIGINT) AS n_active, coalesce(f.lists, '') AS lists
 FROM c LEFT JOIN f ON f.page_id = c.page_id
