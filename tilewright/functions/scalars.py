@@ -59,7 +59,8 @@ def needs_full(quality: Column, zoom: Column) -> Column:
 
 
 def to_cents(total: Column) -> Column:
-    return F.when(total.isNotNull() & ~F.isnan(total), F.floor(total * 100 + 0.5).cast("long"))
+    """Major units as cents, halves up; null for what is no finite number."""
+    return F.when(total.isNotNull() & ~F.isnan(total) & (F.abs(total) != float("inf")), F.floor(total * 100 + 0.5).cast("long"))
 
 
 def percent(done: Column, total: Column) -> Column:

@@ -7,38 +7,41 @@ from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "cancelled")
 KINDS = ("started", "device", "progress", "saving", *TERMINAL)
-_STATE = "struct<state:string,done:bigint,total:bigint,device:string>"
-
-
-def until_terminal(events: DataFrame) -> DataFrame:
-    """events (item, seq, kind, ...) up to each item's first terminal event, which is kept."""
-    end = F.min(F.when(F.col("kind").isin(*TERMINAL), F.col("seq"))).over(Window.partitionBy("item"))
-    return events.withColumn("_end", end).filter("_end is null or seq <= _end").drop("_end")
-
-
-def _step(s: Column, e: Column) -> Column:
-    """What an event makes of an item that is not terminal yet."""
-    kind, done, total = e["kind"], e["done"], e["total"]
-    state = F.when((kind == "started") & (s["state"] == "waiting"), "processing").when(kind.isin(*TERMINAL), kind).otherwise(s["state"])
-    full = F.when(s["total"] > 0, s["total"]).otherwise(s["done"])
-    ahead = (kind == "progress") & (done >= s["done"])
-    new_done = F.when(ahead, done).when(kind == "saving", full).when(kind == "completed", s["total"]).otherwise(s["done"])
-    made = F.struct(
-        state.alias("state"), new_done.alias("done"), F.when(ahead, total).otherwise(s["total"]).alias("total"), F.when(kind == "device", e["device"]).otherwise(s["device"]).alias("device")
-    )
-    return F.when(s["state"].isin(*TERMINAL), s).otherwise(made).cast(_STATE)
 
 
 def fold_items(items: DataFrame, events: DataFrame) -> DataFrame:
     """items (item), events (item, seq, kind, done, total, device): item, state, done, total, device, n_events.
 
-    Events after the first terminal one, of unknown items and of unknown kinds change nothing.
+    Events after the first terminal one, of unknown items and of unknown kinds change nothing; seq is
+    unique in an item. Between two `saving` events the furthest progress is all that counts, with the
+    last total told there; so an item's events, however many, combine on the map side to one row for
+    each run between savings, and only those rows, one more than its savings, are folded in order.
     """
     known = events.filter(F.col("kind").isin(*KINDS))
-    own = until_terminal(known).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "done", "total", "device"))).alias("own"))
-    start = F.struct(F.lit("waiting").alias("state"), F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("string").alias("device")).cast(_STATE)
-    folded = items.join(own, "item", "left").withColumn("s", F.when(F.col("own").isNull(), start).otherwise(F.aggregate("own", start, _step)))
-    return folded.select("item", "s.state", "s.done", "s.total", "s.device", F.coalesce(F.size("own"), F.lit(0)).alias("n_events")).withColumn("n_events", F.greatest("n_events", F.lit(0)))
+    kind = F.col("kind")
+    marks = known.groupBy("item").agg(
+        F.min(F.when(kind.isin(*TERMINAL), F.struct("seq", "kind"))).alias("end"), F.sort_array(F.collect_list(F.when(kind == "saving", F.col("seq")))).alias("savings"),
+    )
+    before = known.join(marks, "item").filter("end is null or seq <= end.seq").withColumn("run", F.size(F.filter("savings", lambda s: s < F.col("seq"))))
+    runs = before.groupBy("item", "run").agg(
+        F.max(F.when((kind == "progress") & F.col("done").isNotNull(), F.struct("done", "seq", "total"))).alias("best"), F.max(F.when(kind == "device", F.struct("seq", "device"))).alias("device"),
+        F.coalesce(F.bool_or(kind == "started"), F.lit(False)).alias("started"), F.coalesce(F.bool_or(kind == "saving"), F.lit(False)).alias("saved"), F.first("end.kind").alias("end"), F.count(F.lit(1)).alias("n"),
+    )
+    listed = runs.groupBy("item").agg(
+        F.sort_array(F.collect_list(F.struct("run", "best", "saved"))).alias("runs"), F.max("device").alias("device"), F.bool_or("started").alias("started"), F.first("end").alias("end"), F.sum("n").alias("n_events"),
+    )
+    kind_of = "struct<done:bigint,total:bigint>"
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, r: Column) -> Column:
+        ahead = F.coalesce(r["best"]["done"] >= s["done"], F.lit(False))
+        done, total = F.when(ahead, r["best"]["done"]).otherwise(s["done"]), F.when(ahead, r["best"]["total"]).otherwise(s["total"])
+        return F.struct(F.when(r["saved"] & (total > 0), total).otherwise(done).alias("done"), total.alias("total")).cast(kind_of)
+
+    folded = items.join(listed, "item", "left").withColumn("s", F.aggregate(F.coalesce("runs", F.expr("array()")), F.struct(zero.alias("done"), zero.alias("total")).cast(kind_of), step))
+    state = F.coalesce("end", F.when(F.col("started"), "processing"), F.lit("waiting"))
+    done = F.when(F.col("end") == "completed", F.col("s.total")).otherwise(F.col("s.done"))
+    return folded.select("item", state.alias("state"), done.alias("done"), F.col("s.total").alias("total"), F.col("device.device").alias("device"), F.coalesce("n_events", zero).cast("int").alias("n_events"))
 
 
 def counters(items: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators.ordered import after, applied, clamped, fold_in_order, written
+
 #: Monthly allowances, the largest single spend, list caps.
 INSTALL_LIMIT, NETWORK_LIMIT, NETWORK_PREFIX, MAX_SPEND = 10, 30, "iph", 1000
 JOURNAL_CAP, RECENTS_CAP = 200, 12
@@ -55,24 +57,38 @@ def settle(cache_period: Column, used: Column, pending: Column, reply_period: Co
     return {"pending": left, "used": now, "remaining": remaining_of(limit, now, left)}
 
 
+def _owed_step(event_kind: Column, n: Column, month: Column, limit: Column) -> Column:
+    """What an event does to what is owed: a step before the run's first known month, that month and whether a read
+    told it, the last month, and the step after. An add stops at the limit, an ack at 0."""
+    n = F.greatest(n, F.lit(0)).cast("long")
+    told = F.when(event_kind.isin("read", "ack"), month)
+    move = lambda on: F.when(on & (event_kind == "add"), clamped(n, 0, limit)).when(on & (event_kind == "ack"), clamped(-n, 0, limit)).otherwise(clamped(0))
+    reads = F.coalesce(event_kind == "read", F.lit(False))
+    return F.struct(move(told.isNull()).alias("before"), told.alias("first"), reads.alias("reads"), told.alias("last"), move(told.isNotNull()).alias("since"))
+
+
+def _owed_then(a: Column, b: Column) -> Column:
+    """Two runs of events, one after the other: a read of another month than the last one known forgives what was owed."""
+    none_a, none_b = a["first"].isNull(), b["first"].isNull()
+    closes = b["reads"] & (b["first"] != a["last"])
+    met = after(a["since"], b["before"])
+    since = F.when(none_a, b["since"]).when(none_b, met).otherwise(after(F.when(closes, clamped(0, 0, 0)).otherwise(met), b["since"]))
+    before = F.when(none_a, after(a["before"], b["before"])).otherwise(a["before"])
+    return F.struct(before.alias("before"), F.coalesce(a["first"], b["first"]).alias("first"), F.when(none_a, b["reads"]).otherwise(a["reads"]).alias("reads"), F.coalesce(b["last"], a["last"]).alias("last"), since.alias("since"))
+
+
 def owed(events: DataFrame) -> DataFrame:
     """events (meter, seq, month, kind, n): what each meter still owes after add (n more), ack (n were posted) and read (of a month).
 
-    A read of another month than the last one forgives what was owed before it; adds while a post is
-    under way stay owed; what is owed is at least 0 and at most the limit.
+    What is owed never passes the limit, at any add, nor falls below 0 at any ack; adds while a post is
+    under way stay owed; a read of another month than the last one known (by a read or an ack) forgives
+    what was owed before it. Events of other kinds and of a null month tell no month. The steps compose,
+    so a meter with a third of all events is folded by runs.
     """
-    at = Window.partitionBy("meter").orderBy("seq")
-    month = F.last(F.when(F.col("kind").isin("read", "ack"), F.col("month")), ignorenulls=True)
-    known = events.withColumn("_was", month.over(at.rowsBetween(Window.unboundedPreceding, -1)))
-    closes = (F.col("kind") == "read") & F.col("_was").isNotNull() & (F.col("month") != F.col("_was"))
-    since = known.withColumn("_era", F.sum(closes.cast("int")).over(at))
-    last = since.withColumn("_last", F.max("_era").over(Window.partitionBy("meter"))).filter("_era = _last")
-    move = F.when(F.col("kind") == "add", F.col("n")).when(F.col("kind") == "ack", -F.col("n")).otherwise(0).cast("long")
-    moved = last.withColumn("_sum", F.sum(move).over(at))
-    # never below 0: the sum less its own least value so far
-    open_ = moved.withColumn("_owed", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(at)))
-    end = open_.groupBy("meter").agg(F.max_by("_owed", "seq").alias("owed"))
-    return end.select("meter", F.least("owed", meter_limit(F.col("meter")).cast("long")).alias("owed"))
+    step = _owed_step(F.col("kind"), F.coalesce("n", F.lit(0)), F.col("month"), meter_limit(F.col("meter")))
+    whole = fold_in_order(events, "meter", "seq", step, _owed_then)
+    run = F.col("value")
+    return whole.select("meter", applied(run["since"], applied(run["before"], F.lit(0).cast("long"))).alias("owed"))
 
 
 def read_reply(status: Column, body: Column) -> dict[str, Column]:
@@ -109,12 +125,18 @@ def client_period(period: Column) -> Column:
 
 
 def spend_request_error(body: Column) -> Column:
-    """The first fault of a spend request, or null: 1 to 2048 characters of JSON with a meter id and a whole count of 1 to 1000."""
-    record = F.from_json(body, "install_id string, count double")
-    count = record["count"]
+    """The first fault of a spend request, or null: 1 to 2048 characters of JSON with a meter id (a string) and a count (a number) whose whole part is 1 to 1000.
+
+    JSON that is no record, an array or a number or null, has no meter id.
+    """
+    parsed = F.try_parse_json(body)
+    record = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    field = lambda k, kinds, to: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{k}", "variant")).rlike(kinds), F.try_variant_get(record, f"$.{k}", to))
+    count = field("count", "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "double")
+    whole = F.when(count >= 0, F.floor(count)).otherwise(F.ceil(count))
     return (
-        F.when(body.isNull() | (F.length(body) == 0) | (F.length(body) > 2048), "invalid body").when(record.isNull() | ~F.coalesce(F.trim(body).startswith("{"), F.lit(False)), "invalid json")
-        .when(meter_id(record["install_id"]).isNull(), "unknown install id").when(count.isNull() | (F.floor(count) < 1) | (F.floor(count) > MAX_SPEND), "count must be an integer from 1 to 1000")
+        F.when(body.isNull() | (F.length(body) == 0) | (F.length(body) > 2048), "invalid body").when(parsed.isNull(), "invalid json")
+        .when(meter_id(field("install_id", "^STRING", "string")).isNull(), "unknown install id").when(count.isNull() | (whole < 1) | (whole > MAX_SPEND), "count must be an integer from 1 to 1000")
     )
 
 
@@ -219,20 +241,64 @@ def add_first(known: DataFrame, arriving: DataFrame, key: str, ordinal: str) ->
     return known.unionByName(first.join(known.select(key), key, "left_anti").select(*known.columns))
 
 
+#: Numbers that a name may take; a later one ends in the time.
+LAST_NUMBER = 999
+_NAME = ("dir", "stem", "ext")
+
+
+def _numbers(ordinals: list[int], taken: list[int] | None, blocked: list | None) -> list[int]:
+    """Of files of one name in order: each takes the first number that is free when its turn comes."""
+    gone, since = set(taken or ()), {b["number"]: b["since"] for b in blocked or ()}
+    out, k = [], 0
+    for o in ordinals:
+        k += 1
+        while k <= LAST_NUMBER and (k in gone or since.get(k, o) < o):
+            k += 1
+        out.append(k)
+    return out
+
+
 def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None) -> DataFrame:
     """files (dir, stem, ext, ordinal), taken (dir, name): stem.ext, or the next free stem-2, stem-3 ... in order of ordinal.
 
-    Names already there push the numbers on: a file of rank r gets the r-th number that is free. Beyond
-    999 a name ends in `stamp`, the time in milliseconds (a literal, the ordinal if none is given).
+    A name is free if it is not taken and no file of a lower ordinal has it, of whatever stem: a-2.png
+    may be the plain name of a file a-2 or the second a.png. Beyond 999 a name ends in `stamp`, the time
+    in milliseconds (a literal, the ordinal if none is given), so at most 999 files of a stem and folder
+    ever compete, and only they are listed. Numbers are given within each stem; plain names and numbers
+    that meet between stems block the later file, and numbers are given anew until nothing changes: the
+    file of the least ordinal is right at once, and each round settles at least the next one.
     """
-    held = taken.join(files.select("dir", "stem", "ext").distinct(), "dir")
+    order = Window.partitionBy(*_NAME).orderBy("ordinal")
+    first = files.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LAST_NUMBER)
+    groups = first.groupBy(*_NAME).agg(F.sort_array(F.collect_list(F.col("ordinal").cast("long"))).alias("ordinals"))
+    held = taken.join(groups.select(*_NAME), "dir")
     tail = F.expr("substring(name, length(stem) + 1, length(name) - length(stem) - length(ext) - 1)")
     fits = F.expr("startswith(name, stem) and endswith(name, concat('.', ext)) and length(name) > length(stem) + length(ext)")
-    number = F.when(tail == "", 1).when(tail.rlike("^-[1-9][0-9]*$"), F.substring(tail, 2, 9).cast("int"))
-    used = held.filter(fits).select("dir", "stem", "ext", number.alias("k")).filter("k is not null").groupBy("dir", "stem", "ext").agg(F.sort_array(F.collect_set("k")).alias("used"))
-    rank = F.row_number().over(Window.partitionBy("dir", "stem", "ext").orderBy("ordinal"))
-    ranked = files.withColumn("_r", rank).join(used, ["dir", "stem", "ext"], "left")
-    k = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("_r"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    number = F.when(tail == "", 1).when(tail.rlike("^-([2-9]|[1-9][0-9]{1,2})$"), F.substring(tail, 2, 3).cast("int"))
+    used = held.filter(fits).select(*_NAME, number.alias("k")).filter("k is not null").groupBy(*_NAME).agg(F.collect_set("k").alias("taken"))
+    groups = written(groups.join(used, list(_NAME), "left"), "names")
+
+    give = F.udf(_numbers, "array<int>")
+    nothing = F.lit(None).cast("array<struct<number:int,since:bigint>>")
+    given = written(groups.withColumn("numbers", give("ordinals", "taken", nothing)), "names")
+    parts = lambda k: F.regexp_extract("stem", r"^(.+)-([2-9]|[1-9][0-9]{1,2})$", k)
+    family = groups.select(*_NAME, parts(1).alias("parent"), parts(2).alias("number")).filter("parent <> ''").withColumn("number", F.col("number").cast("int"))
+    pairs = written(family.join(groups.select("dir", F.col("stem").alias("parent"), "ext"), ["dir", "parent", "ext"]), "pairs")
+    while not pairs.isEmpty():
+        plain = pairs.join(given.filter("numbers[0] = 1").select(*_NAME, F.col("ordinals")[0].alias("since")), list(_NAME)).select("dir", F.col("parent").alias("stem"), "ext", "number", "since")
+        whose = given.select("dir", F.col("stem").alias("parent"), "ext", F.explode(F.arrays_zip("ordinals", "numbers")).alias("e")).select("dir", "parent", "ext", F.col("e.numbers").alias("number"), F.col("e.ordinals").alias("since"))
+        numbered = pairs.join(whose, ["dir", "parent", "ext", "number"]).select(*_NAME, F.lit(1).alias("number"), "since")
+        blocks = plain.unionByName(numbered).groupBy(*_NAME).agg(F.collect_list(F.struct("number", "since")).alias("blocked"))
+        again = groups.join(blocks, list(_NAME), "left").select(*groups.columns, give("ordinals", "taken", "blocked").alias("numbers"))
+        again = written(again, "names")
+        settled = again.exceptAll(given.select(*again.columns)).isEmpty()
+        given = again
+        if settled:
+            break
+    chosen = given.select(*_NAME, F.explode(F.arrays_zip("ordinals", "numbers")).alias("e")).select(*_NAME, F.col("e.ordinals").alias("ordinal"), F.col("e.numbers").alias("k"))
+    full = groups.filter(F.size("ordinals") == LAST_NUMBER).select(*_NAME, F.element_at("ordinals", -1).alias("_last"))
+    rest = files.join(full, list(_NAME)).filter("ordinal > _last").select(*_NAME, "ordinal", F.lit(LAST_NUMBER + 1).alias("k"))
     late = (F.col("ordinal") if stamp is None else stamp).cast("string")
-    name = F.concat("stem", F.when(k >= 1000, F.concat(F.lit("-"), late)).when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext")
-    return ranked.select("dir", "ordinal", name.alias("name"))
+    k = F.col("k")
+    name = F.concat("stem", F.when(k > LAST_NUMBER, F.concat(F.lit("-"), late)).when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext")
+    return chosen.unionByName(rest).select("dir", F.col("ordinal").cast(files.schema["ordinal"].dataType).alias("ordinal"), name.alias("name"))
