@@ -32,10 +32,11 @@ def plan(width: Column, height: Column, scale: Column, target: Column, tile: Col
     return {"tile": t, "cols": cols, "bands": bands, "tiles": cols * bands, "out_w": width * target, "out_h": height * target, "factor": F.greatest(F.lit(1), F.floor(scale / target).cast("long"))}
 
 
-def product_scales(scale: Column) -> Column:
-    """Scales a model of a native scale is offered at."""
-    top = F.greatest(scale, F.lit(2))
-    return F.when((scale >= 4) & (scale % 2 == 0), F.array((scale / 2).cast("long"), top.cast("long"))).otherwise(F.array(top.cast("long")))
+def fitted_size(width: Column, height: Column, edge: Column | int) -> tuple[Column, Column]:
+    """Sides of an image shrunk to fit a square of `edge`, 1 at least; an image that fits keeps its own."""
+    edge = F.greatest(F.lit(1), edge if isinstance(edge, Column) else F.lit(edge))
+    by = F.least(F.lit(1.0), edge / F.greatest(width, height))
+    return tuple(F.greatest(F.lit(1), F.floor(side * by + 0.5)).cast("int") for side in (width, height))
 
 
 def adaptive_tile(width: Column, scale: Column, tile_budget: Column, band_budget: Column, pad: Column, ceiling: Column, halvings: int = 12) -> tuple[Column, Column]:
@@ -87,3 +88,19 @@ def zoom_view(zoom: Column, x: Column, y: Column, by: Column, ax: Column, ay: Co
 
 def wheel_factor(delta: Column) -> Column:
     return F.pow(F.lit(1.0015), -delta)
+
+
+def pan_view(zoom: Column, x: Column, y: Column, dx: Column, dy: Column, w: Column, h: Column, sw: Column, sh: Column) -> tuple[Column, Column, Column]:
+    """The image moved by a drag, kept over its stage."""
+    return clamp_view(zoom, x + dx, y + dy, w, h, sw, sh)
+
+
+def set_scale(zoom: Column, x: Column, y: Column, to: Column, w: Column, h: Column, sw: Column, sh: Column) -> tuple[Column, Column, Column]:
+    """A zoom chosen by its value: the middle of the stage stays where it is."""
+    return zoom_view(zoom, x, y, clamp_zoom(to) / zoom, sw / 2, sh / 2, w, h, sw, sh)
+
+
+def result(w: Column, h: Column, target: Column, mode: Column) -> dict[str, Column]:
+    """A result's sizes and its label."""
+    label = F.concat(target.cast("string"), F.lit("× · "), F.initcap(mode))
+    return {"source_width": w, "source_height": h, "output_width": w * target, "output_height": h * target, "label": label}

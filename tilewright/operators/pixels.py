@@ -7,10 +7,12 @@ coordinates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels as P
+from tilewright.functions.geometry import fitted_size
+from tilewright.functions.scalars import VIEW_EDGE
 
 CHANNELS = ("r", "g", "b")
 
@@ -24,10 +26,10 @@ def images_from_vectors(vectors: DataFrame, side: int = 8) -> DataFrame:
     return wide.dropna(subset=list(CHANNELS)).select("image", (F.col("i") % side).cast("int").alias("x"), F.expr(f"i div {side}").cast("int").alias("y"), *CHANNELS)
 
 
-def blurred(image: DataFrame) -> DataFrame:
-    """With br, bg, bb: means of the 3 x 3 neighbours that exist."""
-    across = Window.partitionBy("image", "y").orderBy("x").rowsBetween(-1, 1)
-    down = Window.partitionBy("image", "x").orderBy("y").rowsBetween(-1, 1)
+def blurred(image: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
+    """With br, bg, bb: means of the 3 x 3 neighbours that exist; keys: the columns that tell one image, or tile, from another."""
+    across = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-1, 1)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-1, 1)
     first = image.select("*", F.count(F.lit(1)).over(across).alias("_n"), *[F.sum(c).over(across).alias(f"_{c}") for c in CHANNELS])
     second = first.select(*image.columns, F.sum("_n").over(down).alias("_n"), *[F.sum(f"_{c}").over(down).alias(f"_{c}") for c in CHANNELS])
     return second.select(*image.columns, *[(F.col(f"_{c}") / F.col("_n")).alias(f"b{c}") for c in CHANNELS])
@@ -37,15 +39,15 @@ def _triple(prefix: str = "") -> P.Triple:
     return tuple(F.col(prefix + c) for c in CHANNELS)
 
 
-def with_look(image: DataFrame, name: str, intensity: int, mode: str = "standard") -> DataFrame:
+def with_look(image: DataFrame, name: str, intensity: int, mode: str = "standard", keys: tuple[str, ...] = ("image",)) -> DataFrame:
     """The mode's own pass first (detail sharpens), then the look; columns r, g, b replaced.
 
     Looks that need no neighbours run without a window.
     """
     if mode == "detail":
-        image = _replace(blurred(image), P.unsharp(_triple(), _triple("b"), P.DETAIL_STRENGTH)).drop("br", "bg", "bb")
+        image = _replace(blurred(image, keys), P.unsharp(_triple(), _triple("b"), P.DETAIL_STRENGTH)).drop("br", "bg", "bb")
     near = name in ("soft", "portrait", "sharp", "product") and intensity > 0
-    source = blurred(image) if near else image
+    source = blurred(image, keys) if near else image
     return _replace(source, P.look(name, _triple(), _triple("b") if near else _triple(), intensity)).drop("br", "bg", "bb")
 
 
@@ -69,6 +71,40 @@ def box_resample(image: DataFrame, factor: int) -> DataFrame:
     return image.groupBy("image", *by).agg(*[F.floor(F.sum(c) / float(factor * factor) + 0.5).cast("int").alias(c) for c in CHANNELS])
 
 
+def _overlaps(at: Column, n: Column | int, into: Column | int) -> Column:
+    """Of n equal cells laid over `into` cells: which of these the cell `at` covers, and how much, in parts of which a whole one has n."""
+    n, into = (v if isinstance(v, Column) else F.lit(v) for v in (n, into))
+    low, high = at * into, (at + 1) * into
+    cells = F.sequence(F.floor(low / n).cast("int"), F.floor((high - 1) / n).cast("int"))
+    return F.transform(cells, lambda i: F.struct(i.alias("i"), (F.least(high, (i + 1) * n) - F.greatest(low, i * n)).cast("long").alias("w")))
+
+
+def area_resample(image: DataFrame, width: Column | int, height: Column | int, out_width: Column | int, out_height: Column | int) -> DataFrame:
+    """Byte image at any other size: every new pixel is the mean of the area it covers, halves up.
+
+    Two passes, along x and then along y, each joining a pixel with the few cells of the new axis it
+    overlaps; weights are whole numbers and sums are exact, so the order of rows does not matter. Sizes
+    may be columns of image.
+    """
+    sides = {"_w": width, "_h": height, "_ow": out_width, "_oh": out_height}
+    channels = [c for c in (*CHANNELS, "a") if c in image.columns]
+    rows = image.withColumns({k: (v if isinstance(v, Column) else F.lit(v)) for k, v in sides.items()})
+    weighted = lambda c: F.sum(F.col(c).cast("long") * F.col("o.w")).alias(c)
+    across = rows.select("image", "y", "_w", "_h", "_oh", *channels, F.explode(_overlaps(F.col("x"), F.col("_w"), F.col("_ow"))).alias("o"))
+    across = across.groupBy("image", "y", F.col("o.i").alias("x")).agg(*[weighted(c) for c in channels], *[F.first(k).alias(k) for k in ("_w", "_h", "_oh")])
+    down = across.select("image", "x", "_w", "_h", *channels, F.explode(_overlaps(F.col("y"), F.col("_h"), F.col("_oh"))).alias("o"))
+    down = down.groupBy("image", "x", F.col("o.i").alias("y")).agg(*[weighted(c) for c in channels], (F.first("_w").cast("long") * F.first("_h")).alias("_n"))
+    return down.select("image", "x", "y", *[F.expr(f"(2 * {c} + _n) div (2 * _n)").cast("int").alias(c) for c in channels])
+
+
+def thumbnails(image: DataFrame, edge: int = VIEW_EDGE) -> DataFrame:
+    """Byte images, whatever their sizes, shrunk to fit a square of `edge`; those that fit come as they are."""
+    sizes = image.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    out_w, out_h = fitted_size(F.col("width"), F.col("height"), edge)
+    sized = image.join(sizes.withColumn("out_w", out_w).withColumn("out_h", out_h), "image")
+    return area_resample(sized, *[F.col(c) for c in ("width", "height", "out_w", "out_h")])
+
+
 def view_step(width: int, height: int, edge: int) -> int:
     return max(2, -(-max(width, height) // edge))
 
@@ -105,6 +141,31 @@ def tiled_enlarge(image: DataFrame, width: int, height: int, scale: int, tile: i
     return big.filter(inside).select("image", "x", "y", *CHANNELS)
 
 
+def run_tiles(
+    image: DataFrame, width: int, height: int, scale: int, target: int, tile: int, pad: int, look: str = "original", intensity: int = 0, mode: str = "standard", alpha: DataFrame | None = None, stops: DataFrame | None = None
+) -> DataFrame:
+    """The whole run on images (values in [0, 1]) of one size: tiles with halo, each enlarged by `scale`, finished
+    by mode and look on its own, cropped to bytes, averaged down to `target` times the size and joined with alpha.
+
+    The halo gives the finishing passes the neighbours they would have in the whole image, so tiles do
+    not show: pad is 1 at least if a pass reads neighbours. stops (image, tile): the first tile, counted
+    band by band, before which the run was cancelled or that failed; its band and the later ones write
+    no row, as a band is written only when all its tiles are done.
+    """
+    cols = -(-width // tile)
+    tiles = to_tiles(image.select("image", "x", "y", *CHANNELS), width, height, tile, pad)
+    if stops is not None:
+        first = stops.groupBy("image").agg(F.min(F.expr(f"tile div {cols}")).alias("_stop"))
+        tiles = tiles.join(first, "image", "left").filter("_stop is null or band < _stop").drop("_stop")
+    steps = F.sequence(F.lit(0), F.lit(scale - 1))
+    big = tiles.select("*", F.explode(steps).alias("_dy")).select("*", F.explode(steps).alias("_dx"))
+    big = big.select("image", "band", "col", (F.col("x") * scale + F.col("_dx")).alias("x"), (F.col("y") * scale + F.col("_dy")).alias("y"), *CHANNELS)
+    finished = with_look(big, look, intensity, mode, ("image", "band", "col"))
+    inside = as_bytes(finished.filter(F.expr(f"x div {tile * scale} = col and y div {tile * scale} = band"))).select("image", "x", "y", *CHANNELS)
+    out = inside if target == scale else box_resample(inside, scale // target)
+    return out if alpha is None else with_alpha(out, alpha, target)
+
+
 def with_alpha(enlarged: DataFrame, alpha: DataFrame, scale: int) -> DataFrame:
     """alpha (image, x, y, a) of the source joined to its enlargement by the nearest source pixel."""
     keyed = enlarged.withColumn("_sx", F.expr(f"x div {scale}").cast("int")).withColumn("_sy", F.expr(f"y div {scale}").cast("int"))
@@ -144,7 +205,21 @@ def statistics(image: DataFrame) -> DataFrame:
 
 def gradient(spark, width: int, height: int) -> DataFrame:
     """A deterministic byte image (fixed values: the three formulas)."""
-    px = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.expr(f"id div {width}").cast("int").alias("y"))
-    return px.select(F.lit(0).cast("long").alias("image"), "x", "y", F.expr("(x + y) % 255").alias("r"), F.expr("x * 3 % 251").alias("g"), F.expr("y * 7 % 249").alias("b"))
+    return _grid(spark, width, height).select(F.lit(0).cast("long").alias("image"), "x", "y", F.expr("(x + y) % 255").alias("r"), F.expr("x * 3 % 251").alias("g"), F.expr("y * 7 % 249").alias("b"))
+
+
+def scene(spark, width: int, height: int) -> DataFrame:
+    """A deterministic byte image of a ramp with a disc and stripes (fixed values: the formulas)."""
+    px = _grid(spark, width, height)
+    disc = F.expr(f"pow(x - {width} / 2, 2) + pow(y - {height} / 2, 2) < pow({min(width, height)} / 4, 2)")
+    return px.select(F.lit(0).cast("long").alias("image"), "x", "y", F.when(disc, 230).otherwise(F.expr(f"x * 255 div {max(width - 1, 1)}")).cast("int").alias("r"), F.expr(f"y * 255 div {max(height - 1, 1)}").cast("int").alias("g"), F.when(F.expr("(x div 4) % 2 = 0"), 40).otherwise(200).alias("b"))
+
+
+def checkerboard(spark, width: int, height: int, cell: int) -> DataFrame:
+    """A byte image of white and black squares, the first one white."""
+    light = F.when(F.expr(f"(x div {cell} + y div {cell}) % 2 = 0"), 255).otherwise(0)
+    return _grid(spark, width, height).select(F.lit(0).cast("long").alias("image"), "x", "y", *[light.alias(c) for c in CHANNELS])
 
 
+def _grid(spark, width: int, height: int) -> DataFrame:
+    return spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.expr(f"id div {width}").cast("int").alias("y"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import pixels as P
 from tilewright.operators import pixels as O
+from tilewright.sources import png
 
 Query = Callable[[SparkSession, str], DataFrame]
 INTENSITY = 60
@@ -50,6 +51,37 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image", *[F.round(c, 6).alias(c) for c in s.columns if c != "image"])
 
 
+def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with alpha as PNG files, in bands of three rows, and back."""
+    image = _bytes(spark, sf_dir)
+    alpha = image.join(_alpha(image), ["image", "x", "y"])
+    return png.decode(png.encode(alpha, band_rows=3))
+
+
+def png_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file is cut before its end, every fifth is over the pixel limit."""
+    files = png.encode(_bytes(spark, sf_dir)).withColumn("content", F.when(F.col("image") % 3 == 0, F.expr("substring(content, 1, length(content) - 16)")).otherwise(F.col("content")))
+    good = png.faults(files.filter("image % 5 <> 0"))
+    return good.unionByName(png.faults(files.filter("image % 5 = 0"), max_pixels=63))
+
+
+def png_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of PNG files, decoded again: whole images are shrunk to five, those of three rows and columns come as they are; some are cut."""
+    image = _bytes(spark, sf_dir).filter("image % 2 = 0 or (x < 3 and y < 3)")
+    files = png.encode(image).withColumn("content", F.when(F.col("image") % 7 == 0, F.expr("substring(content, 1, 40)")).otherwise(F.col("content")))
+    seen = png.views(files, 5)
+    shown = seen.filter("error is null").withColumn("content", F.unbase64(F.substring_index("data_url", ",", -1)))
+    facts = seen.select("image", "width", "delivered_edge", "original", "error")
+    return facts.join(png.decode(shown.select("image", "content")), "image", "left")
+
+
+def tiled_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail, then soft, inside tiles of three with a halo of one; doubled, averaged back; every fourth run stops before a tile."""
+    image = _images(spark, sf_dir)
+    stops = image.select("image").distinct().filter("image % 4 = 0").select("image", (F.col("image") % 9).alias("tile"))
+    return O.run_tiles(image, 8, 8, 2, 1, 3, 1, "soft", INTENSITY, "detail", _alpha(image), stops)
+
+
 def queries() -> dict[str, Query]:
     return {
         "px_unsharp_detail": unsharp_detail,
@@ -61,6 +93,12 @@ def queries() -> dict[str, Query]:
         "px_flatten_white": flatten_white,
         "px_alpha_nearest": alpha_nearest,
         "px_stats": stats,
+        "px_png_roundtrip": png_roundtrip,
+        "px_png_faults": png_faults,
+        "px_png_views": png_views,
+        "px_area_resample": lambda s, d: O.area_resample(_bytes(s, d), 8, 8, 5, 3),
+        "px_thumbnails": lambda s, d: O.thumbnails(_bytes(s, d).filter("image % 2 = 0 or y < 3"), 5),
+        "px_tiled_run": tiled_run,
     }
 
 
@@ -130,6 +168,31 @@ def _look_sql() -> dict[str, str]:
     return {f"px_look_{name}": "WITH " + ", ".join([_PX, *steps]) + f" {_ROUND}{last}" for name, (last, steps) in bodies.items()}
 
 
+def _blur_of(source: str, name: str) -> str:
+    """CTEs name_h and name: source with br, bg, bb."""
+    return f"""{name}_h AS (SELECT *, count(*) OVER w AS n, sum(r) OVER w AS hr, sum(g) OVER w AS hg, sum(b) OVER w AS hb FROM {source} WINDOW w AS (PARTITION BY image, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+{name} AS (SELECT image, x, y, r, g, b, sum(hr) OVER w / sum(n) OVER w AS br, sum(hg) OVER w / sum(n) OVER w AS bg, sum(hb) OVER w / sum(n) OVER w AS bb FROM {name}_h WINDOW w AS (PARTITION BY image, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+
+
+def _tiled_sql() -> str:
+    """The whole image at once; rows from a stopped band on are missing."""
+    k = INTENSITY / 100
+    double = "n AS (SELECT image, CAST(x * 2 + dx AS INTEGER) AS x, CAST(y * 2 + dy AS INTEGER) AS y, r, g, b FROM px, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy))"
+    sharp = _sel("s", "q1", *[f"{v} + 0.5 * ({v} - b{v})" for v in "rgb"])
+    soft = _sel("t", "q2", *[f"CAST(floor({_c(_c(f'{v} + {0.35 * k!r} * (b{v} - {v}) + {0.02 * k!r}'))} * 255 + 0.5) AS INTEGER)" for v in "rgb"])
+    mean = ", ".join(f"CAST(floor(sum({v}) / 4.0 + 0.5) AS INTEGER) AS {v}" for v in "rgb")
+    return f"""WITH {_PX}, {double}, {_blur_of("n", "q1")}, {sharp}, {_blur_of("s", "q2")}, {soft}, m AS (SELECT image, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, {mean} FROM t GROUP BY image, x // 2, y // 2)
+        SELECT *, CASE WHEN (x + y) % 2 = 0 THEN 120 ELSE 255 END AS a FROM m WHERE image % 4 <> 0 OR y // 3 < image % 9 // 3"""
+
+
+def _area_sql(name: str, source: str, w: str, h: str, ow: str, oh: str, sides: str = "") -> str:
+    """Means over the parts of the pixels under each new one, straight from the rule."""
+    part = lambda v, n, m, i: f"greatest(0, least(({v} + 1) * {m}, ({i} + 1) * {n}) - greatest({v} * {m}, {i} * {n}))"
+    area = f"{part('x', w, ow, 'i')} * {part('y', h, oh, 'j')}"
+    values = ", ".join(f"CAST((2 * sum({v} * area) + any_value({w}) * any_value({h})) // (2 * any_value({w}) * any_value({h})) AS INTEGER) AS {v}" for v in "rgb")
+    return f"""{name} AS (SELECT image, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, {values} FROM (SELECT *, {area} AS area FROM {source}, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE i < {ow} AND j < {oh}) WHERE area > 0 GROUP BY image, i, j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sharp = _sel("a", "q", *[f"CAST(floor({_c(f'{v} + 0.5 * ({v} - b{v})')} * 255 + 0.5) AS INTEGER)" for v in "rgb"])
     near = "SELECT image, CAST(x * 2 + dx AS INTEGER) AS x, CAST(y * 2 + dy AS INTEGER) AS y, r, g, b FROM u, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)"
@@ -143,6 +206,16 @@ def oracle_sql() -> dict[str, str]:
         "px_tile_roundtrip": f"WITH {_PX}, {_U8} {near}",
         "px_flatten_white": f"WITH {_PX}, {_U8}, w AS (SELECT *, CASE WHEN (x + y) % 2 = 0 THEN 120 ELSE 255 END AS a FROM u) SELECT image, x, y, {flat} FROM w",
         "px_alpha_nearest": f"WITH {_PX}, {_U8}, n AS ({near}) SELECT n.*, CASE WHEN (x // 2 + y // 2) % 2 = 0 THEN 120 ELSE 255 END AS a FROM n",
+        "px_png_roundtrip": f"WITH {_PX}, {_U8} SELECT *, CASE WHEN (x + y) % 2 = 0 THEN 120 ELSE 255 END AS a FROM u",
+        "px_png_faults": f"WITH {_PX} SELECT DISTINCT image, CASE WHEN image % 3 = 0 THEN 'invalid_image' WHEN image % 5 = 0 THEN 'file_too_large' END AS error FROM px",
+        "px_png_views": f"""WITH {_PX}, {_U8}, f AS (SELECT *, CASE WHEN image % 2 = 0 THEN 8 ELSE 3 END AS w, CASE WHEN image % 2 = 0 THEN 5 ELSE 3 END AS ow FROM u WHERE image % 2 = 0 OR (x < 3 AND y < 3)), {_area_sql("o", "f", "w", "w", "ow", "ow")},
+            i AS (SELECT DISTINCT image, w, ow, image % 7 = 0 AS cut FROM f)
+            SELECT i.image, CASE WHEN NOT cut THEN CAST(w AS BIGINT) END AS width, CASE WHEN NOT cut THEN CAST(ow AS BIGINT) END AS delivered_edge, CASE WHEN NOT cut THEN w = 3 END AS original, CASE WHEN cut THEN 'invalid_image' END AS error, o.x, o.y, o.r, o.g, o.b, CASE WHEN o.image IS NOT NULL THEN 255 END AS a
+            FROM i LEFT JOIN o ON o.image = i.image AND NOT cut""",
+        "px_area_resample": f"WITH {_PX}, {_U8}, {_area_sql('o', 'u', '8', '8', '5', '3')} SELECT * FROM o",
+        "px_thumbnails": f"""WITH {_PX}, {_U8}, f AS (SELECT *, 8 AS w, CASE WHEN image % 2 = 0 THEN 8 ELSE 3 END AS h FROM u WHERE image % 2 = 0 OR y < 3),
+            e AS (SELECT *, 5 AS ow, CASE WHEN image % 2 = 0 THEN 5 ELSE 2 END AS oh FROM f), {_area_sql("o", "e", "w", "h", "ow", "oh")} SELECT * FROM o""",
+        "px_tiled_run": _tiled_sql(),
         "px_stats": f"""WITH {_PX}, l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, greatest(r, g, b) - least(r, g, b) AS s FROM px),
             d AS (SELECT *, abs(l - lag(l) OVER (PARTITION BY image, y ORDER BY x)) AS step, ntile(10) OVER (PARTITION BY image ORDER BY l, y, x) AS tenth FROM l)
             SELECT image, round(avg(l), 6) AS mean_luma, round(avg(r - b), 6) AS mean_warmth, round(avg(s), 6) AS mean_spread, round(avg(step), 6) AS mean_step,
