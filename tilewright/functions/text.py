@@ -119,7 +119,8 @@ def clean_log(message: Column) -> Column:
 
 
 def without_space(pasted: Column) -> Column:
-    return F.regexp_replace(pasted, r"\s", "")
+    """White space of every script taken out."""
+    return F.regexp_replace(pasted, r"\p{IsWhite_Space}", "")
 
 
 def key_parts(key: Column, prefix: str) -> dict[str, Column]:

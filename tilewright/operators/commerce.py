@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalars import lookup
+from tilewright.functions.text import without_space
 from tilewright.operators.ledger import ORDER_STATES
 
 #: Tiers and editions, what each payment provider needs to be set, plans with a build.
@@ -48,6 +49,64 @@ def configured(name: Column, keys: Column) -> Column:
     return out.otherwise(False)
 
 
+#: Where providers take requests, by mode where there are two.
+SESSION_URL = "https://api.stripe.com/v1/checkout/sessions"
+CHECKOUT_BASE = {"test": "https://test.dodopayments.com", "live": "https://live.dodopayments.com"}
+
+
+def _form(pairs: list[tuple[str, Column]]) -> Column:
+    """Pairs as a form's text; a pair with a null value is left out."""
+    return F.array_join(F.array(*[F.concat(F.url_encode(F.lit(k)), F.lit("="), F.url_encode(v)) for k, v in pairs]), "&")
+
+
+def checkout_request(name: Column, tier: Column, origin: Column, ref: Column, keys: Column, titles: dict[str, str]) -> dict[str, Column]:
+    """What a checkout of a tier sends: provider, error, kind (post or redirect), url, body.
+
+    keys: a map of what is set (api_mode, secret_key, price_<tier>, amount_<tier>_usd, product_<tier>,
+    fastlink_<tier>); titles: the line that a price made on the spot is sold under. The error names the key that is
+    missing, `free tier` for a tier that is not sold, and then nothing is sent. The manual path sends
+    nobody anywhere but on.
+    """
+    who = provider(name)
+    of = lambda k: F.nullif(F.trim(F.try_element_at(keys, k if isinstance(k, Column) else F.lit(k))), F.lit(""))
+    per = lambda before, after="": of(F.concat(F.lit(before), tier, F.lit(after)))
+    price, usd = per("price_"), per("amount_", "_usd").try_cast("double")
+    usd = F.when((usd > 0) & (usd < float("inf")), usd)
+    missing = lambda c, k: F.when(c.isNull(), F.concat(F.lit("not set: "), k))
+    back = lambda source: F.concat(origin, F.lit("/download?tier="), tier, F.lit(f"&source={source}"))
+    title = lookup(titles, tier)
+    made = price.isNull()
+    session = _form(
+        [
+            ("mode", F.lit("payment")), ("success_url", F.concat(back("stripe"), F.lit("&session_id={CHECKOUT_SESSION_ID}"))), ("cancel_url", F.concat(origin, F.lit("/#pricing"))), ("client_reference_id", tier), ("metadata[tier]", tier),
+            ("allow_promotion_codes", F.lit("true")), ("line_items[0][quantity]", F.lit("1")), ("line_items[0][price]", price), ("line_items[0][price_data][currency]", F.when(made, "usd")),
+            ("line_items[0][price_data][unit_amount]", F.when(made, F.floor(usd * 100 + 0.5).cast("string"))), ("line_items[0][price_data][product_data][name]", F.when(made, title)),
+        ]
+    )
+    record = F.to_json(
+        F.struct(
+            F.array(F.struct(per("product_").alias("product_id"), F.lit(1).alias("quantity"))).alias("product_cart"), F.concat(back("dodo"), F.lit("&ref="), ref).alias("return_url"), F.concat(origin, F.lit("/#pricing")).alias("cancel_url"),
+            F.struct(ref.alias("ref"), tier.alias("tier")).alias("metadata"),
+        )
+    )
+    link = per("fastlink_")
+    ride = _form([("checkout[custom][ref]", ref), ("checkout[custom][tier]", tier), ("redirect_url", F.concat(back("lemonsqueezy"), F.lit("&ref="), ref))])
+    linked = F.concat(link, F.when(link.contains("?"), "&").otherwise("?"), ride)
+    sold = F.coalesce(tier.isin(*TIER_EDITION), F.lit(False))
+    base = F.coalesce(lookup(CHECKOUT_BASE, of("api_mode")), F.lit(CHECKOUT_BASE["live"]))
+    error = (
+        F.when(checkout_error(tier).isNotNull(), checkout_error(tier)).when(who == "manual", None).when(~sold, "free tier")
+        .when(who == "stripe", F.coalesce(missing(of("secret_key"), F.lit("secret_key")), F.when(made & usd.isNull(), F.concat(F.lit("not set: price_"), tier, F.lit(" or amount_"), tier, F.lit("_usd")))))
+        .when(who == "dodo", F.coalesce(missing(per("product_"), F.concat(F.lit("product_"), tier)), missing(of("api_key"), F.lit("api_key")))).when(who == "lemonsqueezy", missing(link, F.concat(F.lit("fastlink_"), tier)))
+    )
+    send = lambda c: F.when(error.isNull(), c)
+    return {
+        "provider": who, "error": error, "kind": send(F.when(who.isin("stripe", "dodo"), "post").otherwise("redirect")),
+        "url": send(F.when(who == "stripe", SESSION_URL).when(who == "dodo", F.concat(base, F.lit("/checkouts"))).when(who == "lemonsqueezy", linked).otherwise(F.concat(F.lit("/download?tier="), tier, F.lit("&source=checkout")))),
+        "body": send(F.when(who == "stripe", session).when(who == "dodo", record)),
+    }
+
+
 def constraint_faults(orders: DataFrame) -> DataFrame:
     """orders (tier, edition, amount_cents, status, used) with the rules each row breaks."""
     rules = {
@@ -96,7 +155,7 @@ def claimed_keys(pool: DataFrame, orders: DataFrame) -> DataFrame:
 def activations(pasted: DataFrame) -> DataFrame:
     """pasted (machine, seq, key, at): a key that is active already keeps its first time and is reported as such."""
     order = Window.partitionBy("machine").orderBy("seq")
-    bare = pasted.withColumn("key", F.regexp_replace("key", r"\s", ""))
+    bare = pasted.withColumn("key", without_space(F.col("key")))
     same = F.coalesce(F.lag("key").over(order) == F.col("key"), F.lit(False))
     runs = bare.withColumn("already_active", same).withColumn("_run", F.sum((~same).cast("int")).over(order))
     return runs.withColumn("activated_at", F.min("at").over(Window.partitionBy("machine", "_run"))).select("machine", "seq", "already_active", "activated_at")

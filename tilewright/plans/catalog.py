@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.plans import desk_queries, ledger_queries, pixel_queries, stream_queries
+from tilewright.plans import desk_queries, ledger_queries, pixel_queries, service_queries, stream_queries
 
-_MODULES = (pixel_queries, ledger_queries, stream_queries, desk_queries)
+_MODULES = (pixel_queries, ledger_queries, stream_queries, desk_queries, service_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
