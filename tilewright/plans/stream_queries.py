@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.operators.ordered import scratch
 from tilewright.plans import ledger_queries as Q
 from tilewright.streaming import folds
 
@@ -16,12 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tilewright-")
-    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     write = lambda batch, n: batch.write.parquet(f"{place}/out/batch={n}")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -48,7 +42,7 @@ class _Streamed:
 def stream_batch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal to batch_fold for items that have an event of a known kind."""
     events = Q._item_events(_Streamed(spark), sf_dir)
-    return folds.latest_items(_run(spark, folds.stream_items(events), "update"))
+    return folds.latest_items(_run(spark, folds.stream_items(events), "update")).drop("n_late")
 
 
 def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
