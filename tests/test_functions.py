@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as G
 from tilewright.functions import pixels as P
 from tilewright.functions import text as T
-from tilewright.operators import jobs, ledger, policy
+from tilewright.operators import jobs, ledger, policy, registry
 from tilewright.sources import images
 
 
@@ -45,7 +45,7 @@ def test_budgets(spark):
 
 
 def test_scales_views_and_bytes(spark):
-    assert [one(spark, s=G.product_scales(big(s)))["s"] for s in (4, 2, 3)] == [[2, 4], [2], [3]]
+    assert [one(spark, s=registry.product_scales(big(s)))["s"] for s in (4, 2, 3)] == [[2, 4], [2], [3]]
     z, x, y = G.fit_view(*(F.lit(float(v)) for v in (4000, 2000, 1000, 600)))
     assert one(spark, z=z)["z"] == pytest.approx(944 / 4000)
     assert one(spark, z=G.fit_view(*(F.lit(float(v)) for v in (50, 40, 1000, 600)))[0])["z"] == 1

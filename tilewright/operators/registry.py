@@ -36,7 +36,7 @@ def backing(mode: Column) -> Column:
 
 def model_for(modes: DataFrame, specs: DataFrame) -> DataFrame:
     """modes (mode), specs (model, mode, ordinal, state): the first ready model of each mode, or null."""
-    ready = specs.filter("state = 'ready'").groupBy(F.col("mode").alias("_backing")).agg(F.min_by("model", "ordinal").alias("model"))
+    ready = specs.filter("state = 'ready'").filter(F.col("mode").isin(*MODE_KEYS)).groupBy(F.col("mode").alias("_backing")).agg(F.min_by("model", "ordinal").alias("model"))
     return modes.withColumn("_backing", backing(F.col("mode"))).join(F.broadcast(ready), "_backing", "left").select("mode", "model")
 
 
@@ -68,10 +68,10 @@ def latest_masters(masters: DataFrame) -> DataFrame:
 
 
 def superseded(masters: DataFrame, exported: DataFrame) -> DataFrame:
-    """Files to remove: all but an image's newest, and masters of a batch (exported: path) after their export."""
-    newest = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("seq"))) == 1
-    ranked = masters.withColumn("_new", newest).join(exported.select("path").distinct().withColumn("_out", F.lit(True)), "path", "left")
-    return ranked.filter("not _new or _out").select("image", "path")
+    """Files to remove: all but an image's newest (seq is unique in an image), and masters of a batch (exported: path) after their export."""
+    newest = masters.groupBy("image").agg(F.max("seq").alias("_newest"))
+    marked = masters.join(newest, "image").join(exported.select("path").distinct().withColumn("_out", F.lit(True)), "path", "left")
+    return marked.filter("seq < _newest or _out").select("image", "path")
 
 
 def registry_lookup(asked: DataFrame, masters: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def control_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(
         "p_partkey", V.slider_at(size * 20.0, F.lit(40.0), F.when(k % 11 == 0, 0.0).otherwise(800.0), F.lit(50.0)).alias("slider"),
         V.slider_key(_pick(("ArrowLeft", "ArrowRight", "Home", "End", "x"), "p_partkey"), k % 2 == 0, (k % 95 + 3).cast("double")).alias("nudged"), V.needs_full(quality, (k % 40) / 10.0).alias("escalate"),
-        F.when(quality < 1e9, F.round(quality, 9)).alias("quality"), V.to_cents(F.when(k % 9 != 0, price)).alias("cents"), V.percent(k % 130, size % 10 * 13).alias("percent"),
+        F.when(quality < 1e9, F.round(quality, 9)).alias("quality"), V.to_cents(F.when(k % 9 != 0, F.when(k % 31 == 0, float("-inf")).when(k % 37 == 0, float("nan")).otherwise(price))).alias("cents"), V.percent(k % 130, size % 10 * 13).alias("percent"),
         V.threads(k % 3 == 0, (k % 17).cast("int"), (k % 9).cast("int")).alias("threads"), V.quality_in_range((k % 140 - 20).cast("int")).alias("jpeg_quality"),
         V.export_limit(fmt, size * 1000, size * 900).alias("export_error"), view["original"].alias("original"), view["delivered_edge"].cast("long").alias("delivered_edge"),
     )
@@ -91,7 +91,7 @@ b AS (SELECT *, CASE WHEN k % 7 = 0 THEN 0::DOUBLE WHEN k % 5 = 0 THEN 'infinity
   {_pick_sql(("ArrowLeft", "ArrowRight", "Home", "End", "x"), "p_partkey")} AS key, CASE WHEN k % 2 = 0 THEN 10 ELSE 2 END AS step, k % 95 + 3 AS p FROM a)
 SELECT p_partkey, CASE WHEN k % 11 = 0 THEN 50::DOUBLE ELSE least(97::DOUBLE, greatest(3::DOUBLE, (s * 20 - 40) / 800::DOUBLE * 100)) END AS slider,
   CAST(CASE key WHEN 'ArrowLeft' THEN greatest(3, p - step) WHEN 'ArrowRight' THEN least(97, p + step) WHEN 'Home' THEN 3 WHEN 'End' THEN 97 ELSE p END AS DOUBLE) AS nudged,
-  q < 'infinity'::DOUBLE AND (k % 40) / 10.0::DOUBLE > q * 1.02::DOUBLE AS escalate, CASE WHEN q < 1e9 THEN round(q, 9) END AS quality, CASE WHEN k % 9 <> 0 THEN CAST(floor(price * 100 + 0.5) AS BIGINT) END AS cents,
+  q < 'infinity'::DOUBLE AND (k % 40) / 10.0::DOUBLE > q * 1.02::DOUBLE AS escalate, CASE WHEN q < 1e9 THEN round(q, 9) END AS quality, CASE WHEN k % 9 <> 0 AND k % 31 <> 0 AND k % 37 <> 0 THEN CAST(floor(price * 100 + 0.5) AS BIGINT) END AS cents,
   CASE WHEN s % 10 > 0 THEN CAST(least(100, floor((k % 130) / (s % 10 * 13)::DOUBLE * 100 + 0.5)) AS INTEGER) END AS percent, CAST(CASE WHEN k % 3 = 0 THEN greatest(k % 17, 1) ELSE least(greatest(k % 9, 1), greatest(k % 17, 1)) END AS INTEGER) AS threads,
   CAST(greatest(1, least(100, k % 140 - 20)) AS INTEGER) AS jpeg_quality, CASE WHEN s * 1000 > CASE WHEN k % 2 = 0 THEN 65535 ELSE 16383 END THEN 'export_limit' END AS export_error, longest <= e AS original, CAST(least(longest, e) AS BIGINT) AS delivered_edge FROM b"""
 
@@ -178,7 +178,11 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.summary(_outcomes(spark, sf_dir).withColumn("size_bytes", F.col("size_bytes") % 1000), "ordinal").select(F.col("ordinal").alias("doc_id"), "line")
+    """A line for each language and source, and for each source in one language of ten documents."""
+    d = _t(spark, sf_dir, "documents")
+    whole = d.select(F.concat_ws("/", "lang", "source").alias("collection"), (F.col("n_chars") * (1 + F.col("doc_id") % 5 * 300)).alias("size_bytes"))
+    tens = d.select(F.concat(F.lit("ten/"), F.expr("cast(doc_id div 10 as string)")).alias("collection"), F.col("n_chars").alias("size_bytes"))
+    return C.summary(whole.unionByName(tens), "collection")
 
 
 def new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,14 +278,14 @@ def meter_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "purchase", "ack").when(F.col("event_type") == "view", "read")
     month = F.when(F.col("event_id") % 500 < 250, "2024-01").otherwise("2024-02")
-    return L.owed(e.select(F.concat(F.lit("dev"), F.col("user_id").cast("string")).alias("meter"), F.col("event_id").alias("seq"), month.alias("month"), kind.alias("kind"), (F.col("event_id") % 3).alias("n")).filter("kind is not null"))
+    return L.owed(e.select(F.concat(F.lit("dev"), F.col("user_id").cast("string")).alias("meter"), F.col("event_id").alias("seq"), month.alias("month"), kind.alias("kind"), (F.col("event_id") % 7).alias("n")).filter("kind is not null"))
 
 
-_OWED_SQL = """WITH RECURSIVE e AS (SELECT 'dev' || user_id AS meter, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'ack' WHEN 'view' THEN 'read' END AS kind, CASE WHEN event_id % 500 < 250 THEN '2024-01' ELSE '2024-02' END AS month, event_id % 3 AS n, event_id FROM events),
+_OWED_SQL = """WITH RECURSIVE e AS (SELECT 'dev' || user_id AS meter, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'ack' WHEN 'view' THEN 'read' END AS kind, CASE WHEN event_id % 500 < 250 THEN '2024-01' ELSE '2024-02' END AS month, event_id % 7 AS n, event_id FROM events),
 k AS (SELECT *, row_number() OVER (PARTITION BY meter ORDER BY event_id) AS i FROM e WHERE kind IS NOT NULL),
 r AS (SELECT meter, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS owed, CAST(NULL AS VARCHAR) AS was FROM k GROUP BY meter
-  UNION ALL SELECT r.meter, k.i, CASE WHEN k.kind = 'add' THEN r.owed + k.n WHEN k.kind = 'ack' THEN greatest(0, r.owed - k.n) WHEN r.was IS NOT NULL AND r.was <> k.month THEN 0 ELSE r.owed END, CASE WHEN k.kind IN ('read', 'ack') THEN k.month ELSE r.was END FROM r JOIN k ON k.meter = r.meter AND k.i = r.i + 1)
-SELECT meter, least(arg_max(owed, i), 10) AS owed FROM r GROUP BY meter"""
+  UNION ALL SELECT r.meter, k.i, CASE WHEN k.kind = 'add' THEN least(10, r.owed + k.n) WHEN k.kind = 'ack' THEN greatest(0, r.owed - k.n) WHEN r.was IS NOT NULL AND r.was <> k.month THEN 0 ELSE r.owed END, CASE WHEN k.kind IN ('read', 'ack') THEN k.month ELSE r.was END FROM r JOIN k ON k.meter = r.meter AND k.i = r.i + 1)
+SELECT meter, arg_max(owed, i) AS owed FROM r GROUP BY meter"""
 
 
 def relay_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +306,12 @@ SELECT c_custkey, CASE WHEN NOT ok THEN 'meter_unreachable' END AS error, CASE W
 
 def spend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    body = F.when(k % 17 == 0, "").when(k % 13 == 0, "not json").otherwise(F.concat(F.lit('{"install_id":" '), F.when(k % 7 == 0, "AB").otherwise("Abcd12"), F.lpad(k.cast("string"), 6, "0"), F.lit('","count":'), (k % 1200 - 3).cast("string"), F.lit("}")))
+    body = F.when(k % 17 == 0, "").when(k % 13 == 0, "not json").when(k % 11 == 0, _pick(("[1]", "null", "7", '"x"', "{}", '{"install_id":12345678,"count":1}', '{"install_id":"abcd1234","count":"1"}', '{"install_id":"abcd1234","count":1.9}', '{"install_id":"abcd1234","count":0.9}', '{"install_id":"abcd1234"}'), "c_custkey")).otherwise(F.concat(F.lit('{"install_id":" '), F.when(k % 7 == 0, "AB").otherwise("Abcd12"), F.lpad(k.cast("string"), 6, "0"), F.lit('","count":'), (k % 1200 - 3).cast("string"), F.lit("}")))
     period = F.concat(F.lit("2024-"), F.lpad((k % 20).cast("string"), 2, "0"), F.when(k % 9 == 0, "x").otherwise(""))
     return _t(spark, sf_dir, "customer").select("c_custkey", L.spend_request_error(body).alias("error"), L.server_period(period).alias("server_ok"), L.client_period(period).alias("client_ok"), L.meter_id(F.concat(F.lit(" M"), k.cast("string"), F.lit("0000000"))).alias("meter"))
 
 
-_SPEND_SQL = """SELECT c_custkey, CASE WHEN k % 17 = 0 THEN 'invalid body' WHEN k % 13 = 0 THEN 'invalid json' WHEN k % 1200 - 3 < 1 OR k % 1200 - 3 > 1000 THEN 'count must be an integer from 1 to 1000' END AS error,
+_SPEND_SQL = """SELECT c_custkey, CASE WHEN k % 17 = 0 THEN 'invalid body' WHEN k % 13 = 0 THEN 'invalid json' WHEN k % 11 = 0 THEN CASE WHEN k % 10 <= 5 THEN 'unknown install id' WHEN k % 10 <> 7 THEN 'count must be an integer from 1 to 1000' END WHEN k % 1200 - 3 < 1 OR k % 1200 - 3 > 1000 THEN 'count must be an integer from 1 to 1000' END AS error,
   k % 9 <> 0 AND k % 20 BETWEEN 1 AND 12 AS server_ok, k % 9 <> 0 AS client_ok, 'm' || k || '0000000' AS meter FROM (SELECT c_custkey, c_custkey AS k FROM customer)"""
 
 # --- the shop --------------------------------------------------------------------------------------
@@ -452,7 +456,10 @@ def oracle_sql() -> dict[str, str]:
         "output_registry": """SELECT image, path, CASE WHEN path IS NULL THEN 'file_missing' END AS error_code FROM (SELECT user_id AS image, 'm' || max(event_id) FILTER (event_type = 'purchase') AS path FROM events GROUP BY user_id)""",
         "superseded_masters": "SELECT user_id AS image, 'm' || event_id AS path FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS newest FROM events) WHERE event_id < newest OR event_id % 5 = 0",
         "bench_throughput": """SELECT l_returnflag AS "case", round(sum(l_linenumber * 1000 * (l_orderkey % 2000)) / 1e6::DOUBLE / sum(1 + l_partkey % 7), 6) AS mp_per_s, CAST(max(l_suppkey) AS BIGINT) AS peak_bytes FROM lineitem GROUP BY 1""",
-        "collection_summary": "SELECT doc_id, '1 image · ' || n_chars % 1000 || ' B' AS line FROM documents",
+        "collection_summary": """WITH i AS (SELECT lang || '/' || source AS collection, n_chars * (1 + doc_id % 5 * 300) AS b FROM documents UNION ALL SELECT 'ten/' || doc_id // 10, n_chars FROM documents),
+            g AS (SELECT collection, count(*) AS c, CAST(sum(b) AS BIGINT) AS n FROM i GROUP BY collection)
+            SELECT collection, c || CASE WHEN c = 1 THEN ' image · ' ELSE ' images · ' END || CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0::DOUBLE < 1000 THEN CAST(floor(n / 1024.0::DOUBLE + 0.5) AS BIGINT) || ' KB' WHEN n / 1048576.0::DOUBLE < 10 THEN format('{:.1f} MB', n / 1048576.0::DOUBLE)
+              WHEN n / 1048576.0::DOUBLE < 1000 THEN CAST(floor(n / 1048576.0::DOUBLE + 0.5) AS BIGINT) || ' MB' ELSE format('{:.1f} GB', n / 1073741824.0::DOUBLE) END AS line FROM g""",
         "new_images": "SELECT count(DISTINCT doc_id % 50) AS n_new FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 50 NOT IN (SELECT doc_id % 50 FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 9 = 0)",
         "failure_notices": """WITH f AS (SELECT source, 'f' || doc_id || ' — ' || lang AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) - 3 AS m FROM documents WHERE doc_id % 4 = 0)
             SELECT source, CAST(r AS INTEGER) AS place, t AS notice FROM f WHERE r <= 3 UNION ALL SELECT source, CAST(4 AS INTEGER), m || CASE WHEN m = 1 THEN ' more file could not be imported' ELSE ' more files could not be imported' END FROM f WHERE r = 1 AND m > 0""",

@@ -234,7 +234,7 @@ def import_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
-    stem = T.safe_stem(F.concat(F.when(F.col("p_partkey") % 9 == 0, " a<b").when(F.col("p_partkey") % 9 == 1, "...").otherwise("img"), (F.col("p_size") % 5).cast("string")), "image")
+    stem = T.safe_stem(F.concat(F.when(F.col("p_partkey") % 9 == 0, " a<b").when(F.col("p_partkey") % 9 == 1, "...").otherwise("img"), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_partkey") % 9 < 5, "").otherwise(F.concat(F.lit("-"), (F.col("p_partkey") % 4 + 1).cast("string")))), "image")
     files = p.select(F.col("p_brand").alias("dir"), stem.alias("stem"), F.lit("png").alias("ext"), F.col("p_partkey").alias("ordinal"))
     taken = p.select(F.col("p_brand").alias("dir")).distinct().select("dir", F.explode(F.array(F.lit("img1.png"), F.lit("img2-2.png"), F.lit("other.png"))).alias("name"))
     return L.safe_names(files, taken)
@@ -380,9 +380,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS n_chars FROM k UNION ALL SELECT id, min(doc_id), arg_min(n_chars, doc_id) FROM d WHERE doc_id % 10 <> 0 AND id NOT IN (SELECT id FROM k) GROUP BY id""",
         "import_ladder": """SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'file_missing' WHEN lang = 'es' THEN 'unsupported_format' WHEN doc_id % 11 = 0 THEN 'file_missing' WHEN doc_id % 19 = 0 THEN 'unsupported_format' WHEN n_chars * 50000 > 209715200 THEN 'file_too_large'
             WHEN doc_id % 13 = 0 THEN 'invalid_image' WHEN doc_id % 17 = 0 THEN 'unsupported_format' WHEN doc_id % 23 = 0 OR n_chars = 0 THEN 'invalid_image' WHEN n_chars * 10 * 2000 > 64000000 THEN 'file_too_large' END AS error_code FROM documents""",
-        "safe_names": """WITH f AS (SELECT p_brand AS dir, CASE p_partkey % 9 WHEN 0 THEN 'a_b' WHEN 1 THEN '' ELSE 'img' END || p_size % 5 AS stem, p_partkey AS ordinal FROM part),
-            n AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY ordinal) AS r FROM f)
-            SELECT dir, ordinal, stem || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.png' AS name FROM (SELECT *, CASE WHEN stem = 'img1' THEN r + 1 WHEN stem = 'img2' AND r >= 2 THEN r + 1 ELSE r END AS k FROM n)""",
+        "safe_names": """WITH RECURSIVE f AS (SELECT p_brand AS dir, CASE p_partkey % 9 WHEN 0 THEN 'a_b' WHEN 1 THEN '' ELSE 'img' END || p_size % 5 || CASE WHEN p_partkey % 9 < 5 THEN '' ELSE '-' || (p_partkey % 4 + 1) END AS stem, p_partkey AS ordinal FROM part),
+            n AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY ordinal) AS i FROM f),
+            r AS (SELECT dir, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS name, ['img1.png', 'img2-2.png', 'other.png'] AS held FROM f GROUP BY dir
+              UNION ALL SELECT dir, i, ordinal, stem || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.png', list_append(held, stem || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.png')
+              FROM (SELECT n.dir, n.i, n.ordinal, n.stem, r.held, min(k) AS k FROM r JOIN n ON n.dir = r.dir AND n.i = r.i + 1, (SELECT unnest(range(1, 1000)) AS k)
+                    WHERE NOT list_contains(r.held, n.stem || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.png') GROUP BY n.dir, n.i, n.ordinal, n.stem, r.held))
+            SELECT dir, ordinal, name FROM r WHERE i > 0""",
         "entitlement_matrix": f"""SELECT c_custkey AS holder, 'enhance,export,batch,journal' || CASE WHEN e IS NULL THEN '' ELSE ',upscale_4x,advanced_restoration,face_enhancement,unlimited_processing' END || CASE WHEN e = 'studio' THEN ',engine_controls' ELSE '' END AS features
             FROM (SELECT c_custkey, {edition} AS e FROM customer)""",
         "recipe_gate": f"WITH {recipes}, x AS (SELECT *, edition IS NULL AND (scale > 2 OR mode <> 'standard' OR filter = 'portrait') AS l FROM rc) SELECT batch, count(*) AS n_items, count(*) FILTER (l) AS n_locked, bool_or(l) AS refused FROM x GROUP BY batch",
