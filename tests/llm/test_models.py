@@ -450,4 +450,9 @@ def test_pipeline(spark):
     assert sum(r["length"] for r in pieces) == sum(len(ids[i]) for i, _ in kept)
     in_order = sorted((r["sequence_id"], r["offset"], r["length"]) for r in pieces)
     assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) and b[1] + b[2] <= 1024 for a, b in zip([(None, 0, 0), *in_order], in_order, strict=False))
-    assert corpus_pipeline.run(spark, DATA).count() == len(pieces)
+    root = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(root))
+    again = corpus_pipeline.run(spark, DATA)
+    assert again.count() == len(pieces)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - there}
+    assert "mixing" in left and not left & {"quality_rules", "exact_dedup", "near_dedup", "members", "weights", "rates"}  # what only stages before needed is gone

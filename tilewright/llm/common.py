@@ -28,12 +28,44 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths that `materialize` has written, in order, until a `Scratch` takes them away.
+_written: list[str] = []
+
+
+class Scratch:
+    """Tables that are written inside a `with` block and needed no longer after it, but for those that are kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.first = len(_written)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df was read from one table written here: that table stays."""
+        self.kept |= {p for p in _written[self.first :] if any(p.rsplit("/", 1)[-1] in f for f in df.inputFiles())}
+        return df
+
+    def __exit__(self, *failed) -> None:
+        gone = [p for p in _written[self.first :] if p not in self.kept]
+        _written[self.first :] = [p for p in _written[self.first :] if p in self.kept]
+        drop_tables(self.spark, gone)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors
     and pins values that depend on partitioning (row numbers, names)."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path, compression=compression)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

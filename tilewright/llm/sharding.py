@@ -127,7 +127,9 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rows_per_salt: int = 100_00
 
     Law `bytes`: shard sizes are near equal and equal texts share a shard. Only a group of copies
     that exceeds a shard's mean size is split, into pieces of that size (a third of all rows fits no
-    shard); rows repeated under one doc_id are rows of their own. Null text counts as empty (size 8,
+    shard); rows repeated under one doc_id are rows of their own. Groups above EXACT_BELOW bytes are
+    packed by sizes rounded up by less than 1/256, which bounds the plan however many sizes occur, so
+    shards may differ by that part of what such groups weigh; sizes in the result are exact. Null text counts as empty (size 8,
     checksum 0). An empty table gives an empty result. Slots number the rows of a shard from 0.
     """
     rows = materialize(
