@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialize
+from tilewright.llm.common import Scratch, drop_tables, materialize
 from tilewright.llm.exact_dedup import drop_exact_copies
 from tilewright.llm.minhash import drop_near_copies
 from tilewright.llm.mixing import drawn
@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 1024 ids."""
+    """Pieces of token sequences of at most 1024 ids; the columns of documents are not in them."""
     pieces = pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -53,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of the documents that the stages leave; a stage's own tables go when its output is written, and its input's with it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as made:
+            docs = made.keep(materialize(stage(spark, docs, sf_dir), name))
+        drop_tables(spark, before)
+        before = sorted(made.kept)
     return STAGES[-1][1](spark, docs, sf_dir)
