@@ -176,7 +176,7 @@ _UNIT = 1 << 20
 
 
 def whole_copies(rated: DataFrame, key: str, tie: str) -> DataFrame:
-    """rated (key, tie, tokens, p, rate; key unique) with copies, whole numbers whose totals meet those of the rates.
+    """rated (key, tie, tokens, p, rate) with copies, whole numbers whose totals meet those of the rates.
 
     Rows are put in order of their likeliest domain, then their tokens, then tie, and the rates are
     cumulated: a row has as many copies as whole numbers lie between the sums before and after it.
@@ -188,7 +188,7 @@ def whole_copies(rated: DataFrame, key: str, tie: str) -> DataFrame:
     order = ["_domain", "tokens", tie, key]
     ranged = rated.withColumn("_domain", domain).repartitionByRange(*order)
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_units", F.floor(F.col("rate") * _UNIT).cast("long"))
-    inside = Window.partitionBy("_part").orderBy(*order)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # equal rows one after the other
     placed = materialize(placed.withColumn("_sum", F.sum("_units").over(inside)), "placed")
     sums = placed.groupBy("_part").agg(F.sum("_units").alias("_of"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_of").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + _UNIT // 2).drop("_of")
@@ -198,19 +198,19 @@ def whole_copies(rated: DataFrame, key: str, tie: str) -> DataFrame:
     return counted.withColumn("copies", whole(after) - whole(after - F.col("_units"))).drop("_domain", "_part", "_units", "_sum", "_before")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None) -> DataFrame:
-    """rows (_row, doc_id, text): _row, tokens, p, rate, copies."""
+def _mixed(rows: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None, key: str) -> DataFrame:
+    """rows (key, doc_id, text), a row each: key, tokens, p, rate, copies."""
     domains = tuple(weights)
     whole = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # the worst of several labels
     labelled = whole.select("doc_id", domain_of().alias("domain")).dropna()
     model = fit_classifier(rows, labelled, domains)
     hashed = rows.withColumn("_tie", F.xxhash64("doc_id", "text"))
-    members = materialize(posteriors(hashed, model, keys=("_row", "_tie")), "members")
+    members = materialize(posteriors(hashed, model, keys=(key, "_tie")), "members")
     if labelled.isEmpty():  # nothing tells the domains apart
         rated = members.withColumn("rate", F.lit(1.0))
     else:
         rated, _ = fit_rates(members, weights=[weights[d] for d in domains], max_rate=max_rate)
-    return whole_copies(rated, "_row", "_tie")
+    return whole_copies(rated, key, "_tie").drop("_tie")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
@@ -222,9 +222,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     doc_id. Without labels all posteriors are equal and every rate is 1. An empty table gives an empty
     result; other columns of docs are ignored.
     """
-    keyed = materialize(row_ids(docs.select("doc_id", text_or_empty().alias("text")), "_row"), "rows")
-    found = _mixed(keyed, labels, weights, max_rate)
-    return keyed.select("_row", "doc_id").join(found, "_row").select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(weights)], "rate", "copies")
+    found = _mixed(docs.select("doc_id", text_or_empty().alias("text")), labels, weights, max_rate, "doc_id")
+    return found.select("doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(weights)], "rate", "copies")
 
 
 def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float | None = 1.0) -> DataFrame:
@@ -235,7 +234,7 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     """
     rows, own = own_columns(docs)
     rows = materialize(row_ids(rows, "_row"), "rows")
-    found = _mixed(rows.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text")), labels, weights, max_rate)
+    found = _mixed(rows.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text")), labels, weights, max_rate, "_row")
     joined = rows.join(found.filter("copies > 0").select("_row", "copies"), "_row")
     if max_rate is None or max_rate > 1:
         joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
