@@ -80,19 +80,26 @@ def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
 
 def _sort_direct(t: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """starts in the order of raw[start:stop], ties in place: by their first symbols as one number, then run by run of equal ones."""
-    head = np.zeros(len(starts), np.int64)
+    n = len(t)
+    wide = np.zeros(n + _HEAD, np.int64)
+    wide[:n] = t
+    heads = np.zeros(n, np.int64)  # of every place, whatever ends within it
     for k in range(_HEAD):
-        at = starts + k
-        head = head << 9 | np.where(at < stops, t[np.minimum(at, len(t) - 1)], 0)
+        heads = heads << 9 | wide[k : k + n]
+    head = heads[starts]
+    short = np.flatnonzero(stops - starts < _HEAD)
+    head[short] &= ~((np.int64(1) << 9 * (_HEAD - (stops - starts)[short])) - 1)  # symbols beyond the stop do not count
     order = np.argsort(head, kind="stable")
     head, starts, stops = head[order], starts[order], stops[order]
     tied = np.flatnonzero(np.diff(head, prepend=-1, append=-1) != 0)
-    more = np.diff(tied) > 1
-    for i, j in zip(tied[:-1][more].tolist(), tied[1:][more].tolist(), strict=True):
-        if head[i] & 511:  # not ended yet
-            keys = [raw[a:b] for a, b in zip((starts[i:j] + _HEAD).tolist(), stops[i:j].tolist(), strict=True)]
-            starts[i:j] = starts[i:j][sorted(range(j - i), key=keys.__getitem__)]
-    return starts
+    low, high = tied[:-1], tied[1:]
+    runs = (high - low > 1) & (head[low] & 511 != 0)  # of equal heads that have not ended yet
+    begin, end, out = (starts + _HEAD).tolist(), stops.tolist(), starts.tolist()
+    for i, j in zip(low[runs].tolist(), high[runs].tolist(), strict=True):
+        keys = [raw[a:b] for a, b in zip(begin[i:j], end[i:j], strict=True)]
+        part = out[i:j]
+        out[i:j] = [part[k] for k in sorted(range(j - i), key=keys.__getitem__)]
+    return np.array(out, np.int64)
 
 
 def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
