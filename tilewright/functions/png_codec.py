@@ -192,6 +192,12 @@ def inflated(pieces: list[bytes], limit: int) -> Iterator[bytes]:
         raise BadImage("cut")
 
 
+def has_alpha(content: bytes) -> bool:
+    """Whether a whole file's kind of pixels has transparency, whatever the pixels are."""
+    head, _ = header_of(content)
+    return head.colour in (4, 6) or head.clear is not None or head.palette is not None and bool((head.palette[:, 3] < 255).any())
+
+
 def check(content: bytes, max_pixels: int) -> str | None:
     """The import ladder's error of a PNG, or null: the header's size first, then a whole decode without its pixels."""
     try:

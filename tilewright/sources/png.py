@@ -24,6 +24,7 @@ from tilewright.functions import png_codec as codec
 from tilewright.functions.geometry import MAX_SOURCE_PIXELS
 from tilewright.functions.scalars import VIEW_EDGE
 from tilewright.functions.text import data_url
+from tilewright.operators.ordered import written
 from tilewright.operators.pixels import thumbnails
 from tilewright.sources.images import png_size
 
@@ -36,10 +37,16 @@ _BAND = "band long, width int, height int, channels int, whole boolean, data bin
 
 
 def _bands(image: DataFrame, band_rows: int) -> DataFrame:
-    """image, band, width, height (of the band), channels, whole (no pixel is missing), data, adler, n_bytes."""
-    channels = ["r", "g", "b"] + (["a"] if "a" in image.columns else [])
+    """image, band, width, height (of the band), channels, whole (no pixel is missing), data, adler, n_bytes.
+
+    Pixels with a column a have four channels; a column opaque, which is the same for all pixels of an
+    image, leaves the fourth out where it is true.
+    """
+    every = ["r", "g", "b"] + (["a"] if "a" in image.columns else [])
+    flags = ["opaque"] if "opaque" in image.columns else []
 
     def encode_band(table: pa.Table) -> pa.Table:
+        channels = every[:3] if flags and table.column("opaque")[0].as_py() else every
         x, y = (table.column(c).to_numpy() for c in ("x", "y"))
         band = table.column("band")[0].as_py()
         top, width = int(y.min()), int(x.max()) + 1
@@ -55,7 +62,7 @@ def _bands(image: DataFrame, band_rows: int) -> DataFrame:
         kinds = {"width": pa.int32(), "height": pa.int32(), "channels": pa.int32(), "data": pa.binary()}
         return pa.table([table.column("image").slice(0, 1), *[pa.array([v], kinds.get(k)) for k, v in made.items()]], names=["image", *made])
 
-    rows = image.select("image", F.expr(f"y div {band_rows}").cast("long").alias("band"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *channels)
+    rows = image.select("image", F.expr(f"y div {band_rows}").cast("long").alias("band"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *every, *flags)
     schema = T.StructType([image.schema["image"], *T._parse_datatype_string(_BAND).fields])
     return rows.groupBy("image", "band").applyInArrow(encode_band, schema)
 
@@ -66,7 +73,7 @@ def _fits(bands: list[dict], band_rows: int) -> bool:
 
 
 def encode(image: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
-    """image, content: each image's PNG file. image: a byte image (image, x, y, r, g, b and, with alpha, a).
+    """image, content: each image's PNG file. image: a byte image (image, x, y, r, g, b and, with alpha, a; see `_bands` for opaque).
 
     An image with a missing or repeated pixel has null content: what is not whole is not written.
     """
@@ -122,33 +129,38 @@ def decode(files: DataFrame, max_pixels: int = MAX_SOURCE_PIXELS) -> DataFrame:
 
 def faults(files: DataFrame, max_pixels: int = MAX_SOURCE_PIXELS) -> DataFrame:
     """files (image, content): image, error: invalid_image, file_too_large or null."""
+    return _judged(files.select("image", "content"), max_pixels).select("image", "error")
+
+
+def _judged(files: DataFrame, max_pixels: int) -> DataFrame:
+    """files with error and alpha (whether a whole file has transparency)."""
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ["invalid_image" if c.as_py() is None else codec.check(c.as_py(), max_pixels) for c in batch.column("content")]
-            yield pa.record_batch([batch.column("image"), pa.array(found, pa.string())], names=["image", "error"])
+            contents = batch.column("content").to_pylist()
+            errors = ["invalid_image" if c is None else codec.check(c, max_pixels) for c in contents]
+            alpha = [None if e else codec.has_alpha(c) for c, e in zip(contents, errors, strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(errors, pa.string()), pa.array(alpha, pa.bool_())], names=[*batch.schema.names, "error", "alpha"])
 
-    return files.select("image", "content").mapInArrow(judged, T.StructType([files.schema["image"], T.StructField("error", T.StringType())]))
+    return files.mapInArrow(judge, T.StructType([*files.schema.fields, T.StructField("error", T.StringType()), T.StructField("alpha", T.BooleanType())]))
 
 
 def views(files: DataFrame, edge: int = VIEW_EDGE, max_pixels: int = MAX_SOURCE_PIXELS, always: bool = False) -> DataFrame:
     """files (image, content): image, width, height, delivered_edge, original, data_url, error.
 
     A PNG whose longest side is at most `edge` (1 at least) comes as its own bytes, a larger one shrunk
-    by area (`thumbnails`) and written anew, with alpha if the file has any; with `always`, small ones
+    by area (`thumbnails`) and written anew, with alpha if the file's kind has it; with `always`, small ones
     are written anew too, as previews are. A file with a fault has its error and nothing else. Opaque
     images come as PNG here, as there is no JPEG writer. image is unique.
     """
     edge = max(1, edge)
     w, h = png_size(F.col("content"))
-    judged = faults(files, max_pixels).join(files.select("image", w.alias("width"), h.alias("height"), "content"), "image")
+    judged = written(_judged(files.select("image", "content"), max_pixels).withColumn("width", w).withColumn("height", h), "views")
     longest = F.greatest("width", "height")
     judged = judged.withColumn("original", (longest <= edge) & F.lit(not always))
-    pixels = decode(judged.filter("error is null and not original").select("image", "content"), max_pixels)
-    shrunk = thumbnails(pixels, edge)
-    clear = pixels.groupBy("image").agg((F.min("a") < 255).alias("alpha"))
-    seen = clear.filter("alpha").select("image")
-    made = encode(shrunk.join(seen, "image", "left_semi")).unionByName(encode(shrunk.join(seen, "image", "left_anti").drop("a")))
+    large = judged.filter("error is null and not original")
+    shrunk = thumbnails(decode(large.select("image", "content"), max_pixels), edge)
+    made = encode(shrunk.join(large.select("image", (~F.col("alpha")).alias("opaque")), "image"))
     out = judged.join(made.withColumnRenamed("content", "_made"), "image", "left")
     good = lambda c: F.when(F.col("error").isNull(), c)
     return out.select(
