@@ -152,7 +152,7 @@ def test_claims_of_sql_equal_the_table_form(spark):
     pool = [(f"k{k}", rng.choice(["pro", "studio"]), rng.randrange(10**6)) for k in range(25)]
     o = spark.createDataFrame(orders, "order_id long, edition string, paid_at long")
     p = spark.createDataFrame(pool, "key string, edition string, issued_at long")
-    want = ledger.claim_keys(o, p, F.lit(0), F.lit(0)).select("order_id", "edition", "key")
+    want = ledger.claim_keys(o, p).select("order_id", "edition", "key")
     both = o.selectExpr("edition", "cast(null as string) as key", "order_id", "1 as side", "paid_at as at").unionByName(p.selectExpr("edition", "key", "cast(null as long) as order_id", "0 as side", "issued_at as at"))
     both.createOrReplaceTempView("both_sides")
     got = spark.sql("SELECT * FROM claim_license_key(TABLE(both_sides) PARTITION BY edition ORDER BY (side, at, order_id, key))")

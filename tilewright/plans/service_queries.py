@@ -26,7 +26,7 @@ from tilewright.operators import pixels as O
 from tilewright.operators import policy as Y
 from tilewright.operators.ordered import scratch
 from tilewright.plans import ledger_queries as Q
-from tilewright.sources import images, meter_log, png
+from tilewright.sources import images, meter_log, photos, png
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,18 +338,19 @@ _GUARD_SQL = """SELECT event_id, k % 31 <> 0 AND k % 37 <> 0 AND CASE k % 8 WHEN
 
 
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every image as a PNG file in a folder, then imported by path, two hundred a call; some are asked for under another extension."""
+    """Every image as a PNG file in a folder, then imported by path with its preview, two hundred a call; some are asked for under another extension."""
     image = O.as_bytes(O.images_from_vectors(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"))).filter("image % 3 <> 0 or x < 5")
     place = scratch(spark, "images")
     png.save(image, place)
     ids = [r["image"] for r in image.select("image").distinct().orderBy("image").collect()]  # the paths a user asks for
     asked = [f"{place}/{i}.{'jpg' if i % 5 == 0 else 'gif' if i % 7 == 0 else 'png'}" for i in ids]
-    found = [images.import_many(spark, asked[k : k + images.MAX_PATHS]) for k in range(0, len(asked), images.MAX_PATHS)]
-    return reduce(DataFrame.unionByName, found).select("name", "format", "width", "height", "error_code")
+    found = [photos.import_with_previews(spark, asked[k : k + images.MAX_PATHS]) for k in range(0, len(asked), images.MAX_PATHS)]
+    shown = images.png_size(F.unbase64(F.substring_index("preview", ",", -1)))
+    return reduce(DataFrame.unionByName, found).select("name", "format", "width", "height", "error_code", shown[0].alias("preview_width"), shown[1].alias("preview_height"))
 
 
 _IMPORT_SQL = """WITH i AS (SELECT vec_id // 3 AS k FROM embeddings GROUP BY 1 HAVING count(*) = 3)
-SELECT k || CASE WHEN k % 5 = 0 THEN '.jpg' WHEN k % 7 = 0 THEN '.gif' ELSE '.png' END AS name, CASE WHEN ok THEN 'png' END AS format, CASE WHEN ok THEN CAST(CASE WHEN k % 3 <> 0 THEN 8 ELSE 5 END AS BIGINT) END AS width, CASE WHEN ok THEN CAST(8 AS BIGINT) END AS height,
+SELECT k || CASE WHEN k % 5 = 0 THEN '.jpg' WHEN k % 7 = 0 THEN '.gif' ELSE '.png' END AS name, CASE WHEN ok THEN 'png' END AS format, CASE WHEN ok THEN CAST(CASE WHEN k % 3 <> 0 THEN 8 ELSE 5 END AS BIGINT) END AS width, CASE WHEN ok THEN CAST(8 AS BIGINT) END AS height, CASE WHEN ok THEN CAST(CASE WHEN k % 3 <> 0 THEN 8 ELSE 5 END AS BIGINT) END AS preview_width, CASE WHEN ok THEN CAST(8 AS BIGINT) END AS preview_height,
   CASE WHEN k % 5 = 0 THEN 'file_missing' WHEN k % 7 = 0 THEN 'unsupported_format' END AS error_code FROM (SELECT k, k % 5 <> 0 AND k % 7 <> 0 AS ok FROM i)"""
 
 

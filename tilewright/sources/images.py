@@ -45,7 +45,8 @@ _WALK = "struct<at:int,w:bigint,h:bigint>"
 
 
 def jpeg_size(content: Column) -> tuple[Column, Column]:
-    """Width and height from the first frame header (fixed values: the markers); null without one. Segments before it are skipped by their lengths."""
+    """Width and height from the first frame header (fixed values: the markers); null without one, or where more than MAX_SEGMENTS segments stand
+    before it, which no camera writes. Segments are skipped by their lengths."""
 
     def step(s: Column, _: Column) -> Column:
         at = s["at"]
