@@ -150,26 +150,28 @@ def check_decision(synced: Column, allowed: Column, remaining: Column, limit: Co
 # --- orders and pools ------------------------------------------------------------------------------
 
 
-def rank_in_order(df: DataFrame, group: str, order: list[str], bucket: Column, out: str) -> DataFrame:
+def rank_in_order(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
     """1-based rank in `order` inside a group, without a window over a whole group.
 
-    bucket is a coarse value that never falls as `order` rises (a day of a time): rows are ranked
-    inside a bucket, and the counts of the buckets before, a small table, are added.
+    Rows are dealt by ranges of group and order, however many one group or one day has, written, and
+    numbered inside each range; the counts of the ranges before, a row for each range and group, are
+    added. `order` is unique in a group.
     """
-    rows = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
-    return ranked.join(shift, [group, "_bucket"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before")
+    dealt = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    ranked = written(dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order))), "ranks")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranked.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    shift = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_g").eqNullSafe(F.col(group)) & (F.col("_p") == F.col("_part"))
+    return ranked.join(shift, same).withColumn(out, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before", "_g", "_p")
 
 
-def claim_keys(orders: DataFrame, pool: DataFrame, order_bucket: Column | None = None, key_bucket: Column | None = None) -> DataFrame:
+def claim_keys(orders: DataFrame, pool: DataFrame) -> DataFrame:
     """orders (order_id, edition, paid_at) and pool (key, edition, issued_at): the oldest free key of the edition to the oldest
-    order, one each; orders beyond the pool get null. Both sides are ranked by days, so no edition meets in one task and no lock is needed."""
-    day = lambda c: F.date_trunc("day", c)
-    o = rank_in_order(orders, "edition", ["paid_at", "order_id"], day("paid_at") if order_bucket is None else order_bucket, "_rank")
-    p = rank_in_order(pool, "edition", ["issued_at", "key"], day("issued_at") if key_bucket is None else key_bucket, "_rank")
+    order, one each; orders beyond the pool get null. Both sides are ranked by ranges, so no edition and no busy day meets in one
+    task, and no lock is needed."""
+    o = rank_in_order(orders, "edition", ["paid_at", "order_id"], "_rank")
+    p = rank_in_order(pool, "edition", ["issued_at", "key"], "_rank")
     return o.join(p.select("edition", "_rank", "key"), ["edition", "_rank"], "left").select("order_id", "edition", "paid_at", "key")
 
 
