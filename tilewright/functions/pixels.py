@@ -73,7 +73,8 @@ def _portrait(p: Triple, b: Triple, k: Column) -> Triple:
     return tuple(clamp01(v + 0.04 * k) for v in warm)
 
 
-#: The looks, in catalogue order; each takes the triple, its blurred twin and the amount.
+#: The looks, in catalogue order; each takes the triple, its blurred twin and the amount. The order, and the
+#: factors here and in the four functions above.
 LOOKS: dict[str, Callable[[Triple, Triple, Column], Triple]] = {
     "original": lambda p, b, k: p,
     "natural": lambda p, b, k: tone(p, 1 + 0.12 * k, 1 + 0.06 * k),

@@ -9,7 +9,9 @@ from tilewright.functions.scalars import lookup
 from tilewright.functions.text import without_space
 from tilewright.operators.ledger import ORDER_STATES
 
-#: Tiers and editions, what each payment provider needs to be set, plans with a build.
+#: Tiers and editions, what each payment provider needs to be set, plans with a build. The needed keys stand for
+#: settings of the same meaning: the key and the webhook secret of the provider's interface, the product or the hosted
+#: checkout link of each paid tier, and the business whose payments count.
 TIER_EDITION = {"pro": "pro", "studio": "studio"}
 TIERS = ("pro", "studio", "evaluate")
 NEEDED_KEYS = {"dodo": ("api_key", "product_pro", "product_studio", "webhook_secret", "business_id"), "stripe": ("secret_key",), "lemonsqueezy": ("fastlink_pro", "fastlink_studio", "webhook_secret"), "manual": ()}

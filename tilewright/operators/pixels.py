@@ -176,31 +176,37 @@ def with_alpha(enlarged: DataFrame, alpha: DataFrame, scale: int) -> DataFrame:
 def statistics(image: DataFrame) -> DataFrame:
     """Per image: mean luma, mean red minus blue, mean chroma spread, mean horizontal step of luma, means of the darkest and brightest tenth.
 
-    The tenths are cut exactly without sorting an image: a histogram of luma gives all buckets that lie
-    wholly inside, and only the pixels of the one bucket that a cut goes through are ranked.
+    One pass over the pixels sums everything by image and value of luma, combined before the shuffle.
+    The tenths are cut exactly without sorting an image: sums of 4,096 ranges of luma give all ranges
+    that lie wholly inside, and only the values of the one range that a cut goes through are put in order.
     """
     rows = image.withColumn("l", P.luma(_triple())).withColumn("s", F.greatest(*CHANNELS) - F.least(*CHANNELS)).withColumn("bucket", F.floor(F.col("l") * 4096))
     stepped = rows.withColumn("step", F.abs(F.col("l") - F.lag("l").over(Window.partitionBy("image", "y").orderBy("x"))))
-    means = stepped.groupBy("image").agg(F.avg("l").alias("mean_luma"), F.avg(F.col("r") - F.col("b")).alias("mean_warmth"), F.avg("s").alias("mean_spread"), F.avg("step").alias("mean_step"))
+    values = stepped.groupBy("image", "bucket", "l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") - F.col("b")).alias("warmth"), F.sum("s").alias("spread"), F.sum("step").alias("steps"), F.count("step").alias("n_steps"))
 
     order = Window.partitionBy("image").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("image", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("own"))
-    placed = sizes.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("image")))
+    whole = Window.partitionBy("image")
+    sums = ["warmth", "spread", "steps", "n_steps"]
+    sizes = values.groupBy("image", "bucket").agg(F.sum("n").alias("n"), F.sum(F.col("l") * F.col("n")).alias("own"), *[F.sum(c).alias(c) for c in sums])
+    placed = sizes.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", F.sum("n").over(whole))
     placed = placed.withColumn("above", F.col("total") - F.col("below") - F.col("n"))
     # the first tenth takes the odd ones, the last has none of fewer than ten pixels
     dark, bright = F.expr("(total + 9) div 10"), F.expr("total div 10")
     cuts = placed.withColumn("low", F.least("n", F.greatest(F.lit(0), dark - F.col("below")))).withColumn("high", F.least("n", F.greatest(F.lit(0), bright - F.col("above"))))
-    whole = cuts.groupBy("image").agg(
-        F.first(dark).alias("n_dark"), F.first(bright).alias("n_bright"), F.sum(F.when(F.col("low") == F.col("n"), F.col("own")).otherwise(0.0)).alias("dark_sum"), F.sum(F.when(F.col("high") == F.col("n"), F.col("own")).otherwise(0.0)).alias("bright_sum")
-    )
-    through = cuts.filter("(low > 0 and low < n) or (high > 0 and high < n)").select("image", "bucket", "low", "high", "n")
-    inside = Window.partitionBy("image", "bucket").orderBy("l")
-    ranked = rows.select("image", "bucket", "l").join(through, ["image", "bucket"]).withColumn("rank", F.row_number().over(inside))
-    part = ranked.groupBy("image").agg(
-        F.sum(F.when((F.col("low") < F.col("n")) & (F.col("rank") <= F.col("low")), F.col("l"))).alias("dark_part"), F.sum(F.when((F.col("high") < F.col("n")) & (F.col("rank") > F.col("n") - F.col("high")), F.col("l"))).alias("bright_part")
+    inside = cuts.groupBy("image").agg(
+        F.first("total").alias("total"), F.first(dark).alias("n_dark"), F.first(bright).alias("n_bright"), F.sum("own").alias("own"), *[F.sum(c).alias(c) for c in sums],
+        F.sum(F.when(F.col("low") == F.col("n"), F.col("own")).otherwise(0.0)).alias("dark_sum"), F.sum(F.when(F.col("high") == F.col("n"), F.col("own")).otherwise(0.0)).alias("bright_sum"),
     )
+    through = cuts.filter("(low > 0 and low < n) or (high > 0 and high < n)").select("image", "bucket", "low", "high", F.col("n").alias("all"))
+    by_value = Window.partitionBy("image", "bucket").orderBy("l").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.select("image", "bucket", "l", "n").join(through, ["image", "bucket"]).withColumn("upto", F.sum("n").over(by_value))
+    first, last = F.col("upto") - F.col("n"), F.col("all") - F.col("upto")  # pixels of lower and of higher values
+    taken = lambda cut, before: F.greatest(F.lit(0), F.least("n", F.col(cut) - before))
+    part = ranked.groupBy("image").agg(F.sum(F.when(F.col("low") < F.col("all"), F.col("l") * taken("low", first))).alias("dark_part"), F.sum(F.when(F.col("high") < F.col("all"), F.col("l") * taken("high", last))).alias("bright_part"))
     mean = lambda name: (F.when(F.col(f"n_{name}") > 0, (F.col(f"{name}_sum") + F.coalesce(f"{name}_part", F.lit(0.0))) / F.col(f"n_{name}"))).alias(name)
-    return means.join(whole, "image").join(part, "image", "left").select("image", "mean_luma", "mean_warmth", "mean_spread", "mean_step", mean("dark"), mean("bright"))
+    every = lambda c, name: (F.col(c) / F.col("total")).alias(name)
+    step = F.when(F.col("n_steps") > 0, F.col("steps") / F.col("n_steps")).alias("mean_step")
+    return inside.join(part, "image", "left").select("image", every("own", "mean_luma"), every("warmth", "mean_warmth"), every("spread", "mean_spread"), step, mean("dark"), mean("bright"))
 
 
 def gradient(spark, width: int, height: int) -> DataFrame:

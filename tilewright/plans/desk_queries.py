@@ -1,7 +1,7 @@
 """Queries of image headers, models, queues, collections, settings and shops, with their SQL.
 
 Like the ledger queries, each derives its input by a fixed rule from whole tables; the SQL states the
-same rule and what has to come out.
+same rule and what has to come out. Fixed values: the notices, reasons, error codes and labels in it.
 """
 
 from __future__ import annotations

@@ -102,7 +102,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-# --- SQL -------------------------------------------------------------------------------------------
+# --- SQL (fixed values: the factors of the looks, stated once more) ---------------------------------
 
 _PX = """
 px0 AS (SELECT vec_id // 3 AS image, vec_id % 3 AS c, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings),
