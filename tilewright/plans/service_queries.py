@@ -24,9 +24,9 @@ from tilewright.operators import ledger as L
 from tilewright.operators import licences
 from tilewright.operators import pixels as O
 from tilewright.operators import policy as Y
-from tilewright.operators.ordered import scratch
+from tilewright.operators.ordered import scratch, written
 from tilewright.plans import ledger_queries as Q
-from tilewright.sources import images, meter_log, photos, png
+from tilewright.sources import exports, images, meter_log, photos, png
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -354,9 +354,27 @@ SELECT k || CASE WHEN k % 5 = 0 THEN '.jpg' WHEN k % 7 = 0 THEN '.gif' ELSE '.pn
   CASE WHEN k % 5 = 0 THEN 'file_missing' WHEN k % 7 = 0 THEN 'unsupported_format' END AS error_code FROM (SELECT k, k % 5 <> 0 AND k % 7 <> 0 AS ok FROM i)"""
 
 
+def export_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image exported as a file, several of a stem to each folder, and whether the file holds the master's bytes."""
+    i = F.col("image")
+    place = scratch(spark, "exports")
+    made = png.encode(O.as_bytes(O.images_from_vectors(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"))))
+    masters = written(made.select(i.alias("ordinal"), F.concat(F.lit(f"{place}/d"), (i % 3).cast("string")).alias("dir"), F.concat(F.lit("im<g"), (i % 5).cast("string")).alias("stem"), F.when(i % 11 == 0, "webp").otherwise("PNG").alias("format"), F.when(i % 13 != 0, F.col("content")).alias("content")), "masters")
+    done = exports.export(spark, masters)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(f"{place}/d*").select(plain("path").alias("_p"), F.sha2("content", 256).alias("there"))
+    both = done.join(masters.select("ordinal", F.sha2("content", 256).alias("own")), "ordinal").withColumn("_p", plain("file_path")).join(files, "_p", "left")
+    return both.select("ordinal", "file_name", F.substring_index("folder", "/", -1).alias("folder"), "format", "error", (F.col("own") == F.col("there")).alias("identical"))
+
+
+_EXPORT_SQL = """WITH i AS (SELECT vec_id // 3 AS k FROM embeddings GROUP BY 1 HAVING count(*) = 3), e AS (SELECT *, CASE WHEN k % 13 = 0 THEN 'file_missing' WHEN k % 11 = 0 THEN 'no_encoder' END AS error FROM i),
+n AS (SELECT k, row_number() OVER (PARTITION BY k % 3, k % 5 ORDER BY k) AS r FROM e WHERE error IS NULL)
+SELECT e.k AS ordinal, CASE WHEN error IS NULL THEN 'im_g' || e.k % 5 || CASE WHEN r > 1 THEN '-' || r ELSE '' END || '.png' END AS file_name, 'd' || e.k % 3 AS folder, CASE WHEN e.k % 11 = 0 THEN 'webp' ELSE 'png' END AS format, error, CASE WHEN error IS NULL THEN true END AS identical FROM e LEFT JOIN n ON n.k = e.k"""
+
+
 def queries() -> dict[str, Query]:
     found = (
-        licence_keys, licence_revocations, signed_events, meter_log_batch, meter_log_stream, sql_claims, sql_meters, sql_metadata, pasted_keys, key_import, snapshot_events, policy_repairs, point_lookup, listing_order, view_moves, checkouts, result_rows, payload_guards, import_files,
+        licence_keys, licence_revocations, signed_events, meter_log_batch, meter_log_stream, sql_claims, sql_meters, sql_metadata, pasted_keys, key_import, snapshot_events, policy_repairs, point_lookup, listing_order, view_moves, checkouts, result_rows, payload_guards, import_files, export_masters,
     )
     return {f.__name__: f for f in found}
 
@@ -379,6 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "result_rows": f"WITH {Q._SRC_SQL}, a AS (SELECT p_partkey, w, h, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END AS t, CASE WHEN p_partkey % 3 = 0 THEN 'Detail' ELSE 'Standard' END AS m FROM s) SELECT p_partkey, w AS source_width, h AS source_height, w * t AS output_width, h * t AS output_height, t || '× · ' || m AS label FROM a",
         "payload_guards": _GUARD_SQL,
         "import_files": _IMPORT_SQL,
+        "export_masters": _EXPORT_SQL,
         "pasted_keys": _PASTED_SQL,
         "key_import": "SELECT DISTINCT 'KEY1.' || o_orderkey % 500 || '.sig' AS key FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 500 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)",
         "snapshot_events": "SELECT e.user_id AS item, e.event_id AS seq, e.event_type FROM events e JOIN (SELECT user_id, max(event_id) AS since FROM events WHERE event_type = 'error' GROUP BY user_id) s ON s.user_id = e.user_id AND e.event_id > s.since",
