@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry
 from tilewright.functions import pixels as P
-from tilewright.operators import jobs, ledger, ordered
+from tilewright.operators import commerce, jobs, ledger, ordered
 from tilewright.operators import pixels as O
 from tilewright.streaming.folds import _advance
 
@@ -157,3 +157,25 @@ def test_fixture_images(spark):
     assert scene[0, 0] == (0, 0, 40) and scene[8, 4] == (230, 4 * 255 // 7, 40) and scene[15, 7] == (255, 255, 200) and len(scene) == 128
     board = {(r["x"], r["y"]): r["r"] for r in O.checkerboard(spark, 6, 4, 2).collect()}
     assert board == {(x, y): 255 if (x // 2 + y // 2) % 2 == 0 else 0 for x in range(6) for y in range(4)}
+
+
+def test_ranks_and_activations_across_ranges(spark, monkeypatch):
+    """One group, one day and one machine hold most rows; many small ranges cut them."""
+    rng = random.Random(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("hot" if k % 3 else rng.choice(["a", "b", None]), rng.randrange(4), k) for k in range(300)]
+        got = ledger.rank_in_order(spark.createDataFrame(rows, "g string, day int, id long"), "g", ["day", "id"], "rank").collect()
+        for g in {r[0] for r in rows}:
+            assert [r["rank"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["day"], r["id"]))] == list(range(1, sum(r[0] == g for r in rows) + 1))
+        pasted = [("m" if k % 4 else rng.choice("xy"), k, rng.choice(["k1", " k1", "k2", "k2", "k2", None]), 10 * k) for k in range(400)]
+        out = {(r["machine"], r["seq"]): (r["already_active"], r["activated_at"]) for r in commerce.activations(spark.createDataFrame(pasted, "machine string, seq long, key string, at long")).collect()}
+        held, want = {}, {}
+        for machine, seq, key, at in pasted:
+            key = key and key.strip()
+            again = key is not None and machine in held and held[machine][0] == key
+            held[machine] = held[machine] if again else (key, at)
+            want[machine, seq] = (again, held[machine][1])
+        assert out == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

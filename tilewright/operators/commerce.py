@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.scalars import lookup
 from tilewright.functions.text import without_space
 from tilewright.operators.ledger import ORDER_STATES
+from tilewright.operators.ordered import written
 
 #: Tiers and editions, what each payment provider needs to be set, plans with a build. The needed keys stand for
 #: settings of the same meaning: the key and the webhook secret of the provider's interface, the product or the hosted
@@ -155,12 +156,26 @@ def claimed_keys(pool: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def activations(pasted: DataFrame) -> DataFrame:
-    """pasted (machine, seq, key, at): a key that is active already keeps its first time and is reported as such."""
-    order = Window.partitionBy("machine").orderBy("seq")
-    bare = pasted.withColumn("key", without_space(F.col("key")))
-    same = F.coalesce(F.lag("key").over(order) == F.col("key"), F.lit(False))
-    runs = bare.withColumn("already_active", same).withColumn("_run", F.sum((~same).cast("int")).over(order))
-    return runs.withColumn("activated_at", F.min("at").over(Window.partitionBy("machine", "_run"))).select("machine", "seq", "already_active", "activated_at")
+    """pasted (machine, seq, key, at): a key that is active already keeps its first time and is reported as such.
+
+    seq is unique in a machine. Rows are dealt by ranges of machine and seq, so a machine may have any
+    number; each range looks back inside itself, and a row for each range and machine carries the last
+    key, and when it was first pasted, on to the next.
+    """
+    dealt = pasted.withColumn("key", without_space(F.col("key"))).repartitionByRange("machine", "seq").withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "pasted")
+    inside = Window.partitionBy("machine", "_part").orderBy("seq")
+    on = lambda a, b: a.join(b, F.col("machine").eqNullSafe(F.col("_m")) & (F.col("_part") == F.col("_p"))).drop("_m", "_p")
+    per_part = lambda rows, value, name: rows.groupBy(F.col("machine").alias("_m"), F.col("_part").alias("_p")).agg(value.alias(name))
+
+    ends = per_part(dealt, F.max_by("key", "seq"), "_end").withColumn("_before", F.lag("_end").over(Window.partitionBy("_m").orderBy("_p"))).drop("_end")
+    looked = on(dealt.withColumn("_was", F.lag("key").over(inside)).withColumn("_first", F.row_number().over(inside) == 1), ends)
+    same = F.coalesce(F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_was")) == F.col("key"), F.lit(False))
+    told = looked.withColumn("already_active", same).withColumn("_since", F.when(~same, F.struct("at")))
+    starts = per_part(told, F.max_by("_since", F.when(F.col("_since").isNotNull(), F.col("seq"))), "_start")
+    carried = starts.withColumn("_carried", F.last("_start", ignorenulls=True).over(Window.partitionBy("_m").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_start")
+    here = F.last("_since", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return on(told.withColumn("_here", here), carried).select("machine", "seq", "already_active", F.coalesce("_here", "_carried")["at"].alias("activated_at"))
 
 
 def builds(settings: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None)
     used = held.filter(fits).select(*_NAME, number.alias("k")).filter("k is not null").groupBy(*_NAME).agg(F.collect_set("k").alias("taken"))
     groups = written(groups.join(used, list(_NAME), "left"), "names")
 
-    give = F.udf(_numbers, "array<int>")
+    give = F.udf(lambda ordinals, taken, blocked: _numbers(ordinals, taken, blocked), "array<int>")  # a row is a stem of a folder
     nothing = F.lit(None).cast("array<struct<number:int,since:bigint>>")
     given = written(groups.withColumn("numbers", give("ordinals", "taken", nothing)), "names")
     parts = lambda k: F.regexp_extract("stem", r"^(.+)-([2-9]|[1-9][0-9]{1,2})$", k)
