@@ -179,3 +179,28 @@ def test_ranks_and_activations_across_ranges(spark, monkeypatch):
         assert out == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_callers_model_fails_by_tile(spark):
+    """Raising and wrong sizes stop the band and what follows of that image alone."""
+
+    def by_three(tile, scale):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y, r, g, b = (tile.column(c).to_numpy() for c in ("x", "y", "r", "g", "b"))
+        if r[0] == 7:
+            raise MemoryError
+        n = scale * scale
+        places = [np.repeat(x, n) * scale + np.tile(np.arange(n) % scale, len(x)), np.repeat(y, n) * scale + np.tile(np.arange(n) // scale, len(x))]
+        if r[0] == 8:
+            places[0] = places[0] * 0
+        return pa.table([*places, *[np.repeat(v, n) for v in (r, g, b)]], names=["x", "y", "r", "g", "b"])
+
+    image = _image(spark, 7, 6)
+    both = image.withColumn("r", F.lit(0.5)).unionByName(image.withColumn("image", F.lit(1).cast("long")).withColumn("r", F.when(F.expr("y >= 3 and y < 6 and x < 3"), 7.0).otherwise(0.25)))
+    both = both.unionByName(image.withColumn("image", F.lit(2).cast("long")).withColumn("r", F.when(F.expr("y < 3 and x >= 3 and x < 6"), 8.0).otherwise(0.25)))
+    got = O.run_tiles(both, 7, 6, 3, 3, 3, 0, backend=O.contained(by_three))
+    assert {r["image"]: (r["n"], r["y"]) for r in got.groupBy("image").agg(F.count("*").alias("n"), F.max("y").alias("y")).collect()} == {0: (21 * 18, 17), 1: (21 * 9, 8)}
+    whole = sorted(map(tuple, O.run_tiles(image, 7, 6, 3, 1, 3, 1, "soft", 70, backend=O.contained(by_three)).collect()))
+    assert whole == sorted(map(tuple, O.run_tiles(image, 7, 6, 3, 1, 3, 1, "soft", 70).collect()))

@@ -7,12 +7,17 @@ coordinates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels as P
 from tilewright.functions.geometry import fitted_size
 from tilewright.functions.scalars import VIEW_EDGE
+from tilewright.operators.ordered import written
 
 CHANNELS = ("r", "g", "b")
 
@@ -133,34 +138,78 @@ def to_tiles(image: DataFrame, width: int, height: int, tile: int, pad: int) ->
 
 def tiled_enlarge(image: DataFrame, width: int, height: int, scale: int, tile: int, pad: int) -> DataFrame:
     """Tiles with halo, each enlarged on its own, cropped and put together again."""
-    tiles = to_tiles(image, width, height, tile, pad)
-    steps = F.sequence(F.lit(0), F.lit(scale - 1))
-    big = tiles.select("*", F.explode(steps).alias("_dy")).select("*", F.explode(steps).alias("_dx"))
-    big = big.select("image", "band", "col", (F.col("x") * scale + F.col("_dx")).alias("x"), (F.col("y") * scale + F.col("_dy")).alias("y"), *CHANNELS)
+    big = nearest_tiles(to_tiles(image, width, height, tile, pad), scale)
     inside = F.expr(f"x div {tile * scale} = col and y div {tile * scale} = band")
     return big.filter(inside).select("image", "x", "y", *CHANNELS)
 
 
+TILE = ("image", "band", "col")
+#: A model: tiles (image, band, col, x, y, r, g, b) and a scale -> the same, every tile `scale` times as wide and high.
+Backend = Callable[[DataFrame, int], DataFrame]
+
+
+def nearest_tiles(tiles: DataFrame, scale: int) -> DataFrame:
+    """Every pixel of every tile as scale x scale pixels."""
+    steps = F.sequence(F.lit(0), F.lit(scale - 1))
+    big = tiles.select("*", F.explode(steps).alias("_dy")).select("*", F.explode(steps).alias("_dx"))
+    return big.select(*TILE, (F.col("x") * scale + F.col("_dx")).alias("x"), (F.col("y") * scale + F.col("_dy")).alias("y"), *CHANNELS)
+
+
+def contained(run_tile: Callable[[pa.Table, int], pa.Table]) -> Backend:
+    """A backend of a Python function on one tile's pixels (x, y, r, g, b, an Arrow table). A tile on which it raises gives
+    no pixels, so the failure stays with its image (`failed_tiles`) and the other tiles and images go on."""
+
+    def backend(tiles: DataFrame, scale: int) -> DataFrame:
+        schema = tiles.select(*TILE, "x", "y", *CHANNELS).schema
+        names = [f.name for f in schema.fields]
+
+        def one(table: pa.Table) -> pa.Table:
+            try:
+                made = run_tile(table.select(["x", "y", *CHANNELS]), scale)
+                keys = [pa.repeat(table.column(k)[0], made.num_rows).cast(table.schema.field(k).type) for k in TILE]
+                return pa.table([*keys, *[made.column(c).cast(table.schema.field(c).type) for c in ("x", "y", *CHANNELS)]], names=names)
+            except Exception:  # noqa: BLE001  whatever a caller's function raises is its tile's failure
+                return table.select(names).slice(0, 0)
+
+        return tiles.select(*names).groupBy(*TILE).applyInArrow(one, schema)
+
+    return backend
+
+
+def failed_tiles(tiles: DataFrame, big: DataFrame, scale: int) -> DataFrame:
+    """image, band, col of tiles that did not come back scale times as wide and high, every pixel once."""
+    want = tiles.groupBy(*TILE).agg((F.count(F.lit(1)) * scale * scale).alias("want"), *[(F.min(c) * scale).alias(f"lo_{c}") for c in "xy"], *[((F.max(c) + 1) * scale).alias(f"hi_{c}") for c in "xy"])
+    got = big.groupBy(*TILE).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x", "y").alias("places"), *[F.min(c).alias(f"min_{c}") for c in "xy"], *[F.max(c).alias(f"max_{c}") for c in "xy"])
+    right = (F.col("n") == F.col("want")) & (F.col("places") == F.col("want"))
+    for c in "xy":
+        right = right & (F.col(f"min_{c}") == F.col(f"lo_{c}")) & (F.col(f"max_{c}") == F.col(f"hi_{c}") - 1)
+    return want.join(got, list(TILE), "left").filter(~F.coalesce(right, F.lit(False))).select(*TILE)
+
+
 def run_tiles(
-    image: DataFrame, width: int, height: int, scale: int, target: int, tile: int, pad: int, look: str = "original", intensity: int = 0, mode: str = "standard", alpha: DataFrame | None = None, stops: DataFrame | None = None
+    image: DataFrame, width: int, height: int, scale: int, target: int, tile: int, pad: int, look: str = "original", intensity: int = 0, mode: str = "standard", alpha: DataFrame | None = None, stops: DataFrame | None = None, backend: Backend | None = None
 ) -> DataFrame:
     """The whole run on images (values in [0, 1]) of one size: tiles with halo, each enlarged by `scale`, finished
     by mode and look on its own, cropped to bytes, averaged down to `target` times the size and joined with alpha.
 
     The halo gives the finishing passes the neighbours they would have in the whole image, so tiles do
     not show: pad is 1 at least if a pass reads neighbours. stops (image, tile): the first tile, counted
-    band by band, before which the run was cancelled or that failed; its band and the later ones write
-    no row, as a band is written only when all its tiles are done.
+    band by band, before which the run was cancelled. backend stands in for the nearest pixels; a tile that
+    it gives back in another size has failed. The band of a tile that was cancelled or failed and the
+    later bands of its image write no row, as a band is written only when all its tiles are done.
     """
     cols = -(-width // tile)
-    tiles = to_tiles(image.select("image", "x", "y", *CHANNELS), width, height, tile, pad)
-    if stops is not None:
-        first = stops.groupBy("image").agg(F.min(F.expr(f"tile div {cols}")).alias("_stop"))
-        tiles = tiles.join(first, "image", "left").filter("_stop is null or band < _stop").drop("_stop")
-    steps = F.sequence(F.lit(0), F.lit(scale - 1))
-    big = tiles.select("*", F.explode(steps).alias("_dy")).select("*", F.explode(steps).alias("_dx"))
-    big = big.select("image", "band", "col", (F.col("x") * scale + F.col("_dx")).alias("x"), (F.col("y") * scale + F.col("_dy")).alias("y"), *CHANNELS)
-    finished = with_look(big, look, intensity, mode, ("image", "band", "col"))
+    tiles = to_tiles(image.select("image", "x", "y", *CHANNELS), width, height, tile, pad).select(*TILE, "x", "y", *CHANNELS)
+    ends = [] if stops is None else [stops.select("image", F.expr(f"tile div {cols}").alias("band"))]
+    if backend is None:
+        big = nearest_tiles(tiles, scale)
+    else:
+        big = written(backend(tiles, scale), "tiles")  # run once, whatever reads it
+        ends.append(failed_tiles(tiles, big, scale).select("image", "band"))
+    if ends:
+        first = reduce(DataFrame.unionByName, ends).groupBy("image").agg(F.min("band").alias("_stop"))
+        big = big.join(first, "image", "left").filter("_stop is null or band < _stop").drop("_stop")
+    finished = with_look(big, look, intensity, mode, TILE)
     inside = as_bytes(finished.filter(F.expr(f"x div {tile * scale} = col and y div {tile * scale} = band"))).select("image", "x", "y", *CHANNELS)
     out = inside if target == scale else box_resample(inside, scale // target)
     return out if alpha is None else with_alpha(out, alpha, target)

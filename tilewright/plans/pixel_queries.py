@@ -82,6 +82,26 @@ def tiled_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.run_tiles(image, 8, 8, 2, 1, 3, 1, "soft", INTENSITY, "detail", _alpha(image), stops)
 
 
+def _doubled(tile, scale):
+    """A model of one tile in numpy: every pixel four times; it fails on tiles whose first pixel is very dark, and cuts bright ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    x, y, r, g, b = (tile.column(c).to_numpy() for c in ("x", "y", "r", "g", "b"))
+    if r[(x == x.min()) & (y == y.min())][0] < 0.35:
+        raise ValueError("a dark corner")
+    dx, dy = np.tile([0, 1], 2 * len(x)), np.tile([0, 0, 1, 1], len(x))
+    keep = slice(0, -1) if r[(x == x.min()) & (y == y.min())][0] > 0.65 else slice(None)
+    four = lambda v: np.repeat(v, scale * scale)
+    made = [four(x) * scale + dx, four(y) * scale + dy, *map(four, (r, g, b))]
+    return pa.table([v[keep] for v in made], names=["x", "y", "r", "g", "b"])
+
+
+def backend_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's model in tiles of four without halo: bands before a tile that failed, by raising or by its size, are written."""
+    return O.run_tiles(_images(spark, sf_dir), 8, 8, 2, 2, 4, 0, backend=O.contained(_doubled))
+
+
 def queries() -> dict[str, Query]:
     return {
         "px_unsharp_detail": unsharp_detail,
@@ -99,6 +119,7 @@ def queries() -> dict[str, Query]:
         "px_area_resample": lambda s, d: O.area_resample(_bytes(s, d), 8, 8, 5, 3),
         "px_thumbnails": lambda s, d: O.thumbnails(_bytes(s, d).filter("image % 2 = 0 or y < 3"), 5),
         "px_tiled_run": tiled_run,
+        "px_backend_run": backend_run,
     }
 
 
@@ -216,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "px_thumbnails": f"""WITH {_PX}, {_U8}, f AS (SELECT *, 8 AS w, CASE WHEN image % 2 = 0 THEN 8 ELSE 3 END AS h FROM u WHERE image % 2 = 0 OR y < 3),
             e AS (SELECT *, 5 AS ow, CASE WHEN image % 2 = 0 THEN 5 ELSE 2 END AS oh FROM f), {_area_sql("o", "e", "w", "h", "ow", "oh")} SELECT * FROM o""",
         "px_tiled_run": _tiled_sql(),
+        "px_backend_run": f"""WITH {_PX}, {_U8}, n AS ({near}), bad AS (SELECT image, min(y // 4) AS band FROM px WHERE x % 4 = 0 AND y % 4 = 0 AND (r < 0.35 OR r > 0.65) GROUP BY image)
+            SELECT n.* FROM n LEFT JOIN bad ON bad.image = n.image WHERE bad.band IS NULL OR n.y // 8 < bad.band""",
         "px_stats": f"""WITH {_PX}, l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, greatest(r, g, b) - least(r, g, b) AS s FROM px),
             d AS (SELECT *, abs(l - lag(l) OVER (PARTITION BY image, y ORDER BY x)) AS step, ntile(10) OVER (PARTITION BY image ORDER BY l, y, x) AS tenth FROM l)
             SELECT image, round(avg(l), 6) AS mean_luma, round(avg(r - b), 6) AS mean_warmth, round(avg(s), 6) AS mean_spread, round(avg(step), 6) AS mean_step,
