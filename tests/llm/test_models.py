@@ -249,7 +249,7 @@ def test_units_equal_whole_texts():
     texts = ["".join(rng.choice(letters, 60)) for _ in range(300)]
     whole = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     small = packing.UnitTokenizer(tokenizer_path(), remembered=50)
-    assert small.encode(texts) == whole and small.encode(texts) == whole and len(small) <= 50 and len(small.older) <= 50
+    assert small.encode(texts) == whole and small.encode(texts) == whole and len(small) <= 50 and len(small.late) <= 50 and small.filled >= packing.FILLINGS
 
 
 def test_mixing(spark, rows, labels):

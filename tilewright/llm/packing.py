@@ -28,8 +28,8 @@ OPEN_WINDOWS = 64
 END_ID = 0
 #: Open windows that one merging task takes.
 MERGE_ITEMS = 8192
-#: Units whose ids a worker remembers, and as many of the generation before.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers for good, and as many late ones; so many fillings of the late ones, and they take the first ones' place.
+REMEMBERED, FILLINGS = 400_000, 8
 #: White space as the tokenizer's pattern sees it.
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -40,8 +40,9 @@ class UnitTokenizer(dict):
 
     Texts are cut where a byte-level BPE with this pattern never merges: before the single space that
     leads a word, around longer runs of white space, and between letters and the full stops or commas
-    that end a word. Units repeat, so their ids are remembered, the late ones and the generation before
-    them. A unit of letters, or of full stops and commas, is one piece of the pattern: the file's merges
+    that end a word. Units repeat, so their ids are remembered: the first ones seen, among which the
+    frequent ones are, in the dict itself, and late ones in a second one that starts anew when it is
+    full. If it fills again and again, texts have changed, and it takes the place of the first. A unit of letters, or of full stops and commas, is one piece of the pattern: the file's merges
     take it as it is. Other units go through the whole tokenizer.
     """
 
@@ -64,7 +65,7 @@ class UnitTokenizer(dict):
         self.plain = self.tokenizer.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
         self.plain = self.plain and not any(map(self.one_piece, self.named))
         self.named_at = re.compile("(" + "|".join(map(re.escape, self.named)) + ")")
-        self.remembered, self.older = remembered, {}
+        self.remembered, self.late, self.filled = remembered, {}, 0
 
     def _units(self, text: str) -> list[str]:
         if not any(t in text for t in self.named):
@@ -72,20 +73,27 @@ class UnitTokenizer(dict):
         return [u for k, part in enumerate(self.named_at.split(text)) for u in ([part] if k % 2 else self.units.findall(part))]
 
     def __missing__(self, unit: str) -> bytes:
-        made = self.older.get(unit)
-        if made is None:
-            lead, rest = (self.space, unit[1:]) if unit[0] == " " else ("", unit)
-            if self.plain and rest.isascii() and rest.isalpha():  # ASCII letters stand for themselves in the file
-                ids = [t.id for t in self.model.tokenize(lead + rest)]
-            elif self.plain and self.one_piece(unit):
-                ids = [t.id for t in self.model.tokenize(unit.translate(self.as_bytes))]
-            else:
-                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-            made = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.remembered:
-            self.older = dict(self)
-            self.clear()
-        self[unit] = made
+        made = self.late.get(unit)
+        if made is not None:
+            return made
+        lead, rest = (self.space, unit[1:]) if unit[0] == " " else ("", unit)
+        if self.plain and rest.isascii() and rest.isalpha():  # ASCII letters stand for themselves in the file
+            ids = [t.id for t in self.model.tokenize(lead + rest)]
+        elif self.plain and self.one_piece(unit):
+            ids = [t.id for t in self.model.tokenize(unit.translate(self.as_bytes))]
+        else:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.remembered:
+            self[unit] = made
+            return made
+        if len(self.late) >= self.remembered:
+            self.filled += 1
+            if self.filled % FILLINGS == 0:
+                self.clear()
+                self.update(self.late)
+            self.late = {}
+        self.late[unit] = made
         return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
