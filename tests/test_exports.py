@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tilewright.operators import ledger as L
 from tilewright.operators import pixels as O
 from tilewright.sources import exports, png
 
@@ -38,3 +39,20 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017  the second folder is a file
         exports.export(spark, df)
     assert not (tmp_path / "ok").exists() or os.listdir(tmp_path / "ok") == []
+
+
+def test_numbers_go_on_beyond_999(spark):
+    """Two stems of 1,005 and 1,003 files; some late numbers are taken, or are the end of another file's stem."""
+    files = [("d", "s", "png", 2 * k + 1) for k in range(1005)] + [("d", "t", "png", 2 * k) for k in range(1003)] + [("d", "s-1002", "png", 5000), ("d", "t-3", "png", 5001)]
+    taken = [("d", n) for n in ("s-1000.png", "s-1001.png", "s-1004.png", "s-7.png", "t-1000.webp", "s-1009.png", "s-01.png")]
+    df = spark.createDataFrame(files, "dir string, stem string, ext string, ordinal long").repartition(3)
+    got = {r["ordinal"]: r["name"] for r in L.safe_names(df, spark.createDataFrame(taken, "dir string, name string"), go_on=True).collect()}
+    used, want = {n for _, n in taken} | {"s-1002.png"}, {}
+    for _, stem, _, ordinal in sorted(files, key=lambda f: f[3]):
+        k = 1
+        while (name := f"{stem}{f'-{k}' if k > 1 else ''}.png") in used - ({"s-1002.png"} if stem == "s-1002" else set()):
+            k += 1
+        want[ordinal] = name
+        used.add(name)
+    assert got == want and len(set(got.values())) == len(files)
+    assert {want[o] for o in (1995, 1997, 1999, 2003, 2009)} == {"s-999.png", "s-1003.png", "s-1005.png", "s-1007.png", "s-1011.png"}

@@ -260,7 +260,31 @@ def _numbers(ordinals: list[int], taken: list[int] | None, blocked: list | None)
     return out
 
 
-def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None) -> DataFrame:
+#: What stands before a number beyond LAST_NUMBER, and that number.
+_LATE = r"^(.+)-([1-9][0-9]{3,17})$"
+
+
+def _numbers_on(late: DataFrame, files: DataFrame, taken: DataFrame) -> DataFrame:
+    """late (dir, stem, ext, ordinal): with k, the numbers from LAST_NUMBER + 1 on that are free, in order of ordinal.
+
+    Not free are those of taken and those that another file has as its own stem. A number in place p of
+    those is passed by the files that come after as many free ones, so files and such numbers are ranked
+    together, by ranges: however many files one stem has, they never meet in one task.
+    """
+    name = F.struct(*_NAME).alias("_name")
+    ranked = rank_in_order(late.select(name, F.col("ordinal").cast("long").alias("ordinal")), "_name", ["ordinal"], "_at")
+    lies = taken.select("dir", F.regexp_extract("name", r"^(.+)\.[^.]*$", 1).alias("_s"), F.regexp_extract("name", r"\.([^.]*)$", 1).alias("ext"))
+    own = files.select("dir", F.col("stem").alias("_s"), "ext")
+    held = lies.unionByName(own).select("dir", F.regexp_extract("_s", _LATE, 1).alias("stem"), "ext", F.regexp_extract("_s", _LATE, 2).try_cast("long").alias("t")).dropna(subset=["t"]).distinct()
+    held = written(held.join(late.select(*_NAME).distinct(), list(_NAME), "left_semi").select(name, "t"), "held")
+    if not held.isEmpty():
+        gaps = rank_in_order(held, "_name", ["t"], "_i").select("_name", (F.col("t") - LAST_NUMBER - F.col("_i")).alias("_at"), F.lit(1).alias("_gap"), F.lit(None).cast("long").alias("ordinal"))
+        both = ranked.select("_name", "_at", F.lit(0).alias("_gap"), "ordinal").unionByName(gaps)
+        ranked = rank_in_order(both.withColumnRenamed("_at", "_free"), "_name", ["_free", "_gap"], "_at").filter("_gap = 0")
+    return ranked.select("_name.*", "ordinal", (F.col("_at") + LAST_NUMBER).alias("k"))
+
+
+def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None, go_on: bool = False) -> DataFrame:
     """files (dir, stem, ext, ordinal), taken (dir, name): stem.ext, or the next free stem-2, stem-3 ... in order of ordinal.
 
     A name is free if it is not taken and no file of a lower ordinal has it, of whatever stem: a-2.png
@@ -269,6 +293,9 @@ def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None)
     ever compete, and only they are listed. Numbers are given within each stem; plain names and numbers
     that meet between stems block the later file, and numbers are given anew until nothing changes: the
     file of the least ordinal is right at once, and each round settles at least the next one.
+
+    With go_on, numbers go on beyond 999 instead; there, a number that is the end of another file's own
+    stem is left to that file.
     """
     order = Window.partitionBy(*_NAME).orderBy("ordinal")
     first = files.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LAST_NUMBER)
@@ -302,5 +329,9 @@ def safe_names(files: DataFrame, taken: DataFrame, stamp: Column | None = None)
     rest = files.join(full, list(_NAME)).filter("ordinal > _last").select(*_NAME, "ordinal", F.lit(LAST_NUMBER + 1).alias("k"))
     late = (F.col("ordinal") if stamp is None else stamp).cast("string")
     k = F.col("k")
+    if go_on:
+        past = written(chosen.filter(k > LAST_NUMBER).unionByName(rest.withColumn("ordinal", F.col("ordinal").cast("long"))).drop("k"), "late")
+        chosen, late = chosen.filter(k <= LAST_NUMBER), k.cast("string")
+        rest = past.withColumn("k", F.lit(0).cast("long")) if past.isEmpty() else _numbers_on(past, files, taken)
     name = F.concat("stem", F.when(k > LAST_NUMBER, F.concat(F.lit("-"), late)).when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext")
     return chosen.unionByName(rest).select("dir", F.col("ordinal").cast(files.schema["ordinal"].dataType).alias("ordinal"), name.alias("name"))

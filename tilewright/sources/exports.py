@@ -102,12 +102,13 @@ def names_in(folders: DataFrame) -> DataFrame:
     return folders.select("dir").distinct().mapInArrow(_listed, "dir string, name string")
 
 
-def export(spark: SparkSession, masters: DataFrame, stamp: int | None = None) -> DataFrame:
+def export(spark: SparkSession, masters: DataFrame, stamp: int | None = None, go_on: bool = False) -> DataFrame:
     """masters (ordinal, dir, stem, format, content) written, each as the first free name of its folder: ordinal, file_path,
     file_name, folder, format, bytes, error.
 
     error: file_missing without content, unknown_format, export_limit where a format cannot hold an
-    edge, and no_encoder for the formats that nobody here can write. ordinal is unique.
+    edge, and no_encoder for the formats that nobody here can write. ordinal is unique. Beyond 999 files of
+    a stem, names end in stamp, or with go_on in the next free number.
     """
     spark.dataSource.register(Files)
     kind = lookup(FORMAT_KEYS, F.lower("format"))
@@ -117,7 +118,7 @@ def export(spark: SparkSession, masters: DataFrame, stamp: int | None = None) ->
     )
     judged = written(masters.select("ordinal", "dir", safe_stem(F.col("stem"), NAMELESS).alias("stem"), kind.alias("format"), "content", error.alias("error")), "exports")
     good = judged.filter("error is null")
-    names = written(safe_names(good.select("dir", "stem", F.col("format").alias("ext"), "ordinal"), names_in(good), None if stamp is None else F.lit(stamp)), "names")
+    names = written(safe_names(good.select("dir", "stem", F.col("format").alias("ext"), "ordinal"), names_in(good), None if stamp is None else F.lit(stamp), go_on), "names")
     named = good.join(names, ["dir", "ordinal"])
     named.select(F.col("dir").alias("folder"), "name", "content").write.format("whole_files").mode("append").save()
     done = judged.join(names, ["dir", "ordinal"], "left")
