@@ -204,3 +204,11 @@ def test_a_callers_model_fails_by_tile(spark):
     assert {r["image"]: (r["n"], r["y"]) for r in got.groupBy("image").agg(F.count("*").alias("n"), F.max("y").alias("y")).collect()} == {0: (21 * 18, 17), 1: (21 * 9, 8)}
     whole = sorted(map(tuple, O.run_tiles(image, 7, 6, 3, 1, 3, 1, "soft", 70, backend=O.contained(by_three)).collect()))
     assert whole == sorted(map(tuple, O.run_tiles(image, 7, 6, 3, 1, 3, 1, "soft", 70).collect()))
+
+
+def test_sizes_of_images_are_not_gathered_on_the_driver(spark):
+    tiles = spark.range(3000).select(F.expr("id div 6").alias("image"), F.expr("id div 3 % 2").alias("band"), F.expr("id % 3").alias("col"))
+    out = jobs.tile_progress(tiles)
+    assert sorted(r["done"] for r in out.filter("image = 7").collect()) == [1, 2, 3, 4, 5, 6] and {r["total"] for r in out.collect()} == {6}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -132,9 +132,13 @@ def accept_batch(requests: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
 
 
 def tile_progress(tiles: DataFrame) -> DataFrame:
-    """tiles (image, band, col): done and total after each, row by row. done follows from the place, so no window is needed."""
+    """tiles (image, band, col): done and total after each, row by row. done follows from the place, so no window is needed.
+
+    There are as many sizes as images, and they shrink so well in a shuffle that Spark would take them for small
+    and gather them on the driver for a broadcast; so both sides are merged by image.
+    """
     size = tiles.groupBy("image").agg((F.max("col") + 1).alias("cols"), F.count(F.lit(1)).alias("total"))
-    return tiles.join(size, "image").select("image", "band", "col", (F.col("band") * F.col("cols") + F.col("col") + 1).cast("long").alias("done"), "total")
+    return tiles.join(size.hint("merge"), "image").select("image", "band", "col", (F.col("band") * F.col("cols") + F.col("col") + 1).cast("long").alias("done"), "total")
 
 
 def attempt_ladder(outcomes: Column, ceiling: Column, max_attempts: int = 3) -> Column:
