@@ -173,3 +173,13 @@ def test_guards_of_payloads(spark):
         row = spark.createDataFrame([(json.dumps(payload),)], "j string").select(guard(F.parse_json("j")).alias("ok")).collect()[0]
         assert row["ok"] is want, (guard.__name__, payload)
     assert spark.createDataFrame([("{",)], "j string").select(guards.is_result(F.try_parse_json("j")).alias("ok")).collect()[0]["ok"] is False
+
+
+def test_payloads_are_parsed_once(spark):
+    from tilewright.plans import service_queries
+
+    plan = service_queries.payload_guards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 3
+    v = F.parse_json(F.lit('{"a":[{"b":1}],"b":null}'))
+    asked = [({"a": [{"b": "number"}], "b": {"text", "none"}}, True), ({"a": [{"b": "text"}]}, False), ({"a": [{"c": {"none"}}]}, False), ({"a": {"b": "number"}}, False), ({"b": [{"b": "text"}]}, False), ([{"b": "number"}], False), ({}, True), ("text", False)]
+    assert spark.range(1).select(*[guards.fits(v, shape).alias(f"c{k}") for k, (shape, _) in enumerate(asked)]).collect()[0][:] == tuple(want for _, want in asked)
