@@ -183,3 +183,25 @@ def test_payloads_are_parsed_once(spark):
     v = F.parse_json(F.lit('{"a":[{"b":1}],"b":null}'))
     asked = [({"a": [{"b": "number"}], "b": {"text", "none"}}, True), ({"a": [{"b": "text"}]}, False), ({"a": [{"c": {"none"}}]}, False), ({"a": {"b": "number"}}, False), ({"b": [{"b": "text"}]}, False), ([{"b": "number"}], False), ({}, True), ("text", False)]
     assert spark.range(1).select(*[guards.fits(v, shape).alias(f"c{k}") for k, (shape, _) in enumerate(asked)]).collect()[0][:] == tuple(want for _, want in asked)
+
+
+def test_one_signature_against_several_keys(monkeypatch):
+    seeds = [bytes([n]) * 32 for n in (1, 2, 3)]
+    keys = [ed25519.public_key(s) for s in seeds]
+    sig = ed25519.sign(seeds[1], b"m")
+    assert ed25519.verifier([bytes(32), *keys], b"m", sig) == keys[1] and ed25519.verifier([keys[0], keys[2]], b"m", sig) is None and ed25519.verifier([], b"m", sig) is None
+    rng = random.Random(2)
+    for _ in range(20):
+        n, m = rng.randrange(2**256), rng.choice([0, 1, 255, 256, 2**255, 2**256 - 1])
+        assert all(ed25519.packed(ed25519.times_known(k, ed25519.BASE, ed25519.times(3, ed25519.BASE))) == ed25519.packed(ed25519.times(k + 3, ed25519.BASE)) for k in (n, m))
+    # a point of small order beside R: the equation holds only when multiplied by 8
+    torsion = ed25519.ZERO
+    while ed25519.is_zero(torsion):
+        torsion = ed25519.times(ed25519.ORDER, ed25519.unpacked(rng.randrange(ed25519.P).to_bytes(32, "little")) or ed25519.ZERO)
+    first = ed25519.packed(ed25519.add(ed25519.times(77, ed25519.BASE), torsion))
+    s = (77 + ed25519._number(first, keys[1], b"m") * ed25519._secret(seeds[1])[0]) % ed25519.ORDER
+    odd = first + s.to_bytes(32, "little")
+    assert ed25519.verifier(keys, b"m", odd) == keys[1] and not ed25519.verifies(keys[0], b"m", odd)
+    made = []
+    monkeypatch.setattr(ed25519, "times_known", lambda n, a, to=ed25519.ZERO, known=ed25519.times_known: made.append(a) or known(n, a, to))
+    assert ed25519.verifier(keys, b"m", sig) == keys[1] and made.count(ed25519.BASE) == 1 and len(made) == 3
