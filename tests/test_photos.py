@@ -1,6 +1,7 @@
 """JPEG and PNG files upright, and previews of what was imported; JPEGs are written by the JVM's own writer."""
 
 import base64
+import os
 import struct
 
 import pytest
@@ -75,3 +76,24 @@ def test_grey_files(spark, tmp_path):
     spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "g.jpg")))
     got = photos.upright_pixels(spark, [str(tmp_path / "g.jpg")]).agg(F.min("r").alias("r"), F.min("b").alias("b"), F.count("*").alias("n")).collect()[0]
     assert got["r"] >= 250 and got["b"] >= 250 and got["n"] == 64
+
+
+def test_many_calls_come_as_one_table(spark, jpeg, tmp_path):
+    """What a call a list gives, for three calls at once: whole, cut, missing, repeated and misnamed files, a folder, a JPEG."""
+    png.save(O.gradient(spark, 6, 4).unionByName(O.gradient(spark, 3, 3).withColumn("image", F.lit(1).cast("long"))), str(tmp_path))
+    os.makedirs(tmp_path / "d.png")
+    whole = (tmp_path / "0.png").read_bytes()
+    for name, content in {"cut.png": whole[:20], "text.png": b"no image", "a.jpg": whole, "b.webp": whole, "a [x]*.png": whole, "n.gif": whole, "damaged.png": whole[:-20]}.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "p.jpeg").write_bytes(jpeg)
+    names = ["0.png", "1.png", "0.png", "gone.png", "d.png", "cut.png", "text.png", "a.jpg", "b.webp", "a [x]*.png", "n.gif", "damaged.png", "p.jpeg"]
+    calls = [[f"{tmp_path}/{n}" for n in names], [f"file:{tmp_path}/0.png", f"file://{tmp_path}/1.png", "", "a\0b.png"], [f"{tmp_path}/1.png"] * 200]
+    asked = spark.createDataFrame([(c, k, p) for c, paths in enumerate(calls) for k, p in enumerate(paths)], "call int, ordinal int, path string")
+    columns = ["ordinal", "path", "id", "name", "format", "width", "height", "error_code", "preview"]
+    got = photos.import_calls_with_previews(spark, asked).select("call", *columns).collect()
+    for call, paths in enumerate(calls):
+        want = [tuple(r) for r in photos.import_with_previews(spark, paths).select(*columns).collect()]
+        assert [tuple(r)[1:] for r in got if r["call"] == call] == want
+    assert photos.import_calls_with_previews(spark, asked.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        photos.import_calls_with_previews(spark, asked.withColumn("call", F.lit(1)))

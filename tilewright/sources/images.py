@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import text as T
 from tilewright.functions.geometry import MAX_SOURCE_BYTES, MAX_SOURCE_PIXELS
+from tilewright.operators.ordered import written
 
 MAX_PATHS = 200
 
@@ -105,6 +111,11 @@ def _look_up(spark: SparkSession, path: str) -> tuple[str | None, bool, int]:
     return found.getPath().toString(), found.isDirectory(), found.getLen()
 
 
+def as_names(paths: list[str]) -> list[str]:
+    """Paths for a reader that would take them as patterns."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
 def import_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One outcome a path, in the order given: ordinal, path, id, name, format, width, height, size, error_code.
 
@@ -119,11 +130,79 @@ def import_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     wanted = sorted({whole for _, path, whole, folder, size in found if whole and not folder and size <= MAX_SOURCE_BYTES and path.rsplit(".", 1)[-1].lower() in T.FORMATS})
     files = spark.createDataFrame([], "_whole string, content binary")
     if wanted:
-        plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in wanted]  # names, not patterns
-        files = spark.read.format("binaryFile").load(plain).select(F.col("path").alias("_whole"), "content")
+        files = spark.read.format("binaryFile").load(as_names(wanted)).select(F.col("path").alias("_whole"), "content")
+    return _judged(asked.join(files, "_whole", "left")).drop("content").orderBy("ordinal")
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """found (path, _whole, is_dir, size, content and others): an outcome each, with content."""
     kind = sniff(F.col("content"))
-    sized = asked.join(files, "_whole", "left").withColumn("format", kind)
+    sized = found.withColumn("format", kind)
     w, h = header_size(F.col("content"), F.col("format"))
     sized = sized.withColumn("width", w).withColumn("height", h)
     error = import_error(F.col("path"), T.extension(F.col("path")), F.col("_whole").isNotNull(), F.col("is_dir"), F.col("size"), F.col("format"), F.col("width"), F.col("height"))
-    return sized.select("ordinal", "path", F.coalesce("_whole", "path").alias("id"), T.display_name(F.col("path")).alias("name"), "format", "width", "height", "size", error.alias("error_code")).orderBy("ordinal")
+    rest = [c for c in found.columns if c not in ("ordinal", "path", "_whole", "is_dir", "size", "content")]
+    return sized.select(*rest, "ordinal", "path", F.coalesce("_whole", "path").alias("id"), T.display_name(F.col("path")).alias("name"), "format", "width", "height", "size", error.alias("error_code"), "content")
+
+
+#: Bytes of contents that are handed to Spark at once.
+_BATCH_BYTES = 32 << 20
+_FOUND = {"_whole": pa.string(), "is_dir": pa.bool_(), "size": pa.int64(), "content": pa.binary()}
+
+
+def _found(base: str, home: str):
+    """Rows with a path looked up where they are: whole path or null, is a folder, bytes, and the content of files that pass the rules on names and sizes."""
+
+    def look(path: str | None) -> tuple[str | None, bool, int, bytes | None]:
+        if not path or "\0" in path:
+            return None, False, 0, None
+        whole = path if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path) else base + posixpath.join(home, path)
+        try:
+            if whole.startswith("file:"):
+                store, inner = fs.LocalFileSystem(), re.sub("/+", "/", whole[5:])
+                whole = f"file:{inner}"
+            else:
+                store, inner = fs.FileSystem.from_uri(whole)
+            info = store.get_file_info(inner)
+            if info.type == fs.FileType.NotFound:
+                return None, False, 0, None
+            if info.type == fs.FileType.Directory:
+                return whole, True, 0, None
+            content = None
+            if info.size <= MAX_SOURCE_BYTES and path.rsplit(".", 1)[-1].lower() in T.FORMATS:
+                with store.open_input_stream(inner) as source:
+                    content = source.read()
+            return whole, False, info.size, content
+        except (OSError, pa.ArrowException):
+            return None, False, 0, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, rows, held = 0, [], 0
+            for at, path in enumerate(batch.column("path").to_pylist()):
+                rows.append(look(path))
+                held += len(rows[-1][3] or b"")
+                if held >= _BATCH_BYTES or at == batch.num_rows - 1:
+                    part = batch.slice(start, len(rows))
+                    made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _FOUND.values(), strict=True)]
+                    yield pa.record_batch([*part.columns, *made], names=[*part.schema.names, *_FOUND])
+                    start, rows, held = at + 1, [], 0
+
+    return run
+
+
+def import_calls(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    """asked (call, ordinal, path), any number of calls of at most 200 paths: the outcomes of `import_many` for all in one job, and content.
+
+    Paths are looked up and files read by tasks, through Arrow's file systems, so neither the number of calls nor that of files
+    meets the driver; a path without a scheme lies in Spark's default file system. A call of more paths refuses the whole. A
+    file that cannot be opened counts as missing; content is null where there is an error. Written to the shared folder.
+    """
+    if not asked.groupBy("call").count().filter(F.col("count") > MAX_PATHS).isEmpty():
+        raise ValueError(f"at most {MAX_PATHS} paths a call")
+    base = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    look = _found("file:" if base.startswith("file:") else base.rstrip("/"), os.getcwd() if base.startswith("file:") else "/")
+    dealt = asked.select("call", "ordinal", "path").repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    found = dealt.mapInArrow(look, f"{kinds}, _whole string, is_dir boolean, size long, content binary")
+    return written(_judged(found).withColumn("content", F.when(F.col("error_code").isNull(), F.col("content"))), "imports")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.sources import png
-from tilewright.sources.images import import_many
+from tilewright.sources.images import as_names, import_calls, import_many
 
 #: The tag of a turn, and where a pixel (x, y) of a w x h image goes by its value; values of 5 on swap the sides.
 _TURN_TAG = 0x0112
@@ -81,25 +81,44 @@ def upright_pixels(spark: SparkSession, paths: list[str]) -> DataFrame:
     plain = F.regexp_replace("id", "^file:/+", "file:/")
     out = spark.createDataFrame([], "id string, x int, y int, r int, g int, b int, a int")
     if of["png"]:
-        files = spark.read.format("binaryFile").load(of["png"]).select(F.col("path").alias("image"), "content")
+        files = spark.read.format("binaryFile").load(as_names(of["png"])).select(F.col("path").alias("image"), "content")
         out = out.unionByName(png.decode(files).withColumnRenamed("image", "id").withColumn("id", plain))
-    if of["jpeg"]:
-        turned = spark.read.format("binaryFile").load(of["jpeg"]).select(F.col("path").alias("id"), "content").mapInArrow(_turns, "id string, turn int").withColumn("id", plain)
-        source = spark.read.format("image").option("dropInvalid", True).option("ignoreCorruptFiles", True).load(of["jpeg"]).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
-        pixels = source.mapInArrow(_flat, "id string, x int, y int, r int, g int, b int, w int, h int").withColumn("id", plain).join(turned, "id")
-        x, y = F.col("x"), F.col("y")
-        for value, (to_x, to_y) in _TURNS.items():
-            x, y = F.when(F.col("turn") == value, F.expr(to_x)).otherwise(x), F.when(F.col("turn") == value, F.expr(to_y)).otherwise(y)
-        out = out.unionByName(pixels.select("id", x.cast("int").alias("x"), y.cast("int").alias("y"), "r", "g", "b", F.lit(255).alias("a")))
-    return out
+    return out.unionByName(_jpeg_pixels(spark, of["jpeg"])) if of["jpeg"] else out
+
+
+def _jpeg_pixels(spark: SparkSession, ids: list[str]) -> DataFrame:
+    plain = F.regexp_replace("id", "^file:/+", "file:/")
+    turned = spark.read.format("binaryFile").load(as_names(ids)).select(F.col("path").alias("id"), "content").mapInArrow(_turns, "id string, turn int").withColumn("id", plain)
+    source = spark.read.format("image").option("dropInvalid", True).option("ignoreCorruptFiles", True).load(as_names(ids)).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    pixels = source.mapInArrow(_flat, "id string, x int, y int, r int, g int, b int, w int, h int").withColumn("id", plain).join(turned, "id")
+    x, y = F.col("x"), F.col("y")
+    for value, (to_x, to_y) in _TURNS.items():
+        x, y = F.when(F.col("turn") == value, F.expr(to_x)).otherwise(x), F.when(F.col("turn") == value, F.expr(to_y)).otherwise(y)
+    return pixels.select("id", x.cast("int").alias("x"), y.cast("int").alias("y"), "r", "g", "b", F.lit(255).alias("a"))
 
 
 def import_with_previews(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The outcomes of `import_many` with preview, the data URL of a small PNG, for every PNG and JPEG that can be decoded."""
-    outcomes = import_many(spark, paths)
-    pixels = upright_pixels(spark, paths).withColumnRenamed("id", "image")
+    return _shown(import_many(spark, paths), upright_pixels(spark, paths)).orderBy("ordinal")
+
+
+def import_calls_with_previews(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    """The outcomes of `import_calls` (asked: call, ordinal, path) with previews, as `import_with_previews` has them, in one job for all calls.
+
+    PNG files are decoded from the contents already read. Paths of JPEG files, which Spark's image source takes as
+    a list, go through the driver; nothing else does.
+    """
+    found = import_calls(spark, asked)
+    good = found.filter("error_code is null")
+    pixels = png.decode(good.filter("format = 'png'").select(F.col("id").alias("image"), "content").dropDuplicates(["image"])).withColumnRenamed("image", "id")
+    jpegs = [r["id"] for r in good.filter("format = 'jpeg'").select("id").distinct().collect()]
+    return _shown(found.drop("content"), pixels.unionByName(_jpeg_pixels(spark, jpegs)) if jpegs else pixels).orderBy("call", "ordinal")
+
+
+def _shown(outcomes: DataFrame, pixels: DataFrame) -> DataFrame:
+    pixels = pixels.withColumnRenamed("id", "image")
     alpha = pixels.groupBy("image").agg((F.min("a") == 255).alias("opaque"))
     small = png.encode(png.thumbnails(pixels, png.PREVIEW_EDGE).join(alpha, "image"))
     made = small.select(F.col("image").alias("_id"), png.data_url(F.lit("image/png"), F.col("content")).alias("preview"))
     plain = F.regexp_replace("id", "^file:/+", "file:/")
-    return outcomes.join(made, plain == F.col("_id"), "left").drop("_id").orderBy("ordinal")
+    return outcomes.join(made, plain == F.col("_id"), "left").drop("_id")
