@@ -319,3 +319,11 @@ def test_timelines_equal_a_walk(spark):
                 state = state if not acts else "remove" not in acts
             live |= {name} if state else set()
         assert (r["lists"], r["n_active"]) == (",".join(sorted(live)), len(live))
+
+
+def test_runs_of_a_content_meet_before_its_rows(spark):
+    runs = spark.createDataFrame([(1, 1, 0, 5), (1, 1, 20, 22), (1, 1, 6, 9), (1, 1, 3, 7), (2, 2, 4, 4), (3, 3, 0, 1)], "c1 long, c2 long, lo long, hi long").repartition(3)
+    times = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 1)], "c1 long, c2 long, times long")
+    light = spark.createDataFrame([(7, 1, 1), (8, 2, 2), (9, 3, 3), (10, 4, 4)], "did long, c1 long, c2 long")
+    got = suffix_dedup._of_single(light, runs, times).select("did", "r.lo", "r.hi").collect()
+    assert sorted(map(tuple, got)) == [(7, 0, 9), (7, 20, 22), (9, 0, 1)]

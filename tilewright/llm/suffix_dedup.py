@@ -306,6 +306,34 @@ def _by_content(rows: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame
     return light.join(times.filter("times > 1").select(*keys), keys, "left_semi").unionByName(marked.filter("heavy").drop("heavy")), light
 
 
+def _joined(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a content, as lists in any order: those that overlap or touch as one."""
+    for batch in runs:
+        rows = []
+        for c1, c2, los, his in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "lo", "hi")), strict=True):
+            kept: list[list[int]] = []
+            for lo, hi in sorted(zip(los, his, strict=True)):
+                if kept and lo <= kept[-1][1] + 1:
+                    kept[-1][1] = max(kept[-1][1], hi)
+                else:
+                    kept.append([lo, hi])
+            rows.append((c1, c2, [k[0] for k in kept], [k[1] for k in kept]))
+        columns = [*zip(*rows, strict=True)] if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["c1", "c2", "lo", "hi"])
+
+
+def _of_single(light: DataFrame, runs: DataFrame, times: DataFrame) -> DataFrame:
+    """light (c1, c2, ...) whose content comes once (the others are found as a whole), a row for each run r (lo, hi) of repeated starts in it.
+
+    A content in a large group has a run from every range of places it was cut into. They are joined to one list
+    first, no longer than the content, so the join gives at most one row for a row of light.
+    """
+    listed = runs.groupBy("c1", "c2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).mapInArrow(_joined, _RUNS)
+    once = listed.join(times.filter("times = 1").select("c1", "c2"), ["c1", "c2"])
+    return light.join(once, ["c1", "c2"]).withColumn("r", F.explode(F.arrays_zip("lo", "hi")))
+
+
 def _repeats_within(contents: DataFrame, length: int, hot_group: int, reach: int) -> DataFrame:
     """contents (h, c1, c2, content): runs (c1, c2, lo, hi) of starts of strings that other contents of the group, or the same, have too."""
     sizes = contents.select("h", "c1", "c2").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m"))
@@ -322,8 +350,7 @@ def _repeats_within(contents: DataFrame, length: int, hot_group: int, reach: int
     shared, light = _by_content(pieces.drop("h", "content"), times)
     whole = shared.select("p1", "p2", F.col("at").alias("lo"), F.expr("at + n - 1").alias("hi"))
     inner = _repeats_within(pieces.select("h", "c1", "c2", "content").dropDuplicates(["c1", "c2"]), length, hot_group, reach)
-    once = inner.join(times.filter("times = 1").select("c1", "c2"), ["c1", "c2"])  # the others are found as a whole
-    parts = light.join(once, ["c1", "c2"]).select("p1", "p2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    parts = _of_single(light, inner, times).select("p1", "p2", (F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))
     found = whole.union(parts).select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "lo", "hi")
     return materialize(runs.unionByName(found), "runs")
 
@@ -379,8 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
     runs = _repeats_within(sent, length, hot_group, length - ANCHOR + 1)
     shared, light = _by_content(segments.select("did", "start", "n", "c1", "c2"), times)
     whole = shared.select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
-    once = runs.join(times.filter("times = 1").select("c1", "c2"), ["c1", "c2"])  # the others are found as a whole
-    parts = light.join(once, ["c1", "c2"]).select("did", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    parts = _of_single(light, runs, times).select("did", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
     spans = whole.union(parts).groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edited = one.select("did", "text").join(spans, "did").mapInArrow(_cut(length), "did long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     if not with_text:
