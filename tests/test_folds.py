@@ -131,6 +131,23 @@ def test_stopped_runs_write_whole_bands_only(spark):
     assert O.run_tiles(both, 10, 10, 2, 2, 4, 1, stops=stops.selectExpr("image", "0L as tile")).select("image").distinct().collect() == [(5,)]
 
 
+def test_a_task_has_few_pixels(spark, monkeypatch):
+    """Many images, and tiles of more pixels than a task takes: tasks are as many as the pixels need, and the results stay."""
+    w, h = 8, 8
+    many = _image(spark, w, h).drop("image").crossJoin(spark.range(40).select(F.col("id").alias("image"))).select("image", "x", "y", *[(F.col(c) * (F.col("image") + 1) / 40).alias(c) for c in O.CHANNELS])
+    alpha = many.select("image", "x", "y", ((F.col("x") * 7 + F.col("y")) % 256).alias("a"))
+    stops = spark.createDataFrame([(3, 4), (9, 0)], "image long, tile long")
+    run = lambda target: O.run_tiles(many, w, h, 2, target, 3, 1, "soft", 60, "detail", alpha if target == 1 else None, stops)
+    largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want, shrunk = rows(run(2)), rows(run(1))
+    assert len(want) == (38 * 8 + 3) * 2 * 16 and len(shrunk) == (38 * 8 + 3) * 8
+    monkeypatch.setattr(O, "TASK_PIXELS", 2000, raising=False)
+    assert largest(run(2)) < 2000 and rows(run(2)) == want and rows(run(1)) == shrunk
+    monkeypatch.setattr(O, "TASK_PIXELS", 90, raising=False)  # a tile has up to 100
+    assert rows(run(1)) == shrunk
+
+
 @pytest.mark.parametrize("sizes", [(7, 5, 3, 2), (6, 6, 3, 3), (5, 4, 5, 4), (3, 2, 7, 5), (9, 1, 4, 1), (1, 8, 1, 3)])
 def test_resampling_weighs_areas(spark, sizes):
     w, h, ow, oh = sizes

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import pixels as P
@@ -20,6 +20,13 @@ from tilewright.functions.scalars import VIEW_EDGE
 from tilewright.operators.ordered import written
 
 CHANNELS = ("r", "g", "b")
+#: Pixels that a task sorts at a time, some 100 bytes each: a table of more is dealt to more tasks.
+TASK_PIXELS = 1 << 19
+
+
+def parts_for(spark: SparkSession, pixels: int) -> int:
+    """Tasks for so many pixels. Neither a fixed number of partitions nor the size of a shuffle bounds a task: enlarged pixels shrink to a fortieth when they are written."""
+    return max(spark.sparkContext.defaultParallelism, -(-pixels // TASK_PIXELS))
 
 
 def images_from_vectors(vectors: DataFrame, side: int = 8) -> DataFrame:
@@ -31,12 +38,17 @@ def images_from_vectors(vectors: DataFrame, side: int = 8) -> DataFrame:
     return wide.dropna(subset=list(CHANNELS)).select("image", (F.col("i") % side).cast("int").alias("x"), F.expr(f"i div {side}").cast("int").alias("y"), *CHANNELS)
 
 
-def blurred(image: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
-    """With br, bg, bb: means of the 3 x 3 neighbours that exist; keys: the columns that tell one image, or tile, from another."""
+def blurred(image: DataFrame, keys: tuple[str, ...] = ("image",), parts: int | None = None) -> DataFrame:
+    """With br, bg, bb: means of the 3 x 3 neighbours that exist; keys: the columns that tell one image, or tile, from another.
+
+    parts: so many tasks sort the rows, and then the columns, of pixels (`parts_for`); without it they stay as they are
+    dealt if that is by keys, and Spark's settings decide else.
+    """
+    dealt = lambda df, c: df.repartition(parts, *keys, c) if parts else df
     across = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-1, 1)
     down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-1, 1)
-    first = image.select("*", F.count(F.lit(1)).over(across).alias("_n"), *[F.sum(c).over(across).alias(f"_{c}") for c in CHANNELS])
-    second = first.select(*image.columns, F.sum("_n").over(down).alias("_n"), *[F.sum(f"_{c}").over(down).alias(f"_{c}") for c in CHANNELS])
+    first = dealt(image, "y").select("*", F.count(F.lit(1)).over(across).alias("_n"), *[F.sum(c).over(across).alias(f"_{c}") for c in CHANNELS])
+    second = dealt(first, "x").select(*image.columns, F.sum("_n").over(down).alias("_n"), *[F.sum(f"_{c}").over(down).alias(f"_{c}") for c in CHANNELS])
     return second.select(*image.columns, *[(F.col(f"_{c}") / F.col("_n")).alias(f"b{c}") for c in CHANNELS])
 
 
@@ -44,15 +56,19 @@ def _triple(prefix: str = "") -> P.Triple:
     return tuple(F.col(prefix + c) for c in CHANNELS)
 
 
-def with_look(image: DataFrame, name: str, intensity: int, mode: str = "standard", keys: tuple[str, ...] = ("image",)) -> DataFrame:
+def _blurs(name: str, intensity: int) -> bool:
+    return name in ("soft", "portrait", "sharp", "product") and intensity > 0
+
+
+def with_look(image: DataFrame, name: str, intensity: int, mode: str = "standard", keys: tuple[str, ...] = ("image",), parts: int | None = None) -> DataFrame:
     """The mode's own pass first (detail sharpens), then the look; columns r, g, b replaced.
 
-    Looks that need no neighbours run without a window.
+    Looks that need no neighbours run without a window. parts: see `blurred`.
     """
     if mode == "detail":
-        image = _replace(blurred(image, keys), P.unsharp(_triple(), _triple("b"), P.DETAIL_STRENGTH)).drop("br", "bg", "bb")
-    near = name in ("soft", "portrait", "sharp", "product") and intensity > 0
-    source = blurred(image, keys) if near else image
+        image = _replace(blurred(image, keys, parts), P.unsharp(_triple(), _triple("b"), P.DETAIL_STRENGTH)).drop("br", "bg", "bb")
+    near = _blurs(name, intensity)
+    source = blurred(image, keys, parts) if near else image
     return _replace(source, P.look(name, _triple(), _triple("b") if near else _triple(), intensity)).drop("br", "bg", "bb")
 
 
@@ -70,10 +86,10 @@ def long_form(image: DataFrame, round_to: int | None = 6) -> DataFrame:
     return image.select("image", "x", "y", F.inline(F.array(*[F.struct(F.lit(k).alias("c"), value(c).alias("v")) for k, c in enumerate(CHANNELS)])))
 
 
-def box_resample(image: DataFrame, factor: int) -> DataFrame:
-    """Byte image, shrunk by an integer factor: rounded means of factor x factor blocks."""
+def box_resample(image: DataFrame, factor: int, keys: tuple[str, ...] = ("image",)) -> DataFrame:
+    """Byte image, shrunk by an integer factor: rounded means of factor x factor blocks, none of which lies in two of keys."""
     by = [F.expr(f"x div {factor}").cast("int").alias("x"), F.expr(f"y div {factor}").cast("int").alias("y")]
-    return image.groupBy("image", *by).agg(*[F.floor(F.sum(c) / float(factor * factor) + 0.5).cast("int").alias(c) for c in CHANNELS])
+    return image.groupBy(*keys, *by).agg(*[F.floor(F.sum(c) / float(factor * factor) + 0.5).cast("int").alias(c) for c in CHANNELS])
 
 
 def _overlaps(at: Column, n: Column | int, into: Column | int) -> Column:
@@ -197,28 +213,52 @@ def run_tiles(
     band by band, before which the run was cancelled. backend stands in for the nearest pixels; a tile that
     it gives back in another size has failed. The band of a tile that was cancelled or failed and the
     later bands of its image write no row, as a band is written only when all its tiles are done.
+
+    If a pass reads neighbours or alpha is given, the pixels of image are counted first, and tasks are as many as they
+    need. A task has whole tiles, so all passes share one shuffle, of pixels not yet enlarged; tiles of more than
+    TASK_PIXELS are dealt by rows and columns instead.
     """
     cols = -(-width // tile)
-    tiles = to_tiles(image.select("image", "x", "y", *CHANNELS), width, height, tile, pad).select(*TILE, "x", "y", *CHANNELS)
+    source = image.select("image", "x", "y", *CHANNELS)
+    near = mode == "detail" or _blurs(look, intensity)
+    pixels = source.count() if near or alpha is not None else 0
+    spark = image.sparkSession
+    parts = parts_for(spark, pixels * _padded(width, tile, pad) * _padded(height, tile, pad) * scale * scale // (width * height))
+    whole = min(width, tile + 2 * pad) * min(height, tile + 2 * pad) * scale * scale <= TASK_PIXELS
+    dealt = lambda df: df.repartition(parts, *TILE) if near and whole else df
     ends = [] if stops is None else [stops.select("image", F.expr(f"tile div {cols}").alias("band"))]
     if backend is None:
-        big = nearest_tiles(tiles, scale)
+        running = _before(source, ends) if ends else source.withColumn("_stop", F.lit(None).cast("int"))
+        tiles = to_tiles(running, width, height, tile, pad).filter("_stop is null or band < _stop").select(*TILE, "x", "y", *CHANNELS)
+        big = nearest_tiles(dealt(tiles), scale)
     else:
+        tiles = to_tiles(source, width, height, tile, pad).select(*TILE, "x", "y", *CHANNELS)
         big = written(backend(tiles, scale), "tiles")  # run once, whatever reads it
         ends.append(failed_tiles(tiles, big, scale).select("image", "band"))
-    if ends:
-        first = reduce(DataFrame.unionByName, ends).groupBy("image").agg(F.min("band").alias("_stop"))
-        big = big.join(first, "image", "left").filter("_stop is null or band < _stop").drop("_stop")
-    finished = with_look(big, look, intensity, mode, TILE)
-    inside = as_bytes(finished.filter(F.expr(f"x div {tile * scale} = col and y div {tile * scale} = band"))).select("image", "x", "y", *CHANNELS)
-    out = inside if target == scale else box_resample(inside, scale // target)
-    return out if alpha is None else with_alpha(out, alpha, target)
+        big = dealt(_before(big, ends).filter("_stop is null or band < _stop").drop("_stop"))
+    finished = with_look(big, look, intensity, mode, TILE, None if whole else parts)
+    inside = as_bytes(finished.filter(F.expr(f"x div {tile * scale} = col and y div {tile * scale} = band"))).select(*TILE, "x", "y", *CHANNELS)
+    out = (inside if target == scale else box_resample(inside, scale // target, TILE)).select("image", "x", "y", *CHANNELS)
+    return out if alpha is None else with_alpha(out, alpha, target, parts_for(spark, pixels * target * target))
+
+
+def _padded(size: int, tile: int, pad: int) -> int:
+    """Pixels along one side of an image, those in several tiles as often."""
+    return sum(min(size, at + tile + pad) - max(0, at - pad) for at in range(0, size, tile))
+
+
+def _before(rows: DataFrame, ends: list[DataFrame]) -> DataFrame:
+    """rows of images with _stop, the first band that is not written, null if all are."""
+    first = reduce(DataFrame.unionByName, ends).groupBy("image").agg(F.min("band").alias("_stop"))
+    return rows.join(first, "image", "left")
 
 
-def with_alpha(enlarged: DataFrame, alpha: DataFrame, scale: int) -> DataFrame:
-    """alpha (image, x, y, a) of the source joined to its enlargement by the nearest source pixel."""
+def with_alpha(enlarged: DataFrame, alpha: DataFrame, scale: int, parts: int | None = None) -> DataFrame:
+    """alpha (image, x, y, a) of the source joined to its enlargement by the nearest source pixel, in so many tasks if parts is given."""
     keyed = enlarged.withColumn("_sx", F.expr(f"x div {scale}").cast("int")).withColumn("_sy", F.expr(f"y div {scale}").cast("int"))
     source = alpha.select("image", F.col("x").alias("_sx"), F.col("y").alias("_sy"), "a")
+    if parts:
+        keyed, source = (df.repartition(parts, "image", "_sx", "_sy") for df in (keyed, source))
     return keyed.join(source, ["image", "_sx", "_sy"]).drop("_sx", "_sy")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import pixels as P
 from tilewright.operators import pixels as O
+from tilewright.operators.ordered import written
 from tilewright.sources import png
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,16 +20,22 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.images_from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the pixels of all images: three values make one."""
+    values = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.sum(F.size("embedding"))).first()[0]
+    return O.parts_for(spark, (values or 0) // 3)
+
+
 def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.as_bytes(_images(spark, sf_dir))
 
 
 def unsharp_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.long_form(O.as_bytes(O.with_look(_images(spark, sf_dir), "original", 0, mode="detail")), None)
+    return O.long_form(O.as_bytes(O.with_look(_images(spark, sf_dir), "original", 0, mode="detail", parts=_parts(spark, sf_dir))), None)
 
 
 def looked(name: str) -> Query:
-    return lambda spark, sf_dir: O.long_form(O.with_look(_images(spark, sf_dir), name, INTENSITY))
+    return lambda spark, sf_dir: O.long_form(O.with_look(_images(spark, sf_dir), name, INTENSITY, parts=_parts(spark, sf_dir)))
 
 
 def _alpha(image: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def png_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiled_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail, then soft, inside tiles of three with a halo of one; doubled, averaged back; every fourth run stops before a tile."""
-    image = _images(spark, sf_dir)
+    image = written(_images(spark, sf_dir), "images")  # read for its tiles, its alpha, its stops and their number
     stops = image.select("image").distinct().filter("image % 4 = 0").select("image", (F.col("image") % 9).alias("tile"))
     return O.run_tiles(image, 8, 8, 2, 1, 3, 1, "soft", INTENSITY, "detail", _alpha(image), stops)
 
