@@ -327,3 +327,20 @@ def test_runs_of_a_content_meet_before_its_rows(spark):
     light = spark.createDataFrame([(7, 1, 1), (8, 2, 2), (9, 3, 3), (10, 4, 4)], "did long, c1 long, c2 long")
     got = suffix_dedup._of_single(light, runs, times).select("did", "r.lo", "r.hi").collect()
     assert sorted(map(tuple, got)) == [(7, 0, 9), (7, 20, 22), (9, 0, 1)]
+
+
+def test_a_line_repeated_in_a_document_is_one_segment(spark):
+    """A row for each content of a document, not for each of its places; the places meet in runs that are removed whole."""
+    import pyarrow as pa
+
+    line, other = "all work and no play, ", "".join(chr(97 + (k * k + 7 * k) % 26) for k in range(500))
+    text = (other + line * 200 + other[::-1]).encode()
+    h = suffix_dedup.anchors(text)[0]
+    batch = pa.record_batch({"did": pa.array([5]), "copies": pa.array([1]), "hs": pa.array([sorted(set(h.tolist()))]), "text": pa.array([text.decode()])})
+    rows = pa.Table.from_batches(suffix_dedup._segments(400)(iter([batch]))).to_pylist()
+    assert len(rows) == len({(r["c1"], r["c2"]) for r in rows}) < len(h) - 100
+    assert sorted(i for r in rows for lo, hi in zip(r["lo"], r["hi"], strict=True) for i in range(lo, hi + 1)) == list(range(len(text) - 399))
+    assert max(r["k"] for r in rows) > 100 and sum(r["k"] for r in rows) == len(h)
+    docs = spark.createDataFrame([(k, chr(65 + k) * k + line * (60 + k)) for k in range(6)] + [(9, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {**{k: (len(line) * (60 + k), 1) for k in range(6)}, 9: (0, 0)}

@@ -198,11 +198,12 @@ def _measure(length: int):
     return run
 
 
-_SEGMENT = "did long, copies long, h long, start long, n long, c1 long, c2 long, content binary"
+_SEGMENT = "did long, copies long, h long, k long, lo array<long>, hi array<long>, c1 long, c2 long, content binary"
 
 
 def _segments(length: int):
-    """Segments of a document whose anchors repeat; a task sends equal contents once."""
+    """Segments of a document whose anchors repeat: a row for each different content, with its k places as runs lo to hi of
+    starts. A line that is repeated all through a document is one row. A task sends equal contents once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -212,18 +213,30 @@ def _segments(length: int):
                 for did, copies, wanted, text in zip(*(part.column(c).to_pylist() for c in ("did", "copies", "hs")), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     h, first, last, _ = anchors(text, length)
                     keep = np.isin(h, np.array(wanted, np.int64))
+                    held: dict[bytes, list] = {}
                     for a, lo, hi in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                         content = text[lo : hi + length]
                         digest = xxhash.xxh3_128_digest(content)
-                        c1, c2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                        new = digest not in sent
-                        if new:
-                            if len(sent) >= 1_000_000:
-                                sent.clear()
-                            sent.add(digest)
-                        rows.append((did, copies, a, lo, hi - lo + 1, c1, c2, content if new else None))
-                columns = [*zip(*rows, strict=True)] if rows else [[]] * 8
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], names=[c.split()[0] for c in _SEGMENT.split(", ")])
+                        row = held.get(digest)
+                        if row is None:
+                            new = digest not in sent
+                            if new:
+                                if len(sent) >= 1_000_000:
+                                    sent.clear()
+                                sent.add(digest)
+                            c1, c2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+                            held[digest] = [did, copies, a, 1, [lo], [hi], c1, c2, content if new else None]
+                            continue
+                        row[3] += 1
+                        if lo == row[5][-1] + 1:
+                            row[5][-1] = hi
+                        else:
+                            row[4].append(lo)
+                            row[5].append(hi)
+                    rows += held.values()
+                columns = [*zip(*rows, strict=True)] if rows else [[]] * 9
+                kinds = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 2, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return run
 
@@ -401,13 +414,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
     texts = materialize(texts, "texts")  # a document repeated as a row is here as often; segments below take one
     one = texts.groupBy("did").agg(F.first("copies").alias("copies"), F.first("hs").alias("hs"), F.first("text").alias("text")) if not texts.filter("copies > 1").isEmpty() else texts
     segments = materialize(one.mapInArrow(_segments(length), _SEGMENT), "segments")
-    times = materialize(segments.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("times")), "times")
+    times = materialize(segments.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("copies") * F.col("k")).alias("times")), "times")
     sent = segments.filter("content is not null").select("h", "c1", "c2", "content")
     runs = _repeats_within(sent, length, hot_group, length - ANCHOR + 1)
-    shared, light = _by_content(segments.select("did", "start", "n", "c1", "c2"), times)
-    whole = shared.select("did", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
-    parts = _of_single(light, runs, times).select("did", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi")).alias("hi"))
-    spans = whole.union(parts).groupBy("did").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    shared, light = _by_content(segments.select("did", F.arrays_zip("lo", "hi").alias("spans"), "c1", "c2"), times)
+    start = F.col("spans")[0]["lo"]  # of a content that comes once
+    parts = _of_single(light, runs, times).select("did", F.array(F.struct((start + F.col("r.lo")).alias("lo"), (start + F.col("r.hi")).alias("hi"))).alias("spans"))
+    spans = shared.select("did", "spans").union(parts).groupBy("did").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     edited = one.select("did", "text").join(spans, "did").mapInArrow(_cut(length), "did long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     if not with_text:
         edited = edited.drop("kept_bytes")
