@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import components, exact_dedup, minhash, sharding, suffix_dedup, url_filter
+from tilewright.llm import components, exact_dedup, minhash, passages, sharding, suffix_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, kept string, size string, _rid long, tkey string, node string"
 
@@ -344,3 +344,46 @@ def test_a_line_repeated_in_a_document_is_one_segment(spark):
     docs = spark.createDataFrame([(k, chr(65 + k) * k + line * (60 + k)) for k in range(6)] + [(9, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == {**{k: (len(line) * (60 + k), 1) for k in range(6)}, 9: (0, 0)}
+
+
+@pytest.mark.parametrize(("width", "common", "cut"), [(50, 4000, 1 << 20), (12, 4000, 700), (12, 2, 1 << 20), (5, 3, 90)])
+def test_passages_of_words_that_documents_share(spark, monkeypatch, width, common, cut):
+    """Shared runs of words are found whatever their bytes; what one document alone repeats is not; nothing more is removed."""
+    monkeypatch.setattr(passages, "COMMON", common)
+    monkeypatch.setattr(passages, "_SLICE", cut)
+    rng = random.Random(width + common)
+    some = lambda n: [rng.choice(["a", "\u00e9", "to", "the", "x" * 30, "", "\t", "\u00a0"]) + str(rng.randint(0, 99)) for _ in range(n)]
+    passage, line, own = some(width + 3), some(7), some(width * 2)
+    assert len(" ".join(["to"] * width)) < suffix_dedup.LENGTH  # too short for a string that is removed
+    rows = [(k, [*some(k * 9), *passage[k % 5 :], *some(30)]) for k in range(9)]  # the last ones share one word less than a window
+    rows += [(20 + k, [*some(11), *line * (3 + 9 * k), *some(3)]) for k in range(3)] + [(30, ["the"] * width * 2), (31, ["the"] * (width + 1))]
+    rows += [(40, own * 3), (41, some(width * 3)), (42, some(2)), (43, []), (44, [*passage, *passage, *line, *passage])]
+    rows = [(k, "  ".join(w)) for k, w in rows] + [(41, "  ".join(some(width))), (50, None), (None, " ".join(passage))]
+    rows += [(60, " ".join(some(width)))] * 2  # a row given twice
+    split = [re.findall(r"[^ \t-\r]+", t or "") for _, t in rows]
+    where = {}
+    for n, w in enumerate(split):
+        for k in range(len(w) - width + 1):
+            where.setdefault(tuple(w[k : k + width]), set()).add(n)
+    expected = Counter()
+    for (i, t), w in zip(rows, split, strict=True):
+        hit = np.zeros(len(w), bool)
+        for k in range(len(w) - width + 1):
+            if len(where[tuple(w[k : k + width])]) > 1:
+                hit[k : k + width] = True
+        expected[i, len((t or "").encode()), int((np.diff(hit.astype(int), prepend=0) == 1).sum()), int(hit.sum())] += 1
+    docs = frame(spark, rows).repartition(3)
+    out = suffix_dedup.remove_repeats(docs, passage_words=width)
+    plain = suffix_dedup.remove_repeats(docs)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_passages"], r["n_passage_words"]) for r in out.collect()) == expected
+    assert sum(k[3] > 0 for k in expected) > 9 and any(k[3] == 0 for k in expected if k[1] > 400)
+    assert Counter(map(tuple, out.select(plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+    assert suffix_dedup.remove_repeats(frame(spark, []), passage_words=width).columns == [*plain.columns, "n_passages", "n_passage_words"]
+
+
+def test_a_shared_passage_below_400_bytes_is_told(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"{rng.randint(0, 999):03}" for _ in range(60))
+    rows = [(k, words(rng, 300) + " " + (passage if k < 2 else "") + " " + words(rng, 300)) for k in range(4)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"], r["n_passage_words"]) for r in suffix_dedup.remove_repeats(frame(spark, rows), passage_words=passages.WORDS).collect()}
+    assert len(passage) < 400 and got == {0: (0, 1, 60), 1: (0, 1, 60), 2: (0, 0, 0), 3: (0, 0, 0)}

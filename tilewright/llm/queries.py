@@ -14,6 +14,7 @@ from tilewright.llm import lm as _lm
 from tilewright.llm import minhash as _minhash
 from tilewright.llm import mixing as _mixing
 from tilewright.llm import packing as _packing
+from tilewright.llm import passages as _passages
 from tilewright.llm import quality_classifier as _classifier
 from tilewright.llm import quality_rules as _rules
 from tilewright.llm import secret_scan as _secrets
@@ -170,7 +171,7 @@ FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.do
 """
 
 def op10_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return _suffix.remove_repeats(_table(spark, sf_dir, "documents"), passage_words=_passages.WORDS)
 
 
 OP9_SQL = r"""

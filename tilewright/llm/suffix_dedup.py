@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import passages
 from tilewright.llm.common import materialize, text_or_empty
 from tilewright.llm.minhash import mix
 
@@ -45,17 +46,6 @@ _PLACE = np.uint64((1 << 24) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w neighbours, from prefix and suffix minima of blocks of w."""
-    n = len(v) - w + 1
-    padded = np.full(-(-len(v) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(v)] = v
-    blocks = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-
-
 def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Anchors of a text's windows: hash, first and last start of the windows that have it, its place, in order."""
     parts = []
@@ -68,7 +58,7 @@ def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
         eight = four[:-4] << np.uint64(32) | four[4:]
         n = len(t) - anchor + 1
         h = mix(eight[:n] * _C[0] + eight[8 : 8 + n] * _C[1] + eight[16 : 16 + n] * _C[2] + eight[24 : 24 + n] * _C[3])
-        least = _slide_min(h & ~_PLACE | np.arange(n, dtype=np.uint64), length - anchor + 1) & _PLACE
+        least = passages.slide_min(h & ~_PLACE | np.arange(n, dtype=np.uint64), length - anchor + 1) & _PLACE
         first = np.flatnonzero(np.diff(least, prepend=np.uint64(_PLACE)))
         last = np.append(first[1:], len(least)) - 1
         place = least[first].astype(np.int64)
@@ -184,13 +174,18 @@ def _runs(starts: np.ndarray) -> tuple[list[int], list[int]]:
     return starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()
 
 
-def _measure(length: int):
+def _measure(length: int, passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = [np.unique(anchors(x, length)[0], return_counts=True) if len(x) >= length else (np.empty(0, np.int64),) * 2 for x in texts]
-            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32))
+            rows = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
             hs, ns = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.empty(0, np.int64) for k in (0, 1))
+            if passage_words:  # anchors of words count once a document
+                more, words = passages.anchors(batch.column("text"), passage_words)
+                order = np.argsort(np.append(rows, more), kind="stable")
+                rows, hs, ns = (np.append(*x)[order] for x in ((rows, more), (hs, words), (ns, np.ones_like(words))))
+            ends = pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hs, ns)]
             shas = pa.array([hashlib.sha256(x).hexdigest() for x in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array([len(x) for x in texts], pa.int64()), shas, *lists], names=["doc_id", "tkey", "n_bytes", "sha", "hs", "ns"])
@@ -313,7 +308,7 @@ def _by_content(rows: DataFrame, times: DataFrame) -> tuple[DataFrame, DataFrame
     """
     keys = ["c1", "c2"]
     total = times.agg(F.sum("m")).first()[0] or 0
-    heavy = materialize(times.filter(F.col("m") > max(total // HEAVY_CONTENTS, 1000)).select(*keys, F.lit(True).alias("heavy")), "heavy")
+    heavy = materialize(times.filter((F.col("m") > max(total // HEAVY_CONTENTS, 1000)) & (F.col("times") > 1)).select(*keys, F.lit(True).alias("heavy")), "heavy")
     marked = rows.join(F.broadcast(heavy), keys, "left")
     light = marked.filter("heavy is null").drop("heavy")
     return light.join(times.filter("times > 1").select(*keys), keys, "left_semi").unionByName(marked.filter("heavy").drop("heavy")), light
@@ -391,28 +386,49 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, with_text: bool = False) -> DataFrame:
+def _passages(one: DataFrame, width: int) -> DataFrame:
+    """one (did, copies, hs, common, text): n_passages and n_passage_words of the documents that share windows of `width` words."""
+    found = one.mapInArrow(passages.windows(width, False), passages.WINDOWS)
+    runs = found.repartition("h").sortWithinPartitions("h").mapInArrow(passages.shared_windows, passages.RUNS)
+    common = one.filter(F.size("common") > 0)
+    if not common.isEmpty():
+        rows = common.mapInArrow(passages.windows(width, True), passages.WINDOWS)
+        rows = rows.select("*", F.size("prints").alias("n"), F.posexplode("prints").alias("k", "c1"))
+        every = "flatten(transform(arrays_zip(lo, hi), r -> sequence(r.lo + k, r.hi, cast(n as long))))"
+        rows = materialize(rows.select("did", "copies", "c1", F.col("h").alias("c2"), F.expr(every).alias("at")), "common")
+        several = (F.min("did") != F.max("did")) | (F.max("copies") > 1)
+        times = materialize(rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.when(several, 2).otherwise(1).alias("times")), "times")
+        more = _by_content(rows, times)[0].select("did", F.explode("at").alias("lo"))
+        runs = runs.unionByName(more.withColumn("hi", F.col("lo")))
+    listed = runs.groupBy("did").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return listed.mapInArrow(passages.covered(width), passages.COVERED)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_GROUP, with_text: bool = False, passage_words: int = 0) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes if with_text).
 
     Texts are judged as UTF-8 bytes, null as empty; texts shorter than `length` lose nothing. Every
     byte covered by a string of `length` bytes that starts anywhere else too is removed, all judged on
     the input. Rows repeated under one doc_id are documents of their own, so they remove each other.
     kept_bytes may end inside a character. An empty table gives an empty result; other columns of
-    docs are ignored.
+    docs are ignored. With passage_words two columns follow, which remove nothing: the words of the text
+    that lie in a run of so many words that another row has too, however few bytes it has, as n_passages
+    maximal runs of n_passage_words words in all.
     """
     source = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tkey", F.xxhash64("text"))
     schema = "doc_id long, tkey long, n_bytes long, sha string, hs array<long>, ns array<long>"
-    base = materialize(source.mapInArrow(_measure(length), schema).withColumn("rid", F.monotonically_increasing_id()), "base")
+    base = materialize(source.mapInArrow(_measure(length, passage_words), schema).withColumn("rid", F.monotonically_increasing_id()), "base")
     owners = base.filter(F.size("hs") > 0).groupBy("doc_id", "tkey").agg(F.min("rid").alias("did"), F.count(F.lit(1)).alias("copies"))
     owners = materialize(owners, "owners")
     spread = base.filter(F.size("hs") > 0).select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("e")).select("rid", F.col("e.hs").alias("h"), F.col("e.ns").alias("n"))
-    often = spread.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    wanted = spread.join(often, "h").groupBy("rid").agg(F.collect_list("h").alias("hs"))
-    held = owners.join(wanted, owners["did"] == wanted["rid"]).select("doc_id", "tkey", "did", "copies", "hs")
+    often = spread.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1")
+    common = F.collect_list(F.when(F.col("times") > passages.COMMON, F.col("h"))).alias("common")
+    wanted = spread.join(often, "h").groupBy("rid").agg(F.collect_list("h").alias("hs"), common)
+    held = owners.join(wanted, owners["did"] == wanted["rid"]).select("doc_id", "tkey", "did", "copies", "hs", "common")
     same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.tkey") == F.col("w.tkey"))
-    texts = source.alias("s").join(held.alias("w"), same).select("w.did", "w.copies", "w.hs", "s.text")
+    texts = source.alias("s").join(held.alias("w"), same).select("w.did", "w.copies", "w.hs", "w.common", "s.text")
     texts = materialize(texts, "texts")  # a document repeated as a row is here as often; segments below take one
-    one = texts.groupBy("did").agg(F.first("copies").alias("copies"), F.first("hs").alias("hs"), F.first("text").alias("text")) if not texts.filter("copies > 1").isEmpty() else texts
+    one = texts.groupBy("did").agg(F.first("copies").alias("copies"), F.first("hs").alias("hs"), F.first("common").alias("common"), F.first("text").alias("text")) if not texts.filter("copies > 1").isEmpty() else texts
     segments = materialize(one.mapInArrow(_segments(length), _SEGMENT), "segments")
     times = materialize(segments.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("copies") * F.col("k")).alias("times")), "times")
     sent = segments.filter("content is not null").select("h", "c1", "c2", "content")
@@ -424,9 +440,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_group: int = HOT_G
     edited = one.select("did", "text").join(spans, "did").mapInArrow(_cut(length), "did long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     if not with_text:
         edited = edited.drop("kept_bytes")
+    if passage_words:
+        edited = edited.join(_passages(one, passage_words), "did", "full")
     edited = edited.join(owners.select("did", "doc_id", "tkey"), "did").drop("did")
     same = F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.tkey") == F.col("e.tkey"))
     out = base.alias("b").join(edited.alias("e"), same, "left")
     zero = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0)).cast("long").alias(c)
     cols = [F.col("b.doc_id"), F.col("b.n_bytes"), zero("n_removed"), zero("n_spans"), F.coalesce("e.kept_sha256", "b.sha").alias("kept_sha256")]
-    return out.select(*cols, *([F.col("e.kept_bytes")] if with_text else []))
+    counts = [zero(c) for c in ("n_passages", "n_passage_words")] if passage_words else []
+    return out.select(*cols, *([F.col("e.kept_bytes")] if with_text else []), *counts)
