@@ -20,10 +20,12 @@ WORDS = 50
 ANCHOR_WORDS = 8
 #: Documents with an anchor whose windows a task compares at once; windows under more common anchors are counted one by one.
 COMMON = 4_000
-#: Bytes or words that are hashed at once: a dozen arrays of eight bytes each.
-_SLICE = 1 << 20
+#: Bytes or words that are hashed at once: a dozen arrays of eight bytes each, which a core's cache holds.
+_SLICE = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
+#: Hashes of the bytes at the first 64 places of a word.
+_NEAR = mix(np.arange(64 << 8, dtype=np.uint64) + np.uint64(_BASE))
 
 
 def slide_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -53,7 +55,10 @@ def word_hashes(t: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
             continue
         cuts = np.maximum(starts[a:b], at)
         place = np.arange(cuts[0], stop) - np.repeat(starts[a:b], np.diff(cuts, append=stop))
-        h = mix((place << 8 | t[cuts[0] : stop]).astype(np.uint64) + np.uint64(_BASE))  # of a byte and its place in the word
+        place = place << 8 | t[cuts[0] : stop]
+        h = _NEAR.take(place, mode="clip")  # of a byte and its place in the word
+        far = np.flatnonzero(place >= len(_NEAR))
+        h[far] = mix(place[far].astype(np.uint64) + np.uint64(_BASE))
         h[~solid[cuts[0] : stop]] = 0
         sums[a:b] += np.add.reduceat(h, cuts - cuts[0])
     return mix(sums), starts
